@@ -1 +1,337 @@
-"""Queries."""
+"""Metric, ensemble and forecast-table queries.
+
+The "models" are deterministic functions of past closes, so SQL can repeat them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketframe.config import ENSEMBLE_WEIGHTS
+from marketframe.functions.windows import series
+from marketframe.models import ensemble as en
+from marketframe.operators import metrics as mt
+from marketframe.operators import split as sp
+from marketframe.plans import forecast as fc
+from marketframe.sources import sinks
+
+from . import check
+from .bars import panel
+from .indicators import SERIES
+from .splits import ROWS
+
+MODELS = ("arima", "prophet", "lstm", "xgboost", "naive_last_close")
+BASE = ("arima", "prophet", "lstm", "xgboost")
+
+
+def predictions(spark, sf, models=MODELS):
+    """(symbol, date, model, predicted): previous close, damped trend, averages."""
+    w = series()
+    c1, c2 = F.lag("close").over(w), F.lag("close", 2).over(w)
+    wide = panel(spark, sf).select(
+        "symbol",
+        "date",
+        (c1 + 0.1 * (c1 - c2)).alias("arima"),
+        F.avg("close").over(w.rowsBetween(-5, -1)).alias("prophet"),
+        F.avg("close").over(w.rowsBetween(-20, -1)).alias("lstm"),
+        F.min("close").over(w.rowsBetween(-3, -1)).alias("xgboost"),
+        c1.alias("naive_last_close"),
+    )
+    long = wide.unpivot(["symbol", "date"], list(models), "model", "predicted")
+    return long.filter(F.col("predicted").isNotNull())
+
+
+def _before(n: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+PRED = f"""{ROWS},
+pred_wide AS (
+  SELECT symbol, date, split, close AS actual, lag(close) OVER {SERIES} AS previous,
+         lag(close) OVER {SERIES} + 0.1::DOUBLE * (lag(close) OVER {SERIES} - lag(close, 2) OVER {SERIES}) AS arima,
+         avg(close) OVER {_before(5)} AS prophet, avg(close) OVER {_before(20)} AS lstm,
+         min(close) OVER {_before(3)} AS xgboost, lag(close) OVER {SERIES} AS naive_last_close
+  FROM parts),
+pred AS MATERIALIZED (
+  SELECT * FROM (UNPIVOT pred_wide ON arima, prophet, lstm, xgboost, naive_last_close INTO NAME model VALUE predicted))"""
+
+
+def aligned(spark, sf):
+    """Predictions with the actual and the previous close."""
+    bars = sp.temporal_split(panel(spark, sf))
+    return mt.attach_actuals(bars, predictions(spark, sf)).filter(F.col("predicted").isNotNull())
+
+
+SQL = {
+    "MAE": "avg(abs(actual - predicted))",
+    "RMSE": "sqrt(avg((actual - predicted) * (actual - predicted)))",
+    "MAPE": "avg(abs((actual - predicted) / nullif(actual, 0))) * 100",
+    "SMAPE": "avg(abs(actual - predicted) / nullif((abs(actual) + abs(predicted)) / 2, 0)) * 100",
+    "R2": "1 - sum((actual - predicted) * (actual - predicted)) / nullif(count(*) * var_pop(actual), 0)",
+    "Explained_Variance": "1 - var_pop(actual - predicted) / nullif(var_pop(actual), 0)",
+}
+for _id, _name, _fn in (
+    ("E1_mae", "MAE", mt.mae),
+    ("E2_rmse", "RMSE", mt.rmse),
+    ("E3_mape", "MAPE", mt.mape),
+    ("E4_smape", "SMAPE", mt.smape),
+    ("E5_r2", "R2", mt.r_squared),
+    ("E6_explained_variance", "Explained_Variance", mt.explained_variance),
+):
+
+    @check(
+        _id,
+        f"symbol model {_name}:6",
+        f"WITH {PRED}, result AS (SELECT symbol, model, {SQL[_name]} AS {_name} FROM pred GROUP BY symbol, model)",
+    )
+    def metric(spark, sf, name=_name, fn=_fn):
+        return aligned(spark, sf).groupBy("symbol", "model").agg(fn().alias(name))
+
+
+@check(
+    "E7_direction_previous",
+    "symbol model accuracy:6",
+    f"WITH {PRED}, result AS (SELECT symbol, model, avg(CASE WHEN sign(actual - previous) = sign(predicted - previous) "
+    "THEN 1.0 ELSE 0.0 END) * 100 AS accuracy FROM pred GROUP BY symbol, model)",
+)
+def direction(spark, sf):
+    return mt.directions(aligned(spark, sf)).groupBy("symbol", "model").agg(
+        (F.avg("hit") * 100).alias("accuracy")
+    )
+
+
+KEYED = "(PARTITION BY symbol, model ORDER BY date)"
+
+
+@check(
+    "E7_direction_consecutive",
+    "symbol model accuracy:6",
+    f"""WITH {PRED}, d AS (
+  SELECT symbol, model, sign(actual - lag(actual) OVER {KEYED}) AS a, sign(predicted - lag(predicted) OVER {KEYED}) AS p
+  FROM pred),
+result AS (SELECT symbol, model, avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END) * 100 AS accuracy
+           FROM d WHERE a IS NOT NULL GROUP BY symbol, model)""",
+)
+def direction_consecutive(spark, sf):
+    rows = mt.directions(aligned(spark, sf), previous=None)
+    return rows.groupBy("symbol", "model").agg((F.avg("hit") * 100).alias("accuracy"))
+
+
+STRATEGY = f"""{PRED},
+held AS (SELECT *, actual / previous - 1 AS ret, CASE WHEN predicted > previous THEN 1.0::DOUBLE ELSE 0.0 END AS pos FROM pred),
+strategy AS (
+  SELECT *, pos * ret - 0.001::DOUBLE * abs(pos - coalesce(lag(pos) OVER {KEYED}, 0)) AS strategy_return FROM held)"""
+
+
+@check(
+    "E8_strategy_returns",
+    "symbol model date:d strategy_return:8",
+    f"WITH {STRATEGY}, result AS (SELECT * FROM strategy)",
+)
+def strategy(spark, sf):
+    return mt.strategy_returns(aligned(spark, sf))
+
+
+SHARPE = "avg(strategy_return) / nullif(stddev_samp(strategy_return), 0) * sqrt(252)"
+
+
+@check(
+    "E9_sharpe",
+    "symbol model Sharpe_Ratio:6",
+    f"WITH {STRATEGY}, result AS (SELECT symbol, model, {SHARPE} AS Sharpe_Ratio FROM strategy GROUP BY symbol, model)",
+)
+def sharpe(spark, sf):
+    return mt.sharpe(mt.strategy_returns(aligned(spark, sf)))
+
+
+RUN = "(PARTITION BY symbol, model ORDER BY date ROWS UNBOUNDED PRECEDING)"
+DRAWDOWN = f"""{STRATEGY},
+curve AS (SELECT *, sum(ln(1 + strategy_return)) OVER {RUN} AS lc FROM strategy),
+peaks AS (SELECT *, max(lc) OVER {RUN} AS lp FROM curve)"""
+
+
+@check(
+    "E10_max_drawdown",
+    "symbol model Max_Drawdown_pct:6",
+    f"WITH {DRAWDOWN}, result AS (SELECT symbol, model, min(exp(lc - lp) - 1) * 100 AS Max_Drawdown_pct "
+    "FROM peaks GROUP BY symbol, model)",
+)
+def drawdown(spark, sf):
+    return mt.max_drawdown(mt.strategy_returns(aligned(spark, sf)))
+
+
+RANKED = """ranked AS (
+  SELECT *, rank() OVER (PARTITION BY symbol, model ORDER BY actual)
+            + (count(*) OVER (PARTITION BY symbol, model, actual) - 1) / 2.0::DOUBLE AS ra,
+         rank() OVER (PARTITION BY symbol, model ORDER BY predicted)
+            + (count(*) OVER (PARTITION BY symbol, model, predicted) - 1) / 2.0::DOUBLE AS rp FROM peaks)"""
+
+
+@check(
+    "E11_information_coefficient",
+    "symbol model IC:6",
+    f"WITH {DRAWDOWN}, {RANKED}, result AS (SELECT symbol, model, corr(ra, rp) AS IC FROM ranked GROUP BY symbol, model)",
+)
+def ic(spark, sf):
+    return mt.information_coefficient(aligned(spark, sf))
+
+
+BUNDLE = {
+    **SQL,
+    "Directional_Accuracy": "avg(CASE WHEN sign(actual - previous) = sign(predicted - previous) THEN 1.0 ELSE 0.0 END) * 100",
+    "Sharpe_Ratio": SHARPE,
+    "Max_Drawdown_pct": "min(exp(lc - lp) - 1) * 100",
+    "IC": "corr(ra, rp)",
+}
+BUNDLE_SQL = ", ".join(f"{e} AS {n}" for n, e in BUNDLE.items())
+METRIC_SPEC = "symbol model " + " ".join(f"{c}:6" for c in BUNDLE)
+
+
+@check(
+    "E12_metric_bundle",
+    METRIC_SPEC,
+    f"WITH {DRAWDOWN}, {RANKED}, result AS (SELECT symbol, model, {BUNDLE_SQL} FROM ranked GROUP BY symbol, model)",
+)
+def bundle(spark, sf):
+    return mt.evaluate(aligned(spark, sf))
+
+
+@check(
+    "E13_compare_models",
+    "symbol model " + " ".join(f"{c}:4" for c in BUNDLE),
+    f"WITH {DRAWDOWN}, {RANKED}, result AS (SELECT symbol, model, {BUNDLE_SQL} FROM ranked GROUP BY symbol, model)",
+)
+def compare(spark, sf):
+    return mt.compare_models(aligned(spark, sf))
+
+
+def split_metrics_sql(split: str) -> str:
+    """The metric bundle over one split, with the flat model's columns blanked."""
+    chain = f"{DRAWDOWN}, {RANKED}".replace(
+        "INTO NAME model VALUE predicted))",
+        f"INTO NAME model VALUE predicted) WHERE split = '{split}')",
+    )
+    blank = ("Directional_Accuracy", "Sharpe_Ratio", "Max_Drawdown_pct")
+    cols = ", ".join(
+        f"CASE WHEN model NOT LIKE 'naive%' THEN {e} END AS {n}" if n in blank else f"{e} AS {n}"
+        for n, e in BUNDLE.items()
+    )
+    return f"WITH {chain}, result AS (SELECT symbol, model, {cols} FROM ranked GROUP BY symbol, model)"
+
+
+@check("E14_evaluate_split", "symbol model " + " ".join(f"{c}:4" for c in BUNDLE), split_metrics_sql("test"))
+def evaluate_split(spark, sf):
+    bars = sp.temporal_split(panel(spark, sf))
+    return mt.evaluate_split(bars, predictions(spark, sf), "test")
+
+
+@check(
+    "E15_actual_vs_predicted",
+    "symbol date:d actual:8 " + " ".join(f"{m}:8" for m in MODELS),
+    f"WITH {PRED}, result AS (SELECT symbol, date, actual, {', '.join(MODELS)} FROM pred_wide WHERE split = 'test')",
+)
+def actual_vs_predicted(spark, sf):
+    bars = sp.temporal_split(panel(spark, sf))
+    return mt.actual_vs_predicted(bars, predictions(spark, sf), list(MODELS))
+
+
+@check(
+    "B0_naive",
+    "symbol date:d predicted:8",
+    f"WITH {PRED}, result AS (SELECT symbol, date, previous AS predicted FROM pred_wide WHERE previous IS NOT NULL)",
+)
+def naive(spark, sf):
+    return en.naive_last_close(panel(spark, sf))
+
+
+W = ENSEMBLE_WEIGHTS
+BLEND = f"""{PRED},
+weights(model, w) AS (VALUES {', '.join(f"('{m}', {w}::DOUBLE)" for m, w in W.items())}),
+blend AS (
+  SELECT symbol, date, sum(w * predicted) / sum(w) AS ensemble,
+         sum(w * predicted) / sum(w) - 1.96::DOUBLE * stddev_pop(predicted) AS lower,
+         sum(w * predicted) / sum(w) + 1.96::DOUBLE * stddev_pop(predicted) AS upper
+  FROM pred JOIN weights USING (model) GROUP BY symbol, date)"""
+
+
+@check(
+    "N2_blend",
+    "symbol date:d ensemble:6 lower:6 upper:6",
+    f"WITH {BLEND}, result AS (SELECT * FROM blend)",
+)
+def blend(spark, sf):
+    return en.blend(predictions(spark, sf, BASE))
+
+
+@check(
+    "N3_ensemble_table",
+    "symbol date:d ensemble:6 lower:6 upper:6 actual:8 " + " ".join(f"{m}:8" for m in BASE),
+    f"WITH {BLEND}, result AS (SELECT symbol, date, ensemble, lower, upper, actual, {', '.join(BASE)} "
+    "FROM blend JOIN pred_wide USING (symbol, date))",
+)
+def ensemble_table(spark, sf):
+    return en.ensemble_table(predictions(spark, sf, BASE), actuals=panel(spark, sf))
+
+
+@check(
+    "S14_run_log",
+    "run_id symbol model metric value:6",
+    f"""WITH {DRAWDOWN}, {RANKED},
+b AS (SELECT symbol, model, {BUNDLE_SQL} FROM ranked GROUP BY symbol, model),
+result AS (SELECT 'r1' AS run_id, symbol, model, model || '_' || metric AS metric, value FROM (
+  UNPIVOT b ON {', '.join(BUNDLE)} INTO NAME metric VALUE value))""",
+)
+def run_log(spark, sf):
+    return sinks.run_log(mt.evaluate(aligned(spark, sf)), "r1")
+
+
+FUTURE = f"""{PRED},
+ends AS (SELECT symbol, max(date) AS last_date FROM parts GROUP BY symbol),
+future AS (
+  SELECT symbol, last_date, d AS date, row_number() OVER (PARTITION BY symbol ORDER BY d) AS step
+  FROM (SELECT symbol, last_date, CAST(unnest(generate_series(last_date + 1, last_date + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM ends)
+  WHERE isodow(d) <= 5 QUALIFY step <= 30)"""
+
+
+@check(
+    "H3_future_days",
+    "symbol step:i date:d",
+    f"WITH {FUTURE}, result AS (SELECT * FROM future)",
+)
+def future_days(spark, sf):
+    return fc.future_days(panel(spark, sf), 30)
+
+
+@check(
+    "H5_forecast_rows",
+    "symbol model date:d predicted:4 lower_bound:4 upper_bound:4",
+    f"""WITH {FUTURE},
+base AS (SELECT p.symbol, p.close FROM parts p JOIN ends e ON p.symbol = e.symbol AND p.date = e.last_date),
+paths AS (
+  SELECT f.symbol, f.date, m.model, close * (1 + m.drift * f.step) AS predicted
+  FROM future f JOIN base USING (symbol)
+  JOIN (VALUES ('arima', 0.0137::DOUBLE), ('lstm', -0.0219::DOUBLE)) m(model, drift) ON TRUE WHERE f.step <= 5),
+weights(model, w) AS (VALUES {', '.join(f"('{m}', {w}::DOUBLE)" for m, w in W.items())}),
+ens AS (
+  SELECT symbol, date, 'ensemble' AS model, sum(w * predicted) / sum(w) AS predicted,
+         sum(w * predicted) / sum(w) - 1.96::DOUBLE * stddev_pop(predicted) AS lower_bound,
+         sum(w * predicted) / sum(w) + 1.96::DOUBLE * stddev_pop(predicted) AS upper_bound
+  FROM paths JOIN weights USING (model) GROUP BY symbol, date),
+result AS (
+  SELECT symbol, model, date, predicted, NULL::DOUBLE AS lower_bound, NULL::DOUBLE AS upper_bound FROM paths
+  UNION ALL SELECT symbol, model, date, predicted, lower_bound, upper_bound FROM ens)""",
+)
+def forecast_rows(spark, sf):
+    """The forecast document, opened up into rows again."""
+    days = fc.future_days(panel(spark, sf), 5)
+    last = panel(spark, sf).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+    drift = F.explode(F.array(F.struct(F.lit("arima").alias("model"), F.lit(0.0137).alias("drift")),
+                              F.struct(F.lit("lstm").alias("model"), F.lit(-0.0219).alias("drift"))))
+    paths = (
+        days.join(last, "symbol")
+        .select("symbol", "date", "step", "close", drift.alias("m"))
+        .select("symbol", "date", F.col("m.model").alias("model"),
+                (F.col("close") * (1 + F.col("m.drift") * F.col("step"))).alias("predicted"))
+    )
+    doc = fc.forecast_document(paths, ["arima", "lstm", "ensemble"], 5, history=panel(spark, sf))
+    return fc.document_rows(doc)

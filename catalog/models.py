@@ -1 +1,114 @@
-"""Queries."""
+"""Model queries: autoregression, trend and season, boosting, lookback, ensemble."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketframe.models import ar
+from marketframe.operators import split as sp
+
+from . import check
+from .bars import PANEL, panel, table
+from .evaluation import BASE, predictions
+from .indicators import SERIES
+
+AR_ROWS = f"""{PANEL},
+logs AS (
+  SELECT symbol, date, close, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM panel),
+recent AS (SELECT *, y - lag(y) OVER {SERIES} AS z FROM logs WHERE back <= 500),
+pairs AS (SELECT *, lag(z) OVER {SERIES} AS z1 FROM recent),
+params AS MATERIALIZED (
+  SELECT symbol, regr_count(z, z1) AS n, regr_slope(z, z1) AS phi, regr_intercept(z, z1) AS const,
+         (regr_syy(z, z1) - regr_slope(z, z1) * regr_sxy(z, z1)) / regr_count(z, z1) AS sigma2
+  FROM pairs GROUP BY symbol)"""
+
+
+@check(
+    "A1_fit_log",
+    "symbol n:i const:6 phi1:6 sigma2:6 aic:3",
+    f"WITH {AR_ROWS}, result AS (SELECT symbol, n, const, phi AS phi1, sigma2, n * ln(sigma2) + 4 AS aic FROM params)",
+)
+def fit_log(spark, sf):
+    return ar.fit_log(panel(spark, sf)).withColumn("phi1", F.col("phi")[0])
+
+
+@check("A2_order_search", "symbol p:i d:i q:i n:i aic:4")
+def order_search(spark, sf):
+    return ar.auto_fit(panel(spark, sf))
+
+
+@check(
+    "A3_fit_given_order",
+    "symbol n:i phi1:6 phi2:6",
+    f"""WITH {PANEL},
+d AS (SELECT symbol, date, close - lag(close) OVER {SERIES} AS z FROM panel),
+l AS (SELECT symbol, z, lag(z) OVER {SERIES} AS z1, lag(z, 2) OVER {SERIES} AS z2 FROM d),
+g AS (SELECT symbol, count(*) AS n, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS c,
+             sum(z1 * z) AS u, sum(z2 * z) AS v FROM l WHERE z2 IS NOT NULL GROUP BY symbol),
+result AS (SELECT symbol, n, (c * u - b * v) / (a * c - b * b) AS phi1, (a * v - b * u) / (a * c - b * b) AS phi2 FROM g)""",
+)
+def fit_given(spark, sf):
+    return ar.fit(panel(spark, sf), (2, 1, 0)).select("symbol", "n", F.col("phi")[0].alias("phi1"), F.col("phi")[1].alias("phi2"))
+
+
+@check(
+    "A4_one_step",
+    "symbol date:d predicted:5",
+    f"""WITH {AR_ROWS},
+l AS (SELECT *, lag(y) OVER {SERIES} AS y1, lag(y, 2) OVER {SERIES} AS y2,
+             row_number() OVER {SERIES} - 1 AS r, count(*) OVER (PARTITION BY symbol) AS n_all FROM logs),
+result AS (SELECT l.symbol, date, exp(y1 + const + phi * (y1 - y2)) AS predicted
+           FROM l JOIN params p ON l.symbol = p.symbol WHERE r >= floor(n_all * 0.7::DOUBLE))""",
+)
+def one_step(spark, sf):
+    parts = sp.temporal_split(panel(spark, sf))
+    params = ar.fit_log(panel(spark, sf))
+    return ar.one_step_predictions(parts, params, terms=1, where=F.col("row_no") >= F.col("n_train"))
+
+
+PATH = f"""{AR_ROWS},
+state AS (
+  SELECT p.symbol, max(date) AS last_date, arg_max(y, date) AS y, arg_max(z, date) AS z,
+         any_value(const) AS c, any_value(phi) AS phi, any_value(sigma2) AS sigma2
+  FROM recent r JOIN params p ON r.symbol = p.symbol GROUP BY p.symbol),
+h AS (SELECT *, unnest(range(1, 31)) AS step FROM state),
+shock AS (SELECT h.*, list_sum([power((1 - power(phi, k)) / (1 - phi), 2) for k in range(1, step + 1)]) AS v FROM h),
+path AS (
+  SELECT symbol, step, y + step * c / (1 - phi) + (z - c / (1 - phi)) * phi * (1 - power(phi, step)) / (1 - phi) AS mean,
+         1.959963984540054::DOUBLE * sqrt(sigma2 * v) AS half FROM shock)"""
+
+
+@check(
+    "A5_forecast",
+    "symbol step:i predicted:4 lower:5 upper_log:5",
+    f"WITH {PATH}, result AS (SELECT symbol, step, exp(mean) AS predicted, exp(mean - half) AS lower, mean + half AS upper_log FROM path)",
+)
+def forecast(spark, sf):
+    bars = panel(spark, sf)
+    return ar.forecast(bars, ar.fit_log(bars), 30, terms=1).withColumn("upper_log", F.ln("upper"))
+
+
+@check(
+    "A6_update_and_predict",
+    "symbol date:d predicted:5",
+    f"""WITH {AR_ROWS},
+state AS (
+  SELECT p.symbol, max(date) AS last_date, arg_max(y, date) AS y0, arg_max(close, date) AS c0,
+         any_value(const) AS c, any_value(phi) AS phi
+  FROM recent r JOIN params p ON r.symbol = p.symbol GROUP BY p.symbol),
+result AS (
+  SELECT symbol, last_date + CAST(CASE WHEN isodow(last_date + 1) >= 5 THEN 9 - isodow(last_date + 1) + (isodow(last_date + 1) = 5)::INT * 0 ELSE 2 END AS INTEGER) AS date,
+         exp(ln(c0 * 1.01::DOUBLE) + c + phi * (ln(c0 * 1.01::DOUBLE) - y0)) AS predicted FROM state)""",
+)
+def update(spark, sf):
+    """A new bar one percent above the last close, on the day after it."""
+    bars = panel(spark, sf)
+    params = ar.fit_log(bars)
+    last = bars.groupBy("symbol").agg(F.max("date").alias("d"), F.max_by("close", "date").alias("c"))
+    new = last.select("symbol", F.date_add("d", 1).alias("date"), (F.col("c") * 1.01).alias("close"))
+    return ar.update_and_predict(bars, new, params, terms=1)
+
+
+@check("A7_walk_forward", "symbol MAE:4 RMSE:4 MAPE:4 Directional_Accuracy:4")
+def walk_forward(spark, sf):
+    return ar.walk_forward_cv(panel(spark, sf), (1, 1, 0))

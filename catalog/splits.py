@@ -1 +1,121 @@
-"""Queries."""
+"""Split, scaling and fold queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketframe.operators import split as sp
+
+from . import check
+from .bars import PANEL, panel
+from .indicators import SERIES
+
+ROWS = f"""{PANEL},
+numbered_rows AS (
+  SELECT *, row_number() OVER {SERIES} - 1 AS row_no, count(*) OVER (PARTITION BY symbol) AS n_rows FROM panel),
+sized AS (
+  SELECT *, floor(n_rows * 0.7::DOUBLE) AS n_train, floor(n_rows * 0.15::DOUBLE) AS n_val FROM numbered_rows),
+parts AS MATERIALIZED (
+  SELECT *, CASE WHEN row_no < n_train THEN 'train' WHEN row_no < n_train + n_val THEN 'val' ELSE 'test' END AS split
+  FROM sized)"""
+
+
+@check(
+    "P1_temporal_split",
+    "symbol date:d row_no:i n_train:i n_val:i split",
+    f"WITH {ROWS}, result AS (SELECT * FROM parts)",
+)
+def temporal_split(spark, sf):
+    return sp.temporal_split(panel(spark, sf))
+
+
+STATS = {
+    "minmax": "min({c}) AS {c}_centre, max({c}) - min({c}) AS {c}_scale",
+    "standard": "avg({c}) AS {c}_centre, stddev_pop({c}) AS {c}_scale",
+    "robust": "median({c}) AS {c}_centre, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_scale",
+}
+
+
+def scaled_sql(kind: str) -> str:
+    stats = ", ".join(STATS[kind].format(c=c) for c in ("close", "volume"))
+    cols = ", ".join(
+        f"(p.{c} - {c}_centre) / CASE WHEN {c}_scale = 0 THEN 1 ELSE {c}_scale END AS {c}"
+        for c in ("close", "volume")
+    )
+    return (
+        f"{ROWS}, stats AS (SELECT symbol, {stats} FROM parts WHERE split = 'train' GROUP BY symbol), "
+        f"scaled AS (SELECT p.symbol, p.date, p.split, {cols} FROM parts p JOIN stats s ON p.symbol = s.symbol)"
+    )
+
+
+def train_rows(df):
+    return df.filter(F.col("split") == "train")
+
+
+for _kind in sp.SCALERS:
+
+    @check(
+        f"P2_scale_{_kind}",
+        "symbol date:d close:6 volume:6",
+        f"WITH {scaled_sql(_kind)}, result AS (SELECT * FROM scaled)",
+    )
+    def scale(spark, sf, kind=_kind):
+        parts = sp.temporal_split(panel(spark, sf))
+        stats = sp.fit_scaler(train_rows(parts), ["close", "volume", "not_there"], kind)
+        return sp.apply_scaler(parts, stats)
+
+
+@check(
+    "P3_inverse_scale",
+    "symbol date:d close:8",
+    f"WITH {PANEL}, result AS (SELECT symbol, date, close FROM panel)",
+)
+def inverse(spark, sf):
+    parts = sp.temporal_split(panel(spark, sf))
+    stats = sp.fit_scaler(train_rows(parts), ["close"], "minmax")
+    return sp.inverse_scale(sp.apply_scaler(parts, stats), stats, "close")
+
+
+@check(
+    "P5_prepared_sequences",
+    "symbol split n:i first_date:d last_date:d window_sum:4 y_sum:4",
+    f"""WITH {scaled_sql('minmax')},
+w AS (
+  SELECT symbol, date, split, close AS y, list(close) OVER f AS c, list(volume) OVER f AS v FROM scaled
+  WINDOW f AS (PARTITION BY symbol, split ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+result AS (
+  SELECT symbol, split, count(*) AS n, min(date) AS first_date, max(date) AS last_date,
+         sum(list_sum(c) + 2 * list_sum(v)) AS window_sum, sum(y) AS y_sum
+  FROM w WHERE len(c) = 10 GROUP BY symbol, split)""",
+)
+def prepared(spark, sf):
+    _, seq, _ = sp.prepare_data(panel(spark, sf), ["volume", "close"], "minmax", 10)
+    total = F.aggregate("window", F.lit(0.0), lambda s, x: s + x[0] + 2 * x[1])
+    return seq.groupBy("symbol", "split").agg(
+        F.count("*").alias("n"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.sum(total).alias("window_sum"),
+        F.sum(F.col("y")[0]).alias("y_sum"),
+    )
+
+
+@check(
+    "P6_training_masks",
+    "symbol date:d fit_row:i stop_row:i",
+    f"WITH {ROWS}, result AS (SELECT symbol, date, row_no < n_train - 1 AS fit_row, "
+    "row_no >= n_train AND row_no < n_train + n_val - 1 AS stop_row FROM parts)",
+)
+def masks(spark, sf):
+    return sp.training_masks(panel(spark, sf))
+
+
+@check(
+    "P7_folds",
+    "symbol date:d fold:i role",
+    f"""WITH {ROWS}, result AS (
+  SELECT symbol, date, fold, CASE WHEN row_no < n_rows - (5 - fold) * (n_rows // 6) THEN 'train' ELSE 'test' END AS role
+  FROM parts JOIN range(5) AS folds(fold) ON row_no < n_rows - (5 - fold) * (n_rows // 6) + n_rows // 6)""",
+)
+def folds(spark, sf):
+    return sp.time_series_folds(panel(spark, sf))

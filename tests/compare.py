@@ -49,7 +49,9 @@ def compare(df, con, sql: str) -> str:
     got, want = rows(got_names, got), rows(want_names, want)
     bad = [(g, w) for g, w in zip(got, want) if not all(same(x, y) for x, y in zip(g, w))]
     if bad:
-        return f"{len(bad)} of {len(got)} rows differ, e.g. {sorted(got_names)}\n  {bad[0][0]}\n  {bad[0][1]}"
+        g, w = bad[0]
+        off = [(c, x, y) for c, x, y in zip(sorted(got_names), g, w) if not same(x, y)]
+        return f"{len(bad)} of {len(got)} rows differ, e.g. {off[:4]} in {g[-3:]}"
     return "" if got else "no rows"
 
 
