@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketframe.models import ar
+from marketframe.models import boosted as bo
+from marketframe.models import ensemble as en
+from marketframe.models import sequence as sq
+from marketframe.models import trend as tr
+from marketframe.operators import features as ft
 from marketframe.operators import split as sp
+from marketframe.plans import forecast as fc
 
 from . import check
-from .bars import PANEL, panel, table
-from .evaluation import BASE, predictions
+from .bars import BARS, PANEL, bars, panel
+from .evaluation import BASE, FUTURE, predictions
 from .indicators import SERIES
 
 AR_ROWS = f"""{PANEL},
@@ -97,7 +103,7 @@ state AS (
          any_value(const) AS c, any_value(phi) AS phi
   FROM recent r JOIN params p ON r.symbol = p.symbol GROUP BY p.symbol),
 result AS (
-  SELECT symbol, last_date + CAST(CASE WHEN isodow(last_date + 1) >= 5 THEN 9 - isodow(last_date + 1) + (isodow(last_date + 1) = 5)::INT * 0 ELSE 2 END AS INTEGER) AS date,
+  SELECT symbol, last_date + CASE isodow(last_date + 1) WHEN 5 THEN 4 WHEN 6 THEN 3 ELSE 2 END AS date,
          exp(ln(c0 * 1.01::DOUBLE) + c + phi * (ln(c0 * 1.01::DOUBLE) - y0)) AS predicted FROM state)""",
 )
 def update(spark, sf):
@@ -112,3 +118,199 @@ def update(spark, sf):
 @check("A7_walk_forward", "symbol MAE:4 RMSE:4 MAPE:4 Directional_Accuracy:4")
 def walk_forward(spark, sf):
     return ar.walk_forward_cv(panel(spark, sf), (1, 1, 0))
+
+
+@check(
+    "T2_regression_frame",
+    "symbol ds:d y:8",
+    f"WITH {PANEL}, result AS (SELECT symbol, date AS ds, ln(close) AS y FROM panel)",
+)
+def regression_frame(spark, sf):
+    return tr.to_regression_frame(panel(spark, sf))
+
+
+_NTH = "CAST(date_trunc('month', make_date(y, {m}, 1)) AS DATE) + ((({d} - isodow(make_date(y, {m}, 1))) % 7 + 7) % 7 + {k})::INT"
+_DAY = "make_date(y, {m}, {d}) + CASE isodow(make_date(y, {m}, {d})) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END"
+_HOLIDAYS = " UNION ALL ".join(
+    [f"SELECT {_DAY.format(m=m, d=d)} AS h FROM yrs {'WHERE y >= 2021' if m == 6 else ''}" for m, d in ((1, 1), (6, 19), (7, 4), (11, 11), (12, 25))]
+    + [f"SELECT {_NTH.format(m=m, d=d, k=7 * (k - 1))} AS h FROM yrs" for m, d, k in ((1, 1, 3), (2, 1, 3), (9, 1, 1), (10, 1, 2), (11, 4, 4))]
+    + ["SELECT last_day(make_date(y, 5, 1)) - (isodow(last_day(make_date(y, 5, 1))) - 1)::INT AS h FROM yrs"]
+)
+
+
+@check(
+    "T3_holidays",
+    "symbol date:d volume:6",
+    f"""WITH {BARS}, yrs AS (SELECT unnest(range(1999, 2032)) AS y),
+hol AS (SELECT h FROM ({_HOLIDAYS}) WHERE year(h) BETWEEN 1999 AND 2030),
+result AS (SELECT symbol, date, volume FROM bars JOIN hol ON date = h)""",
+)
+def holidays(spark, sf):
+    """Bars that fall on a holiday; the calendar is a fixed few hundred rows."""
+    return bars(spark, sf).join(F.broadcast(tr.holiday_table(spark)), "date")
+
+
+@check(
+    "T5_anchored_one_step",
+    "symbol date:d predicted:5",
+    f"""WITH {PANEL},
+h AS (SELECT symbol, date, close, 0.001::DOUBLE * date_diff('day', DATE '1995-01-01', date) AS yhat FROM panel),
+p AS (SELECT symbol, date, lag(close) OVER {SERIES} * exp(yhat - lag(yhat) OVER {SERIES}) AS predicted FROM h),
+result AS (SELECT * FROM p WHERE predicted IS NOT NULL)""",
+)
+def anchored(spark, sf):
+    yhat = 0.001 * F.datediff("date", F.lit("1995-01-01").cast("date"))
+    return tr.anchored_one_step(panel(spark, sf).withColumn("yhat", yhat))
+
+
+@check(
+    "T6_anchored_path",
+    "symbol step:i date:d predicted:5 lower:5 upper:5",
+    f"""WITH {FUTURE},
+base AS (SELECT p.symbol, p.close, e.last_date FROM parts p JOIN ends e ON p.symbol = e.symbol AND p.date = e.last_date),
+result AS (
+  SELECT f.symbol, step, f.date, close * exp(0.001::DOUBLE * (f.date - b.last_date)) AS predicted,
+         close * exp(0.001::DOUBLE * (f.date - b.last_date) - 0.1) AS lower,
+         close * exp(0.001::DOUBLE * (f.date - b.last_date) + 0.1) AS upper
+  FROM future f JOIN base b ON f.symbol = b.symbol)""",
+)
+def anchored_path(spark, sf):
+    df = panel(spark, sf)
+    yhat = 0.001 * F.datediff("date", F.lit("1995-01-01").cast("date"))
+    last = fc.latest(df).withColumn("yhat", yhat)
+    path = fc.future_days(df, 30).withColumns(
+        {"yhat": yhat, "yhat_lower": yhat - 0.1, "yhat_upper": yhat + 0.1}
+    )
+    return tr.anchored_path(last, path)
+
+
+@check("T1_trend_fit", "symbol n:i sigma:4")
+def trend_fit(spark, sf):
+    return tr.fit(panel(spark, sf))
+
+
+@check("T4_trend_predict", "symbol step:i date:d yhat:3 yhat_lower:3 yhat_upper:3")
+def trend_predict(spark, sf):
+    df = panel(spark, sf)
+    return tr.predict(df, tr.fit(df), 30)
+
+
+@check("T7_in_sample", "symbol date:d yhat:4 trend:4 residual:4")
+def in_sample(spark, sf):
+    df = panel(spark, sf)
+    return tr.predict_on_history(df, tr.fit(df))
+
+
+@check("T8_cross_validation", "symbol cutoffs:i MAE:4 RMSE:4 MAPE:4")
+def trend_cv(spark, sf):
+    return tr.cross_validate(panel(spark, sf))
+
+
+@check("T9_two_stage", "symbol date:d predicted:3")
+def two_stage(spark, sf):
+    return tr.two_stage_predictions(panel(spark, sf))
+
+
+@check("N1_fit_weights", "symbol model weight:4 rmse:4")
+def fit_weights(spark, sf):
+    parts = sp.temporal_split(panel(spark, sf)).filter(F.col("split") == "val")
+    return en.fit_weights(predictions(spark, sf, BASE), parts)
+
+FEATURES = ["Log_Return", "RSI", "BB_PctB", "Stoch_K", "HV_21", "DayOfWeek"]
+
+
+def marked(spark, sf):
+    """Feature rows with target, split and training marks."""
+    frame = ft.make_model_frame(panel(spark, sf)).select("symbol", "date", "close", *FEATURES)
+    return sp.training_masks(ft.add_target(frame))
+
+
+@check("G1_boosted_fit", "symbol n:i mean_r:4 std_r:4")
+def boosted_fit(spark, sf):
+    rows = marked(spark, sf)
+    scored = bo.predict(bo.fit(rows, FEATURES, {"max_depth": 3}, max_iter=5), rows, FEATURES)
+    return scored.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r")
+    )
+
+
+@check("G2_search", "trial:i eta:6 max_depth:i min_child_weight:i rmse:4")
+def boosted_search(spark, sf):
+    rows = marked(spark, sf).filter("fit_row")
+    _, scores = bo.search(rows, FEATURES, trials=2, folds=2, max_iter=3)
+    return scores
+
+
+@check("G3_boosted_predict", "symbol date:d predicted:3")
+def boosted_predict(spark, sf):
+    rows = marked(spark, sf)
+    model = bo.fit(rows, FEATURES, {"max_depth": 3}, max_iter=5)
+    return ft.next_prices(bo.predict(model, rows, FEATURES))
+
+
+@check("G4_importance", "feature importance:4")
+def boosted_importance(spark, sf):
+    rows = marked(spark, sf)
+    model = bo.fit(rows, FEATURES, {"max_depth": 3}, max_iter=5)
+    return bo.contributions(model, rows, FEATURES)
+
+
+@check("L1_lookback", "symbol date:d r:4")
+def lookback(spark, sf):
+    rows = marked(spark, sf)
+    return sq.predict(sq.fit(rows, FEATURES[:3], lookback=10, max_iter=10), rows)
+
+
+def _damped(frame):
+    """A step model with a closed form: a tenth of the last log return."""
+    last = fc.latest(frame.select("symbol", "date", "Log_Return"))
+    return last.select("symbol", (F.col("Log_Return") / 10).alias("r"))
+
+
+RECURSION = f"""{FUTURE},
+ret AS (SELECT symbol, date, close, ln(close / lag(close) OVER {SERIES}) AS lr FROM parts),
+base AS (SELECT r.symbol, r.close, r.lr FROM ret r JOIN ends e ON r.symbol = e.symbol AND r.date = e.last_date),
+recursion AS (
+  SELECT f.symbol, f.step, f.date, close * exp(lr * (1 - power(0.1::DOUBLE, f.step)) / 9) AS predicted
+  FROM future f JOIN base b ON f.symbol = b.symbol WHERE f.step <= 3)"""
+
+
+@check(
+    "H1_recursive",
+    "symbol step:i date:d predicted:5",
+    f"WITH {RECURSION}, result AS (SELECT * FROM recursion)",
+)
+def recursive(spark, sf):
+    return fc.recursive_forecast(panel(spark, sf), _damped, steps=3)
+
+
+def _jobs(spark, sf, steps=5):
+    df = panel(spark, sf)
+
+    def broken():
+        raise RuntimeError("no such model")
+
+    return {
+        "arima": lambda: ar.forecast(df, ar.fit_log(df), steps, terms=1),
+        "prophet": lambda: tr.forecast_path(df, tr.fit(df), steps),
+        "lstm": broken,
+    }
+
+
+@check("H2_fan_out", "symbol date:d model predicted:3")
+def fan_out(spark, sf):
+    return fc.forecast_all(_jobs(spark, sf))
+
+
+@check("H4_forecast_table", "symbol date:d arima:3 prophet:3 ensemble:3 ci_lower:3 ci_upper:3")
+def forecast_table(spark, sf):
+    return fc.forecast_table(fc.forecast_all(_jobs(spark, sf)), ["arima", "prophet"])
+
+
+@check(
+    "H6_single_step",
+    "symbol date:d predicted:4",
+    f"WITH {RECURSION}, result AS (SELECT symbol, date, predicted FROM recursion WHERE step = 2)",
+)
+def single(spark, sf):
+    return fc.single_step(fc.recursive_forecast(panel(spark, sf), _damped, steps=2), 2)

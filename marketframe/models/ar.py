@@ -388,3 +388,9 @@ def walk_forward_cv(df: DataFrame, order: Order, n_splits: int = 5, horizon: int
     # Folds follow one another; a running number keeps the pooled order.
     scored = targets.join(actual, [SYMBOL, "_r"]).withColumn(DATE, F.col("fold") * 1000000 + F.col("_r"))
     return evaluate(scored, keys=(SYMBOL,), previous=None)
+
+
+def refit_selected(df: DataFrame, chosen: DataFrame, log: bool = True, last: int | None = DEFAULTS.ar_last_rows) -> DataFrame:
+    """Refit each symbol on its latest rows, with the order chosen for it before."""
+    keys = [SYMBOL, "p", "d", "q"]
+    return fit_orders(df, all_orders(), log, last).join(chosen.select(*keys), keys, "left_semi")

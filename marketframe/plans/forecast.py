@@ -114,11 +114,15 @@ def single_step(path: DataFrame, steps: int = 1) -> DataFrame:
 
 
 def forecast_all(
-    jobs: dict[str, Callable[[], DataFrame]], which: list[str] | None = None
+    jobs: dict[str, Callable[[], DataFrame]],
+    which: list[str] | None = None,
+    isolate: bool = True,
 ) -> DataFrame:
     """Long ``(symbol, date, model, predicted)`` over the available models.
 
-    A model that fails is logged and left out; the others go on.
+    A model that fails is logged and left out; the others go on. ``isolate``
+    runs each job to a checkpoint of its path (one row per symbol and step), so
+    that a failure at run time is caught as well; without it the plan stays lazy.
     """
     parts = []
     for name in which or list(jobs):
@@ -126,7 +130,11 @@ def forecast_all(
             continue
         try:
             part = jobs[name]()
-            parts.append(part.select(SYMBOL, DATE, F.lit(name).alias("model"), "predicted"))
+            part = part.select(SYMBOL, DATE, F.lit(name).alias("model"), "predicted")
+            if isolate:
+                use_checkpoints(part.sparkSession)
+                part = part.checkpoint()
+            parts.append(part)
         except Exception as exc:  # one bad model must not stop the rest
             log.warning("%s forecast failed: %s", name, exc)
     if not parts:
