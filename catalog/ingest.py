@@ -27,16 +27,16 @@ def as_text(df):
     return df.select(
         "symbol",
         F.date_format("date", "MM/dd/yyyy").alias(" Date "),
-        F.concat(F.lit("$"), F.format_number("open", 4)).alias("OPEN"),
-        F.format_number("high", 4).alias("High"),
-        F.format_number("low", 4).alias("low "),
-        F.concat(F.lit("$"), F.format_number("close", 4)).alias("Close"),
+        F.concat(F.lit("$"), F.format_number("open", 10)).alias("OPEN"),
+        F.format_number("high", 10).alias("High"),
+        F.format_number("low", 10).alias("low "),
+        F.concat(F.lit("$"), F.format_number("close", 10)).alias("Close"),
         F.format_number("volume", 0).alias("Volume"),
         F.lit("kept out").alias("Dividends"),
     )
 
 
-FOUR = "symbol date:d " + " ".join(f"{c}:2" for c in ("open", "high", "low", "close", "volume"))
+FOUR = "symbol date:d " + " ".join(f"{c}:8" for c in ("open", "high", "low", "close", "volume"))
 AS_READ = f"WITH {BARS}, result AS (SELECT * FROM bars)"
 
 
@@ -60,11 +60,11 @@ def standardise(spark, sf):
 
 @check(
     "S3_clean_number",
-    "symbol date:d price:4 junk:4",
-    f"WITH {LINES}, result AS (SELECT symbol, date, round(price, 4) AS price, NULL::DOUBLE AS junk FROM lines)",
+    "symbol date:d price:8 junk:4",
+    f"WITH {LINES}, result AS (SELECT symbol, date, price, NULL::DOUBLE AS junk FROM lines)",
 )
 def clean_number(spark, sf):
-    text = F.concat(F.lit(" $"), F.format_number("price", 4), F.lit(" "))
+    text = F.concat(F.lit(" $"), F.format_number("price", 10), F.lit(" "))
     return lines(spark, sf).select(
         "symbol", "date", src.clean_number(text).alias("price"), src.clean_number(F.concat(F.lit("n/a "), text)).alias("junk")
     )
@@ -72,8 +72,8 @@ def clean_number(spark, sf):
 
 @check(
     "S4_parse_date",
-    "symbol date:d iso:d us:d stamp:d offset:d junk:d",
-    f"WITH {LINES}, result AS (SELECT symbol, date, date AS iso, date AS us, date AS stamp, date + 1 AS offset, "
+    "symbol date:d iso:d us:d stamp:d zoned:d junk:d",
+    f"WITH {LINES}, result AS (SELECT symbol, date, date AS iso, date AS us, date AS stamp, date + 1 AS zoned, "
     "NULL::DATE AS junk FROM lines)",
 )
 def parse_date(spark, sf):
@@ -82,7 +82,7 @@ def parse_date(spark, sf):
         "iso": F.date_format(d, "yyyy-MM-dd"),
         "us": F.date_format(d, "MM/dd/yyyy"),
         "stamp": F.date_format(d, "yyyy-MM-dd 23:59:59"),
-        "offset": F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T22:00:00-05:00")),
+        "zoned": F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T22:00:00-05:00")),
         "junk": F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd")),
     }
     return lines(spark, sf).select("symbol", "date", *[src.parse_date(x).alias(n) for n, x in forms.items()])

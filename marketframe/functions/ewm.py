@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE, SYMBOL
-from .windows import UNBOUNDED, drop_scratch, series
+from .windows import drop_scratch, num, series, with_sql
 
 BLOCK = 512
 MIN_DECAY = 1.0 / 3.0
@@ -27,16 +27,17 @@ MIN_DECAY = 1.0 / 3.0
 
 @dataclass(frozen=True)
 class Decay:
-    """One weighted sum: ``seeded`` starts from the first value (an EMA),
-    otherwise every value has weight one (numerator of a weighted mean)."""
+    """One weighted sum of a SQL expression: ``seeded`` starts from the first
+    value (an EMA), otherwise every value has weight one (the numerator of a
+    weighted mean)."""
 
     out: str
-    value: Column
+    value: str
     d: float
     seeded: bool = True
 
     @classmethod
-    def ema(cls, out: str, value: Column, span: int) -> "Decay":
+    def ema(cls, out: str, value: str, span: int) -> "Decay":
         return cls(out, value, 1.0 - 2.0 / (span + 1.0))
 
 
@@ -44,68 +45,39 @@ def add_blocks(df: DataFrame) -> DataFrame:
     """Row position ``_n``, block ``_b`` and offset in block ``_k`` per symbol."""
     if "_n" not in df.columns:
         df = df.withColumn("_n", F.row_number().over(series()) - 1)
-    return df.withColumns(
-        {
-            "_b": F.floor(F.col("_n") / BLOCK).cast("int"),
-            "_k": (F.col("_n") % BLOCK).cast("int"),
-        }
-    )
-
-
-def block_window() -> Window:
-    """Per-symbol window in the order the block sums leave the rows in."""
-    return Window.partitionBy(SYMBOL).orderBy("_b", DATE)
-
-
-def _carry_step(name: str, d: float):
-    """Carry one more finished block: decay what came before, add its own sum."""
+    return with_sql(df, {"_b": f"CAST(_n DIV {BLOCK} AS INT)", "_k": f"CAST(_n % {BLOCK} AS INT)"})
 
-    def step(acc: Column, end: Column) -> Column:
-        return acc * d**BLOCK + F.coalesce(end[name], F.lit(0.0))
 
-    return step
+# Order of the rows after a block sum, for windows that follow one.
+BLOCK_ORDER = f"_b, {DATE}"
 
 
 def decayed_sums(df: DataFrame, specs: list[Decay]) -> DataFrame:
     """Add one column per spec; needs the columns of :func:`add_blocks`."""
     for s in specs:
-        if not (s.d == 0.0 or MIN_DECAY - 1e-12 <= s.d < 1.0):
+        if not MIN_DECAY - 1e-12 <= s.d < 1.0:
             raise ValueError(f"decay {s.d} of {s.out} is outside [1/3, 1)")
-    k, n = F.col("_k"), F.col("_n")
-    inside = (
-        Window.partitionBy(SYMBOL, "_b").orderBy(DATE).rowsBetween(UNBOUNDED, 0)
+    inside = f"OVER (PARTITION BY {SYMBOL}, _b ORDER BY {DATE} ROWS UNBOUNDED PRECEDING)"
+    before = (
+        f"OVER (PARTITION BY {SYMBOL} ORDER BY {BLOCK_ORDER} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    before = block_window().rowsBetween(UNBOUNDED, -1)
-
-    local = {}
-    for s in specs:
-        if s.d == 0.0:
-            local[f"_l_{s.out}"] = s.value
-            continue
-        gain = F.when(n == 0, 1.0).otherwise(1.0 - s.d) if s.seeded else F.lit(1.0)
-        scale = F.pow(F.lit(s.d), -k)
-        local[f"_l_{s.out}"] = F.sum(gain * s.value * scale).over(inside) / scale
-    df = df.withColumns(local)
-    ends = F.when(
-        k == BLOCK - 1, F.struct(*[F.col(c).alias(c) for c in local])
-    )
-    df = df.withColumn("_ends", F.collect_list(ends).over(before))
-
-    out = {}
+    local, out = {}, {}
     for s in specs:
-        name = f"_l_{s.out}"
-        if s.d == 0.0:
-            out[s.out] = F.col(name)
-            continue
-        carry = F.aggregate("_ends", F.lit(0.0), _carry_step(name, s.d))
-        out[s.out] = F.col(name) + F.when(
-            F.col("_b") > 0, carry * F.pow(F.lit(s.d), k + 1)
-        ).otherwise(0.0)
-    keep = [c for c in df.columns if c not in local and c != "_ends"]
-    return df.withColumns(out).select(*keep, *out)
+        name, d = f"_l_{s.out}", num(s.d)
+        gain = f"IF(_n = 0, 1D, {num(1.0 - s.d)}) * " if s.seeded else ""
+        local[name] = f"sum({gain}({s.value}) * power({d}, -_k)) {inside} * power({d}, _k)"
+        # Fold over finished blocks: decay what came before, add the block's own sum.
+        carry = f"aggregate(_ends, 0D, (acc, e) -> acc * {num(s.d**BLOCK)} + coalesce(e.{name}, 0D))"
+        out[s.out] = f"{name} + IF(_b > 0, {carry} * power({d}, _k + 1), 0D)"
+    keep = [f"`{c}`" for c in df.columns if c not in out]
+    df = with_sql(df, local)
+    ends = f"collect_list(IF(_k = {BLOCK - 1}, struct({', '.join(local)}), NULL))"
+    df = df.withColumn("_ends", F.expr(f"{ends} {before}"))
+    return df.selectExpr(*keep, *[f"{e} AS {name}" for name, e in out.items()])
 
 
 def add_ema(df: DataFrame, value: str, spans: dict[str, int]) -> DataFrame:
     """EMAs of one column, ``{output name: span}``, seeded with its first value."""
-    specs = [Decay.ema(o, F.col(value), s) for o, s in spans.items()]
+    specs = [Decay.ema(o, value, s) for o, s in spans.items()]
     return drop_scratch(decayed_sums(add_blocks(df), specs))

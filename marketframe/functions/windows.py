@@ -75,6 +75,40 @@ def drop_scratch(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
+# SQL text twins, for wide projections: one parsed expression is much cheaper to
+# build from Python than a tree of column calls.
+
+
+def num(x: float) -> str:
+    """A double literal."""
+    return f"{float(x)!r}D"
+
+
+def sql_ratio(a: str, b: str) -> str:
+    return f"({a}) / nullif({b}, 0D)"
+
+
+def sql_log_ratio(a: str, b: str) -> str:
+    return f"ln({sql_ratio(a, b)})"
+
+
+def sql_over(fn: str, n: int | None = None, order: str = DATE) -> str:
+    """``fn`` over the last ``n`` rows of a symbol (all rows so far without ``n``)."""
+    start = "UNBOUNDED" if n is None else n - 1
+    return (
+        f"{fn} OVER (PARTITION BY {SYMBOL} ORDER BY {order} "
+        f"ROWS BETWEEN {start} PRECEDING AND CURRENT ROW)"
+    )
+
+
+def sql_lag(col: str, k: int = 1) -> str:
+    return f"lag({col}, {k}) OVER (PARTITION BY {SYMBOL} ORDER BY {DATE})"
+
+
+def with_sql(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.expr(e) for name, e in exprs.items()})
+
+
 def median_of(sorted_values: Column) -> Column:
     """Median of an already sorted array; null for an empty one."""
     n = F.size(sorted_values)

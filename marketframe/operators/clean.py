@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,10 +171,10 @@ def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Drop rows with a null, NaN or infinity in any of ``cols`` (default: all)."""
     doubles = set(double_columns(df))
     complete = [
-        F.abs(F.col(c)) < float("inf") if c in doubles else F.col(c).isNotNull()
+        f"abs(`{c}`) < double('infinity')" if c in doubles else f"`{c}` IS NOT NULL"
         for c in (cols or df.columns)
     ]
-    return df.filter(reduce(and_, complete))
+    return df.filter(" AND ".join(complete))
 
 
 def data_expectations(df: DataFrame, first_year: int = 2000, last_year: int = 2024) -> DataFrame:

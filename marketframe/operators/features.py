@@ -17,7 +17,17 @@ from ..config import (
     TARGET,
     Settings,
 )
-from ..functions.windows import bar, drop_scratch, log_ratio, nz, ratio, series, trailing
+from ..functions.windows import (
+    bar,
+    log_ratio,
+    num,
+    ratio,
+    series,
+    sql_log_ratio,
+    sql_ratio,
+    trailing,
+    with_sql,
+)
 from .clean import add_returns, drop_incomplete
 from .indicators import add_indicators
 
@@ -64,21 +74,22 @@ def month_flags(d: Column, mode: str = "business") -> dict[str, Column]:
 
 
 def calendar_columns(mode: str = "business") -> dict[str, Column]:
-    d = F.col(DATE)
-    dow, month = F.weekday(d), F.month(d)
-    turn = 2 * math.pi
-    return {
-        "DayOfWeek": dow,
-        "Month": month,
-        "Quarter": F.quarter(d),
-        **month_flags(d, mode),
-        "WeekOfYear": F.weekofyear(d),
-        "DayOfYear": F.dayofyear(d),
-        "DayOfWeek_sin": F.sin(turn * dow / 5),
-        "DayOfWeek_cos": F.cos(turn * dow / 5),
-        "Month_sin": F.sin(turn * month / 12),
-        "Month_cos": F.cos(turn * month / 12),
+    d, turn = DATE, num(2 * math.pi)
+    text = {
+        "DayOfWeek": f"weekday({d})",
+        "Month": f"month({d})",
+        "Quarter": f"quarter({d})",
+        "WeekOfYear": f"weekofyear({d})",
+        "DayOfYear": f"dayofyear({d})",
+        "DayOfWeek_sin": f"sin({turn} * weekday({d}) / 5)",
+        "DayOfWeek_cos": f"cos({turn} * weekday({d}) / 5)",
+        "Month_sin": f"sin({turn} * month({d}) / 12)",
+        "Month_cos": f"cos({turn} * month({d}) / 12)",
     }
+    out = {name: F.expr(e) for name, e in text.items()}
+    flags = month_flags(F.col(d), mode)
+    head = ("DayOfWeek", "Month", "Quarter")
+    return {**{c: out[c] for c in head}, **flags, **{c: x for c, x in out.items() if c not in head}}
 
 
 def add_calendar(df: DataFrame, mode: str = "business") -> DataFrame:
@@ -111,54 +122,55 @@ def add_zscores(df: DataFrame, windows=DEFAULTS.windows) -> DataFrame:
     return df.withColumns(out)
 
 
-def normalised_columns(available: set[str]) -> dict[str, Column]:
+def normalised_columns(available: set[str]) -> dict[str, str]:
     """Price-level-free forms of MACD, bands, candles and OBV."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     if "MACD" in available:
         for c in ("MACD", "MACD_Signal", "MACD_Hist"):
-            out[f"{c}_norm"] = ratio(F.col(c), bar.close)
+            out[f"{c}_norm"] = sql_ratio(c, "close")
     if "BB_Width" in available:
-        out["BB_Width_norm"] = ratio(F.col("BB_Width"), F.col("BB_Mid"))
+        out["BB_Width_norm"] = sql_ratio("BB_Width", "BB_Mid")
     if {"high", "low", "open"} <= available:
-        out["HL_range_pct"] = ratio(bar.high - bar.low, bar.close)
-        out["CO_pct"] = ratio(bar.close - bar.open, bar.open)
-        out["Shadow_Upper_pct"] = ratio(bar.high - F.greatest(bar.close, bar.open), bar.close)
-        out["Shadow_Lower_pct"] = ratio(F.least(bar.close, bar.open) - bar.low, bar.close)
+        out["HL_range_pct"] = sql_ratio("high - low", "close")
+        out["CO_pct"] = sql_ratio("close - open", "open")
+        out["Shadow_Upper_pct"] = sql_ratio("high - greatest(close, open)", "close")
+        out["Shadow_Lower_pct"] = sql_ratio("least(close, open) - low", "close")
     if {"OBV", "OBV_EMA", "Volume_SMA_20"} <= available:
-        out["OBV_trend"] = (F.col("OBV") - F.col("OBV_EMA")) / nz(F.col("Volume_SMA_20"))
+        out["OBV_trend"] = sql_ratio("OBV - OBV_EMA", "Volume_SMA_20")
     return out
 
 
 def add_normalised(df: DataFrame) -> DataFrame:
-    return df.withColumns(normalised_columns(set(df.columns)))
+    return with_sql(df, normalised_columns(set(df.columns)))
 
 
 def add_features(df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "business") -> DataFrame:
     """Every feature, rows with gaps included (see :func:`build_feature_set`)."""
     df = add_indicators(df, cfg, scratch=True)
     have = set(df.columns)
-    out: dict[str, Column] = {}
-    for k in cfg.lags:
-        out[f"Close_lag_{k}"] = F.col(f"_lag_{k}")
+    plain = {f"Close_lag_{k}": f"_lag_{k}" for k in cfg.lags}
     for n in cfg.windows:
-        for stat in ("mean", "std", "min", "max"):
-            out[f"Close_roll_{stat}_{n}"] = F.col(f"_{stat}_{n}")
-    out.update(calendar_columns(month_mode))
+        plain |= {f"Close_roll_{s}_{n}": f"_{s}_{n}" for s in ("mean", "std", "min", "max")}
+    free: dict[str, str] = {}
     if "Log_Return" not in have:
-        out["Log_Return"] = F.col("_lr")
+        free["Log_Return"] = "_lr"
     if "Return" not in have:
-        out["Return"] = ratio(bar.close, F.col("_lag_1")) - 1
-    for k in cfg.lags:
-        out[f"LogRet_{k}d"] = log_ratio(bar.close, F.col(f"_lag_{k}"))
-    for k in (1, 2, 3, 5):
-        out[f"Log_Return_lag_{k}"] = log_ratio(F.col(f"_lag_{k}"), F.col(f"_lag_{k + 1}"))
-    two = F.col("_n") >= 1
+        free["Return"] = sql_ratio("close", "_lag_1") + " - 1"
+    free |= {f"LogRet_{k}d": sql_log_ratio("close", f"_lag_{k}") for k in cfg.lags}
+    free |= {f"Log_Return_lag_{k}": sql_log_ratio(f"_lag_{k}", f"_lag_{k + 1}") for k in (1, 2, 3, 5)}
     for n in cfg.windows:
-        out[f"Close_zscore_{n}"] = ratio(bar.close - F.col(f"_mean_{n}"), F.col(f"_std_{n}"))
-        out[f"Close_to_max_{n}"] = F.when(two, ratio(bar.close, F.col(f"_max_{n}")) - 1)
-        out[f"Close_to_min_{n}"] = F.when(two, ratio(bar.close, F.col(f"_min_{n}")) - 1)
-    out.update(normalised_columns(have))
-    return drop_scratch(df.withColumns(out))
+        free[f"Close_zscore_{n}"] = sql_ratio(f"close - _mean_{n}", f"_std_{n}")
+        for side in ("max", "min"):
+            distance = sql_ratio("close", f"_{side}_{n}") + " - 1"
+            free[f"Close_to_{side}_{n}"] = f"IF(_n >= 1, {distance}, NULL)"
+    free |= normalised_columns(have)
+    kept = [c for c in df.columns if not c.startswith("_")]
+    return df.select(
+        *kept,
+        *[F.expr(e).alias(c) for c, e in plain.items()],
+        *[x.alias(c) for c, x in calendar_columns(month_mode).items()],
+        *[F.expr(e).alias(c) for c, e in free.items()],
+    )
 
 
 def build_feature_set(

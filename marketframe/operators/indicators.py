@@ -1,7 +1,7 @@
 """Trend, momentum, volatility and volume indicators.
 
 Each indicator is also available alone. :func:`add_indicators` computes all of
-them level by level, one ``select`` per dependency level, so that windows of
+them level by level, one projection per dependency level, so that windows of
 equal spec are planned as one operator over one exchange.
 """
 
@@ -9,181 +9,185 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, TRADING_DAYS, Settings
-from ..functions.ewm import Decay, add_blocks, block_window, decayed_sums
+from ..functions.ewm import BLOCK_ORDER, Decay, add_blocks, decayed_sums
 from ..functions.windows import (
-    bar,
     drop_scratch,
-    log_ratio,
-    nz,
-    ratio,
-    running,
-    series,
-    trailing,
-    whole,
+    num,
+    sql_lag,
+    sql_log_ratio,
+    sql_over,
+    sql_ratio,
+    with_sql,
 )
 
-ANNUAL = math.sqrt(TRADING_DAYS)
+ANNUAL = num(math.sqrt(TRADING_DAYS))
+CANDLES = {
+    "High_Low_range": "high - low",
+    "Close_Open_diff": "close - open",
+    "Shadow_Upper": "high - greatest(close, open)",
+    "Shadow_Lower": "least(close, open) - low",
+}
+TYPICAL_VALUE = "(high + low + close) / 3D * volume"
+TRADED = "sum(volume) OVER (PARTITION BY symbol) > 0"
 
 
 def default_ohlv(df: DataFrame) -> DataFrame:
     """Add a missing open, high or low as the close and a missing volume as zero."""
-    fill = {c: bar.close for c in ("open", "high", "low") if c not in df.columns}
+    fill = {c: "close" for c in ("open", "high", "low") if c not in df.columns}
     if "volume" not in df.columns:
-        fill["volume"] = F.lit(0.0)
-    return df.withColumns(fill) if fill else df
+        fill["volume"] = "0D"
+    return with_sql(df, fill) if fill else df
 
 
-# Stand-alone indicators.
+# Expressions shared by the stand-alone and the fused form.
 
 
-def add_sma(df: DataFrame, windows=DEFAULTS.windows) -> DataFrame:
-    return df.withColumns({f"SMA_{n}": F.avg("close").over(trailing(n)) for n in windows})
+def _rsi_specs(delta: str, period: int) -> list[Decay]:
+    """Decayed sums of gains and losses; both null where there is no previous row."""
+    d = 1.0 - 1.0 / period
+    gain = f"CASE WHEN {delta} > 0 THEN {delta} WHEN {delta} IS NOT NULL THEN 0D END"
+    loss = f"CASE WHEN {delta} < 0 THEN -{delta} WHEN {delta} IS NOT NULL THEN 0D END"
+    return [Decay("_gain", gain, d, seeded=False), Decay("_loss", loss, d, seeded=False)]
 
 
-def add_ema(df: DataFrame, spans=DEFAULTS.windows) -> DataFrame:
-    specs = [Decay.ema(f"EMA_{s}", bar.close, s) for s in spans]
-    return drop_scratch(decayed_sums(add_blocks(df), specs))
+def _rsi(period: int) -> str:
+    # Gain and loss are means under the same weights, whose totals cancel in the
+    # ratio. Row _n holds _n moves.
+    return f"IF(_n >= {period}, 100D - 100D / (1D + {sql_ratio('_gain', '_loss')}), NULL)"
 
 
-def add_price_sma_ratio(df: DataFrame, windows=DEFAULTS.windows) -> DataFrame:
-    return df.withColumns(
-        {f"Price_SMA_{n}_ratio": ratio(bar.close, F.avg("close").over(trailing(n))) for n in windows}
-    )
+def _bollinger(mid: str, std: str, k: float) -> dict[str, str]:
+    upper, lower = f"({mid} + {num(k)} * {std})", f"({mid} - {num(k)} * {std})"
+    width = f"({upper} - {lower})"
+    return {
+        "BB_Upper": upper,
+        "BB_Mid": mid,
+        "BB_Lower": lower,
+        "BB_Width": width,
+        "BB_PctB": sql_ratio(f"close - {lower}", width),
+    }
 
 
-def add_macd(df: DataFrame, fast=12, slow=26, signal=9) -> DataFrame:
-    df = decayed_sums(
-        add_blocks(df), [Decay.ema("_fast", bar.close, fast), Decay.ema("_slow", bar.close, slow)]
-    ).withColumn("MACD", F.col("_fast") - F.col("_slow"))
-    df = decayed_sums(df, [Decay.ema("MACD_Signal", F.col("MACD"), signal)])
-    return drop_scratch(df.withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal")))
+def _true_range(prev: str) -> str:
+    return f"greatest(high - low, abs(high - {prev}), abs(low - {prev}))"
 
 
-def _moves(delta: Column) -> tuple[Column, Column]:
-    """Gain and loss of a move; both null where there is no previous row."""
-    gain = F.when(delta > 0, delta).when(delta.isNotNull(), 0.0)
-    loss = F.when(delta < 0, -delta).when(delta.isNotNull(), 0.0)
-    return gain, loss
+def _stochastic_k(lo: str, hi: str) -> str:
+    return f"100D * {sql_ratio(f'close - {lo}', f'{hi} - {lo}')}"
 
 
-def _rsi_specs(delta: Column, period: int) -> list[Decay]:
-    gain, loss = _moves(delta)
-    d = 1.0 - 1.0 / period
-    return [Decay("_gain", gain, d, seeded=False), Decay("_loss", loss, d, seeded=False)]
+def _williams(lo: str, hi: str) -> str:
+    return f"-100D * {sql_ratio(f'{hi} - close', f'{hi} - {lo}')}"
 
 
-def _rsi_value(period: int) -> Column:
-    # Gain and loss are means under the same weights, whose totals cancel in the
-    # ratio. Row _n holds _n moves.
-    rs = ratio(F.col("_gain"), F.col("_loss"))
-    return F.when(F.col("_n") >= period, 100.0 - 100.0 / (1.0 + rs))
+def _roc(lagged: str) -> str:
+    return f"({sql_ratio('close', lagged)} - 1D) * 100D"
 
 
-def add_rsi(df: DataFrame, period: int = DEFAULTS.rsi_period) -> DataFrame:
-    df = add_blocks(df.withColumn("_delta", bar.close - F.lag("close").over(series())))
-    df = decayed_sums(df, _rsi_specs(F.col("_delta"), period))
-    return drop_scratch(df.withColumn("RSI", _rsi_value(period)))
+def _signed_volume(prev: str) -> str:
+    return f"coalesce(signum(close - {prev}), 0D) * volume"
 
 
-def _bollinger(mid: Column, std: Column, width_std: float) -> dict[str, Column]:
-    upper, lower = mid + width_std * std, mid - width_std * std
-    return {
-        "BB_Upper": upper,
-        "BB_Mid": mid,
-        "BB_Lower": lower,
-        "BB_Width": upper - lower,
-        "BB_PctB": ratio(bar.close - lower, upper - lower),
-    }
+# Stand-alone indicators.
 
 
-def add_bollinger(df: DataFrame, window: int = 20, n_std: float = 2.0) -> DataFrame:
-    w = trailing(window)
-    df = df.withColumns({"_mid": F.avg("close").over(w), "_std": F.stddev_samp("close").over(w)})
-    return drop_scratch(df.withColumns(_bollinger(F.col("_mid"), F.col("_std"), n_std)))
+def add_sma(df: DataFrame, windows=DEFAULTS.windows) -> DataFrame:
+    return with_sql(df, {f"SMA_{n}": sql_over("avg(close)", n) for n in windows})
 
 
-def _true_range(prev_close: Column) -> Column:
-    return F.greatest(bar.high - bar.low, F.abs(bar.high - prev_close), F.abs(bar.low - prev_close))
+def add_ema(df: DataFrame, spans=DEFAULTS.windows) -> DataFrame:
+    specs = [Decay.ema(f"EMA_{s}", "close", s) for s in spans]
+    return drop_scratch(decayed_sums(add_blocks(df), specs))
 
 
-def add_atr(df: DataFrame, period: int = DEFAULTS.atr_period) -> DataFrame:
-    df = df.withColumn("_tr", _true_range(F.lag("close").over(series())))
-    df = decayed_sums(add_blocks(df), [Decay.ema("ATR", F.col("_tr"), period)])
-    return drop_scratch(df.withColumn("ATR_ratio", ratio(F.col("ATR"), bar.close)))
+def add_price_sma_ratio(df: DataFrame, windows=DEFAULTS.windows) -> DataFrame:
+    return with_sql(
+        df, {f"Price_SMA_{n}_ratio": sql_ratio("close", sql_over("avg(close)", n)) for n in windows}
+    )
+
+
+def add_macd(df: DataFrame, fast=12, slow=26, signal=9) -> DataFrame:
+    df = decayed_sums(
+        add_blocks(df), [Decay.ema("_fast", "close", fast), Decay.ema("_slow", "close", slow)]
+    )
+    df = with_sql(df, {"MACD": "_fast - _slow"})
+    df = decayed_sums(df, [Decay.ema("MACD_Signal", "MACD", signal)])
+    return drop_scratch(with_sql(df, {"MACD_Hist": "MACD - MACD_Signal"}))
+
+
+def add_rsi(df: DataFrame, period: int = DEFAULTS.rsi_period) -> DataFrame:
+    df = add_blocks(with_sql(df, {"_delta": f"close - {sql_lag('close')}"}))
+    df = decayed_sums(df, _rsi_specs("_delta", period))
+    return drop_scratch(with_sql(df, {"RSI": _rsi(period)}))
+
+
+def add_bollinger(df: DataFrame, window: int = 20, n_std: float = 2.0) -> DataFrame:
+    df = with_sql(
+        df,
+        {"_mid": sql_over("avg(close)", window), "_std": sql_over("stddev_samp(close)", window)},
+    )
+    return drop_scratch(with_sql(df, _bollinger("_mid", "_std", n_std)))
 
 
-def _stochastic_k(lo: Column, hi: Column) -> Column:
-    return 100.0 * ratio(bar.close - lo, hi - lo)
+def add_atr(df: DataFrame, period: int = DEFAULTS.atr_period) -> DataFrame:
+    df = with_sql(with_sql(df, {"_prev": sql_lag("close")}), {"_tr": _true_range("_prev")})
+    df = decayed_sums(add_blocks(df), [Decay.ema("ATR", "_tr", period)])
+    return drop_scratch(with_sql(df, {"ATR_ratio": sql_ratio("ATR", "close")}))
 
 
 def add_stochastic(df: DataFrame, k_period: int = 14, d_period: int = 3) -> DataFrame:
-    w = trailing(k_period)
-    df = df.withColumn("Stoch_K", _stochastic_k(F.min("low").over(w), F.max("high").over(w)))
-    return df.withColumn("Stoch_D", F.avg("Stoch_K").over(trailing(d_period)))
+    lo, hi = sql_over("min(low)", k_period), sql_over("max(high)", k_period)
+    df = with_sql(df, {"_lo": lo, "_hi": hi})
+    df = with_sql(df, {"Stoch_K": _stochastic_k("_lo", "_hi")})
+    return drop_scratch(with_sql(df, {"Stoch_D": sql_over("avg(Stoch_K)", d_period)}))
 
 
 def add_williams_r(df: DataFrame, period: int = 14) -> DataFrame:
-    w = trailing(period)
-    hi, lo = F.max("high").over(w), F.min("low").over(w)
-    return df.withColumn("Williams_R", -100.0 * ratio(hi - bar.close, hi - lo))
+    df = with_sql(df, {"_lo": sql_over("min(low)", period), "_hi": sql_over("max(high)", period)})
+    return drop_scratch(with_sql(df, {"Williams_R": _williams("_lo", "_hi")}))
 
 
 def add_roc(df: DataFrame, periods=(5, 10, 21)) -> DataFrame:
-    return df.withColumns(
-        {f"ROC_{n}": (ratio(bar.close, F.lag("close", n).over(series())) - 1) * 100 for n in periods}
-    )
+    return with_sql(df, {f"ROC_{n}": _roc(sql_lag("close", n)) for n in periods})
 
 
 def add_historical_vol(df: DataFrame, windows=(21, 63)) -> DataFrame:
-    df = df.withColumn("_lr", log_ratio(bar.close, F.lag("close").over(series())))
+    df = with_sql(df, {"_lr": sql_log_ratio("close", sql_lag("close"))})
     return drop_scratch(
-        df.withColumns(
-            {f"HV_{n}": F.stddev_samp("_lr").over(trailing(n)) * ANNUAL for n in windows}
-        )
+        with_sql(df, {f"HV_{n}": f"{sql_over('stddev_samp(_lr)', n)} * {ANNUAL}" for n in windows})
     )
 
 
 def add_obv(df: DataFrame) -> DataFrame:
-    df = df.withColumn(
-        "_signed", F.coalesce(F.signum(bar.close - F.lag("close").over(series())), F.lit(0.0)) * bar.volume
-    )
-    return drop_scratch(df.withColumn("OBV", F.sum("_signed").over(running())))
+    df = with_sql(df, {"_signed": _signed_volume(sql_lag("close"))})
+    return drop_scratch(with_sql(df, {"OBV": sql_over("sum(_signed)")}))
 
 
 def add_vwap(df: DataFrame) -> DataFrame:
     """Volume-weighted price since the start of the series."""
-    pv = F.sum((bar.high + bar.low + bar.close) / 3 * bar.volume).over(running())
-    return df.withColumn("VWAP", ratio(pv, F.sum("volume").over(running())))
+    pv, v = sql_over(f"sum({TYPICAL_VALUE})"), sql_over("sum(volume)")
+    return with_sql(df, {"VWAP": sql_ratio(pv, v)})
 
 
 def add_volume_group(df: DataFrame) -> DataFrame:
     """OBV, VWAP, volume average and ratio, OBV EMA; null for a series that
     never traded."""
-    traded = F.sum("volume").over(whole()) > 0
-    df = add_vwap(add_obv(df)).withColumns(
-        {"Volume_SMA_20": F.avg("volume").over(trailing(20)), "_traded": traded}
+    df = with_sql(
+        add_vwap(add_obv(df)),
+        {"Volume_SMA_20": sql_over("avg(volume)", 20), "_traded": TRADED},
     )
-    df = decayed_sums(add_blocks(df), [Decay.ema("OBV_EMA", F.col("OBV"), 20)])
-    df = df.withColumn("Volume_ratio", ratio(bar.volume, F.col("Volume_SMA_20")))
+    df = decayed_sums(add_blocks(df), [Decay.ema("OBV_EMA", "OBV", 20)])
+    df = with_sql(df, {"Volume_ratio": sql_ratio("volume", "Volume_SMA_20")})
     group = ("OBV", "VWAP", "Volume_SMA_20", "Volume_ratio", "OBV_EMA")
-    return drop_scratch(df.withColumns({c: F.when(F.col("_traded"), F.col(c)) for c in group}))
-
-
-def candle_columns() -> dict[str, Column]:
-    return {
-        "High_Low_range": bar.high - bar.low,
-        "Close_Open_diff": bar.close - bar.open,
-        "Shadow_Upper": bar.high - F.greatest(bar.close, bar.open),
-        "Shadow_Lower": F.least(bar.close, bar.open) - bar.low,
-    }
+    return drop_scratch(with_sql(df, {c: f"IF(_traded, {c}, NULL)" for c in group}))
 
 
 def add_candles(df: DataFrame) -> DataFrame:
-    return df.withColumns(candle_columns())
+    return with_sql(df, CANDLES)
 
 
 # All of them together.
@@ -199,94 +203,87 @@ def add_indicators(df: DataFrame, cfg: Settings = DEFAULTS, scratch: bool = Fals
     rolling statistics, row position) are kept for the next feature step."""
     df = default_ohlv(df)
     bb_n, bb_std = cfg.bollinger
-    w = series()
 
     # Level 1: frames over the raw bars.
-    level1 = {"_n": F.row_number().over(w) - 1}
-    for k in needed_lags(cfg):
-        level1[f"_lag_{k}"] = F.lag("close", k).over(w)
+    level1 = {"_n": sql_over("row_number()") + " - 1"}
+    level1 |= {f"_lag_{k}": sql_lag("close", k) for k in needed_lags(cfg)}
     for n in sorted({*cfg.windows, bb_n}):
-        t = trailing(n)
-        level1[f"_mean_{n}"] = F.avg("close").over(t)
-        level1[f"_std_{n}"] = F.stddev_samp("close").over(t)
-        level1[f"_min_{n}"] = F.min("close").over(t)
-        level1[f"_max_{n}"] = F.max("close").over(t)
-    level1["_lo14"] = F.min("low").over(trailing(14))
-    level1["_hi14"] = F.max("high").over(trailing(14))
-    level1["_pv"] = F.sum((bar.high + bar.low + bar.close) / 3 * bar.volume).over(running())
-    level1["_v"] = F.sum("volume").over(running())
-    level1["_v20"] = F.avg("volume").over(trailing(20))
-    level1["_traded"] = F.sum("volume").over(whole()) > 0
-    df = add_blocks(df.withColumns(level1))
+        level1[f"_mean_{n}"] = sql_over("avg(close)", n)
+        level1[f"_std_{n}"] = sql_over("stddev_samp(close)", n)
+        level1[f"_min_{n}"] = sql_over("min(close)", n)
+        level1[f"_max_{n}"] = sql_over("max(close)", n)
+    level1["_lo14"] = sql_over("min(low)", 14)
+    level1["_hi14"] = sql_over("max(high)", 14)
+    level1["_pv"] = sql_over(f"sum({TYPICAL_VALUE})")
+    level1["_v"] = sql_over("sum(volume)")
+    level1["_v20"] = sql_over("avg(volume)", 20)
+    level1["_traded"] = TRADED
+    df = add_blocks(with_sql(df, level1))
 
     # Level 2: row expressions on level 1.
-    prev = F.col("_lag_1")
-    df = df.withColumns(
+    df = with_sql(
+        df,
         {
-            "_delta": bar.close - prev,
-            "_lr": log_ratio(bar.close, prev),
-            "_tr": _true_range(prev),
-            "Stoch_K": _stochastic_k(F.col("_lo14"), F.col("_hi14")),
-            "_signed": F.coalesce(F.signum(bar.close - prev), F.lit(0.0)) * bar.volume,
-        }
+            "_delta": "close - _lag_1",
+            "_lr": sql_log_ratio("close", "_lag_1"),
+            "_tr": _true_range("_lag_1"),
+            "Stoch_K": _stochastic_k("_lo14", "_hi14"),
+            "_signed": _signed_volume("_lag_1"),
+        },
     )
 
     # Level 3: frames over level 2, then every exponential sum of a raw column.
-    wb = block_window()
-    df = df.withColumns(
+    df = with_sql(
+        df,
         {
-            "HV_21": F.stddev_samp("_lr").over(trailing(21, wb)) * ANNUAL,
-            "HV_63": F.stddev_samp("_lr").over(trailing(63, wb)) * ANNUAL,
-            "_obv": F.sum("_signed").over(running(wb)),
-            "Stoch_D": F.avg("Stoch_K").over(trailing(3, wb)),
-        }
+            "HV_21": f"{sql_over('stddev_samp(_lr)', 21, BLOCK_ORDER)} * {ANNUAL}",
+            "HV_63": f"{sql_over('stddev_samp(_lr)', 63, BLOCK_ORDER)} * {ANNUAL}",
+            "_obv": sql_over("sum(_signed)", None, BLOCK_ORDER),
+            "Stoch_D": sql_over("avg(Stoch_K)", 3, BLOCK_ORDER),
+        },
     )
     fast, slow, signal = cfg.macd
     df = decayed_sums(
         df,
-        [Decay.ema(f"EMA_{s}", bar.close, s) for s in cfg.windows]
+        [Decay.ema(f"EMA_{s}", "close", s) for s in cfg.windows]
         + [
-            Decay.ema("_fast", bar.close, fast),
-            Decay.ema("_slow", bar.close, slow),
-            Decay.ema("ATR", F.col("_tr"), cfg.atr_period),
+            Decay.ema("_fast", "close", fast),
+            Decay.ema("_slow", "close", slow),
+            Decay.ema("ATR", "_tr", cfg.atr_period),
         ]
-        + _rsi_specs(F.col("_delta"), cfg.rsi_period),
-    ).withColumn("MACD", F.col("_fast") - F.col("_slow"))
+        + _rsi_specs("_delta", cfg.rsi_period),
+    )
 
     # Level 4: exponential sums of derived columns.
     df = decayed_sums(
-        df,
-        [
-            Decay.ema("MACD_Signal", F.col("MACD"), signal),
-            Decay.ema("_obv_ema", F.col("_obv"), 20),
-        ],
+        with_sql(df, {"MACD": "_fast - _slow"}),
+        [Decay.ema("MACD_Signal", "MACD", signal), Decay.ema("_obv_ema", "_obv", 20)],
     )
 
-    traded = F.col("_traded")
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for n in cfg.windows:
-        out[f"SMA_{n}"] = F.col(f"_mean_{n}")
-        out[f"EMA_{n}"] = F.col(f"EMA_{n}")
-        out[f"Price_SMA_{n}_ratio"] = ratio(bar.close, F.col(f"_mean_{n}"))
-    out["MACD"] = F.col("MACD")
-    out["MACD_Signal"] = F.col("MACD_Signal")
-    out["MACD_Hist"] = F.col("MACD") - F.col("MACD_Signal")
-    out["RSI"] = _rsi_value(cfg.rsi_period)
-    out.update(_bollinger(F.col(f"_mean_{bb_n}"), F.col(f"_std_{bb_n}"), bb_std))
-    out["ATR"] = F.col("ATR")
-    out["ATR_ratio"] = ratio(F.col("ATR"), bar.close)
-    out["Stoch_K"], out["Stoch_D"] = F.col("Stoch_K"), F.col("Stoch_D")
-    hi, lo = F.col("_hi14"), F.col("_lo14")
-    out["Williams_R"] = -100.0 * ratio(hi - bar.close, hi - lo)
-    for n in (5, 10, 21):
-        out[f"ROC_{n}"] = (ratio(bar.close, F.col(f"_lag_{n}")) - 1) * 100
-    out["HV_21"], out["HV_63"] = F.col("HV_21"), F.col("HV_63")
-    out["OBV"] = F.when(traded, F.col("_obv"))
-    out["VWAP"] = F.when(traded, F.col("_pv") / nz(F.col("_v")))
-    out["Volume_SMA_20"] = F.when(traded, F.col("_v20"))
-    out["Volume_ratio"] = F.when(traded, ratio(bar.volume, F.col("_v20")))
-    out["OBV_EMA"] = F.when(traded, F.col("_obv_ema"))
-    out.update(candle_columns())
+        out[f"SMA_{n}"] = f"_mean_{n}"
+        out[f"EMA_{n}"] = f"EMA_{n}"
+        out[f"Price_SMA_{n}_ratio"] = sql_ratio("close", f"_mean_{n}")
+    out["MACD"], out["MACD_Signal"] = "MACD", "MACD_Signal"
+    out["MACD_Hist"] = "MACD - MACD_Signal"
+    out["RSI"] = _rsi(cfg.rsi_period)
+    out |= _bollinger(f"_mean_{bb_n}", f"_std_{bb_n}", bb_std)
+    out["ATR"] = "ATR"
+    out["ATR_ratio"] = sql_ratio("ATR", "close")
+    out["Stoch_K"], out["Stoch_D"] = "Stoch_K", "Stoch_D"
+    out["Williams_R"] = _williams("_lo14", "_hi14")
+    out |= {f"ROC_{n}": _roc(f"_lag_{n}") for n in (5, 10, 21)}
+    out["HV_21"], out["HV_63"] = "HV_21", "HV_63"
+    volume = {
+        "OBV": "_obv",
+        "VWAP": sql_ratio("_pv", "_v"),
+        "Volume_SMA_20": "_v20",
+        "Volume_ratio": sql_ratio("volume", "_v20"),
+        "OBV_EMA": "_obv_ema",
+    }
+    out |= {c: f"IF(_traded, {e}, NULL)" for c, e in volume.items()}
+    out |= CANDLES
 
     kept = [c for c in df.columns if c not in out and (scratch or not c.startswith("_"))]
-    return df.select(*kept, *[x.alias(name) for name, x in out.items()])
+    return df.select(*kept, *[F.expr(e).alias(name) for name, e in out.items()])
