@@ -182,7 +182,7 @@ def recent(spark, sf):
     return eda.recent_indicators(feature_set(spark, sf))
 
 
-@check("X13_adf", "symbol n:i lags:i statistic:4 critical_5:4")
+@check("X13_adf", "symbol n:i lags:i statistic:4 p_value:4 critical_5:4")
 def adf(spark, sf):
     return eda.adf(panel(spark, sf))
 

@@ -220,9 +220,11 @@ FEATURES = ["Log_Return", "RSI", "BB_PctB", "Stoch_K", "HV_21", "DayOfWeek"]
 
 
 def marked(spark, sf):
-    """Feature rows with target, split and training marks."""
+    """Feature rows with target, split and training marks, written once because a
+    fit reads them many times."""
+    fc.use_checkpoints(spark)
     frame = ft.make_model_frame(panel(spark, sf)).select("symbol", "date", "close", *FEATURES)
-    return sp.training_masks(ft.add_target(frame))
+    return sp.training_masks(ft.add_target(frame)).checkpoint()
 
 
 @check("G1_boosted_fit", "symbol n:i mean_r:4 std_r:4")

@@ -71,6 +71,11 @@ def double_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
 
 
+def numeric_columns(df: DataFrame) -> list[str]:
+    kinds = ("double", "float", "long", "integer", "short", "byte")
+    return [f.name for f in df.schema if f.dataType.typeName() in kinds]
+
+
 def drop_scratch(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 

@@ -107,16 +107,18 @@ def fit_orders(
     log: bool = True,
     last: int | None = DEFAULTS.ar_last_rows,
     trend: bool = True,
-    common_sample: bool = True,
 ) -> DataFrame:
     """One parameter row per symbol and order.
 
     All orders share their cross products: one aggregate per symbol and d, over
-    the rows where the longest lag exists, so their AIC values are comparable.
+    the rows where the longest lag of any order exists. The sample is the same
+    for all of them, so their AIC values are comparable.
     """
     rows = _level(last_rows(df, last) if last else df, log)
     lags = max(p for p, _, _ in orders)
     ma = max(q for _, _, q in orders)
+    start = max(lags, LONG_AR + ma if ma else 0) + max(d for _, d, _ in orders)
+    rows = rows.withColumn("_r", F.row_number().over(series()) - 1)
     parts = []
     for d in sorted({d for _, d, _ in orders}):
         z = rows.withColumn("_z", _differenced(d))
@@ -127,7 +129,7 @@ def fit_orders(
         cols |= {f"_e{i}": F.lag("_e", i).over(w) for i in range(1, ma + 1)}
         z = z.withColumns(cols) if cols else z
         xs = ([F.lit(1.0)] if trend else []) + [F.col(c) for c in cols]
-        sums = gram_aggregates(xs, F.col("_z"))
+        sums = gram_aggregates(xs, F.col("_z"), F.col("_r") >= start)
         g = z.groupBy(SYMBOL).agg(*[c.alias(n) for n, c in sums.items()])
         parts.append(g.select(SYMBOL, F.lit(d).alias("d"), *gram_arrays(len(xs))))
     grams = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DATE, OHLCV, SYMBOL, TRADING_DAYS
 from ..functions.windows import (
-    double_columns,
+    numeric_columns,
     normal_pdf,
     nz,
     running,
@@ -32,6 +33,14 @@ ADF_CRITICAL = {
     "5%": (-2.86154, -2.8903, -4.234, -40.040),
     "10%": (-2.56677, -1.5384, -2.809, 0.0),
 }
+# MacKinnon (1994) p-value polynomials of the same test, below and
+# above the switch point, and the range outside which the p-value is 0 or 1.
+ADF_SMALL_P = (2.1659, 1.4412, 0.038269)
+ADF_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_SWITCH, ADF_LOWEST, ADF_HIGHEST = -1.61, -18.83, 2.74
+# Lag windows kept per row: 12 (n/100)^(1/4) stays below this for every series a
+# DATE column can hold (years 1 to 9999).
+MAX_TEST_LAGS = 170
 # Kwiatkowski et al. (1992), level stationarity: p-value -> statistic.
 KPSS_CRITICAL = ((0.10, 0.347), (0.05, 0.463), (0.025, 0.574), (0.01, 0.739))
 
@@ -295,8 +304,8 @@ def kpss(df: DataFrame, col: str = "close") -> DataFrame:
     reach = F.floor(12 * F.pow(F.col("_n") / 100.0, F.lit(0.25))).cast("int")
     rows = rows.withColumns({"_s": F.sum("_e").over(running()), "_l": reach})
     # Weighted sum over the earlier residuals of each row: lag j has weight
-    # 1 - j / (lags + 1). The frame of 60 rows holds any series below 60,000 rows.
-    past = F.reverse(F.collect_list("_e").over(series().rowsBetween(-60, -1)))
+    # 1 - j / (lags + 1).
+    past = F.reverse(F.collect_list("_e").over(series().rowsBetween(-MAX_TEST_LAGS, -1)))
     rows = rows.withColumn("_past", F.slice(past, F.lit(1), F.col("_l")))
     weighted = F.aggregate(
         F.transform("_past", lambda e, j: e * (1.0 - (j + 1.0) / (F.col("_l") + 1.0))),
@@ -321,6 +330,16 @@ def kpss(df: DataFrame, col: str = "close") -> DataFrame:
     )
 
 
+def adf_p_value(statistic: float) -> float:
+    """Approximate p-value of the unit-root statistic (constant, no trend)."""
+    if statistic > ADF_HIGHEST:
+        return 1.0
+    if statistic < ADF_LOWEST:
+        return 0.0
+    terms = ADF_SMALL_P if statistic <= ADF_SWITCH else ADF_LARGE_P
+    return NormalDist().cdf(sum(c * statistic**i for i, c in enumerate(terms)))
+
+
 def adf(df: DataFrame, col: str = "close") -> DataFrame:
     """Unit-root test with a constant; lag order by AIC on a common sample.
 
@@ -333,9 +352,9 @@ def adf(df: DataFrame, col: str = "close") -> DataFrame:
     rows = rows.withColumn("_d", F.col("_x") - F.col("_lag"))
     top = F.ceil(12.0 * F.pow(F.col("_n") / 100.0, F.lit(0.25)))
     reach = F.least(top, F.floor(F.col("_n") / 2) - 2).cast("int")
-    past = F.reverse(F.collect_list("_d").over(w.rowsBetween(-60, -1)))
+    past = F.reverse(F.collect_list("_d").over(w.rowsBetween(-MAX_TEST_LAGS, -1)))
     rows = rows.withColumns({"_reach": reach, "_past": F.slice(past, F.lit(1), F.greatest(reach, F.lit(0)))})
-    schema = f"{SYMBOL} string, n long, lags int, statistic double, " + ", ".join(
+    schema = f"{SYMBOL} string, n long, lags int, statistic double, p_value double, " + ", ".join(
         f"critical_{k.rstrip('%')} double" for k in ADF_CRITICAL
     )
 
@@ -363,7 +382,9 @@ def adf(df: DataFrame, col: str = "close") -> DataFrame:
         n = len(y)
         inv = np.linalg.pinv(x.T @ x, hermitian=True)
         se = np.sqrt(rss / max(n - x.shape[1], 1) * inv[0, 0])
-        row = {SYMBOL: [pdf[SYMBOL].iloc[0]], "n": [n], "lags": [best], "statistic": [float(beta[0] / se)]}
+        stat = float(beta[0] / se)
+        row = {SYMBOL: [pdf[SYMBOL].iloc[0]], "n": [n], "lags": [best]}
+        row |= {"statistic": [stat], "p_value": [adf_p_value(stat)]}
         for level, b in ADF_CRITICAL.items():
             row[f"critical_{level.rstrip('%')}"] = [sum(c / n**i for i, c in enumerate(b))]
         return pd.DataFrame(row)
@@ -375,7 +396,7 @@ def adf(df: DataFrame, col: str = "close") -> DataFrame:
 def correlation_with(df: DataFrame, target: str = "close", cols: list[str] | None = None, top: int = 21) -> DataFrame:
     """Features by absolute correlation with the target, over all rows; the target
     itself comes first. One aggregate row, opened up into (feature, corr)."""
-    cols = cols or double_columns(df)
+    cols = cols or numeric_columns(df)
     one = df.agg(*[F.corr(c, target).alias(c) for c in cols])
     long = one.unpivot([], cols, "feature", "corr").filter(F.col("corr").isNotNull())
     return long.orderBy(F.abs("corr").desc(), "feature").limit(top)
