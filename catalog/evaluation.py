@@ -308,7 +308,7 @@ def future_days(spark, sf):
     f"""WITH {FUTURE},
 base AS (SELECT p.symbol, p.close FROM parts p JOIN ends e ON p.symbol = e.symbol AND p.date = e.last_date),
 paths AS (
-  SELECT f.symbol, f.date, m.model, close * (1 + m.drift * f.step) AS predicted
+  SELECT f.symbol, f.date, m.model, close * exp(m.drift * f.step) AS predicted
   FROM future f JOIN base USING (symbol)
   JOIN (VALUES ('arima', 0.0137::DOUBLE), ('lstm', -0.0219::DOUBLE)) m(model, drift) ON TRUE WHERE f.step <= 5),
 weights(model, w) AS (VALUES {', '.join(f"('{m}', {w}::DOUBLE)" for m, w in W.items())}),
@@ -331,7 +331,7 @@ def forecast_rows(spark, sf):
         days.join(last, "symbol")
         .select("symbol", "date", "step", "close", drift.alias("m"))
         .select("symbol", "date", F.col("m.model").alias("model"),
-                (F.col("close") * (1 + F.col("m.drift") * F.col("step"))).alias("predicted"))
+                (F.col("close") * F.exp(F.col("m.drift") * F.col("step"))).alias("predicted"))
     )
     doc = fc.forecast_document(paths, ["arima", "lstm", "ensemble"], 5, history=panel(spark, sf))
     return fc.document_rows(doc)
