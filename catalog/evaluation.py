@@ -59,7 +59,7 @@ pred AS MATERIALIZED (
 def aligned(spark, sf):
     """Predictions with the actual and the previous close."""
     bars = sp.temporal_split(panel(spark, sf))
-    return mt.attach_actuals(bars, predictions(spark, sf)).filter(F.col("predicted").isNotNull())
+    return mt.attach_actuals(bars, predictions(spark, sf), list(MODELS)).filter(F.col("predicted").isNotNull())
 
 
 SQL = {
@@ -222,7 +222,7 @@ def split_metrics_sql(split: str) -> str:
 @check("E14_evaluate_split", "symbol model " + " ".join(f"{c}:4" for c in BUNDLE), split_metrics_sql("test"))
 def evaluate_split(spark, sf):
     bars = sp.temporal_split(panel(spark, sf))
-    return mt.evaluate_split(bars, predictions(spark, sf), "test")
+    return mt.evaluate_split(bars, predictions(spark, sf), "test", list(MODELS))
 
 
 @check(

@@ -191,8 +191,7 @@ def trend_fit(spark, sf):
 
 @check("T4_trend_predict", "symbol step:i date:d yhat:3 yhat_lower:3 yhat_upper:3")
 def trend_predict(spark, sf):
-    df = panel(spark, sf)
-    return tr.predict(df, tr.fit(df), 30)
+    return tr.predict(tr.fit(panel(spark, sf)), 30)
 
 
 @check("T7_in_sample", "symbol date:d yhat:4 trend:4 residual:4")

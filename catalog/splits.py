@@ -60,6 +60,15 @@ for _kind in sp.SCALERS:
         f"WITH {scaled_sql(_kind)}, result AS (SELECT * FROM scaled)",
     )
     def scale(spark, sf, kind=_kind):
+        parts = sp.temporal_split(panel(spark, sf))
+        return sp.scale_on_train(parts, ["close", "volume", "not_there"], kind)
+
+    @check(
+        f"P2_fit_then_apply_{_kind}",
+        "symbol date:d close:6 volume:6",
+        f"WITH {scaled_sql(_kind)}, result AS (SELECT * FROM scaled)",
+    )
+    def fit_then_apply(spark, sf, kind=_kind):
         parts = sp.temporal_split(panel(spark, sf))
         stats = sp.fit_scaler(train_rows(parts), ["close", "volume", "not_there"], kind)
         return sp.apply_scaler(parts, stats)

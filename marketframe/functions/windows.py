@@ -80,6 +80,20 @@ def drop_scratch(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
+def pick_rows(df: DataFrame, keys: list[str], order: str, first: bool = True, extra: dict[str, Column] | None = None) -> DataFrame:
+    """The row with the smallest (largest) ``order`` per key, by a grouped aggregate.
+
+    One ``min_by`` per column rather than one over a struct: fixed-width columns
+    then keep the aggregation hash based on both sides of the shuffle. All of
+    them follow the same comparisons, so they come from the same row.
+    """
+    by = F.min_by if first else F.max_by
+    values = [c for c in df.columns if c not in keys]
+    picked = [by(c, order).alias(c) for c in values]
+    more = [x.alias(n) for n, x in (extra or {}).items()]
+    return df.groupBy(*keys).agg(*picked, *more)
+
+
 # SQL text twins, for wide projections: one parsed expression is much cheaper to
 # build from Python than a tree of column calls.
 

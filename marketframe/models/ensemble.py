@@ -21,35 +21,49 @@ def naive_last_close(df: DataFrame) -> DataFrame:
 
 
 def _weighted(predictions: DataFrame, weights: dict[str, float] | DataFrame | None) -> DataFrame:
+    """Add ``weight``; null for a model without one."""
     if isinstance(weights, DataFrame):
-        return predictions.join(weights.select(SYMBOL, "model", "weight"), [SYMBOL, "model"])
+        return predictions.join(weights.select(SYMBOL, "model", "weight"), [SYMBOL, "model"], "left")
     table = weights or DEFAULTS.weights
     pairs = [F.lit(v) for m, w in table.items() for v in (m, float(w))]
-    known = predictions.withColumn("weight", F.try_element_at(F.create_map(*pairs), F.col("model")))
-    return known.filter(F.col("weight").isNotNull())
+    return predictions.withColumn("weight", F.try_element_at(F.create_map(*pairs), F.col("model")))
 
 
-def blend(
+def wide_blend(
     predictions: DataFrame,
+    models: list[str],
     weights: dict[str, float] | DataFrame | None = None,
-    compute_ci: bool = True,
     std_multiplier: float = 1.96,
 ) -> DataFrame:
-    """Weighted mean over the models present on a day, weights renormalised; the
-    band is a multiple of the models' population spread. ``weights`` is one dict
-    for all symbols or a (symbol, model, weight) table; unknown models are left out.
+    """One column per model next to the blend and its band, in one grouped pass.
+
+    The blend is the weighted mean over the models present on a day, weights
+    renormalised; the band is a multiple of the models' population spread.
+    ``weights`` is one dict for all symbols or a (symbol, model, weight) table;
+    a model without a weight is left out of the blend.
     """
-    p, w = F.col("predicted"), F.col("weight")
-    known = _weighted(predictions, weights).filter(p.isNotNull())
-    out = known.groupBy(SYMBOL, DATE).agg(
-        (F.sum(w * p) / nz(F.sum(w))).alias("ensemble"), F.stddev_pop(p).alias("_std")
+    rows = _weighted(predictions, weights)
+    w = F.when(F.col("predicted").isNotNull(), F.col("weight"))
+    p = F.when(F.col("weight").isNotNull(), F.col("predicted"))
+    out = rows.groupBy(SYMBOL, DATE).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in models],
+        (F.sum(w * p) / nz(F.sum(w))).alias("ensemble"),
+        F.stddev_pop(p).alias("_std"),
     )
     band = std_multiplier * F.col("_std")
-    if compute_ci:
-        out = out.withColumns(
-            {"lower": F.col("ensemble") - band, "upper": F.col("ensemble") + band}
-        )
-    return out.drop("_std")
+    both = {"lower": F.col("ensemble") - band, "upper": F.col("ensemble") + band}
+    return out.withColumns(both).drop("_std")
+
+
+def blend(
+    predictions: DataFrame,
+    weights: dict[str, float] | DataFrame | None = None,
+    compute_ci: bool = True,
+    std_multiplier: float = 1.96,
+) -> DataFrame:
+    """The blend alone; see :func:`wide_blend`. Days without a weighted model drop out."""
+    out = wide_blend(predictions, [], weights, std_multiplier).filter(F.col("ensemble").isNotNull())
+    return out if compute_ci else out.drop("lower", "upper")
 
 
 def ensemble_table(
@@ -59,9 +73,7 @@ def ensemble_table(
     models: list[str] | None = None,
 ) -> DataFrame:
     """Dated wide table: one column per model, blend, band and optional actual."""
-    models = models or list(DEFAULTS.weights)
-    wide = predictions.groupBy(SYMBOL, DATE).pivot("model", models).agg(F.first("predicted"))
-    out = wide.join(blend(predictions, weights), [SYMBOL, DATE])
+    out = wide_blend(predictions, models or list(DEFAULTS.weights), weights)
     if actuals is not None:
         actual = actuals.select(SYMBOL, DATE, F.col("close").alias("actual"))
         out = out.join(actual, [SYMBOL, DATE], "left")
@@ -109,8 +121,7 @@ def fit_weights(
     actual = actuals.select(SYMBOL, DATE, F.col("close").alias("_actual"))
     wide = (
         predictions.groupBy(SYMBOL, DATE)
-        .pivot("model", models)
-        .agg(F.first("predicted"))
+        .agg(*[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in models])
         .join(actual, [SYMBOL, DATE])
     )
     errors = [F.col(m) - F.col("_actual") for m in models]

@@ -18,7 +18,7 @@ from ..config import DATE, DEFAULTS, SYMBOL, Settings
 from ..functions.linear import fit_design
 from ..functions.windows import dot, series, whole
 from ..operators.split import temporal_split
-from ..plans.forecast import future_days, latest
+from ..plans.forecast import business_calendar, future_days, latest
 
 CHANGEPOINTS = 25
 CHANGEPOINT_SHARE = 0.8
@@ -177,8 +177,14 @@ def raw_predictions(
 ) -> DataFrame:
     """Model-space fit and interval for every row of ``dates``, with the trend
     and the additive (season, holiday, regressor) part."""
+    return _evaluate(dates.join(params, list(keys)), dates.columns, regressors, interval)
+
+
+def _evaluate(
+    rows: DataFrame, keep: list[str], regressors: tuple[str, ...] = (), interval: float = INTERVAL
+) -> DataFrame:
+    """Fit and interval of rows that carry their parameters."""
     z = NormalDist().inv_cdf(0.5 + interval / 2)
-    rows = dates.join(params, list(keys))
     t = _scaled(F.col(DATE), F.col("first_fit"), F.col("last_fit"))
     rows = rows.withColumn("_x", design(t, F.col(DATE), regressors))
     head = 2 + CHANGEPOINTS
@@ -191,13 +197,14 @@ def raw_predictions(
         {"yhat": yhat, "yhat_lower": yhat - z * F.col("sigma"), "yhat_upper": yhat + z * F.col("sigma")}
     )
     names = ("yhat", "yhat_lower", "yhat_upper", "trend", "additive_terms")
-    return rows.select(*dates.columns, *names)
+    return rows.select(*keep, *names)
 
 
-def predict(df: DataFrame, params: DataFrame, periods: int = DEFAULTS.forecast_days, log: bool = True) -> DataFrame:
+def predict(params: DataFrame, periods: int = DEFAULTS.forecast_days, log: bool = True) -> DataFrame:
     """Forecast after the last fitted day, back in price units."""
-    last = params.select(SYMBOL, F.col("last_fit").alias(DATE))
-    out = raw_predictions(future_days(last, periods), params)
+    days = F.posexplode(business_calendar(F.col("last_fit"), periods)).alias("_i", DATE)
+    rows = params.select("*", days).withColumn("step", F.col("_i") + 1)
+    out = _evaluate(rows, [SYMBOL, "step", DATE])
     if log:
         out = out.withColumns({c: F.exp(c) for c in ("yhat", "yhat_lower", "yhat_upper")})
     return out

@@ -11,6 +11,7 @@ from ..functions.windows import (
     drop_scratch,
     finite,
     log_ratio,
+    pick_rows,
     ratio,
     rolling_median,
     running,
@@ -26,21 +27,17 @@ def weekdays_only(df: DataFrame) -> DataFrame:
 def first_per_day(df: DataFrame, order: list[str], *, keep: str = "first") -> DataFrame:
     """One row per (symbol, date): the first (or last) by ``order``.
 
-    A grouped ``min_by`` rather than a ranking window, so copies of one day are
+    A grouped aggregate rather than a ranking window, so copies of one day are
     combined on the map side and a heavily repeated key never meets in one task.
-    ``_dropped`` counts the rows that lost.
+    A single order column keeps it hash based. ``_dropped`` counts the losers.
     """
-    values = [c for c in df.columns if c not in (SYMBOL, DATE)]
-    pick = F.min_by if keep == "first" else F.max_by
-    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return (
-        df.groupBy(SYMBOL, DATE)
-        .agg(
-            pick(F.struct(*values), rank).alias("_row"),
-            (F.count("*") - 1).alias("_dropped"),
-        )
-        .select(SYMBOL, DATE, *[F.col("_row")[c].alias(c) for c in values], "_dropped")
-    )
+    rank = order[0]
+    if len(order) > 1:
+        rank = "_rank"
+        df = df.withColumn(rank, F.struct(*order))
+    return pick_rows(
+        df, [SYMBOL, DATE], rank, keep == "first", {"_dropped": F.count("*") - 1}
+    ).select(*[c for c in df.columns if c != "_rank"], "_dropped")
 
 
 def business_days(df: DataFrame) -> DataFrame:

@@ -86,30 +86,37 @@ def plot_series(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, col: str = "Return", bins: int = 120) -> DataFrame:
     """Density histogram over the value range, with the fitted normal density at
-    each bin centre. The largest value belongs to the last bin."""
-    x = F.col(col)
-    known = df.filter(x.isNotNull()).select(SYMBOL, x)
-    stats = known.groupBy(SYMBOL).agg(
-        F.min(x).alias("_lo"),
-        F.max(x).alias("_hi"),
-        F.avg(x).alias("_mean"),
-        F.stddev_samp(x).alias("_std"),
-        F.count(x).alias("_n"),
-    )
+    each bin centre. The largest value belongs to the last bin.
+
+    Range and moments are window aggregates over the symbol; the counts of a
+    symbol's bins then meet in one short map, so the rows are read once.
+    """
+    x, per = F.col(col), Window.partitionBy(SYMBOL)
+    known = df.filter(x.isNotNull()).select(SYMBOL, x.alias("_x"))
+    stats = {
+        "_lo": F.min("_x").over(per),
+        "_hi": F.max("_x").over(per),
+        "_mean": F.avg("_x").over(per),
+        "_std": F.stddev_samp("_x").over(per),
+        "_n": F.count("_x").over(per),
+    }
     width = (F.col("_hi") - F.col("_lo")) / bins
-    spot = F.floor((x - F.col("_lo")) / nz(width)).cast("int")
-    binned = known.join(stats, SYMBOL).select(
-        SYMBOL, F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)).alias("bin")
+    spot = F.floor((F.col("_x") - F.col("_lo")) / nz(width)).cast("int")
+    binned = known.withColumns(stats).withColumn(
+        "bin", F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1))
     )
-    counts = binned.groupBy(SYMBOL, "bin").agg(F.count("*").alias("count"))
-    every = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counts = binned.groupBy(SYMBOL, *stats, "bin").agg(F.count("*").alias("count"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("bin", "count")))
+    every = counts.groupBy(SYMBOL, *stats).agg(pairs.alias("_counts"))
+    every = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     centre = F.col("_lo") + (F.col("bin") + 0.5) * width
-    return every.join(counts, [SYMBOL, "bin"], "left").select(
+    count = F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0))
+    return every.select(
         SYMBOL,
         "bin",
         centre.alias("centre"),
-        F.coalesce("count", F.lit(0)).alias("count"),
-        (F.coalesce("count", F.lit(0)) / (F.col("_n") * nz(width))).alias("density"),
+        count.alias("count"),
+        (count / (F.col("_n") * nz(width))).alias("density"),
         normal_pdf(centre, F.col("_mean"), F.col("_std")).alias("normal"),
     )
 

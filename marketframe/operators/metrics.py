@@ -203,24 +203,31 @@ def compare_models(df: DataFrame, keys=KEYS, **options) -> DataFrame:
     return table.select(*keys, *[F.round(c, 4).alias(c) for c in table.columns if c in METRICS])
 
 
-def attach_actuals(bars: DataFrame, predictions: DataFrame) -> DataFrame:
+def attach_actuals(
+    bars: DataFrame, predictions: DataFrame, models: list[str] | None = None
+) -> DataFrame:
     """Line predictions up with the bars: actual and previous close per date.
 
-    A left join from every bar and model of a symbol, so a bar without a
-    prediction stays, with a null.
+    A left join from every bar and model, so a bar without a prediction stays,
+    with a null. Naming the ``models`` saves a pass over the predictions.
     """
     prev = F.lag("close").over(Window.partitionBy(SYMBOL).orderBy(DATE))
     keep = [c for c in ("split",) if c in bars.columns]
     days = bars.select(SYMBOL, DATE, *keep, F.col("close").alias("actual"), prev.alias("previous"))
-    models = predictions.select(SYMBOL, "model").distinct()
+    if models:
+        days = days.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    else:
+        days = days.join(predictions.select(SYMBOL, "model").distinct(), SYMBOL)
     picked = predictions.select(SYMBOL, DATE, "model", "predicted")
-    return days.join(models, SYMBOL).join(picked, [SYMBOL, DATE, "model"], "left")
+    return days.join(picked, [SYMBOL, DATE, "model"], "left")
 
 
-def evaluate_split(bars: DataFrame, predictions: DataFrame, split: str) -> DataFrame:
+def evaluate_split(
+    bars: DataFrame, predictions: DataFrame, split: str, models: list[str] | None = None
+) -> DataFrame:
     """Metric table of one split; a flat (``naive``) model has no direction,
     Sharpe ratio or drawdown."""
-    rows = attach_actuals(bars, predictions).filter(F.col("split") == split)
+    rows = attach_actuals(bars, predictions, models).filter(F.col("split") == split)
     table = compare_models(rows)
     flat = F.col("model").startswith("naive")
     blank = ("Directional_Accuracy", "Sharpe_Ratio", "Max_Drawdown_pct")
@@ -231,7 +238,9 @@ def actual_vs_predicted(
     bars: DataFrame, predictions: DataFrame, models: list[str], split: str = "test"
 ) -> DataFrame:
     """Wide table of one split: actual and one column per model."""
-    wide = predictions.groupBy(SYMBOL, DATE).pivot("model", models).agg(F.first("predicted"))
+    wide = predictions.groupBy(SYMBOL, DATE).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in models]
+    )
     return (
         bars.filter(F.col("split") == split)
         .select(SYMBOL, DATE, F.col("close").alias("actual"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, SYMBOL
@@ -68,30 +68,64 @@ def training_masks(df: DataFrame) -> DataFrame:
     )
 
 
+def _scaler_stats(kind: str, x: Column) -> tuple[Column, Column]:
+    """Centre and scale aggregates of one column."""
+    if kind == "minmax":
+        return F.min(x), F.max(x) - F.min(x)
+    if kind == "standard":
+        return F.avg(x), F.stddev_pop(x)
+    if kind == "robust":
+        q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+        return q[1], q[2] - q[0]
+    raise ValueError(f"unknown scaler {kind!r}, choose from {SCALERS}")
+
+
+def _safe(scale: Column) -> Column:
+    return F.when(scale == 0, 1.0).otherwise(scale)
+
+
 def fit_scaler(df: DataFrame, cols: list[str], kind: str = "minmax") -> DataFrame:
     """Centre and scale per symbol, as one row of ``<col>_centre, <col>_scale``.
 
     Fit it on the training rows. Columns that are not there are skipped; a zero
     scale becomes one.
     """
-    cols = [c for c in cols if c in df.columns]
-    if kind == "minmax":
-        stats = {c: (F.min(c), F.max(c) - F.min(c)) for c in cols}
-    elif kind == "standard":
-        stats = {c: (F.avg(c), F.stddev_pop(c)) for c in cols}
-    elif kind == "robust":
-        quarter = F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])
-        q = {c: F.percentile(c, quarter) for c in cols}
-        stats = {c: (q[c][1], q[c][2] - q[c][0]) for c in cols}
-    else:
-        raise ValueError(f"unknown scaler {kind!r}, choose from {SCALERS}")
     aggs = []
-    for c, (centre, scale) in stats.items():
-        aggs.append(centre.alias(f"{c}_centre"))
-        aggs.append(F.when(scale == 0, 1.0).otherwise(scale).alias(f"{c}_scale"))
+    for c in [c for c in cols if c in df.columns]:
+        centre, scale = _scaler_stats(kind, F.col(c))
+        aggs += [centre.alias(f"{c}_centre"), _safe(scale).alias(f"{c}_scale")]
     return df.groupBy(SYMBOL).agg(*aggs)
 
 
+def scale_on_train(df: DataFrame, cols: list[str], kind: str = "minmax") -> DataFrame:
+    """Scale a labelled frame with statistics of its own training rows.
+
+    The statistics are window aggregates over the symbol, so the rows are read
+    and shuffled once, with no join back. Use :func:`fit_scaler` to keep them.
+    """
+    per = Window.partitionBy(SYMBOL)
+    stats = {}
+    for c in [c for c in cols if c in df.columns]:
+        x = F.when(F.col("split") == "train", F.col(c))
+        if kind == "robust":
+            stats[f"_q_{c}"] = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).over(per)
+        elif kind == "minmax":
+            stats |= {f"_c_{c}": F.min(x).over(per), f"_s_{c}": F.max(x).over(per)}
+        elif kind == "standard":
+            stats |= {f"_c_{c}": F.avg(x).over(per), f"_s_{c}": F.stddev_pop(x).over(per)}
+        else:
+            raise ValueError(f"unknown scaler {kind!r}, choose from {SCALERS}")
+    out = {}
+    for c in [c for c in cols if c in df.columns]:
+        if kind == "robust":
+            centre, scale = F.col(f"_q_{c}")[1], F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]
+        else:
+            centre, scale = F.col(f"_c_{c}"), F.col(f"_s_{c}")
+            scale = scale - centre if kind == "minmax" else scale
+        out[c] = (F.col(c) - centre) / _safe(scale)
+    return df.withColumns(stats).withColumns(out).select(*df.columns)
+
+
 def scaled_columns(stats: DataFrame) -> list[str]:
     return [c[: -len("_centre")] for c in stats.columns if c.endswith("_centre")]
 
@@ -130,7 +164,7 @@ def prepare_data(
     parts = temporal_split(df)
     cols = [c for c in cols if c in df.columns]
     stats = fit_scaler(parts.filter(F.col("split") == "train"), cols, kind)
-    scaled = apply_scaler(parts, stats, cols)
+    scaled = scale_on_train(parts, cols, kind)
     ordered = [target] + [c for c in cols if c != target]
     return scaled, supervised_sequences(scaled, ordered, lookback, horizon, "split"), stats
 

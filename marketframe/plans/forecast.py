@@ -6,12 +6,12 @@ import logging
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, FORECAST_MODELS, OHLCV, SYMBOL, Settings
-from ..functions.windows import finite
-from ..models.ensemble import blend
+from ..functions.windows import finite, pick_rows
+from ..models.ensemble import wide_blend
 from ..operators.features import make_model_frame
 
 log = logging.getLogger(__name__)
@@ -45,8 +45,7 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
 
 def latest(df: DataFrame) -> DataFrame:
     """The last row of each symbol, by a map-side combined aggregate."""
-    row = F.max_by(F.struct(*df.columns), DATE).alias("_row")
-    return df.groupBy(SYMBOL).agg(row).select("_row.*")
+    return pick_rows(df, [SYMBOL], DATE, first=False).select(*df.columns)
 
 
 def use_checkpoints(spark) -> None:
@@ -149,9 +148,7 @@ def forecast_table(
     predictions: DataFrame, models: list[str], weights: dict[str, float] | DataFrame | None = None
 ) -> DataFrame:
     """Wide forward forecast: models, ensemble and band by date."""
-    wide = predictions.groupBy(SYMBOL, DATE).pivot("model", models).agg(F.first("predicted"))
-    both = blend(predictions, weights)
-    return wide.join(both, [SYMBOL, DATE]).withColumnsRenamed(
+    return wide_blend(predictions, models, weights).withColumnsRenamed(
         {"lower": "ci_lower", "upper": "ci_upper"}
     )
 
@@ -166,54 +163,53 @@ def forecast_document(
 ) -> DataFrame:
     """One nested forecast per symbol: model -> rounded points, blend, metadata.
 
-    A series of points has at most 252 entries, so the lists stay small. The
-    metadata names the last date of ``history`` when it is given.
+    One pass over the predictions: models and blend per day, then the days of a
+    symbol (at most 252) as one list. Asking for the blend uses every base model;
+    only the requested ones are listed. The metadata names the last date of
+    ``history`` when it is given.
     """
     if not 1 <= steps <= MAX_STEPS:
         raise ValueError(f"steps must be between 1 and {MAX_STEPS}")
     unknown = set(models) - set(FORECAST_MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}, choose from {FORECAST_MODELS}")
-    day = F.date_format(DATE, "yyyy-MM-dd").alias("date")
-    wants_blend = "ensemble" in models
-    # Asking for the blend needs every base model; only the requested ones are listed.
-    shown = predictions.filter(F.col("model").isin([m for m in models if m != "ensemble"]))
-    point = F.struct(day, F.round("predicted", 4).alias("predicted"))
-    lists = (
-        shown.groupBy(SYMBOL, "model")
-        .agg(F.slice(F.sort_array(F.collect_list(point)), 1, steps).alias("points"))
-        .groupBy(SYMBOL)
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "points")))).alias("forecasts"))
-    )
-    doc = predictions.select(SYMBOL).distinct().join(lists, SYMBOL, "left")
+    shown = [m for m in FORECAST_MODELS if m in models and m != "ensemble"]
+    daily = wide_blend(predictions, shown, weights)
+    day = F.struct(F.date_format(DATE, "yyyy-MM-dd").alias("date"), *shown, "ensemble", "lower", "upper")
+    days = F.slice(F.sort_array(F.collect_list(day)), 1, steps)
+    doc = daily.groupBy(SYMBOL).agg(days.alias("_days"))
     if history is None:
         doc = doc.withColumn("_known", F.lit(None).cast("date"))
     else:
         doc = doc.join(history.groupBy(SYMBOL).agg(F.max(DATE).alias("_known")), SYMBOL, "left")
-    if wants_blend:
+
+    def points(m: str) -> Column:
+        known = F.filter("_days", lambda d: d[m].isNotNull())
+        return F.transform(known, lambda d: F.struct(d["date"].alias("date"), F.round(d[m], 4).alias("predicted")))
+
+    def blended(d: Column) -> Column:
         bound = (lambda c: F.round(c, 4)) if include_ci else (lambda c: F.lit(None).cast("double"))
-        entry = F.struct(
-            day,
-            F.round("ensemble", 4).alias("predicted"),
-            bound("lower").alias("lower_bound"),
-            bound("upper").alias("upper_bound"),
+        return F.struct(
+            d["date"].alias("date"),
+            F.round(d["ensemble"], 4).alias("predicted"),
+            bound(d["lower"]).alias("lower_bound"),
+            bound(d["upper"]).alias("upper_bound"),
         )
-        ens = blend(predictions, weights).groupBy(SYMBOL).agg(
-            F.slice(F.sort_array(F.collect_list(entry)), 1, steps).alias("ensemble")
-        )
-        doc = doc.join(ens, SYMBOL, "left")
-    else:
-        empty = "array<struct<date:string,predicted:double,lower_bound:double,upper_bound:double>>"
-        doc = doc.withColumn("ensemble", F.lit(None).cast(empty))
-    used = F.coalesce(F.map_keys("forecasts"), F.array().cast("array<string>"))
-    blended = F.when(F.col("ensemble").isNotNull(), F.array(F.lit("ensemble"))).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    point = "array<struct<date:string,predicted:double>>"
+    bounded = "array<struct<date:string,predicted:double,lower_bound:double,upper_bound:double>>"
+    entries = [F.struct(F.lit(m).alias("key"), points(m).cast(point).alias("value")) for m in shown]
+    listed = F.array(*entries) if entries else F.array().cast(f"array<struct<key:string,value:{point}>>")
+    full = F.filter(listed, lambda e: F.size(e["value"]) > 0)
+    ensemble = F.filter("_days", lambda d: d["ensemble"].isNotNull())
+    wanted = F.transform(ensemble, blended) if "ensemble" in models else F.lit(None)
+    doc = doc.withColumns({"forecasts": F.map_from_entries(full), "ensemble": wanted.cast(bounded)})
+    tail = F.array(*[F.lit("ensemble")]) if "ensemble" in models else F.array().cast("array<string>")
     return doc.select(
         SYMBOL,
         F.current_timestamp().alias("generated_at"),
         F.lit(steps).alias("forecast_days"),
-        F.concat(used, blended).alias("models_used"),
+        F.concat(F.map_keys("forecasts"), tail).alias("models_used"),
         "forecasts",
         "ensemble",
         F.struct(

@@ -108,8 +108,8 @@ def train(
         features=cols,
         predictions=predictions,
         weights=weights,
-        validation=evaluate_split(frame, predictions, "val"),
-        test=evaluate_split(frame, predictions, "test"),
+        validation=evaluate_split(frame, predictions, "val", names),
+        test=evaluate_split(frame, predictions, "test", names),
         test_forecast=actual_vs_predicted(frame, predictions, names, "test"),
         models=fitted,
     )

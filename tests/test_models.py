@@ -151,7 +151,7 @@ def test_trend_path_is_anchored(seasonal):
     last = series_of(seasonal, "close")["close"].iloc[-1]
     assert len(path) == 5 and abs(path["predicted"][0] / last - 1) < 0.06
     assert (path["lower"] < path["predicted"]).all() and (path["predicted"] < path["upper"]).all()
-    free = trend.predict(seasonal, params, 5)
+    free = trend.predict(params, 5)
     assert free.count() == 5 and free.filter("yhat_lower < yhat AND yhat < yhat_upper").count() == 5
 
 
