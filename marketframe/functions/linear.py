@@ -16,32 +16,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gram_aggregates(xs: Sequence[Column], y: Column, where: Column | None = None) -> dict[str, Column]:
-    """Sums ``_n``, ``_yy``, ``_xy_i``, ``_xx_i_j`` (j >= i) over complete rows."""
+def gram_aggregates(
+    xs: Sequence[Column], y: Column, where: Column | None = None, prefix: str = ""
+) -> dict[str, Column]:
+    """Sums ``n``, ``yy``, ``xy_i``, ``xx_i_j`` (j >= i) over complete rows, named
+    with ``prefix``."""
     ok = y.isNotNull()
     for x in xs:
         ok = ok & x.isNotNull()
     if where is not None:
         ok = ok & where
-    out = {"_n": F.count_if(ok).cast("double"), "_yy": F.sum(F.when(ok, y * y))}
-    for i, a in enumerate(xs):
-        out[f"_xy_{i}"] = F.sum(F.when(ok, a * y))
+    kept_y, kept = F.when(ok, y), [F.when(ok, x) for x in xs]
+    out = {f"_{prefix}n": F.count_if(ok).cast("double"), f"_{prefix}yy": F.sum(kept_y * y)}
+    for i, a in enumerate(kept):
+        out[f"_{prefix}xy_{i}"] = F.sum(a * y)
         for j in range(i, len(xs)):
-            out[f"_xx_{i}_{j}"] = F.sum(F.when(ok, a * xs[j]))
+            out[f"_{prefix}xx_{i}_{j}"] = F.sum(a * xs[j])
     return out
 
 
-def gram_arrays(k: int) -> list[Column]:
-    """Pack the sums of :func:`gram_aggregates` into ``xx`` (row major) and ``xy``."""
-
-    def entry(i: int, j: int) -> Column:
-        return F.col(f"_xx_{min(i, j)}_{max(i, j)}")
-
+def gram_arrays(k: int, prefix: str = "") -> list[Column]:
+    """Pack the sums of :func:`gram_aggregates` into n, yy, xx (row major) and xy."""
+    entry = [f"_{prefix}xx_{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)]
     return [
-        F.col("_n").alias("n"),
-        F.col("_yy").alias("yy"),
-        F.array(*[entry(i, j) for i in range(k) for j in range(k)]).alias("xx"),
-        F.array(*[F.col(f"_xy_{i}") for i in range(k)]).alias("xy"),
+        F.col(f"_{prefix}n").alias("n"),
+        F.col(f"_{prefix}yy").alias("yy"),
+        F.array(*entry).cast("array<double>").alias("xx"),
+        F.array(*[f"_{prefix}xy_{i}" for i in range(k)]).cast("array<double>").alias("xy"),
     ]
 
 

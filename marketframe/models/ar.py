@@ -21,7 +21,7 @@ from ..config import DATE, DEFAULTS, SYMBOL
 from ..functions.linear import gram_aggregates, gram_arrays, residual_sum, solve_batch
 from ..functions.windows import dot, series
 from ..operators.metrics import evaluate
-from ..plans.forecast import last_rows, next_business_day
+from ..plans.forecast import business_calendar, last_rows, next_business_day
 
 LONG_AR = 8
 PI_TERMS = 40
@@ -62,6 +62,7 @@ def _ar_form(phi: np.ndarray, theta: np.ndarray, const: float) -> tuple[float, l
 def _solve_orders(orders: list[Order], lags: int, ma: int, trend: bool, keys: list[str]):
     """Fit every order from one set of cross products per key and d."""
     head = 1 if trend else 0
+    width = head + lags + ma
 
     def fit(xx, xy, yy, n, p, q):
         cols = list(range(head)) + [head + i for i in range(p)] + [head + lags + i for i in range(q)]
@@ -82,8 +83,8 @@ def _solve_orders(orders: list[Order], lags: int, ma: int, trend: bool, keys: li
                 if not len(sub):
                     continue
                 n = sub["n"].to_numpy()
-                xy = np.stack(sub["xy"].to_numpy())
-                xx = np.stack(sub["xx"].to_numpy()).reshape(len(sub), xy.shape[1], -1)
+                xy = np.array(sub["xy"].tolist(), dtype=float).reshape(len(sub), width)
+                xx = np.array(sub["xx"].tolist(), dtype=float).reshape(len(sub), width, width)
                 beta, rss, aic = fit(xx, xy, sub["yy"].to_numpy(), n, p, q)
                 for i, key in enumerate(sub[keys].itertuples(index=False)):
                     phi, theta = beta[i, head : head + p], beta[i, head + p :]
@@ -117,47 +118,67 @@ def fit_orders(
     rows = _level(last_rows(df, last) if last else df, log)
     lags = max(p for p, _, _ in orders)
     ma = max(q for _, _, q in orders)
-    start = max(lags, LONG_AR + ma if ma else 0) + max(d for _, d, _ in orders)
-    rows = rows.withColumn("_r", F.row_number().over(series()) - 1)
-    parts = []
-    for d in sorted({d for _, d, _ in orders}):
-        z = rows.withColumn("_z", _differenced(d))
-        if ma:
-            z = _with_innovations(z, trend)
-        w = series()
-        cols = {f"_z{i}": F.lag("_z", i).over(w) for i in range(1, lags + 1)}
-        cols |= {f"_e{i}": F.lag("_e", i).over(w) for i in range(1, ma + 1)}
-        z = z.withColumns(cols) if cols else z
-        xs = ([F.lit(1.0)] if trend else []) + [F.col(c) for c in cols]
-        sums = gram_aggregates(xs, F.col("_z"), F.col("_r") >= start)
-        g = z.groupBy(SYMBOL).agg(*[c.alias(n) for n, c in sums.items()])
-        parts.append(g.select(SYMBOL, F.lit(d).alias("d"), *gram_arrays(len(xs))))
-    grams = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ds = sorted({d for _, d, _ in orders})
+    start = max(lags, LONG_AR + ma if ma else 0) + ds[-1]
+    w = series()
+    rows = rows.withColumns(
+        {"_r": F.row_number().over(w) - 1, **{f"_z{d}": _differenced(d) for d in ds}}
+    )
+    if ma:
+        rows = _with_innovations(rows, ds, trend)
+    names = {
+        d: [f"_z{d}_{i}" for i in range(1, lags + 1)] + [f"_e{d}_{i}" for i in range(1, ma + 1)] for d in ds
+    }
+    lagged = {c: F.lag(c.rpartition("_")[0], int(c.rpartition("_")[2])).over(w) for d in ds for c in names[d]}
+    rows = rows.withColumns(lagged) if lagged else rows
+    sums: dict[str, Column] = {}
+    for d in ds:
+        xs = ([F.lit(1.0)] if trend else []) + [F.col(c) for c in names[d]]
+        sums |= gram_aggregates(xs, F.col(f"_z{d}"), F.col("_r") >= start, f"d{d}_")
+    size = int(trend) + lags + ma
+    packed = [F.struct(F.lit(d).alias("d"), *gram_arrays(size, f"d{d}_")) for d in ds]
+    grams = (
+        rows.groupBy(SYMBOL)
+        .agg(*[c.alias(n) for n, c in sums.items()])
+        .select(SYMBOL, F.explode(F.array(*packed)).alias("g"))
+        .select(SYMBOL, "g.*")
+    )
     return grams.mapInPandas(_solve_orders(orders, lags, ma, trend, [SYMBOL]), PARAMS)
 
 
-def _with_innovations(z: DataFrame, trend: bool) -> DataFrame:
-    """``_e``: residual of a long autoregression of ``_z``, per symbol."""
+def _with_innovations(rows: DataFrame, ds: list[int], trend: bool) -> DataFrame:
+    """``_e0`` / ``_e1``: residuals of a long autoregression of each ``_z``, per
+    symbol. One aggregate and one solve serve both differencing orders."""
     w = series()
-    lagged = z.withColumns({f"_a{i}": F.lag("_z", i).over(w) for i in range(1, LONG_AR + 1)})
-    xs = [F.lit(1.0)] * trend + [F.col(f"_a{i}") for i in range(1, LONG_AR + 1)]
-    sums = gram_aggregates(xs, F.col("_z"))
-    g = lagged.groupBy(SYMBOL).agg(*[c.alias(n) for n, c in sums.items()])
+    names = {d: [f"_a{d}_{i}" for i in range(1, LONG_AR + 1)] for d in ds}
+    lagged = rows.withColumns(
+        {c: F.lag(f"_z{d}", i + 1).over(w) for d in ds for i, c in enumerate(names[d])}
+    )
+    xs = {d: [F.lit(1.0)] * trend + [F.col(c) for c in names[d]] for d in ds}
+    sums: dict[str, Column] = {}
+    for d in ds:
+        sums |= gram_aggregates(xs[d], F.col(f"_z{d}"), prefix=f"d{d}_")
+    size = LONG_AR + int(trend)
+    grams = lagged.groupBy(SYMBOL).agg(*[c.alias(n) for n, c in sums.items()])
+    arrays = {d: dict(zip(("n", "yy", "xx", "xy"), gram_arrays(size, f"d{d}_"))) for d in ds}
+    packed = grams.select(
+        SYMBOL, *[arrays[d][part].alias(f"{part}{d}") for d in ds for part in ("xx", "xy")]
+    )
 
     def solve(batches):
         for pdf in batches:
-            pdf = pdf[pdf["n"] > 0]
-            if len(pdf):
-                xy = np.stack(pdf["xy"].to_numpy())
-                xx = np.stack(pdf["xx"].to_numpy()).reshape(len(pdf), xy.shape[1], -1)
-                yield pd.DataFrame({SYMBOL: pdf[SYMBOL].to_numpy(), "_beta": list(solve_batch(xx, xy))})
-
-    beta = g.select(SYMBOL, *gram_arrays(len(xs))).mapInPandas(
-        solve, f"{SYMBOL} string, _beta array<double>"
-    )
-    joined = lagged.join(beta, SYMBOL, "left")
-    fitted = sum((F.col("_beta")[i] * x for i, x in enumerate(xs)), F.lit(0.0))
-    return joined.withColumn("_e", F.col("_z") - fitted).select(*z.columns, "_e")
+            out = {SYMBOL: pdf[SYMBOL].to_numpy()}
+            for d in ds:
+                xx = np.array(pdf[f"xx{d}"].tolist(), dtype=float).reshape(-1, size, size)
+                xy = np.array(pdf[f"xy{d}"].tolist(), dtype=float).reshape(-1, size)
+                out[f"_beta{d}"] = list(solve_batch(np.nan_to_num(xx), np.nan_to_num(xy)))
+            yield pd.DataFrame(out)
+
+    schema = f"{SYMBOL} string, " + ", ".join(f"_beta{d} array<double>" for d in ds)
+    joined = lagged.join(packed.mapInPandas(solve, schema), SYMBOL, "left")
+    fitted = {d: sum((F.col(f"_beta{d}")[i] * x for i, x in enumerate(xs[d])), F.lit(0.0)) for d in ds}
+    out = joined.withColumns({f"_e{d}": F.col(f"_z{d}") - fitted[d] for d in ds})
+    return out.select(*rows.columns, *[f"_e{d}" for d in ds])
 
 
 def fit(df: DataFrame, order: Order, log: bool = False, trend: bool = False, last: int | None = None) -> DataFrame:
@@ -300,7 +321,7 @@ def forecast_from(state: DataFrame, params: DataFrame, steps: int, alpha: float
     rows = rows.withColumn(
         "_var", _running_sum(F.transform(F.slice("_resp", 1, steps), lambda v: v * v * F.col("sigma2")))
     )
-    keys = [c for c in (SYMBOL, "fold", "last_date") if c in rows.columns]
+    keys = [c for c in (SYMBOL, "fold", "last_date", "_next") if c in rows.columns]
     out = rows.select(*keys, F.posexplode(F.arrays_zip(F.col("_level").alias("level"), F.col("_var").alias("var"))).alias("_i", "v"))
     mean, half = F.col("v.level"), z * F.sqrt("v.var")
     back = F.exp if log else (lambda c: c)
@@ -315,11 +336,9 @@ def forecast_from(state: DataFrame, params: DataFrame, steps: int, alpha: float
 
 def forecast(df: DataFrame, params: DataFrame, steps: int = DEFAULTS.forecast_days, alpha: float = 0.05, log: bool = True, terms: int = PI_TERMS) -> DataFrame:
     """Forecast path with its (1 - alpha) interval and the dates it falls on."""
-    from ..plans.forecast import future_days
-
-    state = end_state(df, log, terms)
-    path = forecast_from(state, params, steps, alpha, log).drop("last_date")
-    return path.join(future_days(df, steps), [SYMBOL, "step"])
+    path = forecast_from(end_state(df, log, terms), params, steps, alpha, log)
+    day = F.element_at(business_calendar(F.col("last_date"), steps), F.col("step"))
+    return path.withColumn(DATE, day).drop("last_date")
 
 
 def update_and_predict(history: DataFrame, new_bars: DataFrame, params: DataFrame, log: bool = True, terms: int = PI_TERMS) -> DataFrame:
@@ -335,16 +354,46 @@ def update_and_predict(history: DataFrame, new_bars: DataFrame, params: DataFram
     )
 
 
+FOLD_PARAMS = PARAMS.replace(f"{SYMBOL} string,", f"{SYMBOL} string, fold int,")
+
+
+def _fold_totals(rows: DataFrame, order: Order, lags: list[str], n_splits: int) -> DataFrame:
+    """Parameters per fold from running totals of cross products."""
+    p, d, _ = order
+    # First fold whose training part holds the row: row < first + fold * step.
+    ahead = F.floor((F.col("_r") - F.col("_first")) / F.col("_step")) + 1
+    sums = gram_aggregates([F.col(c) for c in lags], F.col("_z"))
+    seg = (
+        rows.withColumn("fold", F.greatest(F.lit(0), ahead).cast("int"))
+        .filter(F.col("fold") < n_splits)
+        .groupBy(SYMBOL, "fold")
+        .agg(*[c.alias(k) for k, c in sums.items()])
+    )
+    upto = Window.partitionBy(SYMBOL).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    seg = seg.withColumns({k: F.sum(k).over(upto) for k in sums})
+    grams = seg.select(SYMBOL, "fold", F.lit(d).alias("d"), *gram_arrays(p))
+    return grams.mapInPandas(_solve_orders([order], p, 0, False, [SYMBOL, "fold"]), FOLD_PARAMS)
+
+
+def _fold_copies(rows: DataFrame, order: Order, n_splits: int) -> DataFrame:
+    """Parameters per fold from one copy of the training rows per fold."""
+    copies = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    copies = copies.filter(F.col("_r") < F.col("_first") + F.col("fold") * F.col("_step"))
+    named = copies.select(F.concat_ws("\u0001", SYMBOL, "fold").alias(SYMBOL), DATE, "close")
+    fitted = fit_orders(named, [order], log=False, last=None, trend=False)
+    parts = F.split(SYMBOL, "\u0001")
+    return fitted.withColumns({"fold": parts[1].cast("int"), SYMBOL: parts[0]})
+
+
 def walk_forward_cv(df: DataFrame, order: Order, n_splits: int = 5, horizon: int = 30, terms: int = PI_TERMS) -> DataFrame:
     """Expanding-window validation on prices; metrics pooled over the folds.
 
     Training sets are nested, so each row is summed once, into the first fold
     that sees it, and a running total over folds gives every fold's cross
-    products: the rows are not copied per fold.
+    products: the rows are not copied per fold. Only moving-average terms, whose
+    residuals differ from fold to fold, need a copy per fold.
     """
     p, d, q = order
-    if q:
-        raise ValueError("walk-forward validation needs q = 0")
     n, r = F.col("_n"), F.col("_r")
     w = series()
     rows = df.select(SYMBOL, DATE, "close").withColumns(
@@ -359,36 +408,26 @@ def walk_forward_cv(df: DataFrame, order: Order, n_splits: int = 5, horizon: int
     rows = rows.withColumns({**lags, "_dy": F.col("_y") - F.lag("_y").over(w)})
     past = series().rowsBetween(1 - terms, 0)
     rows = rows.withColumns(
-        {"_zs": F.reverse(F.collect_list("_dy").over(past)), "_ys": F.reverse(F.collect_list("_y").over(past))}
-    )
-    # First fold whose training part holds the row: row < first + fold * step.
-    fold_of = F.greatest(F.lit(0), F.floor((r - F.col("_first")) / F.col("_step")) + 1).cast("int")
-    sums = gram_aggregates([F.col(c) for c in lags], F.col("_z"))
-    seg = (
-        rows.withColumn("fold", fold_of)
-        .filter(F.col("fold") < n_splits)
-        .groupBy(SYMBOL, "fold")
-        .agg(*[c.alias(k) for k, c in sums.items()])
+        {
+            "_zs": F.reverse(F.collect_list("_dy").over(past)),
+            "_ys": F.reverse(F.collect_list("_y").over(past)),
+            "_next": F.collect_list("close").over(series().rowsBetween(1, horizon)),
+        }
     )
-    upto = Window.partitionBy(SYMBOL).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    seg = seg.withColumns({k: F.sum(k).over(upto) for k in sums})
-    grams = seg.select(SYMBOL, "fold", F.lit(d).alias("d"), *gram_arrays(p))
-    schema = PARAMS.replace(f"{SYMBOL} string,", f"{SYMBOL} string, fold int,")
-    params = grams.mapInPandas(_solve_orders([order], p, 0, False, [SYMBOL, "fold"]), schema)
+    params = _fold_copies(rows, order, n_splits) if q else _fold_totals(rows, order, list(lags), n_splits)
 
-    ends = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+    # The last row of each training part, with the closes that follow it.
+    number = (r + 1 - F.col("_first")) / F.col("_step")
     state = (
-        rows.withColumn("fold", ends)
-        .filter(r == F.col("_first") + F.col("fold") * F.col("_step") - 1)
-        .select(SYMBOL, "fold", F.col("_y").alias("last_y"), "_zs", "_ys", (r + 1).alias("_start"))
-    )
-    path = forecast_from(state.drop("_start"), params, horizon, log=False)
-    targets = path.join(state.select(SYMBOL, "fold", "_start"), [SYMBOL, "fold"]).select(
-        SYMBOL, "fold", (F.col("_start") + F.col("step") - 1).alias("_r"), "predicted"
+        rows.withColumn("fold", number.cast("int"))
+        .filter((number == F.col("fold")) & F.col("fold").between(0, n_splits - 1))
+        .select(SYMBOL, "fold", F.col("_y").alias("last_y"), "_zs", "_ys", "_next")
     )
-    actual = rows.select(SYMBOL, "_r", F.col("close").alias("actual"))
+    path = forecast_from(state, params, horizon, log=False)
+    actual = F.try_element_at("_next", F.col("step"))
     # Folds follow one another; a running number keeps the pooled order.
-    scored = targets.join(actual, [SYMBOL, "_r"]).withColumn(DATE, F.col("fold") * 1000000 + F.col("_r"))
+    place = F.col("fold") * horizon + F.col("step")
+    scored = path.select(SYMBOL, place.alias(DATE), actual.alias("actual"), "predicted")
     return evaluate(scored, keys=(SYMBOL,), previous=None)
 
 

@@ -127,6 +127,13 @@ def test_walk_forward_equals_a_fold_loop(spark, arma):
     assert got.MAE == pytest.approx(np.mean(np.abs(np.array(pred) - np.array(act))))
 
 
+def test_walk_forward_with_moving_average_terms(arma):
+    one = arma.filter("symbol = 'ma'")
+    got = ar.walk_forward_cv(one, (0, 1, 1), n_splits=2, horizon=5).first()
+    flat = ar.walk_forward_cv(one, (0, 1, 0), n_splits=2, horizon=5).first()
+    assert 0 < got.MAE < 1.2 * flat.MAE and got.MAE != flat.MAE
+
+
 @pytest.fixture(scope="module")
 def seasonal(spark):
     idx = pd.bdate_range("2012-01-02", periods=2200)
