@@ -17,22 +17,18 @@ from pyspark.sql import functions as F
 
 
 def gram_aggregates(
-    xs: Sequence[Column], y: Column, where: Column | None = None, prefix: str = ""
+    xs: Sequence[str], y: str, where: str = "true", prefix: str = ""
 ) -> dict[str, Column]:
     """Sums ``n``, ``yy``, ``xy_i``, ``xx_i_j`` (j >= i) over complete rows, named
-    with ``prefix``."""
-    ok = y.isNotNull()
-    for x in xs:
-        ok = ok & x.isNotNull()
-    if where is not None:
-        ok = ok & where
-    kept_y, kept = F.when(ok, y), [F.when(ok, x) for x in xs]
-    out = {f"_{prefix}n": F.count_if(ok).cast("double"), f"_{prefix}yy": F.sum(kept_y * y)}
-    for i, a in enumerate(kept):
-        out[f"_{prefix}xy_{i}"] = F.sum(a * y)
+    with ``prefix``. ``xs``, ``y`` and ``where`` are SQL expressions."""
+    known = " AND ".join(f"({e}) IS NOT NULL" for e in (y, *xs))
+    rule = f"FILTER (WHERE {known} AND {where})"
+    out = {f"_{prefix}n": f"CAST(count(*) {rule} AS DOUBLE)", f"_{prefix}yy": f"sum(({y}) * ({y})) {rule}"}
+    for i, a in enumerate(xs):
+        out[f"_{prefix}xy_{i}"] = f"sum(({a}) * ({y})) {rule}"
         for j in range(i, len(xs)):
-            out[f"_{prefix}xx_{i}_{j}"] = F.sum(a * xs[j])
-    return out
+            out[f"_{prefix}xx_{i}_{j}"] = f"sum(({a}) * ({xs[j]})) {rule}"
+    return {name: F.expr(e) for name, e in out.items()}
 
 
 def gram_arrays(k: int, prefix: str = "") -> list[Column]:
@@ -46,7 +42,7 @@ def gram_arrays(k: int, prefix: str = "") -> list[Column]:
     ]
 
 
-def gram(df: DataFrame, keys: Sequence[str], xs: Sequence[Column], y: Column) -> DataFrame:
+def gram(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
     """One row per key: n, yy, xx (k*k), xy (k)."""
     sums = gram_aggregates(xs, y)
     grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])

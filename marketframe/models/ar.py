@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, SYMBOL
 from ..functions.linear import gram_aggregates, gram_arrays, residual_sum, solve_batch
-from ..functions.windows import dot, series
+from ..functions.windows import dot, series, sql_lag, with_sql
 from ..operators.metrics import evaluate
 from ..plans.forecast import business_calendar, last_rows, next_business_day
 
@@ -129,12 +129,12 @@ def fit_orders(
     names = {
         d: [f"_z{d}_{i}" for i in range(1, lags + 1)] + [f"_e{d}_{i}" for i in range(1, ma + 1)] for d in ds
     }
-    lagged = {c: F.lag(c.rpartition("_")[0], int(c.rpartition("_")[2])).over(w) for d in ds for c in names[d]}
-    rows = rows.withColumns(lagged) if lagged else rows
+    lagged = {c: sql_lag(c.rpartition("_")[0], int(c.rpartition("_")[2])) for d in ds for c in names[d]}
+    rows = with_sql(rows, lagged) if lagged else rows
     sums: dict[str, Column] = {}
     for d in ds:
-        xs = ([F.lit(1.0)] if trend else []) + [F.col(c) for c in names[d]]
-        sums |= gram_aggregates(xs, F.col(f"_z{d}"), F.col("_r") >= start, f"d{d}_")
+        xs = (["1D"] if trend else []) + names[d]
+        sums |= gram_aggregates(xs, f"_z{d}", f"_r >= {start}", f"d{d}_")
     size = int(trend) + lags + ma
     packed = [F.struct(F.lit(d).alias("d"), *gram_arrays(size, f"d{d}_")) for d in ds]
     grams = (
@@ -149,15 +149,12 @@ def fit_orders(
 def _with_innovations(rows: DataFrame, ds: list[int], trend: bool) -> DataFrame:
     """``_e0`` / ``_e1``: residuals of a long autoregression of each ``_z``, per
     symbol. One aggregate and one solve serve both differencing orders."""
-    w = series()
     names = {d: [f"_a{d}_{i}" for i in range(1, LONG_AR + 1)] for d in ds}
-    lagged = rows.withColumns(
-        {c: F.lag(f"_z{d}", i + 1).over(w) for d in ds for i, c in enumerate(names[d])}
-    )
-    xs = {d: [F.lit(1.0)] * trend + [F.col(c) for c in names[d]] for d in ds}
+    lagged = with_sql(rows, {c: sql_lag(f"_z{d}", i + 1) for d in ds for i, c in enumerate(names[d])})
+    xs = {d: ["1D"] * trend + names[d] for d in ds}
     sums: dict[str, Column] = {}
     for d in ds:
-        sums |= gram_aggregates(xs[d], F.col(f"_z{d}"), prefix=f"d{d}_")
+        sums |= gram_aggregates(xs[d], f"_z{d}", prefix=f"d{d}_")
     size = LONG_AR + int(trend)
     grams = lagged.groupBy(SYMBOL).agg(*[c.alias(n) for n, c in sums.items()])
     arrays = {d: dict(zip(("n", "yy", "xx", "xy"), gram_arrays(size, f"d{d}_"))) for d in ds}
@@ -176,8 +173,8 @@ def _with_innovations(rows: DataFrame, ds: list[int], trend: bool) -> DataFrame:
 
     schema = f"{SYMBOL} string, " + ", ".join(f"_beta{d} array<double>" for d in ds)
     joined = lagged.join(packed.mapInPandas(solve, schema), SYMBOL, "left")
-    fitted = {d: sum((F.col(f"_beta{d}")[i] * x for i, x in enumerate(xs[d])), F.lit(0.0)) for d in ds}
-    out = joined.withColumns({f"_e{d}": F.col(f"_z{d}") - fitted[d] for d in ds})
+    fitted = {d: " + ".join(f"_beta{d}[{i}] * {x}" for i, x in enumerate(xs[d])) for d in ds}
+    out = with_sql(joined, {f"_e{d}": f"_z{d} - ({fitted[d]})" for d in ds})
     return out.select(*rows.columns, *[f"_e{d}" for d in ds])
 
 
@@ -362,7 +359,7 @@ def _fold_totals(rows: DataFrame, order: Order, lags: list[str], n_splits: int)
     p, d, _ = order
     # First fold whose training part holds the row: row < first + fold * step.
     ahead = F.floor((F.col("_r") - F.col("_first")) / F.col("_step")) + 1
-    sums = gram_aggregates([F.col(c) for c in lags], F.col("_z"))
+    sums = gram_aggregates(lags, "_z")
     seg = (
         rows.withColumn("fold", F.greatest(F.lit(0), ahead).cast("int"))
         .filter(F.col("fold") < n_splits)

@@ -124,8 +124,7 @@ def fit_weights(
         .agg(*[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in models])
         .join(actual, [SYMBOL, DATE])
     )
-    errors = [F.col(m) - F.col("_actual") for m in models]
-    grams = gram(wide, [SYMBOL], errors, F.lit(0.0))
+    grams = gram(wide, [SYMBOL], [f"`{m}` - _actual" for m in models], "0D")
     default = np.array([DEFAULTS.weights.get(m, 0.0) for m in models])
 
     def solve(batches):

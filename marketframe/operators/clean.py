@@ -49,7 +49,7 @@ def business_days(df: DataFrame) -> DataFrame:
     nxt = F.lead(DATE).over(series())
     values = [c for c in df.columns if c not in (SYMBOL, DATE)]
     days = F.explode(
-        F.sequence(F.col(DATE), F.coalesce(F.date_sub(F.col("_next"), 1), F.col(DATE)))
+        F.sequence(F.col(DATE), F.greatest(F.date_sub(F.col("_next"), 1), F.col(DATE)))
     )
     spread = (
         df.withColumn("_next", nxt)
@@ -154,7 +154,11 @@ def fill_calendar(df: DataFrame, limit: int = 3) -> DataFrame:
 
 def clean(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Full cleaning. ``order`` names the columns that decide which row of a
-    repeated day wins; leave it out when (symbol, date) is unique already."""
+    repeated day wins; leave it out when (symbol, date) is unique already. NaN
+    counts as missing."""
+    missing = F.lit(None).cast("double")
+    doubles = double_columns(df)
+    df = df.withColumns({c: F.nanvl(F.col(c), missing) for c in OHLCV if c in doubles})
     if order:
         df = first_per_day(weekdays_only(df), order).drop("_dropped")
     return add_returns(repair_bad_ticks(fill_calendar(df)))

@@ -19,8 +19,10 @@ from ..functions.windows import (
     sample_kurtosis,
     sample_skew,
     series,
+    sql_lag,
     trailing,
     whole,
+    with_sql,
 )
 from .split import temporal_split
 
@@ -259,16 +261,12 @@ def recent_indicators(features: DataFrame, rows: int = TRADING_DAYS) -> DataFram
 def acf(df: DataFrame, col: str = "close", lags: int = 40) -> DataFrame:
     """Autocorrelation at lags 0..``lags`` as (symbol, lag, acf)."""
     known = df.filter(F.col(col).isNotNull())
-    w = series()
     rows = known.withColumn("_c", F.col(col) - F.avg(col).over(whole()))
-    rows = rows.withColumns({f"_{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)})
-    total = F.sum(F.col("_c") * F.col("_c"))
-    terms = [F.lit(1.0).alias("0")] + [
-        (F.sum(F.col("_c") * F.col(f"_{k}")) / nz(total)).alias(str(k)) for k in range(1, lags + 1)
-    ]
-    wide = rows.groupBy(SYMBOL).agg(*terms, F.count("*").alias("_n"))
+    rows = with_sql(rows, {f"_{k}": sql_lag("_c", k) for k in range(1, lags + 1)})
+    terms = ["1D AS `0`"] + [f"sum(_c * _{k}) / nullif(sum(_c * _c), 0D) AS `{k}`" for k in range(1, lags + 1)]
+    wide = rows.groupBy(SYMBOL).agg(*[F.expr(t) for t in terms], F.count("*").alias("_n"))
     names = [str(k) for k in range(lags + 1)]
-    values = F.array(*[F.struct(F.lit(int(c)).alias("lag"), F.col(f"`{c}`").alias("acf")) for c in names])
+    values = F.expr("array(" + ", ".join(f"named_struct('lag', {c}, 'acf', `{c}`)" for c in names) + ")")
     return wide.select(SYMBOL, F.explode(values).alias("v")).select(SYMBOL, "v.lag", "v.acf")
 
 
