@@ -82,7 +82,15 @@ def histogram(spark, sf):
     return eda.histogram(returned(spark, sf)).withColumnRenamed("count", "n")
 
 
-@check("X5_student_t", "symbol n:i df:4 loc:6 scale:6")
+@check(
+    "X5_student_t",
+    "symbol n:i df:4 loc:6 scale:6",
+    f"""WITH {KNOWN},
+m AS (SELECT symbol, count(*) AS n, avg(Log_Return) AS loc, var_samp(Log_Return) AS v, kurtosis_pop(Log_Return) AS k
+      FROM known GROUP BY symbol),
+result AS (SELECT symbol, n, CASE WHEN k > 0 THEN 4 + 6 / k END AS df, loc,
+                  sqrt(v * CASE WHEN k > 0 THEN (2 + 6 / k) / (4 + 6 / k) ELSE 1 END) AS scale FROM m)""",
+)
 def student_t(spark, sf):
     return eda.student_t_fit(returned(spark, sf), "Log_Return")
 

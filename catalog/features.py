@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from marketframe.config import DEFAULTS
+from marketframe.functions.windows import with_sql
 from marketframe.operators import clean as cl
 from marketframe.operators import features as ft
 from marketframe.operators import indicators as ind
@@ -115,7 +116,7 @@ for _mode in ("business", "calendar"):
         per_row({c: calendar_sql(_mode)[c] for c in FLAGS}),
     )
     def month_flags(spark, sf, mode=_mode):
-        return panel(spark, sf).withColumns(ft.month_flags(F.col("date"), mode))
+        return with_sql(panel(spark, sf), ft.month_flags("date", mode))
 
 
 @check("F5_cycles", spec(CYCLES), per_row({c: CALENDAR[c] for c in CYCLES}))
@@ -238,7 +239,27 @@ def normalised(spark, sf):
     return ft.add_normalised(df)
 
 
-@check("F10_model_columns", "position:i name rows:i")
+# The model inputs in their order.
+MODEL_INPUTS = """
+Return Log_Return Price_SMA_5_ratio Price_SMA_10_ratio Price_SMA_20_ratio Price_SMA_50_ratio
+Price_SMA_200_ratio RSI BB_PctB ATR_ratio Stoch_K Stoch_D Williams_R ROC_5 ROC_10 ROC_21 HV_21
+HV_63 Volume_ratio DayOfWeek IsMonthEnd IsMonthStart IsQtrEnd DayOfWeek_sin DayOfWeek_cos
+Month_sin Month_cos LogRet_1d LogRet_2d LogRet_3d LogRet_5d LogRet_10d LogRet_21d
+Log_Return_lag_1 Log_Return_lag_2 Log_Return_lag_3 Log_Return_lag_5 Close_zscore_5
+Close_to_max_5 Close_to_min_5 Close_zscore_10 Close_to_max_10 Close_to_min_10 Close_zscore_20
+Close_to_max_20 Close_to_min_20 Close_zscore_50 Close_to_max_50 Close_to_min_50
+Close_zscore_200 Close_to_max_200 Close_to_min_200 MACD_norm MACD_Signal_norm MACD_Hist_norm
+BB_Width_norm HL_range_pct CO_pct Shadow_Upper_pct Shadow_Lower_pct OBV_trend
+""".split()
+
+
+@check(
+    "F10_model_columns",
+    "position:i name rows:i",
+    f"{FEATURE_SET}, names(position, name) AS (VALUES "
+    + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MODEL_INPUTS))
+    + "), result AS (SELECT position, name, (SELECT count(*) FROM featured) AS rows FROM names)",
+)
 def model_columns(spark, sf):
     """The model-input names, read off the schema, with their position and the
     number of complete rows behind them."""

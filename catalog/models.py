@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketframe.functions.storage import materialise
 from marketframe.models import ar
 from marketframe.models import boosted as bo
 from marketframe.models import ensemble as en
@@ -115,7 +116,41 @@ def update(spark, sf):
     return ar.update_and_predict(bars, new, params, terms=1)
 
 
-@check("A7_walk_forward", "symbol MAE:4 RMSE:4 MAPE:4 Directional_Accuracy:4")
+@check(
+    "A2_order_search_short",
+    "symbol p:i n:i aic:4",
+    f"""WITH {AR_ROWS},
+common AS (SELECT * FROM pairs WHERE z1 IS NOT NULL),
+fits AS (
+  SELECT symbol, 0 AS p, count(*) AS n, count(*) * ln(var_pop(z)) + 2 AS aic FROM common GROUP BY symbol
+  UNION ALL
+  SELECT symbol, 1 AS p, count(*) AS n,
+         count(*) * ln((regr_syy(z, z1) - regr_slope(z, z1) * regr_sxy(z, z1)) / count(*)) + 4 AS aic
+  FROM common GROUP BY symbol),
+result AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY aic, p) = 1)""",
+)
+def order_search_short(spark, sf):
+    return ar.auto_fit(panel(spark, sf), [(0, 1, 0), (1, 1, 0)])
+
+
+@check(
+    "A7_walk_forward",
+    "symbol MAE:3 RMSE:3 MAPE:4",
+    f"""WITH {PANEL},
+d AS (SELECT symbol, date, close, close - lag(close) OVER {SERIES} AS z, row_number() OVER {SERIES} - 1 AS r,
+             count(*) OVER (PARTITION BY symbol) AS n FROM panel),
+l AS (SELECT *, lag(z) OVER {SERIES} AS z1, floor(n * 0.6::DOUBLE) AS f,
+             floor((n - floor(n * 0.6::DOUBLE) - 30) / 5) AS s FROM d),
+folds AS (SELECT l.*, i, f + i * s AS stop FROM l, range(5) AS x(i)),
+phi AS (SELECT symbol, i, sum(z * z1) / sum(z1 * z1) AS phi FROM folds WHERE r < stop AND z1 IS NOT NULL GROUP BY symbol, i),
+ends AS (SELECT symbol, i, close AS last, z AS move, stop FROM folds WHERE r = stop - 1),
+path AS (
+  SELECT a.symbol, a.close AS actual, last + move * phi * (1 - power(phi, a.r - a.stop + 1)) / (1 - phi) AS predicted
+  FROM folds a JOIN ends e ON a.symbol = e.symbol AND a.i = e.i JOIN phi p ON a.symbol = p.symbol AND a.i = p.i
+  WHERE a.r >= a.stop AND a.r < a.stop + 30),
+result AS (SELECT symbol, avg(abs(actual - predicted)) AS MAE, sqrt(avg(power(actual - predicted, 2))) AS RMSE,
+                  avg(abs((actual - predicted) / nullif(actual, 0))) * 100 AS MAPE FROM path GROUP BY symbol)""",
+)
 def walk_forward(spark, sf):
     return ar.walk_forward_cv(panel(spark, sf), (1, 1, 0))
 
@@ -221,9 +256,8 @@ FEATURES = ["Log_Return", "RSI", "BB_PctB", "Stoch_K", "HV_21", "DayOfWeek"]
 def marked(spark, sf):
     """Feature rows with target, split and training marks, written once because a
     fit reads them many times."""
-    fc.use_checkpoints(spark)
     frame = ft.make_model_frame(panel(spark, sf)).select("symbol", "date", "close", *FEATURES)
-    return sp.training_masks(ft.add_target(frame)).checkpoint()
+    return materialise(sp.training_masks(ft.add_target(frame)))
 
 
 @check("G1_boosted_fit", "symbol n:i mean_r:4 std_r:4")

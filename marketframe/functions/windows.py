@@ -125,6 +125,7 @@ def sql_lag(col: str, k: int = 1) -> str:
 
 
 def with_sql(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """``withColumns`` for SQL text."""
     return df.withColumns({name: F.expr(e) for name, e in exprs.items()})
 
 

@@ -50,35 +50,35 @@ def add_rolling_stats(
     return df.withColumns(out)
 
 
-def month_flags(d: Column, mode: str = "business") -> dict[str, Column]:
-    """Month-end, month-start and quarter-end flags.
+def month_flags(d: str = DATE, mode: str = "business") -> dict[str, str]:
+    """Month-end, month-start and quarter-end flags of a date expression.
 
     ``business`` counts the last/first weekday of the month, as a complete
     business-day index does; ``calendar`` counts the calendar day itself, as an
     index without a regular frequency does.
     """
-    last, first = F.last_day(d), F.trunc(d, "month")
+    last, first = f"last_day({d})", f"trunc({d}, 'month')"
     if mode == "business":
-        end = d == F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0)))
-        opening = F.weekday(first)
-        start = d == F.date_add(first, F.when(opening > 4, 7 - opening).otherwise(0))
+        end = f"{d} = date_sub({last}, greatest(weekday({last}) - 4, 0))"
+        start = f"{d} = date_add({first}, IF(weekday({first}) > 4, 7 - weekday({first}), 0))"
     elif mode == "calendar":
-        end, start = d == last, d == first
+        end, start = f"{d} = {last}", f"{d} = {first}"
     else:
         raise ValueError(f"unknown month flag mode {mode!r}")
     return {
-        "IsMonthEnd": end.cast("int"),
-        "IsMonthStart": start.cast("int"),
-        "IsQtrEnd": (end & (F.month(d) % 3 == 0)).cast("int"),
+        "IsMonthEnd": f"CAST({end} AS INT)",
+        "IsMonthStart": f"CAST({start} AS INT)",
+        "IsQtrEnd": f"CAST({end} AND month({d}) % 3 = 0 AS INT)",
     }
 
 
-def calendar_columns(mode: str = "business") -> dict[str, Column]:
+def calendar_columns(mode: str = "business") -> dict[str, str]:
     d, turn = DATE, num(2 * math.pi)
-    text = {
+    return {
         "DayOfWeek": f"weekday({d})",
         "Month": f"month({d})",
         "Quarter": f"quarter({d})",
+        **month_flags(d, mode),
         "WeekOfYear": f"weekofyear({d})",
         "DayOfYear": f"dayofyear({d})",
         "DayOfWeek_sin": f"sin({turn} * weekday({d}) / 5)",
@@ -86,14 +86,10 @@ def calendar_columns(mode: str = "business") -> dict[str, Column]:
         "Month_sin": f"sin({turn} * month({d}) / 12)",
         "Month_cos": f"cos({turn} * month({d}) / 12)",
     }
-    out = {name: F.expr(e) for name, e in text.items()}
-    flags = month_flags(F.col(d), mode)
-    head = ("DayOfWeek", "Month", "Quarter")
-    return {**{c: out[c] for c in head}, **flags, **{c: x for c, x in out.items() if c not in head}}
 
 
 def add_calendar(df: DataFrame, mode: str = "business") -> DataFrame:
-    return df.withColumns(calendar_columns(mode))
+    return with_sql(df, calendar_columns(mode))
 
 
 def add_cumulative_returns(df: DataFrame, lags=DEFAULTS.lags) -> DataFrame:
@@ -164,13 +160,9 @@ def add_features(df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "bus
             distance = sql_ratio("close", f"_{side}_{n}") + " - 1"
             free[f"Close_to_{side}_{n}"] = f"IF(_n >= 1, {distance}, NULL)"
     free |= normalised_columns(have)
-    kept = [c for c in df.columns if not c.startswith("_")]
-    return df.select(
-        *kept,
-        *[F.expr(e).alias(c) for c, e in plain.items()],
-        *[x.alias(c) for c, x in calendar_columns(month_mode).items()],
-        *[F.expr(e).alias(c) for c, e in free.items()],
-    )
+    kept = [f"`{c}`" for c in df.columns if not c.startswith("_")]
+    out = plain | calendar_columns(month_mode) | free
+    return df.selectExpr(*kept, *[f"{e} AS {c}" for c, e in out.items()])
 
 
 def build_feature_set(

@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, TRADING_DAYS, Settings
 from ..functions.ewm import BLOCK_ORDER, Decay, add_blocks, decayed_sums
@@ -285,5 +284,5 @@ def add_indicators(df: DataFrame, cfg: Settings = DEFAULTS, scratch: bool = Fals
     out |= {c: f"IF(_traded, {e}, NULL)" for c, e in volume.items()}
     out |= CANDLES
 
-    kept = [c for c in df.columns if c not in out and (scratch or not c.startswith("_"))]
-    return df.select(*kept, *[F.expr(e).alias(name) for name, e in out.items()])
+    kept = [f"`{c}`" for c in df.columns if c not in out and (scratch or not c.startswith("_"))]
+    return df.selectExpr(*kept, *[f"{e} AS {name}" for name, e in out.items()])

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import logging
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, FORECAST_MODELS, OHLCV, SYMBOL, Settings
+from ..functions.storage import materialise
 from ..functions.windows import finite, pick_rows
 from ..models.ensemble import wide_blend
 from ..operators.features import make_model_frame
@@ -48,15 +48,6 @@ def latest(df: DataFrame) -> DataFrame:
     return pick_rows(df, [SYMBOL], DATE, first=False).select(*df.columns)
 
 
-def use_checkpoints(spark) -> None:
-    """Make sure checkpoints have a folder: the cluster's, else a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-
-
 NextReturn = Callable[[DataFrame], DataFrame]
 
 
@@ -73,13 +64,11 @@ def recursive_forecast(
     return expected after each symbol's last bar. Every step appends one
     synthetic bar per symbol (open = high = low = close, volume = mean of the
     last 20) and rebuilds the features. The loop runs over steps only; each step
-    is one Spark job over every symbol. The pruned history is checkpointed once
-    and then only the appended bars, one row per symbol and step.
+    is one Spark job over every symbol. The pruned history is written once, and
+    then only the appended bars, one row per symbol and step.
     """
-    spark = ohlcv.sparkSession
-    use_checkpoints(spark)
     values = [c for c in OHLCV if c in ohlcv.columns]
-    history = last_rows(ohlcv.select(SYMBOL, DATE, *values), history_rows).checkpoint()
+    history = materialise(last_rows(ohlcv.select(SYMBOL, DATE, *values), history_rows))
     volume = F.avg("volume") if "volume" in values else F.lit(0.0)
     state = (
         last_rows(history, 20)
@@ -98,7 +87,8 @@ def recursive_forecast(
             *[(F.col("_vol") if c == "volume" else close).alias(c) for c in values],
             "_vol",
             F.lit(step).alias("step"),
-        ).checkpoint()
+        )
+        bar = materialise(bar)
         added = bar if added is None else added.unionByName(bar)
     return added.select(SYMBOL, "step", DATE, F.col("close").alias("predicted"))
 
@@ -120,7 +110,7 @@ def forecast_all(
     """Long ``(symbol, date, model, predicted)`` over the available models.
 
     A model that fails is logged and left out; the others go on. ``isolate``
-    runs each job to a checkpoint of its path (one row per symbol and step), so
+    runs each job to a written table of its path (one row per symbol and step), so
     that a failure at run time is caught as well; without it the plan stays lazy.
     """
     parts = []
@@ -130,10 +120,7 @@ def forecast_all(
         try:
             part = jobs[name]()
             part = part.select(SYMBOL, DATE, F.lit(name).alias("model"), "predicted")
-            if isolate:
-                use_checkpoints(part.sparkSession)
-                part = part.checkpoint()
-            parts.append(part)
+            parts.append(materialise(part) if isolate else part)
         except Exception as exc:  # one bad model must not stop the rest
             log.warning("%s forecast failed: %s", name, exc)
     if not parts:

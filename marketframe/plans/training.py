@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, SYMBOL, Settings
+from ..functions.storage import materialise
 from ..models import ar, boosted, ensemble, sequence, trend
 from ..operators.features import (
     add_target,
@@ -17,7 +18,7 @@ from ..operators.features import (
 )
 from ..operators.metrics import actual_vs_predicted, evaluate_split
 from ..operators.split import training_masks
-from .forecast import forecast_all, forecast_table, recursive_forecast, use_checkpoints
+from .forecast import forecast_all, forecast_table, recursive_forecast
 
 MODELS = ("arima", "prophet", "lstm", "xgboost")
 
@@ -45,15 +46,14 @@ def train(
 ) -> TrainingRun:
     """Fit every requested model and score it one step ahead on both later splits.
 
-    The feature frame is written to a checkpoint once: every model reads it, and
+    The feature frame is written once: every model reads it, and
     a lost executor does not send the run back to the raw bars. ``trials`` above
     zero turns on the hyper-parameter search of the boosted model.
     """
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}, choose from {MODELS}")
-    use_checkpoints(clean_bars.sparkSession)
-    frame = training_masks(add_target(build_feature_set(clean_bars, cfg))).checkpoint()
+    frame = materialise(training_masks(add_target(build_feature_set(clean_bars, cfg))))
     cols = model_feature_columns(frame.drop("Target_LogRet"))
     later = F.col("row_no") >= F.col("n_train")
     fitted: dict[str, object] = {}
@@ -88,12 +88,12 @@ def train(
     for name, part in parts.items():
         rows = part.select(SYMBOL, DATE, F.lit(name).alias("model"), "predicted").join(days, [SYMBOL, DATE])
         base = rows if base is None else base.unionByName(rows)
-    base = base.filter(F.col("predicted").isNotNull()).checkpoint()
+    base = materialise(base.filter(F.col("predicted").isNotNull()))
 
     predictions, weights = base, None
     if len(parts) > 1:
         val = frame.filter(F.col("split") == "val")
-        weights = ensemble.fit_weights(base, val, list(parts)).checkpoint()
+        weights = materialise(ensemble.fit_weights(base, val, list(parts)))
         mixed = ensemble.blend(base, weights, compute_ci=False)
         predictions = base.unionByName(
             mixed.select(SYMBOL, DATE, F.lit("ensemble").alias("model"), F.col("ensemble").alias("predicted"))
