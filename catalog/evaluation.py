@@ -285,12 +285,12 @@ def run_log(spark, sf):
     return sinks.run_log(mt.evaluate(aligned(spark, sf)), "r1")
 
 
-FUTURE = f"""{PRED},
-ends AS (SELECT symbol, max(date) AS last_date FROM parts GROUP BY symbol),
+DAYS_AHEAD = """ends AS (SELECT symbol, max(date) AS last_date FROM panel GROUP BY symbol),
 future AS (
   SELECT symbol, last_date, d AS date, row_number() OVER (PARTITION BY symbol ORDER BY d) AS step
   FROM (SELECT symbol, last_date, CAST(unnest(generate_series(last_date + 1, last_date + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM ends)
   WHERE isodow(d) <= 5 QUALIFY step <= 30)"""
+FUTURE = f"{PRED},\n{DAYS_AHEAD}"
 
 
 @check(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketframe.config import ENSEMBLE_WEIGHTS
 from marketframe.functions.storage import materialise
 from marketframe.models import ar
 from marketframe.models import boosted as bo
@@ -16,7 +17,7 @@ from marketframe.plans import forecast as fc
 
 from . import check
 from .bars import BARS, PANEL, bars, panel
-from .evaluation import BASE, FUTURE, predictions
+from .evaluation import BASE, DAYS_AHEAD, FUTURE, PRED, predictions
 from .indicators import SERIES
 
 AR_ROWS = f"""{PANEL},
@@ -320,28 +321,75 @@ def recursive(spark, sf):
 
 
 def _jobs(spark, sf, steps=5):
+    """An autoregression, a path anchored on a given steady trend, and a job that fails."""
     df = panel(spark, sf)
 
+    def steady():
+        yhat = 0.001 * F.datediff("date", F.lit("1995-01-01").cast("date"))
+        bounds = {"yhat": yhat, "yhat_lower": yhat, "yhat_upper": yhat}
+        last = fc.latest(df.select("symbol", "date", "close")).withColumn("yhat", yhat)
+        return tr.anchored_path(last, fc.future_days(df, steps).withColumns(bounds))
+
     def broken():
         raise RuntimeError("no such model")
 
     return {
         "arima": lambda: ar.forecast(df, ar.fit_log(df), steps, terms=1),
-        "prophet": lambda: tr.forecast_path(df, tr.fit(df), steps),
+        "prophet": steady,
         "lstm": broken,
     }
 
 
-@check("H2_fan_out", "symbol date:d model predicted:3")
+FANNED = f"""{PATH},
+{DAYS_AHEAD},
+fanned AS (
+  SELECT f.symbol, f.date, 'arima' AS model, exp(p.mean) AS predicted
+  FROM future f JOIN path p ON f.symbol = p.symbol AND f.step = p.step WHERE f.step <= 5
+  UNION ALL
+  SELECT f.symbol, f.date, 'prophet' AS model, b.close * exp(0.001::DOUBLE * (f.date - f.last_date)) AS predicted
+  FROM future f JOIN panel b ON f.symbol = b.symbol AND f.last_date = b.date WHERE f.step <= 5)"""
+
+
+@check(
+    "H2_fan_out",
+    "symbol date:d model predicted:4",
+    f"WITH {FANNED}, result AS (SELECT * FROM fanned)",
+)
 def fan_out(spark, sf):
     return fc.forecast_all(_jobs(spark, sf))
 
 
-@check("H4_forecast_table", "symbol date:d arima:3 prophet:3 ensemble:3 ci_lower:3 ci_upper:3")
+@check(
+    "H4_forecast_table",
+    "symbol date:d arima:4 prophet:4 ensemble:4 ci_lower:4 ci_upper:4",
+    f"""WITH {FANNED},
+w AS (SELECT *, CASE model WHEN 'arima' THEN {ENSEMBLE_WEIGHTS['arima']}::DOUBLE ELSE {ENSEMBLE_WEIGHTS['prophet']}::DOUBLE END AS w FROM fanned),
+t AS (SELECT symbol, date, max(predicted) FILTER (model = 'arima') AS arima, max(predicted) FILTER (model = 'prophet') AS prophet,
+             sum(w * predicted) / sum(w) AS ensemble, 1.96::DOUBLE * stddev_pop(predicted) AS band FROM w GROUP BY symbol, date),
+result AS (SELECT *, ensemble - band AS ci_lower, ensemble + band AS ci_upper FROM t)""",
+)
 def forecast_table(spark, sf):
     return fc.forecast_table(fc.forecast_all(_jobs(spark, sf)), ["arima", "prophet"])
 
 
+@check(
+    "N1_fit_weights_two",
+    "symbol model weight:5 rmse:5",
+    f"""WITH {PRED},
+e AS (SELECT symbol, arima - actual AS a, lstm - actual AS b FROM pred_wide
+      WHERE split = 'val' AND arima IS NOT NULL AND lstm IS NOT NULL),
+w AS (SELECT symbol, least(greatest(sum(b * (b - a)) / sum((a - b) * (a - b)), 0), 1) AS w FROM e GROUP BY symbol),
+s AS (SELECT e.symbol, any_value(w) AS w, sqrt(avg(power(w * a + (1 - w) * b, 2))) AS rmse
+      FROM e JOIN w ON e.symbol = w.symbol GROUP BY e.symbol),
+result AS (SELECT symbol, 'arima' AS model, w AS weight, rmse FROM s
+           UNION ALL SELECT symbol, 'lstm' AS model, 1 - w AS weight, rmse FROM s)""",
+)
+def fit_weights_two(spark, sf):
+    """Two models have a closed-form optimum on the line between them."""
+    parts = sp.temporal_split(panel(spark, sf)).filter(F.col("split") == "val")
+    return en.fit_weights(predictions(spark, sf, ("arima", "lstm")), parts, ["arima", "lstm"])
+
+
 @check(
     "H6_single_step",
     "symbol date:d predicted:4",
