@@ -14,18 +14,17 @@ from ..functions.windows import running
 
 log = logging.getLogger(__name__)
 
-# Accepted date layouts. The first group carries its own zone
-# offset, the second is a plain date or wall time.
-ZONED_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX")
-PLAIN_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "MM/dd/yyyy",
-    "M/d/yyyy",
-    "MM-dd-yyyy",
-    "yyyy/MM/dd",
-    "MMM d, yyyy",
+# Accepted date layouts as (shape, layout, carries a zone offset).
+DATE_LAYOUTS = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", False),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss", False),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss", False),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd HH:mm:ssXXX", True),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ssXXX", True),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", False),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", False),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", False),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", False),
 )
 
 
@@ -45,14 +44,19 @@ def clean_number(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date of a text in any accepted layout, in UTC when it carries an offset."""
+    """Date of a text in any accepted layout, in UTC when it carries an offset.
+
+    The shape of the text picks the one layout it is parsed with: trying layouts
+    in turn would pay for a failed parse per row and layout.
+    """
     text = F.trim(c.cast("string"))
-    zoned = [
-        F.to_date(F.to_utc_timestamp(F.try_to_timestamp(text, F.lit(f)), F.current_timezone()))
-        for f in ZONED_FORMATS
-    ]
-    plain = [F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in PLAIN_FORMATS]
-    return F.coalesce(*zoned, *plain)
+    out = F.lit(None).cast("date")
+    for shape, layout, zoned in reversed(DATE_LAYOUTS):
+        stamp = F.try_to_timestamp(text, F.lit(layout))
+        if zoned:
+            stamp = F.to_utc_timestamp(stamp, F.current_timezone())
+        out = F.when(text.rlike(shape), F.to_date(stamp)).otherwise(out)
+    return out
 
 
 def canonical(df: DataFrame, default_source: Column | None = None) -> DataFrame:

@@ -66,6 +66,19 @@ def test_offset_dates_are_utc_in_any_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_every_date_layout_is_read(spark):
+    texts = {
+        "2020-01-02": "2020-01-02", "2020-01-02 10:11:12": "2020-01-02", "2020-01-02T10:11:12": "2020-01-02",
+        "2020-01-02 23:00:00-05:00": "2020-01-03", "2020-01-02T23:00:00Z": "2020-01-02",
+        "1/2/2020": "2020-01-02", "12/31/2020": "2020-12-31", "01-02-2020": "2020-01-02",
+        "2020/1/2": "2020-01-02", "Jan 2, 2020": "2020-01-02", " 2020-01-02 ": "2020-01-02",
+        "13/01/2020": None, "2020-02-30": None, "soon": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    got = {r.t: r.d for r in df.select("t", src.parse_date(F.col("t")).cast("string").alias("d")).collect()}
+    assert got == texts
+
+
 def test_bars_round_trip_and_merge(spark, sample, tmp_path):
     path = str(tmp_path / "bars")
     sinks.write_bars(sample.withColumn("source", F.lit("s")), path)
