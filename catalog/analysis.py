@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 
-from pyspark.sql import functions as F
-
 from marketframe.operators import clean as cl
 from marketframe.operators import eda
 

@@ -11,7 +11,7 @@ from marketframe.operators import split as sp
 from marketframe.functions.windows import series
 
 from . import check
-from .bars import BARS, GRID, LINES, PANEL, VALUES, bars, lines, panel, table
+from .bars import BARS, GRID, LINES, PANEL, VALUES, bars, lines, panel
 from .indicators import SERIES, over
 
 OHLCV_SPEC = "symbol date:d " + " ".join(f"{c}:8" for c in VALUES)

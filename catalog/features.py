@@ -16,7 +16,6 @@ from . import check
 from .bars import PANEL, panel
 from .cleaning import RETURNS
 from .indicators import (
-    ATR,
     BOLLINGER,
     CANDLES,
     EMA,

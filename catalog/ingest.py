@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from marketframe.config import SOURCE_PRIORITY
+from marketframe.functions.storage import shared_folder
 from marketframe.sources import csv as src
 from marketframe.sources import sinks
 
 from . import check
-from .bars import BARS, LINES, bars, lines, panel, to_bars
+from .bars import BARS, LINES, bars, lines, panel
 from .cleaning import OHLCV_SPEC, PANEL
 from .indicators import RUN
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder for files a query writes: shared on a cluster, else temporary."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/{name}-{abs(hash(tempfile.mktemp()))}"
+    """A new folder for files a query writes, on the shared storage of the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def as_text(df):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DATE, DEFAULTS, SYMBOL
+from ..config import DEFAULTS, SYMBOL
 from ..functions.windows import series, whole
 from .features import supervised_sequences
 
