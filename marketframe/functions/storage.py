@@ -19,12 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_table(spark: SparkSession) -> str:
+    """Path of a new table in the shared folder."""
+    return f"{shared_folder(spark)}/marketframe-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a result as a table in the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, computes the plan once, keeps the columns
     prunable, and survives the loss of executors.
     """
-    path = f"{shared_folder(df.sparkSession)}/marketframe-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, FORECAST_MODELS, OHLCV, SYMBOL, Settings
-from ..functions.storage import materialise
+from ..functions.storage import materialise, new_table
 from ..functions.windows import finite, pick_rows
 from ..models.ensemble import wide_blend
 from ..operators.features import make_model_frame
@@ -75,21 +75,24 @@ def recursive_forecast(
         .groupBy(SYMBOL)
         .agg(F.max(DATE).alias(DATE), F.max_by("close", DATE).alias("close"), volume.alias("_vol"))
     )
-    added: DataFrame | None = None
+    # Every step is one partition of a single table, so the plan of a late step
+    # reads one relation, not one per earlier step.
+    spark, table = ohlcv.sparkSession, new_table(ohlcv.sparkSession)
+    layout = f"{SYMBOL} string, {DATE} date, {', '.join(f'{c} double' for c in values)}, _vol double, step int"
+    bars, now = history, state
     for step in range(1, steps + 1):
-        bars = history if added is None else history.unionByName(added.select(SYMBOL, DATE, *values))
         r = next_logret(make_model_frame(bars, cfg, "calendar")).select(SYMBOL, "r")
-        now = state if added is None else added.filter(F.col("step") == step - 1).select(*state.columns)
         close = F.col("close") * F.exp(F.coalesce(finite(F.col("r")), F.lit(0.0)))
         bar = now.join(r, SYMBOL, "left").select(
             SYMBOL,
             next_business_day(F.col(DATE)).alias(DATE),
             *[(F.col("_vol") if c == "volume" else close).alias(c) for c in values],
             "_vol",
-            F.lit(step).alias("step"),
         )
-        bar = materialise(bar)
-        added = bar if added is None else added.unionByName(bar)
+        bar.write.parquet(f"{table}/step={step}")
+        added = spark.read.schema(layout).parquet(table)
+        bars = history.unionByName(added.select(SYMBOL, DATE, *values))
+        now = added.filter(F.col("step") == step).select(*state.columns)
     return added.select(SYMBOL, "step", DATE, F.col("close").alias("predicted"))
 
 
