@@ -7,13 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "marketframe-"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one where it names
-    none, as in local tests."""
+    """The folder the cluster names for checkpoints.
+
+    Only a session whose executors are threads of the driver may go without one; it
+    gets a temporary folder. Elsewhere each executor would write to its own disk, so
+    a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -21,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_table(spark: SparkSession) -> str:
     """Path of a new table in the shared folder."""
-    return f"{shared_folder(spark)}/marketframe-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{PREFIX}{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -33,3 +41,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if folder.rsplit("/", 1)[-1].startswith(PREFIX):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
