@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, url_filter
+from . import bpe, jaccard, packing, url_filter
 
-QUERIES = {f.__name__: f for f in (packing.op3_binary_packing, url_filter.op8_url_filter, bpe.op9_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packing.op3_binary_packing,
+        url_filter.op8_url_filter,
+        bpe.op9_byte_bpe,
+        jaccard.op10_jaccard_join,
+    )
+}
 ORACLES = {"op8_url_filter": url_filter.SQL}
