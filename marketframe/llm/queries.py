@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, packing, url_filter
+from . import bpe, fuzzy_lines, jaccard, packing, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op3_binary_packing,
+        fuzzy_lines.op4_fuzzy_lines,
         url_filter.op8_url_filter,
         bpe.op9_byte_bpe,
         jaccard.op10_jaccard_join,
