@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fuzzy_lines, jaccard, packing, url_filter
+from . import bpe, fuzzy_lines, jaccard, matroska, packing, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        matroska.op1_matroska,
         packing.op3_binary_packing,
         fuzzy_lines.op4_fuzzy_lines,
         url_filter.op8_url_filter,
