@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, fuzzy_lines, jaccard, matroska, packing, url_filter
+from . import bpe, cross_entropy, fuzzy_lines, jaccard, matroska, packing, quality, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         matroska.op1_matroska,
+        cross_entropy.op2_cross_entropy,
         packing.op3_binary_packing,
         fuzzy_lines.op4_fuzzy_lines,
+        quality.op5_quality,
         url_filter.op8_url_filter,
         bpe.op9_byte_bpe,
         jaccard.op10_jaccard_join,
