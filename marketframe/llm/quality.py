@@ -2,8 +2,8 @@
 
 A token's index vector is sparse and comes from its hash. Its context vector is the
 sum of the index vectors around it in a bounded sample of labelled documents. A
-document is the mean context vector of its known tokens and the mean index vector of
-all. A network of two layers scores it, with a temperature fitted on rows of the
+document is the mean context vector of its known tokens, the mean index vector of all,
+and how alike its vectors are. A network of two layers scores it, with a temperature fitted on rows of the
 sample that the network did not see.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .batches import chunks, data, table, text_bytes
 from .words import hash_spans, mix
 
-WIDTH, NONZERO, AROUND = 64, 4, 2
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
+WIDTH, NONZERO, AROUND, ECHOES = 64, 4, 2, 4
+HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 64, 3e-3, 1e-3
 THRESHOLD = 0.7
 
 #: Bounds of the fit: labelled rows (those of the smallest hashes of their keys), bytes
@@ -92,7 +92,9 @@ class WordVectors:
         return cls(known, context.astype(np.float32))
 
     def pooled(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """A row's mean context vector of known tokens and mean index vector of all."""
+        """A row's mean context vector of known tokens and mean index vector of all; their
+        lengths, the logarithm of the number of tokens, and the shares of tokens whose
+        vector is that of the one, two, three or four before (text that repeats itself)."""
         n = len(first) - 1
         count = np.maximum(np.diff(first), 1)[:, None]
         row = np.repeat(np.arange(n), np.diff(first))
@@ -108,7 +110,12 @@ class WordVectors:
                 begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
                 context[of[begin]] += np.add.reduceat(self.context[at], begin, axis=0)
                 seen += np.bincount(of, minlength=n)
-        return np.hstack([context / np.maximum(seen, 1)[:, None], index])
+        context /= np.maximum(seen, 1)[:, None]
+        shape = [np.linalg.norm(context, axis=1), np.linalg.norm(index, axis=1), np.log1p(np.diff(first)) / 8]
+        for step in range(1, ECHOES + 1):
+            same = (h[step:] == h[:-step]) & (row[step:] == row[:-step])
+            shape.append(np.bincount(row[step:][same], minlength=n) / count[:, 0])
+        return np.hstack([context, index, np.stack(shape, axis=1)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -154,7 +161,7 @@ class Network:
                     v += 0.001 * (g * g - v)
                     p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         if len(held):
-            raw, t = net.logits(x[held]), np.geomspace(0.25, 16, 97)
+            raw, t = net.logits(x[held]), np.geomspace(0.5, 16, 81)
             loss = [np.logaddexp(0, np.where(y[held] > 0, -raw, raw) / k).sum() for k in t]
             net.temperature = float(t[int(np.argmin(loss))])
         return net
