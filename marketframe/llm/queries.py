@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, cross_entropy, fuzzy_lines, jaccard, matroska, packing, quality, url_filter
+from . import bpe, cross_entropy, fuzzy_lines, jaccard, matroska, packing, quality, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,9 +12,10 @@ QUERIES = {
         packing.op3_binary_packing,
         fuzzy_lines.op4_fuzzy_lines,
         quality.op5_quality,
+        warc.op6_warc,
         url_filter.op8_url_filter,
         bpe.op9_byte_bpe,
         jaccard.op10_jaccard_join,
     )
 }
-ORACLES = {"op8_url_filter": url_filter.SQL}
+ORACLES = {"op6_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
