@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, cross_entropy, fuzzy_lines, jaccard, matroska, packing, quality, url_filter, warc
+from . import ann_forest, bpe, cross_entropy, fuzzy_lines, jaccard, matroska, packing, quality, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         fuzzy_lines.op4_fuzzy_lines,
         quality.op5_quality,
         warc.op6_warc,
+        ann_forest.op7_hash_forest,
         url_filter.op8_url_filter,
         bpe.op9_byte_bpe,
         jaccard.op10_jaccard_join,
