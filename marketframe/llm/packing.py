@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -19,13 +20,17 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 1
 SEQUENCE = 2048
 
-#: Words with the spaces before them. The tokenizer's own splitting never joins two
-#: of these, as long as a text has no white space but the four characters named here.
-WORDS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Words with the spaces before them, cut off before ASCII punctuation. The tokenizer's
+#: own splitting never joins two of these, as long as a text has no white space but the
+#: four characters named here.
+WORDS = re.compile(
+    r"[ \n\t\r]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[!-&(-/:-@\[-`{-~])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+"
+)
 OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 
-#: Words whose ids a worker remembers; it forgets all when there are more.
-REMEMBERED = 400_000
+#: Words of a generation. A worker remembers the ids of two: words seen since the last
+#: change, and those of the time before.
+GENERATION = 300_000
 
 
 class Ids:
@@ -35,17 +40,21 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in coded]
+        return [array("I", x.ids).tobytes() for x in coded]
 
     def of(self, texts: list[str]) -> list[bytes]:
         plain = [not OTHER_SPACE.search(t) for t in texts]
         split = [WORDS.findall(t) if p else () for t, p in zip(texts, plain)]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if len(self.words) > GENERATION:
+            self.words, self.older = {}, self.words
         new = list(set().union(*split) - self.words.keys())
+        before = self.older.get
+        self.words.update((w, ids) for w in new if (ids := before(w)) is not None)
+        new = [w for w in new if w not in self.words]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             self.words.update(zip(some, self.encode(some)))
