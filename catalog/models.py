@@ -37,12 +37,22 @@ params AS MATERIALIZED (
     f"WITH {AR_ROWS}, result AS (SELECT symbol, n, const, phi AS phi1, sigma2, n * ln(sigma2) + 4 AS aic FROM params)",
 )
 def fit_log(spark, sf):
+    return ar.fit_log(panel(spark, sf), last=500).withColumn("phi1", F.col("phi")[0])
+
+
+@check(
+    "A1_fit_log_whole",
+    "symbol n:i const:6 phi1:6 sigma2:6 aic:3",
+    f"WITH {AR_ROWS.replace(' WHERE back <= 500', '')}, result AS (SELECT symbol, n, const, phi AS phi1, sigma2, n * ln(sigma2) + 4 AS aic FROM params)",
+)
+def fit_log_whole(spark, sf):
+    """The same over each symbol's whole history."""
     return ar.fit_log(panel(spark, sf)).withColumn("phi1", F.col("phi")[0])
 
 
 @check("A2_order_search", "symbol p:i d:i q:i n:i aic:4")
 def order_search(spark, sf):
-    return ar.auto_fit(panel(spark, sf))
+    return ar.auto_fit(panel(spark, sf), last=500)
 
 
 @check(
@@ -70,7 +80,7 @@ result AS (SELECT l.symbol, date, exp(y1 + const + phi * (y1 - y2)) AS predicted
 )
 def one_step(spark, sf):
     parts = sp.temporal_split(panel(spark, sf))
-    params = ar.fit_log(panel(spark, sf))
+    params = ar.fit_log(panel(spark, sf), last=500)
     return ar.one_step_predictions(parts, params, terms=1, where=F.col("row_no") >= F.col("n_train"))
 
 
@@ -93,7 +103,7 @@ path AS (
 )
 def forecast(spark, sf):
     bars = panel(spark, sf)
-    return ar.forecast(bars, ar.fit_log(bars), 30, terms=1).withColumn("upper_log", F.ln("upper"))
+    return ar.forecast(bars, ar.fit_log(bars, last=500), 30, terms=1).withColumn("upper_log", F.ln("upper"))
 
 
 @check(
@@ -111,7 +121,7 @@ result AS (
 def update(spark, sf):
     """A new bar one percent above the last close, on the day after it."""
     bars = panel(spark, sf)
-    params = ar.fit_log(bars)
+    params = ar.fit_log(bars, last=500)
     last = bars.groupBy("symbol").agg(F.max("date").alias("d"), F.max_by("close", "date").alias("c"))
     new = last.select("symbol", F.date_add("d", 1).alias("date"), (F.col("c") * 1.01).alias("close"))
     return ar.update_and_predict(bars, new, params, terms=1)
@@ -131,7 +141,7 @@ fits AS (
 result AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY aic, p) = 1)""",
 )
 def order_search_short(spark, sf):
-    return ar.auto_fit(panel(spark, sf), [(0, 1, 0), (1, 1, 0)])
+    return ar.auto_fit(panel(spark, sf), [(0, 1, 0), (1, 1, 0)], last=500)
 
 
 @check(
@@ -334,7 +344,7 @@ def _jobs(spark, sf, steps=5):
         raise RuntimeError("no such model")
 
     return {
-        "arima": lambda: ar.forecast(df, ar.fit_log(df), steps, terms=1),
+        "arima": lambda: ar.forecast(df, ar.fit_log(df, last=500), steps, terms=1),
         "prophet": steady,
         "lstm": broken,
     }

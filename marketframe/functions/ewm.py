@@ -35,6 +35,7 @@ class Decay:
     value: str
     d: float
     seeded: bool = True
+    gain: str | None = None
 
     @classmethod
     def ema(cls, out: str, value: str, span: int) -> "Decay":
@@ -55,8 +56,8 @@ BLOCK_ORDER = f"_b, {DATE}"
 def decayed_sums(df: DataFrame, specs: list[Decay]) -> DataFrame:
     """Add one column per spec; needs the columns of :func:`add_blocks`."""
     for s in specs:
-        if not MIN_DECAY - 1e-12 <= s.d < 1.0:
-            raise ValueError(f"decay {s.d} of {s.out} is outside [1/3, 1)")
+        if s.d and not MIN_DECAY - 1e-12 <= s.d < 1.0:
+            raise ValueError(f"decay {s.d} of {s.out} is neither 0 nor in [1/3, 1)")
     inside = f"OVER (PARTITION BY {SYMBOL}, _b ORDER BY {DATE} ROWS UNBOUNDED PRECEDING)"
     before = (
         f"OVER (PARTITION BY {SYMBOL} ORDER BY {BLOCK_ORDER} "
@@ -64,13 +65,19 @@ def decayed_sums(df: DataFrame, specs: list[Decay]) -> DataFrame:
     )
     local, out = {}, {}
     for s in specs:
+        if not s.d:  # nothing of the past: the value itself
+            out[s.out] = f"CAST({s.value} AS DOUBLE)"
+            continue
         name, d = f"_l_{s.out}", num(s.d)
-        gain = f"IF(_n = 0, 1D, {num(1.0 - s.d)}) * " if s.seeded else ""
+        first = s.gain or "_n = 0"
+        gain = f"IF({first}, 1D, {num(1.0 - s.d)}) * " if s.seeded else ""
         local[name] = f"sum({gain}({s.value}) * power({d}, -_k)) {inside} * power({d}, _k)"
         # Fold over finished blocks: decay what came before, add the block's own sum.
         carry = f"aggregate(_ends, 0D, (acc, e) -> acc * {num(s.d**BLOCK)} + coalesce(e.{name}, 0D))"
         out[s.out] = f"{name} + IF(_b > 0, {carry} * power({d}, _k + 1), 0D)"
     keep = [f"`{c}`" for c in df.columns if c not in out]
+    if not local:
+        return df.selectExpr(*keep, *[f"{e} AS {name}" for name, e in out.items()])
     df = with_sql(df, local)
     ends = f"collect_list(IF(_k = {BLOCK - 1}, struct({', '.join(local)}), NULL))"
     df = df.withColumn("_ends", F.expr(f"{ends} {before}"))
@@ -78,6 +85,23 @@ def decayed_sums(df: DataFrame, specs: list[Decay]) -> DataFrame:
 
 
 def add_ema(df: DataFrame, value: str, spans: dict[str, int]) -> DataFrame:
-    """EMAs of one column, ``{output name: span}``, seeded with its first value."""
-    specs = [Decay.ema(o, value, s) for o, s in spans.items()]
-    return drop_scratch(decayed_sums(add_blocks(df), specs))
+    """EMAs of one column, ``{output name: span}``, seeded with its first known value.
+
+    A row without a value keeps the average before it: the decayed weights of the
+    known values are summed beside the values, and the average is their quotient.
+    Rows before the first known value have none.
+    """
+    df = with_sql(add_blocks(df), {"_known": f"count({value}) OVER (PARTITION BY {SYMBOL} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING)"})
+    first = f"_known = 1 AND {value} IS NOT NULL"
+    specs, out = [], {}
+    for name, span in spans.items():
+        d = Decay.ema(name, value, span).d
+        if not d:
+            out[name] = f"last({value}, true) OVER (PARTITION BY {SYMBOL} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING)"
+            continue
+        specs.append(Decay(f"_s_{name}", f"coalesce({value}, 0D)", d, gain=first))
+        specs.append(Decay(f"_w_{name}", f"IF({value} IS NULL, 0D, 1D)", d, gain=first))
+        out[name] = f"_s_{name} / nullif(_w_{name}, 0D)"
+    if specs:
+        df = decayed_sums(df, specs)
+    return drop_scratch(with_sql(df, out))

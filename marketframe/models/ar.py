@@ -59,6 +59,19 @@ def _ar_form(phi: np.ndarray, theta: np.ndarray, const: float) -> tuple[float, l
     return const / (1.0 + theta.sum()), [float(v) for v in pi]
 
 
+def _invertible(theta: np.ndarray) -> np.ndarray:
+    """The moving average with the same autocorrelations whose roots are all inside the
+    unit circle; roots on it are moved just inside."""
+    roots = np.roots(np.r_[1.0, theta])
+    if not len(roots) or np.max(np.abs(roots)) < 1:
+        return theta
+    outside = np.abs(roots) >= 1
+    roots = np.where(outside, 1 / np.conj(np.where(outside, roots, 1)), roots)
+    size = np.maximum(np.abs(roots), 1e-300)
+    roots = roots * np.minimum(1, (1 - 1e-6) / size)
+    return np.real(np.poly(roots))[1:]
+
+
 def _solve_orders(orders: list[Order], lags: int, ma: int, trend: bool, keys: list[str]):
     """Fit every order from one set of cross products per key and d."""
     head = 1 if trend else 0
@@ -88,8 +101,7 @@ def _solve_orders(orders: list[Order], lags: int, ma: int, trend: bool, keys: li
                 beta, rss, aic = fit(xx, xy, sub["yy"].to_numpy(), n, p, q)
                 for i, key in enumerate(sub[keys].itertuples(index=False)):
                     phi, theta = beta[i, head : head + p], beta[i, head + p :]
-                    if q and np.max(np.abs(np.roots(np.r_[1.0, theta]))) >= 0.98:
-                        continue  # not invertible: no usable autoregressive form
+                    theta = _invertible(theta)
                     const = float(beta[i, 0]) if trend else 0.0
                     c, pi = _ar_form(phi, theta, const)
                     rows.append(
@@ -106,14 +118,15 @@ def fit_orders(
     df: DataFrame,
     orders: list[Order],
     log: bool = True,
-    last: int | None = DEFAULTS.ar_last_rows,
+    last: int | None = None,
     trend: bool = True,
 ) -> DataFrame:
     """One parameter row per symbol and order.
 
     All orders share their cross products: one aggregate per symbol and d, over
     the rows where the longest lag of any order exists. The sample is the same
-    for all of them, so their AIC values are comparable.
+    for all of them, so their AIC values are comparable. ``last`` limits the fit to the
+    latest rows of each symbol; by default the whole history counts.
     """
     rows = _level(last_rows(df, last) if last else df, log)
     lags = max(p for p, _, _ in orders)
@@ -183,8 +196,8 @@ def fit(df: DataFrame, order: Order, log: bool = False, trend: bool = False, las
     return fit_orders(df, [order], log, last, trend)
 
 
-def fit_log(df: DataFrame, order: Order = (1, 1, 0), last: int | None = DEFAULTS.ar_last_rows) -> DataFrame:
-    """Fit a given order on log prices of the last rows, with drift (or a
+def fit_log(df: DataFrame, order: Order = (1, 1, 0), last: int | None = None) -> DataFrame:
+    """Fit a given order on log prices (of the ``last`` rows if given), with drift (or a
     constant when nothing is differenced)."""
     return fit_orders(df, [order], True, last, True)
 
@@ -206,9 +219,11 @@ def select_order(candidates: DataFrame) -> DataFrame:
     return best.select(SYMBOL, "_b.*")
 
 
-def auto_fit(df: DataFrame, orders: list[Order] | None = None, log: bool = True) -> DataFrame:
+def auto_fit(
+    df: DataFrame, orders: list[Order] | None = None, log: bool = True, last: int | None = None
+) -> DataFrame:
     """Order search by AIC over the full grid, one pass per d."""
-    return select_order(fit_orders(df, orders or all_orders(), log))
+    return select_order(fit_orders(df, orders or all_orders(), log, last))
 
 
 def _history(terms: int) -> dict[str, Column]:
@@ -428,7 +443,11 @@ def walk_forward_cv(df: DataFrame, order: Order, n_splits: int = 5, horizon: int
     return evaluate(scored, keys=(SYMBOL,), previous=None)
 
 
-def refit_selected(df: DataFrame, chosen: DataFrame, log: bool = True, last: int | None = DEFAULTS.ar_last_rows) -> DataFrame:
-    """Refit each symbol on its latest rows, with the order chosen for it before."""
+def refit_selected(df: DataFrame, chosen: DataFrame, log: bool = True, last: int | None = None) -> DataFrame:
+    """Refit each symbol with the order chosen for it before; only orders that some
+    symbol has (at most the grid's) are fitted."""
     keys = [SYMBOL, "p", "d", "q"]
-    return fit_orders(df, all_orders(), log, last).join(chosen.select(*keys), keys, "left_semi")
+    orders = [tuple(r) for r in chosen.select("p", "d", "q").distinct().orderBy("p", "d", "q").collect()]
+    if not orders:
+        return chosen.limit(0)
+    return fit_orders(df, orders, log, last).join(chosen.select(*keys), keys, "left_semi")

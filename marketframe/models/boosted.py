@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, SYMBOL, TARGET
+from ..operators.features import VOLUME_FEATURES
 from ..operators.split import time_series_folds
 from ..plans.forecast import NextReturn, latest
 
@@ -27,7 +28,9 @@ SPACE = {
 
 
 def assemble(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Add the ``features`` vector; rows with a missing input are dropped."""
+    """Add the ``features`` vector; rows with a missing input are dropped. Volume
+    features of a series that does not trade count as zero."""
+    df = df.fillna(0.0, [c for c in cols if c in VOLUME_FEATURES])
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, RETURN_SCALE, SYMBOL, TARGET
-from ..operators.features import clip_features
+from ..operators.features import VOLUME_FEATURES, clip_features
 from ..functions.windows import trailing
 from ..operators.split import apply_scaler, fit_scaler
 from ..plans.forecast import NextReturn, last_rows
@@ -35,6 +35,7 @@ def _windows(df: DataFrame, stats: DataFrame, cols: list[str], lookback: int) ->
     Scaled values live in scratch columns, so the caller's columns stay as they
     are and nothing has to be joined back.
     """
+    df = df.fillna(0.0, [c for c in cols if c in VOLUME_FEATURES])
     scratch = {f"_s_{c}": F.col(c).cast("double") for c in cols}
     renamed = stats.select(
         SYMBOL, *[F.col(f"{c}_{part}").alias(f"_s_{c}_{part}") for c in cols for part in ("centre", "scale")]

@@ -153,14 +153,15 @@ def fill_calendar(df: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def clean(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Full cleaning. ``order`` names the columns that decide which row of a
-    repeated day wins; leave it out when (symbol, date) is unique already. NaN
-    counts as missing."""
+    """Full cleaning, one row per symbol and day. ``order`` names the columns that
+    decide which row of a repeated day wins; without it a hash of the row's values
+    does, so the choice is the same in every run. NaN counts as missing."""
     missing = F.lit(None).cast("double")
     doubles = double_columns(df)
-    df = df.withColumns({c: F.nanvl(F.col(c), missing) for c in OHLCV if c in doubles})
-    if order:
-        df = first_per_day(weekdays_only(df), order).drop("_dropped")
+    df = weekdays_only(df.withColumns({c: F.nanvl(F.col(c), missing) for c in OHLCV if c in doubles}))
+    values = [c for c in df.columns if c not in (SYMBOL, DATE)]
+    ranked = df if order else df.withColumn("_pick", F.xxhash64(*values))
+    df = first_per_day(ranked, order or ["_pick"]).drop("_dropped", "_pick")
     return add_returns(repair_bad_ticks(fill_calendar(df)))
 
 
@@ -168,14 +169,17 @@ def nonfinite_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     return df.withColumns({c: finite(F.col(c)) for c in (cols or double_columns(df))})
 
 
+def complete(df: DataFrame, cols: list[str]) -> str:
+    """Condition that no column of ``cols`` is null, NaN or infinite."""
+    doubles = set(double_columns(df))
+    return " AND ".join(
+        f"abs(`{c}`) < double('infinity')" if c in doubles else f"`{c}` IS NOT NULL" for c in cols
+    )
+
+
 def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Drop rows with a null, NaN or infinity in any of ``cols`` (default: all)."""
-    doubles = set(double_columns(df))
-    complete = [
-        f"abs(`{c}`) < double('infinity')" if c in doubles else f"`{c}` IS NOT NULL"
-        for c in (cols or df.columns)
-    ]
-    return df.filter(" AND ".join(complete))
+    return df.filter(complete(df, cols or df.columns))
 
 
 def data_expectations(df: DataFrame, first_year: int = 2000, last_year: int = 2024) -> DataFrame:

@@ -28,7 +28,7 @@ from ..functions.windows import (
     trailing,
     with_sql,
 )
-from .clean import add_returns, drop_incomplete
+from .clean import add_returns, complete, drop_incomplete
 from .indicators import add_indicators
 
 
@@ -140,8 +140,16 @@ def add_normalised(df: DataFrame) -> DataFrame:
     return with_sql(df, normalised_columns(set(df.columns)))
 
 
-def add_features(df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "business") -> DataFrame:
-    """Every feature, rows with gaps included (see :func:`build_feature_set`)."""
+# Features that need a volume: null for a series that never trades.
+VOLUME_FEATURES = ("OBV", "VWAP", "Volume_SMA_20", "Volume_ratio", "OBV_EMA", "OBV_trend")
+
+
+def add_features(
+    df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "business", traded: bool = False
+) -> DataFrame:
+    """Every feature, rows with gaps included (see :func:`build_feature_set`).
+
+    ``traded`` keeps the flag ``_traded`` of series that have a volume."""
     df = add_indicators(df, cfg, scratch=True)
     have = set(df.columns)
     plain = {f"Close_lag_{k}": f"_lag_{k}" for k in cfg.lags}
@@ -160,7 +168,7 @@ def add_features(df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "bus
             distance = sql_ratio("close", f"_{side}_{n}") + " - 1"
             free[f"Close_to_{side}_{n}"] = f"IF(_n >= 1, {distance}, NULL)"
     free |= normalised_columns(have)
-    kept = [f"`{c}`" for c in df.columns if not c.startswith("_")]
+    kept = [f"`{c}`" for c in df.columns if not c.startswith("_") or (traded and c == "_traded")]
     out = plain | calendar_columns(month_mode) | free
     return df.selectExpr(*kept, *[f"{e} AS {c}" for c, e in out.items()])
 
@@ -168,8 +176,17 @@ def add_features(df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "bus
 def build_feature_set(
     df: DataFrame, cfg: Settings = DEFAULTS, month_mode: str = "business"
 ) -> DataFrame:
-    """All features; rows with any missing or non-finite value are dropped."""
-    return drop_incomplete(add_features(df, cfg, month_mode))
+    """All features; rows with a missing or non-finite value are dropped.
+
+    The volume group counts only for series that trade: it stays null for others, and
+    is left out of the result where the bars have no volume column at all.
+    """
+    frame = add_features(df, cfg, month_mode, traded=True)
+    volume = [c for c in VOLUME_FEATURES if c in frame.columns]
+    frame = drop_incomplete(frame, [c for c in frame.columns if c not in (*volume, "_traded")])
+    if "volume" not in df.columns:
+        return frame.drop("_traded", *volume)
+    return frame.filter(f"NOT coalesce(_traded, false) OR ({complete(frame, volume)})").drop("_traded")
 
 
 def make_model_frame(

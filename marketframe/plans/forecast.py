@@ -63,7 +63,8 @@ def recursive_forecast(
     ``next_logret`` takes the feature frame and returns ``(symbol, r)``, the log
     return expected after each symbol's last bar. Every step appends one
     synthetic bar per symbol (open = high = low = close, volume = mean of the
-    last 20) and rebuilds the features. The loop runs over steps only; each step
+    last 20) and rebuilds the features; a symbol without a feature row, for example with
+    too short a history, is an error. The loop runs over steps only; each step
     is one Spark job over every symbol. The pruned history is written once, and
     then only the appended bars, one row per symbol and step.
     """
@@ -81,8 +82,10 @@ def recursive_forecast(
     layout = f"{SYMBOL} string, {DATE} date, {', '.join(f'{c} double' for c in values)}, _vol double, step int"
     bars, now = history, state
     for step in range(1, steps + 1):
-        r = next_logret(make_model_frame(bars, cfg, "calendar")).select(SYMBOL, "r")
-        close = F.col("close") * F.exp(F.coalesce(finite(F.col("r")), F.lit(0.0)))
+        r = next_logret(make_model_frame(bars, cfg, "calendar")).select(SYMBOL, "r", F.lit(True).alias("_known"))
+        absent = F.raise_error(F.concat(F.lit("no feature row at the end of "), F.col(SYMBOL))).cast("double")
+        move = F.when(F.col("_known"), F.coalesce(finite(F.col("r")), F.lit(0.0))).otherwise(absent)
+        close = F.col("close") * F.exp(move)
         bar = now.join(r, SYMBOL, "left").select(
             SYMBOL,
             next_business_day(F.col(DATE)).alias(DATE),

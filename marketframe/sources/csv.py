@@ -17,14 +17,17 @@ log = logging.getLogger(__name__)
 # Accepted date layouts as (shape, layout, carries a zone offset).
 DATE_LAYOUTS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", False),
+    (r"^\d{8}$", "yyyyMMdd", False),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm", False),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss", False),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss", False),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd HH:mm:ssXXX", True),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ssXXX", True),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", False),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", False),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", False),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", False),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d[','] yyyy", False),
+    (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", "MMMM d[','] yyyy", False),
+    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", "d[ ]['-']MMM[ ]['-']yyyy", False),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy", False),
 )
 
 
@@ -50,6 +53,10 @@ def parse_date(c: Column) -> Column:
     in turn would pay for a failed parse per row and layout.
     """
     text = F.trim(c.cast("string"))
+    # A "T" before the time, fractions of a second and offsets without a colon change no day.
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
+    text = F.regexp_replace(text, r"(:\d{2})[.,]\d{1,9}", "$1")
+    text = F.regexp_replace(text, r"(:\d{2}) ?([+-]\d{2})(\d{2})$", "$1$2:$3")
     out = F.lit(None).cast("date")
     for shape, layout, zoned in reversed(DATE_LAYOUTS):
         stamp = F.try_to_timestamp(text, F.lit(layout))
@@ -74,6 +81,13 @@ def canonical(df: DataFrame, default_source: Column | None = None) -> DataFrame:
     return out.filter(F.col(DATE).isNotNull())
 
 
+def unreadable_dates(raw: DataFrame) -> DataFrame:
+    """``date, rows``: the date texts of a standardised raw frame that no layout fits,
+    which :func:`canonical` drops, and how often they occur."""
+    lost = raw.filter(parse_date(F.col(DATE)).isNull())
+    return lost.groupBy(DATE).agg(F.count("*").alias("rows"))
+
+
 def file_stem(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
 
@@ -81,12 +95,13 @@ def file_stem(path: Column) -> Column:
 def read_source(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame | None:
     """One CSV file or folder; None (with a warning) when there is nothing to read.
 
-    The file is read as text without an inference pass. The first row of a day
+    The file is read as text without an inference pass. Files of one folder must have
+    one header: another order of columns is an error, not a silent swap. The first row of a day
     in a file wins; position in the file is its block offset and the row's order
     inside the scan.
     """
     try:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     except AnalysisException as exc:
         log.warning("cannot read %s, skipping: %s", path, exc.getCondition() or exc)
         return None

@@ -179,15 +179,21 @@ def test_holidays_equal_the_federal_calendar(spark):
     assert marked == want
 
 
-def long_predictions(spark, n=50, seed=1):
-    rng = np.random.RandomState(seed)
-    actual = 100 + np.cumsum(rng.randn(n))
-    days = pd.bdate_range("2020-01-01", periods=n).date
-    noise = {"arima": 1.0, "prophet": 1.5, "lstm": 0.8, "xgboost": 1.2}
-    preds = {m: actual + rng.randn(n) * s for m, s in noise.items()}
-    long = pd.concat(
-        [pd.DataFrame({"symbol": "A", "date": days, "model": m, "predicted": p}) for m, p in preds.items()]
-    )
+# Each model's own error: a constant, a wave, a drift and noise.
+ERRORS = {
+    "arima": lambda t, r: 0.7 + 0 * t,
+    "prophet": lambda t, r: 1.1 * np.sin(t / 2.5),
+    "lstm": lambda t, r: 0.04 * (t - t.mean()),
+    "xgboost": lambda t, r: r.uniform(-1.6, 1.6, len(t)),
+}
+
+
+def long_predictions(spark, n=45, seed=31):
+    rng, t = np.random.default_rng(seed), np.arange(n)
+    actual = 25 + 0.3 * t + 2 * np.cos(t / 4)
+    days = pd.bdate_range("2022-02-07", periods=n).date
+    preds = {m: actual + error(t, rng) for m, error in ERRORS.items()}
+    long = pd.concat([pd.DataFrame({"symbol": "A", "date": days, "model": m, "predicted": p}) for m, p in preds.items()])
     bars = pd.DataFrame({"symbol": "A", "date": days, "close": actual})
     return actual, preds, spark.createDataFrame(long), spark.createDataFrame(bars)
 
@@ -224,13 +230,12 @@ def test_blend_uses_the_models_present(spark):
 
 @pytest.fixture(scope="module")
 def tabular(spark):
-    rng = np.random.RandomState(7)
-    n = 400
-    x = rng.randn(n, 3)
-    y = 3 * x[:, 0] - 2 * x[:, 1] + 0.5 * rng.randn(n)
+    """A target with one strong step, one weak slope and one column without effect."""
+    rng, n = np.random.default_rng(90), 420
+    x = rng.uniform(-1, 1, (n, 3))
     days = pd.bdate_range("2018-01-01", periods=n).date
-    pdf = pd.DataFrame({"symbol": "A", "date": days, "close": 100.0, "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2]})
-    pdf["Target_LogRet"] = y
+    pdf = pd.DataFrame({"symbol": "A", "date": days, "close": 40.0, "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2]})
+    pdf["Target_LogRet"] = np.where(x[:, 0] > 0.1, 4.0, -4.0) - 1.5 * x[:, 1] + rng.normal(0, 0.2, n)
     return training_masks(spark.createDataFrame(pdf)).persist()
 
 
