@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import components, neighbours, remaining_pairs, star_pairs
+from .linking import among, components, marked, merged, neighbours, remaining_pairs, star_pairs
 from .words import hash_spans, mix, spans
 
 #: Blocks of 32 bits in a SimHash. Lines that differ in fewer bits have one in common.
@@ -54,19 +54,27 @@ def line_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]]) >> np.uint64(1)
 
 
+#: A byte's eight bits in the eight bytes of a number: adding these counts bits, up to 255 times.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
 def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Four blocks for each line: bit by bit what most of its words' hashes have."""
-    blocks = np.zeros((len(first) - 1, BLOCKS), np.uint32)
-    full = np.flatnonzero(np.diff(first))
+    size = np.diff(first)
+    packed = np.zeros((len(size), 4 * BLOCKS), np.uint8)
+    full = np.flatnonzero(size)
     if not len(full):
-        return blocks
-    count = np.diff(first)[full]
+        return packed.view(np.uint32)
+    parts = -(-size[full] // 255)
+    lead = np.cumsum(parts) - parts
+    start = np.repeat(first[:-1][full], parts) + 255 * (np.arange(parts.sum()) - np.repeat(lead, parts))
     for half in range(BLOCKS // 2):
-        bits = np.unpackbits(mix(words + np.uint64(half)).view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, first[:-1][full], axis=0, dtype=np.int32)
-        packed = np.packbits(2 * votes > count[:, None], axis=1)
-        blocks[full, 2 * half : 2 * half + 2] = packed.view(np.uint32)
-    return blocks
+        h = mix(words + np.uint64(half)).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            lanes = np.add.reduceat(_LANES[h[:, k]], start).view(np.uint8).reshape(-1, 8)
+            votes = np.add.reduceat(lanes, lead, axis=0, dtype=np.int64) if len(start) > len(full) else lanes.astype(np.int64)
+            packed[full, 8 * half + k] = np.packbits(2 * votes > size[full, None], axis=1)[:, 0]
+    return packed.view(np.uint32)
 
 
 def hashed_lines(rows: DataFrame) -> DataFrame:
@@ -111,6 +119,10 @@ def within_edits(x: list, y: list, most: int) -> bool:
     m, n = len(x), len(y)
     if abs(m - n) > most:
         return False
+    # Each word that only one side has takes an edit.
+    mine, yours = set(x), set(y)
+    if max(len(mine - yours), len(yours - mine)) > most:
+        return False
     reach: dict[int, int] = {}
     for edits in range(most + 1):
         after = {}
@@ -145,7 +157,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * (100 - EDITS)
+    return F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * (100 - EDITS)
 
 
 def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,19 +178,21 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     )
     nodes = materialise(nodes)
     keys = F.array(*[F.col(f"block{k}").cast("bigint") * BLOCKS + k for k in range(BLOCKS)])
-    shared = materialise(neighbours(nodes.select("id", "size", F.explode(keys).alias("key"))))
+    postings = nodes.select("id", "size", F.lit(0).alias("place"), F.col("size").alias("rank"), F.explode(keys).alias("key"))
+    shared = materialise(neighbours(postings))
     candidates = materialise(star_pairs(shared, sizes_fit))
 
-    wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("first.*")
+    ids = shared.select("node.id").distinct()
+    wanted = nodes.join(ids, "id", "left_semi").select("first.*")
     wanted = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    words = words_of_lines(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
-    words = materialise(words.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    near = among(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id")
+    words = words_of_lines(near.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
+    words = materialise(words.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     links = materialise(verified(candidates, words))
     found = components(links)
     left = remaining_pairs(shared, found, sizes_fit).join(candidates, ["a", "b"], "left_anti")
-    links = materialise(links.union(verified(left, words)))
-    discard(found, shared, candidates)
-    found = components(links)
+    found = materialise(merged(found, materialise(verified(left, words))))
+    discard(links, shared, candidates, words)
 
     grouped = nodes.select("id", "first", "times").join(found, "id", "left")
     grouped = grouped.where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
@@ -198,18 +212,18 @@ def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     stay or go together. A long text is one line like another. ``documents`` may be
     empty.
     """
-    gone = repeated_lines(documents, key, text).withColumnRenamed(key, "_key")
-    rows = documents.withColumn("_key", F.col(key).cast("bigint")).join(gone.withColumnRenamed("removed", "_gone"), "_key", "left")
+    gone = materialise(repeated_lines(documents, key, text).select(F.col(key).alias("_key"), F.col("removed").alias("_gone")))
+    rows = marked(documents.withColumn("_key", F.col(key).cast("bigint")), gone.select(F.col("_key").alias("id")), "_key")
     parts = F.split(F.col(text), "\n", -1)
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("_lines")
+    clean = rows.where("NOT _maybe").select(*documents.columns, count, F.lit(0).alias("_removed"))
+    touched = rows.where("_maybe").join(gone, "_key", "left").withColumn("_parts", parts)
     stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
-    rows = rows.withColumn("_parts", parts)
-    rows = rows.withColumns({
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest),
-        "_lines": F.when(F.col("_parts").isNull(), 0).otherwise(F.size("_parts")),
-        "_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")),
-    })
-    return rows.select(*documents.columns, "_lines", "_removed")
+    text_left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
+    touched = touched.select(*[text_left.alias(c) if c == text else F.col(c) for c in documents.columns], count, removed.alias("_removed"))
+    return clean.union(touched)
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import components, heads, neighbours, ordered, remaining_pairs, star_pairs
+from .linking import among, components, heads, merged, neighbours, remaining_pairs, star_pairs
 from .words import mix, shingle_sets
 
 WORDS = 5
@@ -28,7 +28,7 @@ BLOCK, REPEATED = 4 << 20, 4
 TOP = np.uint64(1 << 63)
 
 
-def _set_batches(batches, part_of=None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _set_batches(batches) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for part in chunks(batches, "text"):
         yield part, shingle_sets(*data(part.column("text")), WORDS)
 
@@ -72,34 +72,46 @@ def prefix_length(n: int) -> int:
     return n - -(-n * NUM // DEN) + 1
 
 
+def _prefix(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first values of a set in the common order: frequent ones, with the sign bit set, last."""
+    if len(frequent):
+        at = np.searchsorted(frequent, values)
+        often = frequent[np.minimum(at, len(frequent) - 1)] == values
+        values = np.concatenate([values[~often], values[often] | TOP])
+    return values[: prefix_length(len(values))]
+
+
 def signed_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, s1, s2, p1, p2, prefix``: size and signature of each document's set,
-    and signature and values of its prefix; frequent shingles have the sign bit set."""
+    """``doc_id, n, s1, s2, p1, p2``: size and signature of each document's set, and
+    signature of its prefix; zeros for empty sets."""
 
     def run(batches):
         for part, sets in _set_batches(batches):
-            out = []
-            for values in sets:
-                n = len(values)
-                if not n:
-                    out.append((0, 0, 0, 0, 0, None))
-                    continue
-                if len(frequent):
-                    at = np.searchsorted(frequent, values)
-                    often = frequent[np.minimum(at, len(frequent) - 1)] == values
-                    order = np.concatenate([values[~often], values[often] | TOP])
-                else:
-                    order = values
-                prefix = order[: prefix_length(n)]
-                out.append((n, *_signature(values), *_signature(prefix), prefix.view(np.int64)))
+            out = [(len(x), *_signature(x), *_signature(_prefix(x, frequent))) if len(x) else (0,) * 5 for x in sets]
             columns = [part.column(0), pa.array([x[0] for x in out], pa.int32())]
             columns += [pa.array([x[k] for x in out], pa.int64()) for k in range(1, 5)]
-            columns.append(pa.array([x[5] for x in out], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"]
-    kinds = "doc_id bigint, n int, s1 bigint, s2 bigint, p1 bigint, p2 bigint, prefix array<bigint>"
-    return rows.mapInArrow(run, kinds)
+    names = ["doc_id", "n", "s1", "s2", "p1", "p2"]
+    return rows.mapInArrow(run, "doc_id bigint, n int, s1 bigint, s2 bigint, p1 bigint, p2 bigint")
+
+
+def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``doc_id, n, rare, prefix`` of documents with a set; ``rare`` is how many of its
+    values are not frequent, the fewer the nearer it is to what others copy."""
+
+    def run(batches):
+        for part, sets in _set_batches(batches):
+            full = [i for i, x in enumerate(sets) if len(x)]
+            rare = [len(sets[i]) - int(np.isin(sets[i], frequent, assume_unique=True).sum()) for i in full]
+            values = [_prefix(sets[i], frequent).view(np.int64) for i in full]
+            ends = pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32))
+            flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int64))
+            columns = [part.column(0).take(pa.array(full, pa.int64())), pa.array([len(sets[i]) for i in full], pa.int32())]
+            columns += [pa.array(rare, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "rare", "prefix"])
+
+    return rows.mapInArrow(run, "doc_id bigint, n int, rare int, prefix array<bigint>")
 
 
 def _sets_of(rows: DataFrame) -> DataFrame:
@@ -113,8 +125,9 @@ def _sets_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, values binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough."""
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough, as a table. Texts of other
+    documents than theirs are not shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -125,28 +138,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialise(_sets_of(among(rows, ids, "doc_id")))
     left = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    good = materialise(both.mapInArrow(run, "a bigint, b bigint"))
+    discard(sets)
+    return good
 
 
-def sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+def fits(x: Column, y: Column) -> Column:
+    """Whether two nodes that share a prefix value can link if it is the first they share:
+    what stands before it in either set is not common, and the rest must be enough."""
+    least = F.ceil((x["size"] + y["size"]) * NUM / (NUM + DEN))
+    return (x["size"] - x["place"] >= least) & (y["size"] - y["place"] >= least)
 
 
-def places_fit() -> Column:
-    """Whether so many values can be common when the first common one stands there."""
-    least = F.ceil((F.col("l_size") + F.col("r_size")) * NUM / (NUM + DEN))
-    rest = F.least(F.col("l_size") - F.col("l_place"), F.col("r_size") - F.col("r_place"))
-    return rest >= least
+def sizes_fit(x: Column, y: Column) -> Column:
+    return F.least(x["size"], y["size"]) * DEN >= F.greatest(x["size"], y["size"]) * NUM
 
 
 def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` of every row.
 
     1. Documents with one set are a class, classes with one prefix and size a group.
-    2. Each prefix value sorts its groups by size; a group is compared with the first
-       and with the one before it. Verified links give connected groups.
+    2. Each prefix value sorts its groups, those of the fewest rare shingles first; a group
+       is compared with the first and with the one before it. Verified links give
+       connected groups.
     3. Of the pairs that share a prefix value, those not yet connected are expanded to
        members and verified as well. So no link between two components is missed,
        while a group of thousands of near copies costs a few comparisons a member.
@@ -157,9 +176,9 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     get their class's component, null if the class has no other key. Other columns
     are not read. Nothing is cut: whole texts, all pairs of different components.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
-    sets = materialise(signed_sets(rows, frequent_shingles(rows)))
+    frequent = frequent_shingles(rows)
+    sets = materialise(signed_sets(rows, frequent))
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(
         F.min("doc_id").alias("id"), F.first("p1").alias("p1"), F.first("p2").alias("p2")
     )
@@ -170,38 +189,35 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -
 
     # 2. Groups that share a prefix value.
     first = groups.select(F.col("group").alias("doc_id"))
-    prefixes = sets.select("doc_id", "n", "prefix").where("n >= 1").join(first, "doc_id", "left_semi")
-    postings = prefixes.select(
-        F.col("doc_id").alias("id"), F.col("n").alias("size"), F.posexplode("prefix").alias("place", "key")
+    leading = prefixes(rows, frequent).join(first, "doc_id", "left_semi")
+    postings = leading.select(
+        F.col("doc_id").alias("id"), F.col("n").alias("size"), F.col("rare").alias("rank"), F.posexplode("prefix").alias("place", "key")
     )
     common = F.col("key") < 0
     shared = materialise(neighbours(postings, common))
-    candidates = star_pairs(shared, sizes_fit).union(star_pairs(heads(shared, common), sizes_fit))
+    likely = star_pairs(shared, fits).union(star_pairs(heads(shared, common), sizes_fit))
     # Members of a group, each with the group's first.
     several = groups.where("members > 1").select("n", "p1", "p2", "group")
     members = materialise(named.join(several, ["n", "p1", "p2"]).select("id", "group"))
     inside = members.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b"))
-    candidates = materialise(ordered(candidates.union(inside)))
+    candidates = materialise(likely.union(inside).distinct())
 
-    ids = shared.select("id").union(members.select("id")).distinct()
-    wanted = rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    values = materialise(_sets_of(wanted))
-    links = materialise(verified(candidates, values))
+    links = verified(candidates, rows)
     found = components(links)
 
     # 3. What is left between different components, member by member.
-    everyone = shared.select("key", "id", "size", "place")
+    everyone = shared.select("key", "node")
     others = members.where("id != group").withColumnRenamed("id", "member")
-    expanded = everyone.join(others, everyone["id"] == others["group"]).select("key", F.col("member").alias("id"), "size", "place")
-    left = remaining_pairs(everyone.union(expanded), found, sizes_fit, places_fit())
-    inner = members.join(found, "id", "left").select(
-        F.col("group").alias("key"), "id", F.lit(1).alias("size"), F.lit(0).alias("place")
+    expanded = everyone.join(others, everyone["node.id"] == others["group"]).select(
+        "key", F.struct(F.col("member").alias("id"), F.col("node.size").alias("size"), F.col("node.place").alias("place")).alias("node")
     )
-    left = left.union(remaining_pairs(inner, found, sizes_fit))
-    more = verified(left.join(candidates, ["a", "b"], "left_anti"), values)
-    links = materialise(links.union(more))
-    discard(found)
-    found = components(links)
+    inner = members.select(F.col("group").alias("key"), F.struct("id", F.lit(1).alias("size"), F.lit(0).alias("place")).alias("node"))
+    left = remaining_pairs(everyone.union(expanded), found, fits).union(remaining_pairs(inner, found, sizes_fit)).distinct()
+    left = materialise(left.join(candidates, ["a", "b"], "left_anti"))
+    more = verified(left, rows)
+    discard(shared, candidates, left)
+    found = materialise(merged(found, more))
+    discard(links, more, members, groups)
 
     linked = classes.join(found, "id", "left").select(
         "n", "s1", "s2", F.coalesce("component", "id").alias("component")

@@ -1,86 +1,103 @@
 """Linking rows that share keys: candidates without all pairs, and connected groups.
 
-``shared`` tables have a row for each key that a node has in common with another:
-``key, id, size`` (``size`` bounds which nodes can match; equal where it does not).
+A posting says that a node has a key: ``key, id, size, place, rank``. Two nodes can
+match if they share a key and ``fits`` says so of their two ``node`` structs (``id,
+size, place``); ``rank`` orders a key's nodes, those first that are most like others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.storage import discard, materialise
 
+Fits = Callable[[Column, Column], Column]
 
 #: Parts into which the rows of a key are dealt that is known to be common.
 SALT = 64
 
 
 def neighbours(postings: DataFrame, common: Column | None = None) -> DataFrame:
-    """The rows whose key occurs more than once, with the key's first node (``_first``)
-    and the one before (``_before``) in (size, id) order.
+    """``key, node, rank, first, before``: rows whose key occurs more than once, with the
+    key's first node and the one before in (rank, id) order.
 
     One sort by key; a key makes rows, not pairs. Where ``common`` holds, a key's rows
-    are dealt over 64 parts that are sorted one by one; their first nodes are joined to
-    the first of the key by a small second step.
+    are dealt over 64 parts that are sorted one by one, and rows stay also if alone in
+    their part; ``heads`` joins the first nodes of the parts.
     """
-    rows = postings
-    if common is not None:
-        rows = rows.withColumn("_part", F.when(common, F.pmod(F.xxhash64("id"), F.lit(SALT))).otherwise(0).cast("int"))
-    by = ["key"] if common is None else ["key", "_part"]
-    w = Window.partitionBy(*by).orderBy("size", "id")
-    found = rows.withColumns({
-        "_before": F.lag("id").over(w), "_before_size": F.lag("size").over(w), "_after": F.lead("id").over(w),
-        "_first": F.first("id").over(w), "_first_size": F.first("size").over(w),
-    })
-    alone = F.col("_before").isNull() & F.col("_after").isNull()
-    if common is None:
-        return found.where(~alone).drop("_after")
-    return found.where(~alone | common).drop("_after", "_part")
+    rows = postings if "node" in postings.columns else postings.select("key", F.struct("id", "size", "place").alias("node"), "rank")
+    part = F.lit(0) if common is None else F.when(common, F.pmod(F.xxhash64("node.id"), F.lit(SALT))).otherwise(0)
+    rows = rows.withColumn("_part", part.cast("int"))
+    w = Window.partitionBy("key", "_part").orderBy("rank", "node.id")
+    found = rows.withColumns({"before": F.lag("node").over(w), "first": F.first("node").over(w), "_after": F.lead("rank").over(w)})
+    some = F.col("before").isNotNull() | F.col("_after").isNotNull()
+    return found.where(some if common is None else some | common).drop("_after", "_part")
 
 
 def heads(shared: DataFrame, common: Column) -> DataFrame:
     """Rows that join the first nodes of a common key's parts, at most 64 for a key."""
-    first = shared.where(common & F.col("_before").isNull()).select("key", "id", "size")
-    return neighbours(first)
+    return neighbours(shared.where(common & F.col("before").isNull()).select("key", "node", "rank"))
 
 
-def star_pairs(shared: DataFrame, fits) -> DataFrame:
-    """``a, b``: each node with the first of its key and with the one before it, as far
-    as ``fits(size, size)`` allows. Each key makes a path and a star, two pairs a row."""
-    ends = F.array(
-        F.struct(F.col("_first").alias("a"), F.col("_first_size").alias("n")),
-        F.struct(F.col("_before").alias("a"), F.col("_before_size").alias("n")),
-    )
-    pairs = shared.select("id", "size", F.explode(ends).alias("e")).where(F.col("e.a").isNotNull() & (F.col("e.a") != F.col("id")))
-    return ordered(pairs.where(fits(F.col("e.n"), F.col("size"))).select(F.col("e.a").alias("a"), F.col("id").alias("b")))
+def star_pairs(shared: DataFrame, fits: Fits) -> DataFrame:
+    """``a, b``: each node with the first of its key and with the one before it, as far as
+    they fit. Each key makes a path and a star, two pairs a row."""
+    ends = F.array_distinct(F.filter(F.array("first", "before"), lambda e: e.isNotNull()))
+    met = shared.select("node", F.explode(ends).alias("other")).where(F.col("other.id") != F.col("node.id"))
+    return _pairs(met.where(fits(F.col("other"), F.col("node"))))
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node.id", "other.id").alias("a"), F.greatest("node.id", "other.id").alias("b")).distinct()
 
 
-def remaining_pairs(shared: DataFrame, groups: DataFrame, fits, match: Column | None = None) -> DataFrame:
-    """``a, b``: every pair of nodes of one key that are not yet in one group.
+def remaining_pairs(shared: DataFrame, groups: DataFrame, fits: Fits) -> DataFrame:
+    """``a, b``: every pair of nodes that share a key, fit, and are not yet in one group.
 
     ``groups`` has ``id, component`` of the nodes that are in a group with others. In
     each key the largest group is set apart, and only the others' rows meet all rows:
     where most rows of a common key are in one group already, little is left.
-    ``match`` may compare further columns of both sides, named with ``l_`` and ``r_``.
     """
-    rows = shared.drop("_before", "_before_size", "_first", "_first_size")
-    rows = rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = shared.select("key", "node", F.col("node.id").alias("id")).join(groups.select("id", "component"), "id", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "id").alias("component"))
     sized = rows.groupBy("key", "component").agg(F.count("*").alias("_n"))
     top = sized.groupBy("key").agg(F.max_by("component", F.col("_n")).alias("_top"), F.count("*").alias("_groups"))
     rows = rows.join(top.where("_groups > 1").drop("_groups"), "key")
     left = rows.where(F.col("component") != F.col("_top")).drop("_top")
-    left = left.select("key", *[F.col(c).alias(f"l_{c}") for c in left.columns if c != "key"])
-    right = rows.select("key", "_top", *[F.col(c).alias(f"r_{c}") for c in rows.columns if c not in ("key", "_top")])
+    right = rows.select("key", F.col("node").alias("other"), F.col("component").alias("_other"), "_top")
     # Of two rows outside the largest group, the pair is taken once.
-    once = (F.col("r_component") == F.col("_top")) | (F.col("l_id") < F.col("r_id"))
-    apart = (F.col("l_component") != F.col("r_component")) & once & fits(F.col("l_size"), F.col("r_size"))
-    pairs = left.join(right, "key").where(apart if match is None else apart & match)
-    return ordered(pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
+    once = (F.col("_other") == F.col("_top")) | (F.col("node.id") < F.col("other.id"))
+    apart = (F.col("component") != F.col("_other")) & once & fits(F.col("node"), F.col("other"))
+    return _pairs(left.join(right, "key").where(apart))
+
+
+#: Words of a bitmap of keys. It has at most so many rows, so it may be broadcast.
+BITMAP = 1 << 18
+
+
+def marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with column ``_maybe``: false only where ``key`` is not in column ``id`` of ``ids``.
+
+    A bitmap of the ids' hashes, of bounded size, is met where rows are read. So text
+    that no id asks for is not shuffled to a join; as the ids become many, more rows
+    pass, and the join behind it decides.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP * 64))
+    word, mask = (lambda b: F.shiftrightunsigned(b, 6)), (lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int")))
+    bits = ids.select(bit(F.col("id")).alias("_bit")).distinct()
+    bitmap = bits.groupBy(word(F.col("_bit")).alias("_word")).agg(F.bit_or(mask(F.col("_bit"))).alias("_bits"))
+    met = rows.withColumn("_word", word(bit(F.col(key)))).join(F.broadcast(bitmap), "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask(bit(F.col(key)))) != 0, F.lit(False))
+    return met.select(*rows.columns, maybe.alias("_maybe"))
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in column ``id`` of ``ids``."""
+    exact = ids.select(F.col("id").alias(key)).distinct()
+    return marked(rows, ids, key).where("_maybe").drop("_maybe").join(exact, key, "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -106,3 +123,17 @@ def components(links: DataFrame) -> DataFrame:
             break
     discard(edges)
     return labels.drop("_moved")
+
+
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``id, component`` once the links ``more`` (``a, b``) join components of ``found``."""
+    end = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
+    ends = more.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    ends = materialise(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a != b"))
+    if ends.isEmpty():
+        return found
+    joined = components(ends)
+    new = joined.select("id").join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+    names = joined.select(F.col("id").alias("component"), F.col("component").alias("_name"))
+    both = found.select("id", "component").union(new).join(names, "component", "left")
+    return both.select("id", F.coalesce("_name", "component").alias("component"))

@@ -182,6 +182,7 @@ def test_simhash_counts_bits_of_long_lines():
 
 def test_lines_that_differ_in_three_bits_share_a_block(spark):
     assert fuzzy_lines.BLOCKS == 4  # pigeonhole: three differing bits leave one block alone
-    shared = spark.createDataFrame([(1, 10, 5), (1, 11, 5), (1, 12, 9), (2, 10, 5)], "key bigint, id bigint, size int")
-    pairs = linking.star_pairs(linking.neighbours(shared), lambda a, b: F.greatest(a, b) < 6).select("a", "b")
+    postings = spark.createDataFrame([(1, 10, 5), (1, 11, 5), (1, 12, 9), (2, 10, 5)], "key bigint, id bigint, size int")
+    postings = postings.withColumns({"place": F.lit(0), "rank": F.col("size")})
+    pairs = linking.star_pairs(linking.neighbours(postings), lambda a, b: F.greatest(a["size"], b["size"]) < 6)
     assert result(pairs) == [(10, 11)]
