@@ -43,12 +43,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
         for folder in folders:
             if folder.rsplit("/", 1)[-1].startswith(PREFIX):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(spark, folder)

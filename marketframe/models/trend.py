@@ -42,6 +42,7 @@ HOLIDAYS = (
     ("Christmas Day", 12, ("day", 25)),
 )
 FIRST_JUNETEENTH = 2021
+HOLIDAY_YEARS = (1999, 2030)
 
 
 def _nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
@@ -73,7 +74,7 @@ def year_holidays(year: Column) -> Column:
     return F.array(*out)
 
 
-def holiday_table(spark, first_year: int = 1999, last_year: int = 2030) -> DataFrame:
+def holiday_table(spark, first_year: int = HOLIDAY_YEARS[0], last_year: int = HOLIDAY_YEARS[1]) -> DataFrame:
     """(holiday, name, date) between the first and last day of the given years;
     all days carry one ``holiday`` label, so they share one effect."""
     years = spark.range(first_year, last_year + 2).select(F.col("id").cast("int").alias("_y"))
@@ -84,14 +85,14 @@ def holiday_table(spark, first_year: int = 1999, last_year: int = 2030) -> DataF
     )
 
 
-def is_holiday(d: Column) -> Column:
-    """Whether a date is a holiday, by arithmetic on the date (no join).
+def is_holiday(d: Column, years: tuple[int, int] = HOLIDAY_YEARS) -> Column:
+    """Whether a date is a holiday of the given years, by arithmetic on the date (no join).
 
     New Year's Day of the next year can be kept on the last day of this one.
     """
     here = F.exists(year_holidays(F.year(d)), lambda h: h[DATE] == d)
     eve = (F.month(d) == 12) & (F.dayofmonth(d) == 31) & (F.weekday(d) == 4)
-    return F.coalesce(here, F.lit(False)) | eve
+    return (F.coalesce(here, F.lit(False)) | eve) & F.year(d).between(*years)
 
 
 def to_regression_frame(df: DataFrame, log: bool = True, regressors: tuple[str, ...] = ()) -> DataFrame:

@@ -137,9 +137,9 @@ def max_drawdown(df: DataFrame, keys=KEYS, col: str = "strategy_return") -> Data
 
 def average_rank(keys, col: str) -> Column:
     """Rank with ties sharing their mean rank."""
-    w = Window.partitionBy(*keys)
-    ties = F.count("*").over(w.partitionBy(*keys, col))
-    return F.rank().over(w.orderBy(col)) + (ties - 1) / 2.0
+    w = Window.partitionBy(*keys).orderBy(col)
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w) + (ties - 1) / 2.0
 
 
 def _ranks(df: DataFrame, keys) -> DataFrame:

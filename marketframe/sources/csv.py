@@ -56,7 +56,7 @@ def parse_date(c: Column) -> Column:
     # A "T" before the time, fractions of a second and offsets without a colon change no day.
     text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
     text = F.regexp_replace(text, r"(:\d{2})[.,]\d{1,9}", "$1")
-    text = F.regexp_replace(text, r"(:\d{2}) ?([+-]\d{2})(\d{2})$", "$1$2:$3")
+    text = F.regexp_replace(text, r"(:\d{2}) ?([+-]\d{2}):?(\d{2})$", "$1$2:$3")
     out = F.lit(None).cast("date")
     for shape, layout, zoned in reversed(DATE_LAYOUTS):
         stamp = F.try_to_timestamp(text, F.lit(layout))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DATE, SYMBOL
+from ..functions.storage import delete
 from ..models.ar import PI_TERMS, update_and_predict
 from ..plans.forecast import last_rows
 
@@ -29,7 +31,8 @@ def start_online_predictions(
     """For every micro-batch: append the new bars and predict each symbol's next one.
 
     Only the last ``terms + 1`` bars of a symbol are kept, as a table version per
-    batch. Batch ``n`` reads version ``n`` and writes version ``n + 1`` and its
+    batch, and of the versions the last two. A day that arrives again replaces the bar
+    it had; of copies in one batch the highest close counts. Batch ``n`` reads version ``n`` and writes version ``n + 1`` and its
     predictions under its own number, so a batch that runs twice overwrites its
     own result and nothing is counted twice. All paths must be shared storage.
     """
@@ -40,12 +43,15 @@ def start_online_predictions(
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(_version(state_path, number)).select(*COLUMNS)
-        new = batch.select(*COLUMNS)
+        new = batch.groupBy(SYMBOL, DATE).agg(F.max("close").alias("close"))
+        state = state.join(new, [SYMBOL, DATE], "left_anti")
         touched = state.join(new.select(SYMBOL).distinct(), SYMBOL, "left_semi")
         predicted = update_and_predict(touched, new, params, terms=terms)
         predicted.write.mode("overwrite").parquet(f"{output_path}/batch={number}")
         merged = last_rows(state.unionByName(new), keep)
         merged.write.mode("overwrite").parquet(_version(state_path, number + 1))
+        if number > 1:
+            delete(spark, _version(state_path, number - 1))
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_path)
     if available_now:

@@ -47,6 +47,29 @@ def test_sources_are_reconciled(spark, tmp_path):
     assert first.close == 1.5
 
 
+@pytest.mark.parametrize("text", [
+    "2020-03-09", "20200309", "2020-03-09 14:30", "2020-03-09T14:30:05", "2020-03-09 14:30:05.123456", "2020-03-09T14:30:05.5Z",
+    "2020-03-09T14:30:05+0100", "2020-03-09 14:30:05 -05:00", "3/9/2020", "2020/3/9", "Mar 9, 2020", "March 9, 2020", "9 Mar 2020", "9-Mar-2020",
+    "9 March 2020",
+])
+def test_date_layouts(spark, text):
+    df = spark.createDataFrame([(text,)], "Date string")
+    assert df.select(src.parse_date(F.col("Date")).alias("d")).first().d == dt.date(2020, 3, 9)
+
+
+def test_unreadable_dates_are_counted(spark):
+    raw = spark.createDataFrame([("soon", "1"), ("soon", "2"), ("2020-01-02", "3")], "date string, close string")
+    assert [tuple(r) for r in src.unreadable_dates(raw).collect()] == [("soon", 2)]
+
+
+def test_files_of_one_folder_must_share_a_header(spark, tmp_path):
+    (tmp_path / "two").mkdir()
+    put(tmp_path / "two" / "a.csv", "Date,Open,Close\n2020-01-02,1,2\n")
+    put(tmp_path / "two" / "b.csv", "Date,Close,Open\n2020-01-03,2,1\n")
+    with pytest.raises(Exception, match="header"):
+        src.read_source(spark, str(tmp_path / "two"), "A").collect()
+
+
 def test_missing_sources_are_errors(spark, tmp_path):
     with pytest.raises(RuntimeError):
         src.load_sources(spark, {"a": str(tmp_path / "a.csv")})
