@@ -310,7 +310,7 @@ base AS (SELECT p.symbol, p.close FROM parts p JOIN ends e ON p.symbol = e.symbo
 paths AS (
   SELECT f.symbol, f.date, m.model, close * exp(m.drift * f.step) AS predicted
   FROM future f JOIN base USING (symbol)
-  JOIN (VALUES ('arima', 0.0137::DOUBLE), ('lstm', -0.0219::DOUBLE)) m(model, drift) ON TRUE WHERE f.step <= 5),
+  JOIN (VALUES ('arima', 0.0137::DOUBLE), ('lstm', -0.0219::DOUBLE)) m(model, drift) ON TRUE),
 weights(model, w) AS (VALUES {', '.join(f"('{m}', {w}::DOUBLE)" for m, w in W.items())}),
 ens AS (
   SELECT symbol, date, 'ensemble' AS model, sum(w * predicted) / sum(w) AS predicted,
@@ -323,7 +323,7 @@ result AS (
 )
 def forecast_rows(spark, sf):
     """The forecast document, opened up into rows again."""
-    days = fc.future_days(panel(spark, sf), 5)
+    days = fc.future_days(panel(spark, sf), 30)
     last = panel(spark, sf).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
     drift = F.explode(F.array(F.struct(F.lit("arima").alias("model"), F.lit(0.0137).alias("drift")),
                               F.struct(F.lit("lstm").alias("model"), F.lit(-0.0219).alias("drift"))))
@@ -333,5 +333,5 @@ def forecast_rows(spark, sf):
         .select("symbol", "date", F.col("m.model").alias("model"),
                 (F.col("close") * F.exp(F.col("m.drift") * F.col("step"))).alias("predicted"))
     )
-    doc = fc.forecast_document(paths, ["arima", "lstm", "ensemble"], 5, history=panel(spark, sf))
+    doc = fc.forecast_document(paths, ["arima", "lstm", "ensemble"], 30, history=panel(spark, sf))
     return fc.document_rows(doc)

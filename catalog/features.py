@@ -303,43 +303,53 @@ def next_prices(spark, sf):
     return ft.next_prices(df)
 
 
+# Windows of 60 rows, each told by its ends, its sums and a sum weighted by position.
+WINDOW_SPEC = "symbol date:d oldest:8 newest:8 close_sum:5 volume_sum:3 weighted:4"
+
+
+def window_digest(df):
+    """The digest of column ``window``, rows of (close, volume)."""
+    total = lambda value: F.aggregate("window", F.lit(0.0), value)
+    placed = F.transform("window", lambda x, i: x[0] * (i + 1))
+    return df.withColumns({
+        "oldest": F.col("window")[0][0],
+        "newest": F.col("window")[59][0],
+        "close_sum": total(lambda s, x: s + x[0]),
+        "volume_sum": total(lambda s, x: s + x[1]),
+        "weighted": F.aggregate(placed, F.lit(0.0), lambda s, x: s + x),
+    })
+
+
+DIGEST = (
+    "c[1] AS oldest, c[60] AS newest, list_sum(c) AS close_sum, list_sum(v) AS volume_sum, "
+    "list_sum(list_transform(c, lambda x, i: x * i)) AS weighted"
+)
+
+
 @check(
     "F16_lookback_windows",
-    "symbol date:d position:i close:8 volume:6 y:6",
+    f"{WINDOW_SPEC} y:6",
     f"""WITH {PANEL},
 w AS (SELECT symbol, date, 100 * {TARGET_SQL} AS y,
-             list(close) OVER {over(5)} AS c, list(volume) OVER {over(5)} AS v FROM panel),
-result AS (SELECT symbol, date, y, unnest(range(5)) AS position, unnest(c) AS close, unnest(v) AS volume
-           FROM w WHERE len(c) = 5)""",
+             list(close) OVER {over(60)} AS c, list(volume) OVER {over(60)} AS v FROM panel),
+result AS (SELECT symbol, date, y, {DIGEST} FROM w WHERE len(c) = 60)""",
 )
 def lookback(spark, sf):
-    w = ft.lookback_windows(ft.add_target(panel(spark, sf)), ["close", "volume"], 5)
-    return w.select("symbol", "date", "y", F.posexplode("window").alias("position", "x")).select(
-        "symbol", "date", "position", F.col("x")[0].alias("close"), F.col("x")[1].alias("volume"), "y"
-    )
+    return window_digest(ft.lookback_windows(ft.add_target(panel(spark, sf)), ["close", "volume"], 60))
 
 
 @check(
     "F17_sequences",
-    "symbol date:d position:i close:8 volume:6 y1:8 y2:8",
+    f"{WINDOW_SPEC} y1:8 y2:8",
     f"""WITH {PANEL},
 w AS (SELECT symbol, date, close AS y1, lead(close) OVER {SERIES} AS y2,
              list(close) OVER f AS c, list(volume) OVER f AS v
-      FROM panel WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
-result AS (SELECT symbol, date, y1, y2, unnest(range(4)) AS position, unnest(c) AS close, unnest(v) AS volume
-           FROM w WHERE len(c) = 4 AND y2 IS NOT NULL)""",
+      FROM panel WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+result AS (SELECT symbol, date, y1, y2, {DIGEST} FROM w WHERE len(c) = 60 AND y2 IS NOT NULL)""",
 )
 def sequences(spark, sf):
-    w = ft.supervised_sequences(panel(spark, sf), ["close", "volume"], 4, 2)
-    return w.select("symbol", "date", "y", F.posexplode("window").alias("position", "x")).select(
-        "symbol",
-        "date",
-        "position",
-        F.col("x")[0].alias("close"),
-        F.col("x")[1].alias("volume"),
-        F.col("y")[0].alias("y1"),
-        F.col("y")[1].alias("y2"),
-    )
+    w = window_digest(ft.supervised_sequences(panel(spark, sf), ["close", "volume"], 60, 2))
+    return w.withColumns({"y1": F.col("y")[0], "y2": F.col("y")[1]})
 
 
 @check(

@@ -330,7 +330,7 @@ def recursive(spark, sf):
     return fc.recursive_forecast(panel(spark, sf), _damped, steps=3)
 
 
-def _jobs(spark, sf, steps=5):
+def _jobs(spark, sf, steps=30):
     """An autoregression, a path anchored on a given steady trend, and a job that fails."""
     df = panel(spark, sf)
 
@@ -354,10 +354,10 @@ FANNED = f"""{PATH},
 {DAYS_AHEAD},
 fanned AS (
   SELECT f.symbol, f.date, 'arima' AS model, exp(p.mean) AS predicted
-  FROM future f JOIN path p ON f.symbol = p.symbol AND f.step = p.step WHERE f.step <= 5
+  FROM future f JOIN path p ON f.symbol = p.symbol AND f.step = p.step
   UNION ALL
   SELECT f.symbol, f.date, 'prophet' AS model, b.close * exp(0.001::DOUBLE * (f.date - f.last_date)) AS predicted
-  FROM future f JOIN panel b ON f.symbol = b.symbol AND f.last_date = b.date WHERE f.step <= 5)"""
+  FROM future f JOIN panel b ON f.symbol = b.symbol AND f.last_date = b.date)"""
 
 
 @check(

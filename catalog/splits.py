@@ -91,14 +91,14 @@ def inverse(spark, sf):
     f"""WITH {scaled_sql('minmax')},
 w AS (
   SELECT symbol, date, split, close AS y, list(close) OVER f AS c, list(volume) OVER f AS v FROM scaled
-  WINDOW f AS (PARTITION BY symbol, split ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+  WINDOW f AS (PARTITION BY symbol, split ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
 result AS (
   SELECT symbol, split, count(*) AS n, min(date) AS first_date, max(date) AS last_date,
          sum(list_sum(c) + 2 * list_sum(v)) AS window_sum, sum(y) AS y_sum
-  FROM w WHERE len(c) = 10 GROUP BY symbol, split)""",
+  FROM w WHERE len(c) = 60 GROUP BY symbol, split)""",
 )
 def prepared(spark, sf):
-    _, seq, _ = sp.prepare_data(panel(spark, sf), ["volume", "close"], "minmax", 10)
+    _, seq, _ = sp.prepare_data(panel(spark, sf), ["volume", "close"], "minmax", 60)
     total = F.aggregate("window", F.lit(0.0), lambda s, x: s + x[0] + 2 * x[1])
     return seq.groupBy("symbol", "split").agg(
         F.count("*").alias("n"),
