@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
+from .jaccard import SQL_WORDS
 from .words import words
 
 WORD_SHARE, PAIR_SHARE = 1 << 18, 1 << 20
@@ -183,5 +184,39 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str =
 
 
 def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what ``labels`` marks as good; figures to six decimals."""
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    out = cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+def _sql_loss(n: str) -> str:
+    given = f"coalesce({WEIGHT} * k.{n} / greatest(p.{n}, 1), 0)"
+    return f"-ln({given} + coalesce(l.{n}, 1) * (u.{n} + 1) / ((SELECT {n} FROM total) + (SELECT signs FROM size)))"
+
+
+SQL = f"""WITH split AS (
+  SELECT d.doc_id, {SQL_WORDS} AS words, d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents d),
+tokens AS (SELECT doc_id, target, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+vocabulary AS (SELECT word FROM tokens GROUP BY word HAVING count(*) * {WORD_SHARE} >= (SELECT count(*) FROM tokens)),
+size AS (SELECT count(*) + 1 AS signs FROM vocabulary),
+coded AS (SELECT doc_id, target, i, coalesce(v.word, '') AS w FROM tokens t LEFT JOIN vocabulary v ON v.word = t.word),
+pairs AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS h FROM coded),
+counts AS (SELECT h, w, count(*) AS n, count(*) FILTER (target) AS t FROM pairs GROUP BY h, w),
+total AS (SELECT sum(n) AS n, sum(t) AS t FROM counts),
+kept AS (SELECT c.* FROM counts c, total z WHERE c.n * {PAIR_SHARE} >= z.n OR (c.t > 0 AND c.t * {PAIR_SHARE} >= z.t)),
+past AS (SELECT h, sum(n) AS n, sum(t) AS t FROM counts GROUP BY h),
+unigrams AS (SELECT w, sum(n) AS n, sum(t) AS t FROM counts GROUP BY w),
+rest AS (
+  SELECT k.h, 1 - sum({WEIGHT}::DOUBLE * k.n / greatest(p.n, 1)) AS n, 1 - sum({WEIGHT}::DOUBLE * k.t / greatest(p.t, 1)) AS t
+  FROM kept k JOIN past p ON p.h = k.h GROUP BY k.h),
+losses AS (
+  SELECT x.h, x.w, {_sql_loss('t').replace(f'{WEIGHT} *', f'{WEIGHT}::DOUBLE *')} AS t, {_sql_loss('n').replace(f'{WEIGHT} *', f'{WEIGHT}::DOUBLE *')} AS n
+  FROM counts x JOIN past p ON p.h = x.h JOIN unigrams u ON u.w = x.w
+  LEFT JOIN kept k ON k.h = x.h AND k.w = x.w LEFT JOIN rest l ON l.h = x.h),
+means AS (
+  SELECT doc_id, avg(l.t) AS target_loss, avg(l.n) AS background_loss
+  FROM pairs p JOIN losses l ON l.h = p.h AND l.w = p.w GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_tokens, round(target_loss, 6) AS target_loss, round(background_loss, 6) AS background_loss,
+       round(target_loss - background_loss, 6) AS score
+FROM split LEFT JOIN means USING (doc_id)"""

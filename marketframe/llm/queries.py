@@ -19,4 +19,9 @@ QUERIES = {
         jaccard.op10_jaccard_join,
     )
 }
-ORACLES = {"op6_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
+ORACLES = {
+    "op2_cross_entropy": cross_entropy.SQL,
+    "op6_warc": warc.SQL,
+    "op8_url_filter": url_filter.SQL,
+    "op10_jaccard_join": jaccard.SQL,
+}
