@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import among, components, marked, merged, neighbours, remaining_pairs, star_pairs
+from .linking import components, marked, merged, neighbours, remaining_pairs, star_pairs
 from .words import hash_spans, mix, spans
 
 #: Blocks of 32 bits in a SimHash. Lines that differ in fewer bits have one in common.
 BLOCKS = 4
 
-#: Lines link when their words' edit distance is at most this percentage of the longer line's words.
-EDITS = 20
+#: Lines link when they share a block, differ in at most so many bits, and their words'
+#: edit distance is at most this percentage of the longer line's words.
+BITS, EDITS = 12, 20
 
 #: Lines with fewer words are left alone.
 LEAST_WORDS = 4
@@ -78,7 +79,7 @@ def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def hashed_lines(rows: DataFrame) -> DataFrame:
-    """``doc_id, line, id, size, block0..3`` of every line with enough words."""
+    """``doc_id, line, id, size, sim0, sim1`` of every line with enough words."""
 
     def run(batches):
         for part in chunks(batches, "text", 2 << 20):
@@ -88,12 +89,12 @@ def hashed_lines(rows: DataFrame) -> DataFrame:
             ids, blocks = line_hashes(words, first)[keep], simhashes(words, first)[keep]
             columns = [part.column(0).take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32))]
             columns += [pa.array(ids.view(np.int64)), pa.array(size[keep].astype(np.int32))]
-            columns += [pa.array(blocks[:, k].view(np.int32)) for k in range(BLOCKS)]
+            sims = np.ascontiguousarray(blocks).view(np.int64).reshape(-1, 2)
+            columns += [pa.array(np.ascontiguousarray(sims[:, k])) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "line", "id", "size", *[f"block{k}" for k in range(BLOCKS)]]
-    kinds = "doc_id bigint, line int, id bigint, size int, " + ", ".join(f"block{k} int" for k in range(BLOCKS))
-    return rows.mapInArrow(run, kinds)
+    names = ["doc_id", "line", "id", "size", "sim0", "sim1"]
+    return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, sim0 bigint, sim1 bigint")
 
 
 def words_of_lines(rows: DataFrame) -> DataFrame:
@@ -156,8 +157,15 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * (100 - EDITS)
+def fits(x: Column, y: Column) -> Column:
+    bits = sum(F.bit_count(x[c].bitwiseXOR(y[c])) for c in ("sim0", "sim1"))
+    return (F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * (100 - EDITS)) & (bits <= BITS)
+
+
+def blocks_of(sim0: Column, sim1: Column) -> Column:
+    """The four blocks, each with its number, as keys."""
+    halves = [(F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit(0xFFFFFFFF))) for s in (sim0, sim1)]
+    return F.array(*[half * BLOCKS + k for k, half in enumerate(h for pair in halves for h in pair)])
 
 
 def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,7 +173,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     Equal normalised lines are one node. Nodes that share a block of the SimHash are
     compared with the first and the previous of the block, and after that with all
-    they are not connected with. Of each connected group the first occurrence, by key
+    they fit and are not connected with. Of each connected group the first occurrence, by key
     and line number, stays.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
@@ -174,25 +182,30 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     occurrence = F.struct("doc_id", "line")
     nodes = lines.groupBy("id").agg(
         F.min(occurrence).alias("first"), F.count("*").alias("times"), F.first("size").alias("size"),
-        *[F.first(f"block{k}").alias(f"block{k}") for k in range(BLOCKS)],
+        F.first("sim0").alias("sim0"), F.first("sim1").alias("sim1"),
     )
     nodes = materialise(nodes)
-    keys = F.array(*[F.col(f"block{k}").cast("bigint") * BLOCKS + k for k in range(BLOCKS)])
-    postings = nodes.select("id", "size", F.lit(0).alias("place"), F.col("size").alias("rank"), F.explode(keys).alias("key"))
+    keys = F.explode(blocks_of(F.col("sim0"), F.col("sim1")))
+    postings = nodes.select("id", "size", "sim0", "sim1", F.col("size").alias("rank"), keys.alias("key"))
     shared = materialise(neighbours(postings))
-    candidates = materialise(star_pairs(shared, sizes_fit))
-
-    ids = shared.select("node.id").distinct()
-    wanted = nodes.join(ids, "id", "left_semi").select("first.*")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    near = among(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id")
-    words = words_of_lines(near.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
-    words = materialise(words.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    candidates = materialise(star_pairs(shared, fits))
+
+    def worded(pairs: DataFrame) -> DataFrame:
+        """Words of the pairs' lines, read from where they first occur."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = nodes.select("id", "first").join(ids, "id", "left_semi").select("first.*")
+        wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
+        near = marked(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id").where("_maybe")
+        words = words_of_lines(near.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
+        return materialise(words.dropDuplicates(["id"]))
+
+    words = worded(candidates)
     links = materialise(verified(candidates, words))
     found = components(links)
-    left = remaining_pairs(shared, found, sizes_fit).join(candidates, ["a", "b"], "left_anti")
-    found = materialise(merged(found, materialise(verified(left, words))))
-    discard(links, shared, candidates, words)
+    left = materialise(remaining_pairs(shared, found, fits).join(candidates, ["a", "b"], "left_anti"))
+    more = links.limit(0) if left.isEmpty() else materialise(verified(left, worded(left)))
+    found = materialise(merged(found, more))
+    discard(links, shared, candidates, words, left)
 
     grouped = nodes.select("id", "first", "times").join(found, "id", "left")
     grouped = grouped.where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))

@@ -1,8 +1,8 @@
 """Linking rows that share keys: candidates without all pairs, and connected groups.
 
-A posting says that a node has a key: ``key, id, size, place, rank``. Two nodes can
-match if they share a key and ``fits`` says so of their two ``node`` structs (``id,
-size, place``); ``rank`` orders a key's nodes, those first that are most like others.
+A posting says that a node has a key: ``key, id, rank`` and what ``fits`` needs to say
+whether two nodes that share a key can match (it gets structs of these columns);
+``rank`` orders a key's nodes, those first that are most like others.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ def neighbours(postings: DataFrame, common: Column | None = None) -> DataFrame:
     are dealt over 64 parts that are sorted one by one, and rows stay also if alone in
     their part; ``heads`` joins the first nodes of the parts.
     """
-    rows = postings if "node" in postings.columns else postings.select("key", F.struct("id", "size", "place").alias("node"), "rank")
+    inside = [c for c in postings.columns if c not in ("key", "rank")]
+    rows = postings if "node" in inside else postings.select("key", F.struct(*inside).alias("node"), "rank")
     part = F.lit(0) if common is None else F.when(common, F.pmod(F.xxhash64("node.id"), F.lit(SALT))).otherwise(0)
     rows = rows.withColumn("_part", part.cast("int"))
     w = Window.partitionBy("key", "_part").orderBy("rank", "node.id")

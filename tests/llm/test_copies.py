@@ -132,7 +132,8 @@ def brute_lines(rows):
     w, b = [normal(x[2]) for x in lines], [blocks(x[2]) for x in lines]
     links = []
     for i, j in itertools.combinations(range(len(lines)), 2):
-        if w[i] == w[j] or ((b[i] == b[j]).any() and 100 * distance(w[i], w[j]) <= fuzzy_lines.EDITS * max(len(w[i]), len(w[j]))):
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(b[i].tolist(), b[j].tolist()))
+        if w[i] == w[j] or ((b[i] == b[j]).any() and bits <= fuzzy_lines.BITS and 100 * distance(w[i], w[j]) <= fuzzy_lines.EDITS * max(len(w[i]), len(w[j]))):
             links.append((i, j))
     member = defaultdict(list)
     for g, (k, i, _) in zip(groups(len(lines), links), lines):
