@@ -135,12 +135,13 @@ def test_empty_corpora(spark):
 def vectors(spark, n=900, dim=12, seed=2):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)) * rng.uniform(0.2, 3, (n, 1))
-    x[50:250] = x[50]  # one very common vector
-    x[260:300] = x[50] * (1 + 1e-3 * rng.normal(size=(40, dim)))
+    if n > 300:
+        x[50:250] = x[50]  # one very common vector
+        x[260:300] = x[50] * (1 + 1e-3 * rng.normal(size=(40, dim)))
     rows = [(i, [float(np.float32(v)) for v in row], "a", 1.0) for i, row in enumerate(x)]
     rows += [(2000, None, "a", 1.0), (2020, [0.0] * dim, "a", 1.0), (2040, [float("nan")] * dim, "a", 1.0),
              (2060, [float("inf")] + [1.0] * (dim - 1), "a", 1.0), (2080, [None] + [1.0] * (dim - 1), "a", 1.0), (2100, [1.0, 2.0], "a", 1.0),
-             (None, [1.0] * dim, "a", 1.0), rows[20], rows[60]]
+             (None, [1.0] * dim, "a", 1.0), rows[-1], rows[n // 2]]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank string, score double")
     return df, {r[0]: np.array(r[1]) for r in rows[:n]}
 
