@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import among, components, heads, merged, neighbours, remaining_pairs, star_pairs
+from .linking import among, components, merged, neighbours, remaining_pairs, star_pairs
 from .words import mix, shingle_sets
 
 WORDS = 5
@@ -195,7 +195,7 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     )
     common = F.col("key") < 0
     shared = materialise(neighbours(postings, common))
-    likely = star_pairs(shared, fits).union(star_pairs(heads(shared, common), sizes_fit))
+    likely = star_pairs(shared, fits, common)
     # Members of a group, each with the group's first.
     several = groups.where("members > 1").select("n", "p1", "p2", "group")
     members = materialise(named.join(several, ["n", "p1", "p2"]).select("id", "group"))

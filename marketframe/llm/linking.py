@@ -26,7 +26,7 @@ def neighbours(postings: DataFrame, common: Column | None = None) -> DataFrame:
 
     One sort by key; a key makes rows, not pairs. Where ``common`` holds, a key's rows
     are dealt over 64 parts that are sorted one by one, and rows stay also if alone in
-    their part; ``heads`` joins the first nodes of the parts.
+    their part.
     """
     inside = [c for c in postings.columns if c not in ("key", "rank")]
     rows = postings if "node" in inside else postings.select("key", F.struct(*inside).alias("node"), "rank")
@@ -38,17 +38,19 @@ def neighbours(postings: DataFrame, common: Column | None = None) -> DataFrame:
     return found.where(some if common is None else some | common).drop("_after", "_part")
 
 
-def heads(shared: DataFrame, common: Column) -> DataFrame:
-    """Rows that join the first nodes of a common key's parts, at most 64 for a key."""
-    return neighbours(shared.where(common & F.col("before").isNull()).select("key", "node", "rank"))
-
-
-def star_pairs(shared: DataFrame, fits: Fits) -> DataFrame:
-    """``a, b``: each node with the first of its key and with the one before it, as far as
-    they fit. Each key makes a path and a star, two pairs a row."""
-    ends = F.array_distinct(F.filter(F.array("first", "before"), lambda e: e.isNotNull()))
-    met = shared.select("node", F.explode(ends).alias("other")).where(F.col("other.id") != F.col("node.id"))
-    return _pairs(met.where(fits(F.col("other"), F.col("node"))))
+def star_pairs(shared: DataFrame, fits: Fits, common: Column | None = None) -> DataFrame:
+    """``a, b``: each node with the first of its key and, where the key is not ``common``,
+    with the one before it; in a common key with the first of its part and the first of
+    all parts. Two pairs a row at most, as far as they fit."""
+    other = F.explode(F.array_distinct(F.filter(F.array("first", "before"), lambda e: e.isNotNull()))).alias("other")
+    if common is None:
+        met = shared.select("node", other)
+    else:
+        lowest = F.struct("rank", "node.id")
+        top = shared.where(common & F.col("before").isNull()).groupBy("key").agg(F.min_by("node", lowest).alias("top"))
+        hot = shared.where(common).join(top, "key").select("node", F.explode(F.array("first", "top")).alias("other"))
+        met = shared.where(~common).select("node", other).union(hot)
+    return _pairs(met.where((F.col("other.id") != F.col("node.id")) & fits(F.col("other"), F.col("node"))))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
