@@ -194,8 +194,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     good = materialise(chain(found))
     skip, length = F.col("payload_at"), F.col("record") - len(MAGIC) - 4 - F.col("payload_at")
     broken = good.where("NOT whole AND type = 'response'").select("file", "at", "record", length.alias("length"), skip.alias("skip"))
-    rest = gathered(spark, path, broken)
-    rows = good.join(rest, ["file", "at"], "left").withColumn("digest", F.coalesce("digest", "_digest"))
+    rows = good
+    if not broken.isEmpty():
+        rest = gathered(spark, path, broken)
+        rows = good.join(rest, ["file", "at"], "left").withColumn("digest", F.coalesce("digest", "_digest"))
     digest = F.when(F.col("type") == "response", F.col("digest")).otherwise(F.col("stated"))
     return rows.select(
         "page_id", F.col("bytes").alias("payload_bytes"), digest.alias("payload_digest"),
