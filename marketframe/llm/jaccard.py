@@ -214,10 +214,9 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     inner = members.select(F.col("group").alias("key"), F.struct("id", F.lit(1).alias("size"), F.lit(0).alias("place")).alias("node"))
     left = remaining_pairs(everyone.union(expanded), found, fits).union(remaining_pairs(inner, found, sizes_fit)).distinct()
     left = materialise(left.join(candidates, ["a", "b"], "left_anti"))
-    more = verified(left, rows)
-    discard(shared, candidates, left)
+    more = left if left.isEmpty() else verified(left, rows)
     found = materialise(merged(found, more))
-    discard(links, more, members, groups)
+    discard(shared, candidates, left, links, members, groups)
 
     linked = classes.join(found, "id", "left").select(
         "n", "s1", "s2", F.coalesce("component", "id").alias("component")
