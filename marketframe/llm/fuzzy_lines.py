@@ -196,7 +196,8 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
         wanted = nodes.select("id", "first").join(ids, "id", "left_semi").select("first.*")
         wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
         near = marked(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id").where("_maybe")
-        words = words_of_lines(near.join(wanted, "doc_id").select("doc_id", "text", "wanted"))
+        # Merge joins at every size: both lists grow with the corpus, so neither is broadcast.
+        words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"))
         return materialise(words.dropDuplicates(["id"]))
 
     words = worded(candidates)
@@ -211,7 +212,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     grouped = grouped.where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"))
     of_line = grouped.select("id", "component").join(kept, "component").select("id", "kept")
-    gone = lines.select("id", "doc_id", "line").join(of_line, "id").where(occurrence != F.col("kept"))
+    gone = lines.select("id", "doc_id", "line").join(of_line.hint("merge"), "id").where(occurrence != F.col("kept"))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed")).withColumnRenamed("doc_id", key)
 
 
@@ -230,7 +231,7 @@ def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     parts = F.split(F.col(text), "\n", -1)
     count = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("_lines")
     clean = rows.where("NOT _maybe").select(*documents.columns, count, F.lit(0).alias("_removed"))
-    touched = rows.where("_maybe").join(gone, "_key", "left").withColumn("_parts", parts)
+    touched = rows.where("_maybe").join(gone.hint("merge"), "_key", "left").withColumn("_parts", parts)
     stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
     text_left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)

@@ -100,7 +100,7 @@ def marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` is in column ``id`` of ``ids``."""
     exact = ids.select(F.col("id").alias(key)).distinct()
-    return marked(rows, ids, key).where("_maybe").drop("_maybe").join(exact, key, "left_semi")
+    return marked(rows, ids, key).where("_maybe").drop("_maybe").join(exact.hint("merge"), key, "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
