@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise, new_table
 
 from .batches import table, text_bytes
+from .linking import marked
 
 MAGIC, LINE, END = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
 
@@ -35,15 +36,18 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id, payload, n, digest, refers_to``: of equal payloads of ``least`` bytes and
     more, all but those of the largest page id refer to that.
 
-    Copies are counted by digest with map-side combine; page contents are shuffled
-    once, by page, never by digest.
+    Copies are counted by digest with map-side combine. Of the contents, those of pages
+    that refer to others are shuffled, by page and never by digest; the rest is not.
     """
-    rows = pages.withColumns({"n": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
+    rows = pages.withColumn("page_id", F.col("page_id").cast("bigint")).withColumns({"n": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
     narrow = rows.select("page_id", "digest", "n").where((F.col("n") >= least) & F.col("page_id").isNotNull())
     kept = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_copies"))
     other = narrow.join(kept.where("_copies > 1"), ["digest", "n"]).where("page_id != refers_to")
-    other = other.select("page_id", "digest", "refers_to").distinct()
-    return rows.join(other, ["page_id", "digest"], "left")
+    other = materialise(other.select("page_id", "digest", "refers_to").distinct())
+    rows = marked(rows, other.select(F.col("page_id").alias("id")), "page_id")
+    plain = rows.where("NOT _maybe").withColumn("refers_to", F.lit(None).cast("bigint"))
+    again = rows.where("_maybe").join(other.hint("merge"), ["page_id", "digest"], "left")
+    return plain.unionByName(again).drop("_maybe")
 
 
 def records(pages: DataFrame) -> DataFrame:
