@@ -31,7 +31,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand, nearly alike, further up in the corpus; documents
     of which only white space is left go. ``n_chars`` is the length that is left."""
-    left = fuzzy_lines.remove_lines(docs.select(*COLUMNS))
+    left = fuzzy_lines.remove_lines(docs.select(*COLUMNS), whole=True)
     gone = (F.col("_removed") > 0) & F.col("text").rlike(r"^\s*$")
     length = F.when(F.col("_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return left.where(~gone | F.col("text").isNull()).withColumn("n_chars", length).select(*COLUMNS)

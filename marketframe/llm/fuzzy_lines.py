@@ -27,6 +27,10 @@ BITS, EDITS = 12, 20
 #: Lines with fewer words are left alone.
 LEAST_WORDS = 4
 
+#: The most frequent pairs of words, which come last in the order of prefixes: an order,
+#: not a filter. Pairs counted together in a task, and the least count that it reports.
+FREQUENT, BLOCK, REPEATED = 1 << 16, 4 << 20, 4
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -97,6 +101,114 @@ def hashed_lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, sim0 bigint, sim1 bigint")
 
 
+def word_pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The line and a hash of each two words in a row. The second and later occurrence
+    in a line are hashes of their own, so a line's multiset of pairs is a set."""
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(line[1:] == line[:-1])
+    h, line = mix(words[at] + mix(words[at + 1] + np.uint64(1))), line[at]
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    place = np.arange(len(h))
+    again = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
+    return line, np.where(new, h, mix(h + again))
+
+
+def frequent_pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``FREQUENT`` pairs of words, sorted, and the place of each by its count."""
+
+    def run(batches):
+        def report():
+            values, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            often = counts >= REPEATED
+            columns = [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["pair", "count"])
+
+        waiting, n = [], 0
+        for part in chunks(batches, "text", 2 << 20):
+            _, _, first, words = split_lines(*data(part.column("text")))
+            waiting.append(word_pairs(words, first)[1])
+            n += len(waiting[-1])
+            if n >= BLOCK:
+                yield report()
+                waiting, n = [], 0
+        if waiting:
+            yield report()
+
+    counts = rows.mapInArrow(run, "pair bigint, count bigint").groupBy("pair").agg(F.sum("count").alias("count"))
+    top = counts.orderBy(F.desc("count"), "pair").limit(FREQUENT).select("pair").collect()
+    values = np.array([r.pair for r in top], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(values) - 1 - order).astype(np.uint64)
+
+
+def prefix_lengths(size: np.ndarray) -> np.ndarray:
+    """Of two lines within the edit limit, both have a common pair of words among the first
+    so many of their own, in any one order of pairs.
+
+    k edits of the longer line's n words leave n - 1 - 2k of its pairs. So the m - 1
+    pairs of the shorter one hold one of them in the first m - n + 2k + 1; over all n
+    that m words can be within reach of, that is most for n = m or the next n with
+    one edit more.
+    """
+    n = np.arange(int(size.max(initial=0)) + 100 // EDITS + 1)
+    most = 2 * (n * EDITS // 100) + 1 - n
+    best = np.max([most[k : len(n) - 100 // EDITS + k] for k in range(100 // EDITS + 1)], axis=0)
+    return np.clip(size + best[size], 0, np.maximum(size - 1, 0))
+
+
+def prefixes(words: np.ndarray, first: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each line's first pairs of words, and where each line's keys start. Frequent
+    pairs have the sign bit and their place above the hash, so they come last."""
+    line, h = word_pairs(words, first)
+    keys = h >> np.uint64(1)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        often = frequent[at] == h
+        keys[often] = np.uint64(1 << 63) | (places[at[often]] << np.uint64(46)) | (h[often] >> np.uint64(18))
+    order = np.lexsort((keys, line))
+    line, keys = line[order], keys[order]
+    size = np.diff(first)
+    take = np.where(size >= LEAST_WORDS, prefix_lengths(size), 0)
+    keep = np.arange(len(line)) - np.searchsorted(line, line) < take[line]
+    return keys[keep], np.append(0, np.cumsum(np.bincount(line[keep], minlength=len(size))))
+
+
+def word_bits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits for each line, one of which each of its words sets."""
+    out = np.zeros((len(first) - 1, 2), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        bit, half = np.uint64(1) << (words & np.uint64(63)), (words >> np.uint64(6)) & np.uint64(1)
+        for k in (0, 1):
+            out[full, k] = np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), first[:-1][full])
+    return out
+
+
+def keyed_lines(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``doc_id, line, id, size, bits0, bits1, keys`` of every line with enough words."""
+
+    def run(batches):
+        for part in chunks(batches, "text", 2 << 20):
+            row, number, first, words = split_lines(*data(part.column("text")))
+            size = np.diff(first)
+            keep = np.flatnonzero(size >= LEAST_WORDS)
+            bits = word_bits(words, first)[keep].view(np.int64)
+            keys, start = prefixes(words, first, *frequent)
+            # Lines that are not kept have no keys.
+            ends = pa.array(np.append(start[keep], len(keys)).astype(np.int32))
+            columns = [part.column(0).take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32))]
+            columns += [pa.array(line_hashes(words, first)[keep].view(np.int64)), pa.array(size[keep].astype(np.int32))]
+            columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in (0, 1)]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "line", "id", "size", "bits0", "bits1", "keys"]
+    return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, bits0 bigint, bits1 bigint, keys array<bigint>")
+
+
 def words_of_lines(rows: DataFrame) -> DataFrame:
     """``id, words``: the word hashes of the lines that column ``wanted`` numbers."""
 
@@ -162,33 +274,48 @@ def fits(x: Column, y: Column) -> Column:
     return (F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * (100 - EDITS)) & (bits <= BITS)
 
 
+def may_link(x: Column, y: Column) -> Column:
+    """Whether two lines can be within the edit limit by their sizes and the bits of their
+    words: each word that only one side has takes an edit, and so does each bit."""
+    longer = F.greatest(x["size"], y["size"])
+    most = F.floor(longer * EDITS / 100)
+    alone = lambda p, q: sum(F.bit_count(p[c].bitwiseAND(F.bitwise_not(q[c]))) for c in ("bits0", "bits1"))
+    return (longer - F.least(x["size"], y["size"]) <= most) & (alone(x, y) <= most) & (alone(y, x) <= most)
+
+
 def blocks_of(sim0: Column, sim1: Column) -> Column:
     """The four blocks, each with its number, as keys."""
     halves = [(F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit(0xFFFFFFFF))) for s in (sim0, sim1)]
     return F.array(*[half * BLOCKS + k for k, half in enumerate(h for pair in halves for h in pair)])
 
 
-def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``key, removed``: the numbers of the lines to remove, of documents that have any.
 
-    Equal normalised lines are one node. Nodes that share a block of the SimHash are
-    compared with the first and the previous of the block, and after that with all
-    they fit and are not connected with. Of each connected group the first occurrence, by key
-    and line number, stays.
+    Equal normalised lines are one node. Nodes that share a key are compared with the
+    first and the previous of the key, and after that with all they fit and are not
+    connected with. Of each connected group the first occurrence, by key and line
+    number, stays.
+
+    With ``whole`` the edit limit alone decides what links: keys are the rarest pairs of
+    words, as many as it takes for any two lines within the limit to share one. Without,
+    keys are the blocks of the SimHash, and lines that share none are not compared.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull())
-    lines = materialise(hashed_lines(rows))
+    lines = materialise(keyed_lines(rows, frequent_pairs(rows)) if whole else hashed_lines(rows))
+    features = ["size", "bits0", "bits1"] if whole else ["size", "sim0", "sim1"]
     occurrence = F.struct("doc_id", "line")
     nodes = lines.groupBy("id").agg(
-        F.min(occurrence).alias("first"), F.count("*").alias("times"), F.first("size").alias("size"),
-        F.first("sim0").alias("sim0"), F.first("sim1").alias("sim1"),
+        F.min(occurrence).alias("first"), F.count("*").alias("times"),
+        *[F.first(c).alias(c) for c in (*features, *(["keys"] if whole else []))],
     )
     nodes = materialise(nodes)
-    keys = F.explode(blocks_of(F.col("sim0"), F.col("sim1")))
-    postings = nodes.select("id", "size", "sim0", "sim1", F.col("size").alias("rank"), keys.alias("key"))
-    shared = materialise(neighbours(postings))
-    candidates = materialise(star_pairs(shared, fits))
+    keys = F.explode("keys" if whole else blocks_of(F.col("sim0"), F.col("sim1")))
+    postings = nodes.select("id", *features, F.col("size").alias("rank"), keys.alias("key"))
+    fit, common = (may_link, F.col("key") < 0) if whole else (fits, None)
+    shared = materialise(neighbours(postings, common))
+    candidates = materialise(star_pairs(shared, fit, common))
 
     def worded(pairs: DataFrame) -> DataFrame:
         """Words of the pairs' lines, read from where they first occur."""
@@ -203,7 +330,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     words = worded(candidates)
     links = materialise(verified(candidates, words))
     found = components(links)
-    left = materialise(remaining_pairs(shared, found, fits).join(candidates, ["a", "b"], "left_anti"))
+    left = materialise(remaining_pairs(shared, found, fit).join(candidates, ["a", "b"], "left_anti"))
     more = links.limit(0) if left.isEmpty() else materialise(verified(left, worded(left)))
     found = materialise(merged(found, more))
     discard(links, shared, candidates, words, left)
@@ -216,9 +343,9 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed")).withColumnRenamed("doc_id", key)
 
 
-def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """The documents with their repeated lines removed, and the columns ``_lines`` (how
-    many there were) and ``_removed``.
+    many there were) and ``_removed``. For ``whole`` see ``repeated_lines``.
 
     Lines end at a line feed. All other columns and all rows stay, also those that are
     left with no line (an empty text). A null text stays null, and a row with a null
@@ -226,7 +353,7 @@ def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     stay or go together. A long text is one line like another. ``documents`` may be
     empty.
     """
-    gone = materialise(repeated_lines(documents, key, text).select(F.col(key).alias("_key"), F.col("removed").alias("_gone")))
+    gone = materialise(repeated_lines(documents, key, text, whole).select(F.col(key).alias("_key"), F.col("removed").alias("_gone")))
     rows = marked(documents.withColumn("_key", F.col(key).cast("bigint")), gone.select(F.col("_key").alias("id")), "_key")
     parts = F.split(F.col(text), "\n", -1)
     count = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("_lines")
@@ -241,5 +368,5 @@ def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_lines(table(spark, sf_dir, "documents"))
+    out = remove_lines(table(spark, sf_dir, "documents"), whole=True)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
