@@ -38,16 +38,42 @@ _FOLD[0x41:0x5B] += 0x20
 _FOLD[0x30:0x3A] = 0x30
 
 
-def split_lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the characters of scripts without spaces: Thai, Lao, Tibetan,
+    Myanmar, Khmer, kana and Han."""
+    at = np.flatnonzero(buf[: max(len(buf) - 2, 0)] >= 0xE0)
+    lead, next_ = buf[at], buf[at + 1]
+    between = lambda b, low, high: (lead == b) & (next_ >= low) & (next_ <= high)
+    found = between(0xE0, 0xB8, 0xBF) | between(0xE1, 0x80, 0x81) | (between(0xE1, 0x82, 0x82) & (buf[at + 2] < 0xA0))
+    found |= between(0xE1, 0x9E, 0x9F) | between(0xE2, 0xBA, 0xBF) | ((lead >= 0xE3) & (lead <= 0xE9))
+    found |= between(0xEF, 0xA4, 0xAB) | between(0xEF, 0xBD, 0xBE) | between(0xF0, 0xA0, 0xBF)
+    at = at[found]
+    return at, np.minimum(at + 3 + (buf[at] >= 0xF0), len(buf))
+
+
+def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words; each character of a script without spaces is one."""
+    inside = _WORD[buf]
+    start, end = spans(inside, off)
+    at, after = unspaced(buf)
+    if len(at):
+        after = after[after < len(buf)]
+        start = np.unique(np.concatenate([start, at, after[inside[after]]]))
+        end = np.minimum(end[np.searchsorted(end, start, "right")], np.append(start[1:], len(buf)))
+    return start, end
+
+
+def split_lines(buf: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each line of each row: the row, its number there and where its words start
-    (one more than lines); and the hashes of all words."""
+    (one more than lines); and the hashes of all words. With ``whole``, characters of
+    scripts without spaces are words."""
     breaks = np.flatnonzero(buf == 0x0A)
     row = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, breaks, "right") - 1])
     start = np.concatenate([off[:-1], breaks + 1])
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    at, end = spans(_WORD[buf], off)
+    at, end = word_spans(buf, off) if whole else spans(_WORD[buf], off)
     first = np.append(np.searchsorted(at, start), len(at))
     return row, number, first, hash_spans(_FOLD[buf], at, end)
 
@@ -128,7 +154,7 @@ def frequent_pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         waiting, n = [], 0
         for part in chunks(batches, "text", 2 << 20):
-            _, _, first, words = split_lines(*data(part.column("text")))
+            _, _, first, words = split_lines(*data(part.column("text")), whole=True)
             waiting.append(word_pairs(words, first)[1])
             n += len(waiting[-1])
             if n >= BLOCK:
@@ -188,16 +214,17 @@ def word_bits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def keyed_lines(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, line, id, size, bits0, bits1, keys`` of every line with enough words."""
+    """``doc_id, line, id, size, bits0, bits1, keys`` of every line with a word;
+    lines with fewer than ``LEAST_WORDS`` have no keys."""
 
     def run(batches):
         for part in chunks(batches, "text", 2 << 20):
-            row, number, first, words = split_lines(*data(part.column("text")))
+            row, number, first, words = split_lines(*data(part.column("text")), whole=True)
             size = np.diff(first)
-            keep = np.flatnonzero(size >= LEAST_WORDS)
+            keep = np.flatnonzero(size)
             bits = word_bits(words, first)[keep].view(np.int64)
             keys, start = prefixes(words, first, *frequent)
-            # Lines that are not kept have no keys.
+            # Lines without a word have no keys.
             ends = pa.array(np.append(start[keep], len(keys)).astype(np.int32))
             columns = [part.column(0).take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32))]
             columns += [pa.array(line_hashes(words, first)[keep].view(np.int64)), pa.array(size[keep].astype(np.int32))]
@@ -209,12 +236,12 @@ def keyed_lines(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, bits0 bigint, bits1 bigint, keys array<bigint>")
 
 
-def words_of_lines(rows: DataFrame) -> DataFrame:
+def words_of_lines(rows: DataFrame, whole: bool = False) -> DataFrame:
     """``id, words``: the word hashes of the lines that column ``wanted`` numbers."""
 
     def run(batches):
         for part in chunks(batches, "text", 2 << 20):
-            row, number, first, words = split_lines(*data(part.column("text")))
+            row, number, first, words = split_lines(*data(part.column("text")), whole)
             ids = line_hashes(words, first).view(np.int64)
             start = np.searchsorted(row, np.arange(part.num_rows))
             lines = [start[i] + x for i, want in enumerate(part.column("wanted").to_pylist()) for x in want]
@@ -298,7 +325,8 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     number, stays.
 
     With ``whole`` the edit limit alone decides what links: keys are the rarest pairs of
-    words, as many as it takes for any two lines within the limit to share one. Without,
+    words, as many as it takes for any two lines within the limit to share one; equal lines
+    of any number of words are one node. Without,
     keys are the blocks of the SimHash, and lines that share none are not compared.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
@@ -324,7 +352,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
         wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
         near = marked(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id").where("_maybe")
         # Merge joins at every size: both lists grow with the corpus, so neither is broadcast.
-        words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"))
+        words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"), whole)
         return materialise(words.dropDuplicates(["id"]))
 
     words = worded(candidates)

@@ -18,7 +18,7 @@ from marketframe.llm import fuzzy_lines
 def brute_whole(rows):
     """Kept texts: links by few edits only, the first of each group stays."""
     lines = [(k, i, x) for k, t in rows if k is not None and t is not None for i, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(normal(x[2])) >= fuzzy_lines.LEAST_WORDS]
+    lines = [x for x in lines if normal(x[2])]
     w = [normal(x[2]) for x in lines]
     links = []
     for i, j in itertools.combinations(range(len(lines)), 2):
@@ -87,3 +87,21 @@ def test_the_stage_of_the_pipeline_equals_brute_force(spark):
     before = set(rows)
     want = [(k, t) for k, t in brute_whole(rows) if (k, t) in before or t.strip()]
     assert result(left.select("doc_id", "text")) == sorted(want, key=repr)
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    han, thai = "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3068\u3066\u3082\u3044\u3044", "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35"
+    rows = [(1, f"All rights reserved.\n{han}\n{thai}\nHome\n***"), (2, f"all rights reserved\n{han}\n{thai}\n***"), (3, han[:5] + "\u6691" + han[6:]),
+            (4, han[:3] + thai[:9] + "x"), (5, "HOME\nAway\n\u00e9cole"), (6, "\u00c9cole\n\u00e9cole\nHome page")]
+    out = {r.doc_id: r.text for r in fuzzy_lines.remove_lines(documents(spark, rows), whole=True).collect()}
+    assert out == {1: rows[0][1], 2: "***", 3: "", 4: rows[3][1], 5: "Away\n\u00e9cole", 6: "\u00c9cole\nHome page"}
+
+
+def test_characters_of_scripts_without_spaces_are_words():
+    text = "ab\u4e00\u4e8ccd \u0e01e\n\u00e9\U00020000\U00020001 \ud55c\uad6d \u1200\u1201 x"
+    for cut in (text, text[:4], "\u4e00", ""):
+        raw = cut.encode() * 2
+        start, end = fuzzy_lines.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw) // 2, len(raw)]))
+        one = [raw[a:b].decode() for a, b in zip(start, end)]
+        assert one == 2 * [w for w in "ab \u4e00 \u4e8c cd \u0e01 e \u00e9 \U00020000 \U00020001 \ud55c\uad6d \u1200\u1201 x".split() if w in cut][: len(one) // 2]
+        assert "".join(one[: len(one) // 2]) == cut.replace(" ", "").replace("\n", "")
