@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines across documents.
 
 A line's normalised form is its words, runs of letters and digits (and of all bytes
-beyond ASCII), with A-Z lowered and every digit a 0.
+beyond ASCII), with A-Z lowered. Where the SimHash finds links, every digit is a 0.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
 from .linking import components, marked, merged, neighbours, remaining_pairs, star_pairs
-from .words import hash_spans, mix, spans
+from .words import _LOWER, hash_spans, mix, spans
 
 #: Blocks of 32 bits in a SimHash. Lines that differ in fewer bits have one in common.
 BLOCKS = 4
@@ -66,7 +66,7 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def split_lines(buf: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each line of each row: the row, its number there and where its words start
     (one more than lines); and the hashes of all words. With ``whole``, characters of
-    scripts without spaces are words."""
+    scripts without spaces are words and digits are as they stand."""
     breaks = np.flatnonzero(buf == 0x0A)
     row = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, breaks, "right") - 1])
     start = np.concatenate([off[:-1], breaks + 1])
@@ -75,7 +75,7 @@ def split_lines(buf: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[
     number = np.arange(len(row)) - np.searchsorted(row, row)
     at, end = word_spans(buf, off) if whole else spans(_WORD[buf], off)
     first = np.append(np.searchsorted(at, start), len(at))
-    return row, number, first, hash_spans(_FOLD[buf], at, end)
+    return row, number, first, hash_spans((_LOWER if whole else _FOLD)[buf], at, end)
 
 
 def line_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from helpers import documents
-from test_copies import distance, groups, line_rows, normal, result
+from test_copies import distance, groups, line_rows, lowered, result
 
 import corpus_pipeline
 from marketframe.llm import fuzzy_lines
 
 
+def normal(line):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", lowered(line))
+
+
 def brute_whole(rows):
     """Kept texts: links by few edits only, the first of each group stays."""
     lines = [(k, i, x) for k, t in rows if k is not None and t is not None for i, x in enumerate(t.split("\n"))]
@@ -105,3 +110,9 @@ def test_characters_of_scripts_without_spaces_are_words():
         one = [raw[a:b].decode() for a, b in zip(start, end)]
         assert one == 2 * [w for w in "ab \u4e00 \u4e8c cd \u0e01 e \u00e9 \U00020000 \U00020001 \ud55c\uad6d \u1200\u1201 x".split() if w in cut][: len(one) // 2]
         assert "".join(one[: len(one) // 2]) == cut.replace(" ", "").replace("\n", "")
+
+
+def test_lines_that_differ_in_their_figures_stay(spark):
+    rows = [(1, "12 34 56 78\n98 76 54 32\nPage 1 of 20 pages\nPage 7 of 93 pages\nItem 1\nItem 2"), (2, "12 34 56 78\nPage 1 of 21 pages")]
+    out = {r.doc_id: r.text for r in fuzzy_lines.remove_lines(documents(spark, rows), whole=True).collect()}
+    assert out == {1: rows[0][1], 2: ""}
