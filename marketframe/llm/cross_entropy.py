@@ -6,6 +6,9 @@ Bigrams that make up at least 1 in 2**20 of either corpus have entries of their
 rest of a word's mass goes to the unigrams. Hence a vocabulary has at most 2**18 words
 and a model 2**21 entries, however large the corpus; the counts behind them are of all
 documents.
+
+With ``whole`` every word and every bigram has its entry: the counts stay Spark tables,
+which grow with the corpus, and documents are scored by a join with them.
 """
 
 from __future__ import annotations
@@ -162,31 +165,98 @@ def score(rows: DataFrame, known: np.ndarray, target: Model, background: Model)
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: What stands before a row's first word.
+START = 0x5354415254
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, target, h, w, c`` of rows ``row, doc_id, text, target``: how often each
+    word follows another in a row. One more line a row has its key, a null ``w`` and
+    the number of its words."""
+
+    def run(batches):
+        for part in chunks(batches, "text"):
+            w, first = words(*data(part.column("text")))
+            size = np.diff(first)
+            row = np.repeat(np.arange(len(size)), size)
+            h = np.empty_like(w)
+            h[1:] = w[:-1]
+            h[first[:-1][size > 0]] = START
+            order = np.lexsort((w, h, row))
+            row, h, w = row[order], h[order], w[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+            at = np.flatnonzero(new)
+            row, c = np.append(row[at], np.arange(len(size))), np.append(np.diff(np.append(at, len(w))), size)
+            none = np.arange(len(row)) >= len(at)
+            wide = lambda x: pa.array(np.append(x[at], np.zeros(len(size), np.uint64)).view(np.int64), mask=none)
+            fields = [part.column(k).take(pa.array(row)) for k in (0, 1, 3)] + [wide(h), wide(w), pa.array(c.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(fields, names)
+
+    names = ["row", "doc_id", "target", "h", "w", "c"]
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, target boolean, h bigint, w bigint, c bigint")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """What ``score`` returns, of rows ``doc_id, text, target``, with all words and bigrams."""
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "target")
+    found = materialise(grams(rows))
+    each = found.where("w IS NOT NULL")
+    mine = F.sum(F.when(F.col("target"), F.col("c")).otherwise(0))
+    pairs = materialise(each.groupBy("h", "w").agg(F.sum("c").alias("n"), mine.alias("t")))
+    by = lambda c, p: pairs.groupBy(c).agg(F.sum("n").alias(f"{p}_n"), F.sum("t").alias(f"{p}_t"))
+    unigrams = materialise(by("w", "u"))
+    size = unigrams.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(f"u_{c}"), F.lit(0)).alias(c) for c in "nt"]).first()
+    signs = size["words"] + 1
+
+    def loss(c: str):
+        past = F.col(f"p_{c}")
+        given = WEIGHT * F.col(c) / F.greatest(past, F.lit(1))
+        left = F.when(past > 0, 1 - WEIGHT).otherwise(1.0)
+        return -F.log(given + left * (F.col(f"u_{c}") + 1) / (size[c] + signs))
+
+    # Merge joins at every size: all sides grow with the corpus.
+    losses = pairs.join(by("h", "p").hint("merge"), "h").join(unigrams.hint("merge"), "w")
+    losses = losses.select("h", "w", loss("t").alias("t"), loss("n").alias("n"))
+    met = each.select("row", "h", "w", "c").join(losses.hint("merge"), ["h", "w"])
+    sums = met.groupBy("row").agg(F.sum(F.col("c") * F.col("t")).alias("t"), F.sum(F.col("c") * F.col("n")).alias("n"))
+    every = found.where("w IS NULL").select("row", "doc_id", F.col("c").alias("n_tokens"))
+    a, b = F.col("t") / F.col("n_tokens"), F.col("n") / F.col("n_tokens")
+    out = every.join(sums.hint("merge"), "row", "left").where("n_tokens > 0")
+    scored = out.select("doc_id", "n_tokens", a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("score"))
+    null = F.lit(None).cast("double")
+    return scored.union(every.where("n_tokens = 0").select("doc_id", "n_tokens", null, null, null))
+
+
+def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Mean loss per word under both models and their difference, for every document.
 
     ``target`` has the keys of the target corpus in column ``key`` (repeats and nulls
     do no harm); the background is all documents. The lower the score, the more a
     document is like the target. A null or empty text, or one without words, has no
     words and null losses. Repeated rows count and are scored each; with an empty
-    target its model is uniform. Other columns are not read.
+    target its model is uniform. Other columns are not read. With ``whole`` no word and
+    no bigram is left out for its share.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
+    mine = target.select(F.col(key).cast("bigint").alias("doc_id"), F.lit(True).alias("target")).distinct()
+    marked = rows.join(mine, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    if whole:
+        return _whole(marked).withColumnRenamed("doc_id", key)
     counts = materialise(word_counts(rows))
     known = vocabulary(counts)
     discard(counts)
-    mine = target.select(F.col(key).cast("bigint").alias("doc_id"), F.lit(True).alias("target")).distinct()
-    marked = rows.join(mine, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    pairs = materialise(pair_counts(marked, known))
+    pairs = materialise(pair_counts(marked.select("text", "target"), known))
     pair = models(pairs, len(known))
     discard(pairs)
     return score(rows, known, *pair).withColumnRenamed("doc_id", key)
 
 
 def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what ``labels`` marks as good; figures to six decimals."""
+    """The target is what ``labels`` marks as good; figures to six decimals. The SQL leaves
+    out rare words and bigrams by their share, which starts above 2**18 words."""
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    out = cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    out = cross_entropy_difference(table(spark, sf_dir, "documents"), good, whole=True)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 

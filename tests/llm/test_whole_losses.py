@@ -1,0 +1,35 @@
+"""Models with all words and bigrams against brute force."""
+
+from __future__ import annotations
+
+import pytest
+from helpers import awkward_texts, documents
+from test_llm_models import brute_losses, tokenised
+
+from marketframe.llm import cross_entropy
+
+
+def test_no_share_leaves_out_words_or_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "WORD_SHARE", 300)
+    monkeypatch.setattr(cross_entropy, "PAIR_SHARE", 600)
+    rows = [(i, t) for i, (_, t) in enumerate(awkward_texts())]
+    good = {1, 3, 5, 30, 31, 32}
+    target = spark.createDataFrame([(k,) for k in [*good, 1, None]], "doc_id bigint")
+    want = brute_losses(rows, good, 1 << 40, 1 << 40)
+    got = cross_entropy.cross_entropy_difference(documents(spark, rows), target, whole=True).collect()
+    assert sorted(r.doc_id for r in got) == [k for k, _ in rows]
+    for r in got:
+        a, b = want[r.doc_id]
+        assert r.n_tokens == len(tokenised(rows[r.doc_id][1]))
+        if a is None:
+            assert r.target_loss is None and r.background_loss is None and r.score is None
+        else:
+            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((a, b, a - b), rel=1e-9)
+
+
+def test_empty_corpora_and_repeated_rows(spark):
+    docs, none = documents(spark), spark.createDataFrame([], "doc_id bigint")
+    assert cross_entropy.cross_entropy_difference(docs.limit(0), none, whole=True).count() == 0
+    out = cross_entropy.cross_entropy_difference(docs, none, whole=True)
+    assert out.count() == docs.count()
+    assert out.where("n_tokens > 0 AND (score IS NULL OR isnan(score))").count() == 0
