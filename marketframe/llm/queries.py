@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe, cross_entropy, fuzzy_lines, jaccard, matroska, merkle, packing, quality, url_filter, warc
+from . import ann_forest, bpe, cross_entropy, fuzzy_lines, jaccard, matroska, merkle, packing, quality, ranked, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         url_filter.op8_url_filter,
         bpe.op9_byte_bpe,
         jaccard.op10_jaccard_join,
+        ranked.op11_ranked_search,
         merkle.op13_merkle_manifest,
     )
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op6_warc": warc.SQL,
     "op8_url_filter": url_filter.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op11_ranked_search": ranked.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
