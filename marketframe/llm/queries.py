@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe, cross_entropy, fuzzy_lines, jaccard, matroska, merkle, packing, quality, ranked, url_filter, warc
+from . import ann_forest, bpe, cross_entropy, fuzzy_lines, jaccard, matroska, merkle, minhash, packing, quality, ranked, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         bpe.op9_byte_bpe,
         jaccard.op10_jaccard_join,
         ranked.op11_ranked_search,
+        minhash.op12_minhash_join,
         merkle.op13_merkle_manifest,
     )
 }
@@ -27,5 +28,6 @@ ORACLES = {
     "op8_url_filter": url_filter.SQL,
     "op10_jaccard_join": jaccard.SQL,
     "op11_ranked_search": ranked.SQL,
+    "op12_minhash_join": minhash.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
