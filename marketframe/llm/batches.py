@@ -22,6 +22,13 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, made longer until it is none of the columns'."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     """Byte offsets of a binary column, one more than it has rows."""
     return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)

@@ -25,6 +25,9 @@ CALL = 1 << 16
 #: pattern crosses such a place, and none looks behind it.
 SAFE = re.compile(r"(?<=\S)[ \n]")
 
+#: White space as the pattern means it, in runs that are too long for its engine.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % CALL)
+
 
 @functools.lru_cache(maxsize=2)
 def encoding(ranks: str) -> tiktoken.Encoding:
@@ -43,8 +46,17 @@ def safe_parts(text: str, call: int = CALL) -> Iterator[str]:
 
 
 def encode_text(text: str, ranks: str = RANKS, call: int = CALL) -> np.ndarray:
+    """Ids of a text. Of a long run of white space all but the last character is one match of
+    the pattern, and at the text's end the last one too; such a match is encoded directly."""
     codec = encoding(ranks)
-    return np.concatenate([np.asarray(codec.encode_ordinary(part), np.int32) for part in safe_parts(text, call)])
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += [codec.encode_ordinary(part) for part in safe_parts(text[at : run.start()], call)]
+        out.append(codec._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    out += [codec.encode_ordinary(part) for part in safe_parts(text[at:], call)]
+    return np.concatenate([np.asarray(ids, np.int32) for ids in out])
 
 
 def _ids_column(rows: list[np.ndarray]) -> pa.Array:

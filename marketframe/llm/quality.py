@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import chunks, data, table, text_bytes
+from .batches import chunks, data, table, text_bytes, unused
 from .words import hash_spans, mix
 
 WIDTH, NONZERO, AROUND, ECHOES = 64, 4, 2, 4
@@ -212,14 +212,16 @@ def score(documents: DataFrame, model: QualityModel, key: str = "doc_id", text:
     """All columns of the documents, and ``score`` (0 to 1, whole texts).
 
     A null text is scored as an empty one, from all-zero vectors. Repeated rows and
-    null keys are scored like any other. An input column ``score`` is replaced.
+    null keys are scored like any other. An input column ``score`` is replaced; other
+    columns may have any name. Texts may be of any length; no rows give no rows.
     """
     columns = [c for c in documents.columns if c != "score"]
-    rows = documents.select(*columns, text_bytes(text).alias("_text"))
+    raw = unused("text", columns)
+    rows = documents.select(*[F.col(f"`{c}`") for c in columns], text_bytes(text).alias(raw))
 
     def run(batches):
-        for part in chunks(batches, "_text", 1 << 20):
-            values = pa.array(model.scores(*data(part.column("_text"))), pa.float64())
+        for part in chunks(batches, raw, 1 << 20):
+            values = pa.array(model.scores(*data(part.column(raw))), pa.float64())
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(len(columns))], values], names)
 
     names = [*columns, "score"]
