@@ -84,6 +84,61 @@ def one_step(spark, sf):
     return ar.one_step_predictions(parts, params, terms=1, where=F.col("row_no") >= F.col("n_train"))
 
 
+#: A model with a strong moving average; the recursion of its innovations goes row by row.
+MIXED = (0.0001, 0.3, -0.9, 0.0004)
+INNOVATIONS = f"""{PANEL},
+logs AS (SELECT symbol, date, ln(close) AS y, row_number() OVER {SERIES} AS r FROM panel),
+moves AS (SELECT *, y - lag(y) OVER {SERIES} AS z, lag(y) OVER {SERIES} AS y1 FROM logs),
+steps AS (
+  SELECT symbol, r, date, y, z, 0.0::DOUBLE AS e, NULL::DOUBLE AS predicted FROM moves WHERE r = 2
+  UNION ALL
+  SELECT m.symbol, m.r, m.date, m.y, m.z, m.z - ({MIXED[0]}::DOUBLE + {MIXED[1]}::DOUBLE * s.z + {MIXED[2]}::DOUBLE * s.e) AS e,
+         exp(m.y1 + {MIXED[0]}::DOUBLE + {MIXED[1]}::DOUBLE * s.z + {MIXED[2]}::DOUBLE * s.e) AS predicted
+  FROM steps s JOIN moves m ON m.symbol = s.symbol AND m.r = s.r + 1)"""
+
+
+def mixed_model(df):
+    const, phi, theta, sigma2 = (F.lit(v) for v in MIXED)
+    return df.select("symbol").distinct().select(
+        "symbol", F.lit(1).alias("p"), F.lit(1).alias("d"), F.lit(1).alias("q"), F.lit(0.0).alias("n"), const.alias("const"),
+        F.array(phi).alias("phi"), F.array(theta).alias("theta"), sigma2.alias("sigma2"), F.lit(0.0).alias("aic"),
+    )
+
+
+@check(
+    "A4_one_step_mixed",
+    "symbol date:d predicted:6",
+    f"WITH RECURSIVE {INNOVATIONS}, result AS (SELECT symbol, date, predicted FROM steps WHERE predicted IS NOT NULL)",
+)
+def one_step_mixed(spark, sf):
+    """Every row's prediction by a model with a moving average, its innovations followed exactly."""
+    bars = panel(spark, sf)
+    return ar.one_step_predictions(bars, mixed_model(bars)).filter(F.col("predicted").isNotNull())
+
+
+@check(
+    "A5_forecast_mixed",
+    "symbol step:i predicted:5 lower:5",
+    f"""WITH RECURSIVE {INNOVATIONS},
+ends AS (SELECT symbol, arg_max(y, r) AS y, arg_max(z, r) AS z, arg_max(e, r) AS e FROM steps GROUP BY symbol),
+path AS (
+  SELECT symbol, 1 AS step, y + {MIXED[0]}::DOUBLE + {MIXED[1]}::DOUBLE * z + {MIXED[2]}::DOUBLE * e AS mean,
+         {MIXED[0]}::DOUBLE + {MIXED[1]}::DOUBLE * z + {MIXED[2]}::DOUBLE * e AS z, 1.0::DOUBLE AS psi, 1.0::DOUBLE AS total, 1.0::DOUBLE AS v
+  FROM ends
+  UNION ALL
+  SELECT symbol, step + 1, mean + {MIXED[0]}::DOUBLE + {MIXED[1]}::DOUBLE * z, {MIXED[0]}::DOUBLE + {MIXED[1]}::DOUBLE * z,
+         {MIXED[1]}::DOUBLE * psi + CASE step WHEN 1 THEN {MIXED[2]}::DOUBLE ELSE 0 END,
+         total + {MIXED[1]}::DOUBLE * psi + CASE step WHEN 1 THEN {MIXED[2]}::DOUBLE ELSE 0 END,
+         v + power(total + {MIXED[1]}::DOUBLE * psi + CASE step WHEN 1 THEN {MIXED[2]}::DOUBLE ELSE 0 END, 2)
+  FROM path WHERE step < 30),
+result AS (SELECT symbol, step, exp(mean) AS predicted,
+                  exp(mean - 1.959963984540054::DOUBLE * sqrt({MIXED[3]}::DOUBLE * v)) AS lower FROM path)""",
+)
+def forecast_mixed(spark, sf):
+    bars = panel(spark, sf)
+    return ar.forecast(bars, mixed_model(bars), 30)
+
+
 PATH = f"""{AR_ROWS},
 state AS (
   SELECT p.symbol, max(date) AS last_date, arg_max(y, date) AS y, arg_max(z, date) AS z,

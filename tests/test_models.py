@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import panel_of, series_of
+from marketframe.functions.recursion import inverse_filter
 from marketframe.models import ar, boosted, ensemble, sequence, trend
 from marketframe.operators.split import training_masks
 from marketframe.plans import forecast as fc
@@ -35,17 +36,82 @@ def test_ar_recovers_planted_values(arma):
     assert got["ar"].phi[0] == pytest.approx(0.6, abs=0.03)
     assert np.sqrt(got["ar"].sigma2) == pytest.approx(0.01, rel=0.05)
     ma = {r.symbol: r for r in ar.fit_log(arma, (0, 1, 1), last=None).collect()}
-    # The two-stage estimate equals plain least squares on residuals of a long
-    # autoregression; its own sampling error is about 0.03 here.
-    z = np.diff(np.log(series_of(arma.filter("symbol = 'ma'"), "close")["close"].to_numpy()))
-    m = ar.LONG_AR
-    x = np.column_stack([np.ones(len(z) - m)] + [z[m - i : len(z) - i] for i in range(1, m + 1)])
-    e = z[m:] - x @ np.linalg.lstsq(x, z[m:], rcond=None)[0]
-    two = np.linalg.lstsq(np.column_stack([np.ones(len(e) - 1), e[:-1]]), z[m + 1 :], rcond=None)[0]
-    assert ma["ma"].theta[0] == pytest.approx(two[1], rel=1e-8)
-    assert ma["ma"].theta[0] == pytest.approx(0.5, abs=0.1)
-    # An invertible MA(1) has the geometric autoregressive form.
-    assert np.allclose(ma["ma"].pi[:4], [-((-ma["ma"].theta[0]) ** k) for k in range(1, 5)])
+    assert ma["ma"].theta[0] == pytest.approx(0.5, abs=0.05)
+
+
+def innovations(z, const, phi, theta):
+    e = np.zeros(len(z))
+    for t in range(len(phi), len(z)):
+        e[t] = z[t] - const - sum(f * z[t - i] for i, f in enumerate(phi, 1)) - sum(h * e[t - j] for j, h in enumerate(theta, 1) if t >= j)
+    return e
+
+
+@pytest.mark.parametrize("theta", [-0.9, -0.97, 0.95])
+def test_strong_moving_averages_are_recovered(theta):
+    rng = np.random.default_rng(int(abs(theta) * 100))
+    e = rng.normal(0, 1, 3001)
+    y = np.cumsum(np.append(0.0, e[1:] + theta * e[:-1]))
+    n, const, phi, got, sigma2, aic = ar.css_fit(y, (0, 1, 1), True, 2)
+    assert got[0] == pytest.approx(theta, abs=0.02) and sigma2 == pytest.approx(1, rel=0.08)
+    # No value near the fitted one does better.
+    z = np.diff(y)
+    loss = lambda c, h: np.sum(innovations(z, c, [], [h])[1:] ** 2)
+    best = loss(const, got[0])
+    assert best == pytest.approx(n * sigma2, rel=1e-9)
+    assert all(best <= loss(const + a, got[0] + b) + 1e-9 for a in (-1e-3, 0, 1e-3) for b in (-1e-3, 0, 1e-3))
+
+
+def test_mixed_order_is_recovered_and_starts_from_any_sample():
+    rng = np.random.default_rng(5)
+    e, z = rng.normal(0, 1, 6000), np.zeros(6000)
+    for t in range(2, 6000):
+        z[t] = 0.1 + 0.6 * z[t - 1] - 0.2 * z[t - 2] + e[t] + 0.5 * e[t - 1] - 0.3 * e[t - 2]
+    n, const, phi, theta, *_ = ar.css_fit(z, (2, 0, 2), True, 10)
+    assert n == 5990
+    one = innovations(z, const, phi, theta)
+    assert one[10:] @ one[10:] / n <= np.mean(e[10:] ** 2)
+    assert ar.css_fit(z[:5], (2, 0, 2), True, 4) is None
+
+
+@pytest.mark.parametrize(("n", "q"), [(1, 1), (5, 3), (64, 2), (200, 3), (129, 1)])
+def test_block_filter_equals_the_loop(n, q):
+    rng = np.random.default_rng(n)
+    x, theta, before = rng.normal(size=(n, 2)), rng.uniform(-0.4, 0.4, q), rng.normal(size=(q, 2))
+    want = list(before[::-1])
+    for t in range(n):
+        want.append(x[t] - sum(theta[j] * want[-1 - j] for j in range(q)))
+    assert np.allclose(inverse_filter(x, theta, before), want[q:])
+
+
+def test_recursion_goes_on_from_its_state(spark, arma):
+    """One-step values, states and later values equal the loop, whatever the batches."""
+    params = spark.createDataFrame(
+        [("ar", 2, 1, 1, 9.0, 0.001, [0.4, -0.2], [-0.9], 1.0, 0.0), ("ma", 0, 1, 2, 9.0, 0.0, [], [0.3, 0.2], 1.0, 0.0)], ar.PARAMS
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        got = ar.one_step_predictions(arma, params).toPandas().sort_values("date")
+        cut = sorted(got["date"].unique())[2000]
+        half = ar.end_state(arma.filter(F.col("date") < cut), params)
+        after = ar.advance(half, arma.filter(F.col("date") >= cut), params)
+        moved = {r.symbol: r for r in after.collect()}
+        whole = {r.symbol: r for r in ar.end_state(arma, params).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in params.collect():
+        mine = got[got["symbol"] == r.symbol]
+        y = np.log(mine["close"].to_numpy())
+        z = np.diff(y)
+        e = innovations(z, r.const, list(r.phi), list(r.theta))
+        want = np.exp(y[:-1] + z - e)[max(r.p, 1) :]
+        assert np.allclose(mine["predicted"].to_numpy()[1 + max(r.p, 1) :], want, rtol=1e-12) and np.isnan(mine["predicted"].to_numpy()[0])
+        for state in (moved[r.symbol], whole[r.symbol]):
+            assert state.last_y == pytest.approx(y[-1]) and np.allclose(state["_es"], e[::-1][: r.q]) and np.allclose(state["_zs"][: r.p], z[::-1][: r.p])
+    path = ar.forecast(arma, params, 3).filter("symbol = 'ma'").orderBy("step").toPandas()
+    e, y = innovations(z, 0.0, [], [0.3, 0.2]), np.log(series_of(arma.filter("symbol = 'ma'"), "close")["close"].to_numpy())
+    steps = [0.3 * e[-1] + 0.2 * e[-2], 0.2 * e[-1], 0.0]
+    assert np.allclose(np.log(path["predicted"]), y[-1] + np.cumsum(steps))
+    assert np.allclose(np.log(path["upper"] / path["predicted"]), 1.959963984540054 * np.sqrt(np.cumsum([1, 1.3**2, 1.5**2])))
 
 
 def test_ar_fit_equals_least_squares(arma):

@@ -141,7 +141,7 @@ def test_stream_updates_state_and_predicts(spark, sample, tmp_path):
     )
     query = start_online_predictions(
         stream, history, params, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "chk"),
-        terms=1, available_now=True,
+        replaceable=1, available_now=True,
     )
     assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()
