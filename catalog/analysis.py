@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
 
 from marketframe.operators import clean as cl
 from marketframe.operators import eda
@@ -9,7 +12,7 @@ from marketframe.operators import eda
 from . import check
 from .bars import GRID, PANEL, VALUES, bars, panel
 from .cleaning import RETURNS
-from .features import FEATURE_SET, feature_set
+from .features import ALL_FEATURES, FEATURE_SET, feature_set
 from .indicators import SERIES, over
 from .splits import ROWS
 
@@ -227,37 +230,93 @@ def acf(spark, sf):
     return eda.acf(panel(spark, sf))
 
 
-@check("X16_pacf", "symbol lag:i pacf:5")
+@check(
+    "X13_adf_one_lag",
+    "symbol n:i statistic:5",
+    f"""WITH {PANEL},
+d AS (SELECT symbol, date, lag(close) OVER {SERIES} AS x, close - lag(close) OVER {SERIES} AS y FROM panel),
+l AS (SELECT *, lag(y) OVER {SERIES} AS z FROM d),
+g AS (SELECT symbol, count(*) AS n, regr_sxx(x, z) AS zz, regr_syy(x, z) AS xx, regr_sxy(x, z) AS xz, regr_syy(y, x) AS yy,
+             regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy FROM l WHERE z IS NOT NULL GROUP BY symbol),
+b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS c FROM g),
+result AS (SELECT symbol, n, b / sqrt((yy - b * xy - c * zy) / (n - 3) * zz / (xx * zz - xz * xz)) AS statistic FROM b)""",
+)
+def adf_one_lag(spark, sf):
+    """The same test at a given lag order, whose regression has a closed form."""
+    return eda.adf(panel(spark, sf), lags=1)
+
+
+@check(
+    "X5_student_t_likelihood",
+    "symbol n:i loc_score:4 scale_score:4 better:i",
+    f"WITH {KNOWN}, result AS (SELECT symbol, count(*) AS n, 0.0 AS loc_score, 0.0 AS scale_score, 0 AS better FROM known GROUP BY symbol)",
+)
+def student_t_likelihood(spark, sf):
+    """Slopes of the log likelihood at the fit, which are 0 at its top, and whether a fit with
+    other degrees of freedom is likelier."""
+    rows = returned(spark, sf).filter(F.col("Log_Return").isNotNull())
+    fits = eda.student_t_likelihood(rows, "Log_Return").withColumnRenamed("n", "_n")
+    v, z = F.col("df"), (F.col("Log_Return") - F.col("loc")) / F.col("scale")
+    other = lambda k: F.sum(F.log1p(z * z / (v * k))) * (v * k + 1) / 2
+    met = rows.join(fits, "symbol").groupBy("symbol", "df", "loc", "scale", "loglik").agg(
+        F.count("*").alias("n"),
+        F.avg((v + 1) * z / (v + z * z)).alias("loc_score"),
+        F.avg((v + 1) * z * z / (v + z * z) - 1).alias("scale_score"),
+        *[other(k).alias(f"_{i}") for i, k in enumerate((0.9, 1.1))],
+    )
+
+    # The constant of the likelihood for other degrees of freedom: only numbers per symbol.
+    gamma = lambda k: F.udf(lambda d: math.lgamma((d * k + 1) / 2) - math.lgamma(d * k / 2) - 0.5 * math.log(d * k * math.pi), "double")(v)
+    likelier = [F.col("n") * (gamma(k) - F.log("scale")) - F.col(f"_{i}") > F.col("loglik") + 1e-6 for i, k in enumerate((0.9, 1.1))]
+    return met.withColumn("better", sum(c.cast("int") for c in likelier))
+
+
+@check(
+    "X16_pacf",
+    "symbol lag:i pacf:5",
+    f"""WITH RECURSIVE {PANEL},
+c AS (SELECT symbol, date, close - avg(close) OVER (PARTITION BY symbol) AS c FROM panel),
+l AS (SELECT symbol, c, {_lag_cols} FROM c),
+r AS (SELECT symbol, [{', '.join(f'sum(c * lag_{k}) / sum(c * c)' for k in range(1, 41))}] AS r FROM l GROUP BY symbol),
+steps AS (
+  SELECT symbol, r, 1 AS lag, r[1] AS last, [r[1]] AS phi FROM r
+  UNION ALL
+  SELECT symbol, r, lag + 1, last, list_append(list_transform(range(1, lag + 1), lambda i : phi[i] - last * phi[lag + 1 - i]), last) FROM (
+    SELECT symbol, r, lag, phi, (r[lag + 1] - list_sum(list_transform(range(1, lag + 1), lambda i : phi[i] * r[lag + 1 - i])))
+             / (1 - list_sum(list_transform(range(1, lag + 1), lambda i : phi[i] * r[i]))) AS last FROM steps WHERE lag < 40)),
+result AS (SELECT symbol, lag, last AS pacf FROM steps UNION ALL SELECT symbol, 0 AS lag, 1.0 AS pacf FROM r)""",
+)
 def pacf(spark, sf):
     return eda.pacf(panel(spark, sf))
 
 
-CORR = ("close", "open", "high", "low", "volume", "SMA_5", "SMA_50", "EMA_20", "ATR", "OBV", "VWAP", "RSI", "HV_21")
+_every = ["open", "high", "low", "volume", *ALL_FEATURES]
 
 
 @check(
     "X17_top_correlations",
     "feature corr:6",
     f"""{FEATURE_SET},
-r AS (SELECT {', '.join(f'corr({c}, close) AS {c}' for c in CORR)} FROM featured),
-result AS (SELECT feature, corr FROM (UNPIVOT r ON {', '.join(CORR)} INTO NAME feature VALUE corr) ORDER BY abs(corr) DESC LIMIT 10)""",
+r AS (SELECT {', '.join(f'corr({c}, close) AS "{c}"' for c in ["close", *_every])} FROM featured),
+result AS (SELECT feature, corr FROM (UNPIVOT r ON COLUMNS(*) INTO NAME feature VALUE corr) ORDER BY abs(corr) DESC, feature LIMIT 21)""",
 )
 def top_correlations(spark, sf):
-    return eda.correlation_with(feature_set(spark, sf), cols=list(CORR), top=10)
+    """The target and the 20 features most correlated with it, of all numeric columns."""
+    return eda.correlation_with(feature_set(spark, sf))
 
 
-_three = ("close", "volume", "RSI", "HV_21")
+_some = ["close", "open", "high", "low", "volume", "SMA_5", "SMA_20", "SMA_50", "SMA_200", "EMA_20", "EMA_50", "MACD", "MACD_Signal",
+         "RSI", "BB_Width", "ATR", "Stoch_K", "HV_21", "OBV", "VWAP", "Log_Return"]
 
 
 @check(
     "X17_correlation_matrix",
     "a b corr:6",
-    f"{FEATURE_SET}, result AS (" + " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM featured" for a in _three for b in _three
-    ) + ")",
+    f"""{FEATURE_SET}, one AS (SELECT {', '.join(f'corr({a}, {b}) AS "{a}|{b}"' for a in _some for b in _some)} FROM featured),
+result AS (SELECT split_part(name, '|', 1) AS a, split_part(name, '|', 2) AS b, corr FROM (UNPIVOT one ON COLUMNS(*) INTO NAME name VALUE corr))""",
 )
 def matrix(spark, sf):
-    return eda.correlation_matrix(feature_set(spark, sf), list(_three))
+    return eda.correlation_matrix(feature_set(spark, sf), _some)
 
 
 @check(

@@ -40,9 +40,6 @@ ADF_CRITICAL = {
 ADF_SMALL_P = (2.1659, 1.4412, 0.038269)
 ADF_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
 ADF_SWITCH, ADF_LOWEST, ADF_HIGHEST = -1.61, -18.83, 2.74
-# Lag windows kept per row: 12 (n/100)^(1/4) stays below this for every series a
-# DATE column can hold (years 1 to 9999).
-MAX_TEST_LAGS = 170
 # Kwiatkowski et al. (1992), level stationarity: p-value -> statistic.
 KPSS_CRITICAL = ((0.10, 0.347), (0.05, 0.463), (0.025, 0.574), (0.01, 0.739))
 
@@ -138,6 +135,74 @@ def student_t_fit(df: DataFrame, col: str = "Return") -> DataFrame:
     return m.select(SYMBOL, "n", nu.alias("df"), "loc", F.sqrt(F.col("_var") * share).alias("scale"))
 
 
+def _series_arrays(df: DataFrame, col: str) -> DataFrame:
+    """``symbol, x``: each symbol's known values in order, as one array (a value per day)."""
+    ordered = F.array_sort(F.collect_list(F.struct(DATE, F.col(col).cast("double").alias("x"))))
+    known = df.filter(F.col(col).isNotNull())
+    return known.groupBy(SYMBOL).agg(F.transform(ordered, lambda r: r["x"]).alias("x"))
+
+
+def _per_series(df: DataFrame, col: str, test, schema: str) -> DataFrame:
+    """A statistic of each symbol's values; ``test`` gives a row or None."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(symbol, *row) for symbol, x in zip(pdf[SYMBOL], pdf["x"]) if (row := test(np.asarray(x, float))) is not None]
+            yield pd.DataFrame(rows, columns=[SYMBOL, *[c.split()[0] for c in schema.split(", ")]])
+
+    return _series_arrays(df, col).mapInPandas(run, f"{SYMBOL} string, {schema}")
+
+
+#: Steps of the latent weights for each degree of freedom, and of the search for it.
+WEIGHT_STEPS, SEARCH_STEPS = 200, 60
+
+
+def _student_t(x: np.ndarray) -> tuple | None:
+    """Most likely degrees of freedom, location and scale, and the log likelihood."""
+    n = len(x)
+    if n < 3 or not np.var(x):
+        return None
+
+    def profile(df: float, loc: float, scale: float) -> tuple[float, float, float]:
+        """Location and square scale for given degrees of freedom, by reweighted means."""
+        for _ in range(WEIGHT_STEPS):
+            w = (df + 1) / (df + (x - loc) ** 2 / scale)
+            moved = float(w @ x / w.sum())
+            spread = float(w @ (x - moved) ** 2 / w.sum())
+            still = abs(moved - loc) <= 1e-12 * math.sqrt(scale) and abs(spread - scale) <= 1e-12 * scale
+            loc, scale = moved, max(spread, 1e-300)
+            if still:
+                break
+        constant = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi * scale)
+        return n * constant - (df + 1) / 2 * float(np.log1p((x - loc) ** 2 / (df * scale)).sum()), loc, scale
+
+    start = float(np.median(x)), float(np.var(x))
+    golden, low, high = (math.sqrt(5) - 1) / 2, math.log(0.2), math.log(1e4)
+    left, right = high - golden * (high - low), low + golden * (high - low)
+    f_left, f_right = profile(math.exp(left), *start), profile(math.exp(right), *start)
+    for _ in range(SEARCH_STEPS):
+        if f_left[0] > f_right[0]:
+            high, right, f_right = right, left, f_left
+            left = high - golden * (high - low)
+            f_left = profile(math.exp(left), *f_right[1:])
+        else:
+            low, left, f_left = left, right, f_right
+            right = low + golden * (high - low)
+            f_right = profile(math.exp(right), *f_left[1:])
+    at, best = (left, f_left) if f_left[0] > f_right[0] else (right, f_right)
+    return n, math.exp(at), best[1], math.sqrt(best[2]), best[0]
+
+
+def student_t_likelihood(df: DataFrame, col: str = "Return") -> DataFrame:
+    """Degrees of freedom, location and scale of a t distribution by maximum likelihood.
+
+    For each number of degrees of freedom, location and scale follow from weights that
+    fall with a value's distance; the number itself is searched for. It may be below
+    4, where no moment fit can go; 10,000 stands for the normal limit.
+    """
+    return _per_series(df, col, _student_t, "n long, df double, loc double, scale double, loglik double")
+
+
 # Coefficients of Acklam's rational approximation of the inverse
 # normal distribution function (relative error below 1.2e-9).
 INV_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -297,42 +362,27 @@ def pacf(df: DataFrame, col: str = "close", lags: int = 40) -> DataFrame:
     return rho.select(SYMBOL, F.posexplode(done["out"]).alias("lag", "pacf"))
 
 
+def _kpss(x: np.ndarray) -> tuple | None:
+    n = len(x)
+    e = x - x.mean()
+    lags = int(math.floor(12 * (n / 100) ** 0.25))
+    past = sum(float(e[j:] @ e[: n - j]) * (1 - j / (lags + 1)) for j in range(1, min(lags, n - 1) + 1))
+    variance = (float(e @ e) + 2 * past) / n
+    return n, lags, float((np.cumsum(e) ** 2).sum()) / n**2 / variance if variance else None
+
+
 def kpss(df: DataFrame, col: str = "close") -> DataFrame:
     """Level-stationarity statistic with its interpolated p-value per symbol.
 
     The long-run variance uses Bartlett weights up to ``12 (n/100)^(1/4)`` lags.
     """
-    known = df.filter(F.col(col).isNotNull())
-    rows = known.withColumns(
-        {"_e": F.col(col) - F.avg(col).over(whole()), "_n": F.count("*").over(whole())}
-    )
-    reach = F.floor(12 * F.pow(F.col("_n") / 100.0, F.lit(0.25))).cast("int")
-    rows = rows.withColumns({"_s": F.sum("_e").over(running()), "_l": reach})
-    # Weighted sum over the earlier residuals of each row: lag j has weight
-    # 1 - j / (lags + 1).
-    past = F.reverse(F.collect_list("_e").over(series().rowsBetween(-MAX_TEST_LAGS, -1)))
-    rows = rows.withColumn("_past", F.slice(past, F.lit(1), F.col("_l")))
-    weighted = F.aggregate(
-        F.transform("_past", lambda e, j: e * (1.0 - (j + 1.0) / (F.col("_l") + 1.0))),
-        F.lit(0.0),
-        lambda s, v: s + v,
-    )
-    rows = rows.withColumn("_w", F.col("_e") * weighted)
-    m = rows.groupBy(SYMBOL).agg(
-        F.first("_n").alias("n"),
-        F.first("_l").alias("lags"),
-        F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
-        ((F.sum(F.col("_e") * F.col("_e")) + 2 * F.sum("_w")) / F.count("*")).alias("_lrv"),
-    )
-    stat = F.col("_ss") / (F.col("n") * F.col("n")) / nz(F.col("_lrv"))
     p = F.lit(KPSS_CRITICAL[-1][0])
     for (p0, s0), (p1, s1) in reversed(list(zip(KPSS_CRITICAL, KPSS_CRITICAL[1:]))):
         inside = p0 + (F.col("statistic") - s0) / (s1 - s0) * (p1 - p0)
         p = F.when(F.col("statistic") <= s1, inside).otherwise(p)
     p = F.when(F.col("statistic") <= KPSS_CRITICAL[0][1], KPSS_CRITICAL[0][0]).otherwise(p)
-    return m.withColumn("statistic", stat).withColumn("p_value", p).select(
-        SYMBOL, "n", "lags", "statistic", "p_value"
-    )
+    found = _per_series(df, col, _kpss, "n long, lags int, statistic double")
+    return found.withColumn("p_value", F.when(F.col("statistic").isNotNull(), p))
 
 
 def adf_p_value(statistic: float) -> float:
@@ -345,57 +395,56 @@ def adf_p_value(statistic: float) -> float:
     return NormalDist().cdf(sum(c * statistic**i for i, c in enumerate(terms)))
 
 
-def adf(df: DataFrame, col: str = "close") -> DataFrame:
-    """Unit-root test with a constant; lag order by AIC on a common sample.
+def _level_regression(x: np.ndarray, lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Differences from the one after ``skip`` on, and what they are regressed on: the constant,
+    the level before, the ``lags`` differences before."""
+    d = np.diff(x)
+    rows = np.arange(skip, len(d))
+    past = [d[rows - k] for k in range(1, lags + 1)]
+    return d[rows], np.column_stack([np.ones(len(rows)), x[rows], *past])
+
+
+def _best_lags(x: np.ndarray, reach: int) -> int:
+    """The lag order with the lowest AIC, of all up to ``reach`` on one sample.
 
-    Lagged differences are window columns kept as one array; each symbol is one
-    small least-squares problem per lag order, solved from its cross products.
+    One triangular factor of the widest regression serves every order: leaving the last
+    columns out leaves the first rows of the factor as they are.
     """
-    w = series()
-    known = df.filter(F.col(col).isNotNull()).select(SYMBOL, DATE, F.col(col).alias("_x"))
-    rows = known.withColumns({"_lag": F.lag("_x").over(w), "_n": F.count("*").over(whole())})
-    rows = rows.withColumn("_d", F.col("_x") - F.col("_lag"))
-    top = F.ceil(12.0 * F.pow(F.col("_n") / 100.0, F.lit(0.25)))
-    reach = F.least(top, F.floor(F.col("_n") / 2) - 2).cast("int")
-    past = F.reverse(F.collect_list("_d").over(w.rowsBetween(-MAX_TEST_LAGS, -1)))
-    rows = rows.withColumns({"_reach": reach, "_past": F.slice(past, F.lit(1), F.greatest(reach, F.lit(0)))})
-    schema = f"{SYMBOL} string, n long, lags int, statistic double, p_value double, " + ", ".join(
-        f"critical_{k.rstrip('%')} double" for k in ADF_CRITICAL
-    )
+    y, z = _level_regression(x, reach, reach)
+    q = np.linalg.qr(z, mode="r")
+    # The part of y that each column adds, by the factor of the columns and y together.
+    both = np.linalg.qr(np.column_stack([z, y]), mode="r")[:, -1]
+    total = float(y @ y)
+    rss = np.maximum(total - np.cumsum(both[: q.shape[1]] ** 2), 1e-300)[1:]
+    n = len(y)
+    aic = n * np.log(rss / n) + 2 * np.arange(2, reach + 3)
+    return int(np.argmin(aic))
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        reach = int(pdf["_reach"].iloc[0])
-        pdf = pdf.dropna(subset=["_d"]).sort_values(DATE)
-        past = pdf["_past"].map(len).to_numpy()
-
-        def regress(lags: int, need: int):
-            part = pdf[past >= need]
-            y = part["_d"].to_numpy()
-            cols = [part["_lag"].to_numpy(), np.ones(len(part))]
-            if lags:
-                cols += list(np.stack(part["_past"].map(lambda a: np.asarray(a[:lags])).to_numpy()).T)
-            x = np.column_stack(cols)
-            beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-            rss = float(np.sum((y - x @ beta) ** 2))
-            return x, y, beta, rss
-
-        best = min(
-            range(reach + 1),
-            key=lambda k: (lambda r: len(r[1]) * np.log(r[3] / len(r[1])) + 2 * r[0].shape[1])(regress(k, reach)),
-        )
-        x, y, beta, rss = regress(best, best)
-        n = len(y)
-        inv = np.linalg.pinv(x.T @ x, hermitian=True)
-        se = np.sqrt(rss / max(n - x.shape[1], 1) * inv[0, 0])
-        stat = float(beta[0] / se)
-        row = {SYMBOL: [pdf[SYMBOL].iloc[0]], "n": [n], "lags": [best]}
-        row |= {"statistic": [stat], "p_value": [adf_p_value(stat)]}
-        for level, b in ADF_CRITICAL.items():
-            row[f"critical_{level.rstrip('%')}"] = [sum(c / n**i for i, c in enumerate(b))]
-        return pd.DataFrame(row)
-
-    needed = rows.filter(F.col("_reach") >= 0).select(SYMBOL, DATE, "_lag", "_d", "_reach", "_past")
-    return needed.groupBy(SYMBOL).applyInPandas(test, schema)
+
+def adf(df: DataFrame, col: str = "close", lags: int | None = None) -> DataFrame:
+    """Unit-root test with a constant; lag order by AIC on a common sample, or given.
+
+    Orders up to ``12 (n/100)^(1/4)`` are compared, all from one factorisation.
+    """
+
+    def test(x: np.ndarray) -> tuple | None:
+        reach = min(math.ceil(12 * (len(x) / 100) ** 0.25), len(x) // 2 - 2)
+        if reach < 0:
+            return None
+        best = _best_lags(x, reach) if lags is None else lags
+        y, z = _level_regression(x, best, best)
+        if len(y) <= z.shape[1]:
+            return None
+        inverse = np.linalg.pinv(z.T @ z, hermitian=True)
+        beta = np.linalg.lstsq(z, y, rcond=None)[0]
+        rss, n = float(((y - z @ beta) ** 2).sum()), len(y)
+        error = math.sqrt(rss / (n - z.shape[1]) * inverse[1, 1])
+        statistic = float(beta[1]) / error if error else math.nan
+        critical = [sum(c / n**i for i, c in enumerate(b)) for b in ADF_CRITICAL.values()]
+        return n, best, statistic, adf_p_value(statistic), *critical
+
+    levels = ", ".join(f"critical_{k.rstrip('%')} double" for k in ADF_CRITICAL)
+    return _per_series(df, col, test, f"n long, lags int, statistic double, p_value double, {levels}")
 
 
 def correlation_with(df: DataFrame, target: str = "close", cols: list[str] | None = None, top: int = 21) -> DataFrame:
