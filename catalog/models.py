@@ -353,11 +353,10 @@ def boosted_fit(spark, sf):
     )
 
 
-@check("G2_search", "trial:i eta:6 max_depth:i min_child_weight:i rmse:4")
+@check("G2_search", "trial:i eta:6 max_depth:i min_child_weight:i rmse:4 folds:i")
 def boosted_search(spark, sf):
     rows, cols = marked(spark, sf)
-    few = ["Log_Return", "RSI", "BB_PctB", "Stoch_K", "HV_21", "DayOfWeek"]
-    _, scores = bo.search(rows.filter("fit_row"), few, trials=2, folds=2, max_iter=3)
+    _, scores = bo.search(rows.filter("fit_row"), cols)
     return scores
 
 

@@ -1,8 +1,14 @@
-"""Gradient-boosted regression of the next-day return, pooled over symbols."""
+"""Gradient-boosted regression of the next-day return, pooled over symbols.
+
+Targets are learned in percent, so that the share by which the validation error must
+fall is one of the error itself.
+"""
 
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
+from statistics import median
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -11,9 +17,10 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DATE, DEFAULTS, SYMBOL, TARGET
+from ..config import DATE, DEFAULTS, RETURN_SCALE, SYMBOL, TARGET
 from ..operators.features import VOLUME_FEATURES
-from ..operators.split import time_series_folds
+from ..functions.storage import discard, materialise
+from ..operators.split import number_rows
 from ..plans.forecast import NextReturn, latest
 
 # Search space of one candidate: learning rate (log scale), tree depth, leaf
@@ -39,8 +46,8 @@ def _regressor(params: dict, max_iter: int, seed: int, validation: bool) -> GBTR
     stop = {"validationIndicatorCol": "stop_row", "validationTol": 1e-4} if validation else {}
     return GBTRegressor(
         featuresCol="features",
-        labelCol=TARGET,
-        predictionCol="r",
+        labelCol="_percent",
+        predictionCol="_p",
         maxIter=max_iter,
         stepSize=params.get("eta", 0.1),
         maxDepth=int(params.get("max_depth", 5)),
@@ -65,14 +72,15 @@ def fit(
     marked = "fit_row" in df.columns
     if marked:
         rows = rows.filter(F.col("fit_row") | F.col("stop_row"))
-    keep = [TARGET] + (["stop_row"] if marked else [])
-    train = assemble(rows, cols).select("features", *keep)
+    keep = ["stop_row"] if marked else []
+    train = assemble(rows, cols).select("features", (F.col(TARGET) * RETURN_SCALE).alias("_percent"), *keep)
     return _regressor(params or {}, max_iter, seed, marked).fit(train)
 
 
 def predict(model: GBTRegressionModel, df: DataFrame, cols: list[str]) -> DataFrame:
     """Predicted next-day log return ``r`` for every row."""
-    return model.transform(assemble(df, cols)).drop("features")
+    scored = model.transform(assemble(df, cols))
+    return scored.withColumn("r", F.col("_p") / RETURN_SCALE).drop("features", "_p")
 
 
 def next_return(model: GBTRegressionModel, cols: list[str]) -> NextReturn:
@@ -102,6 +110,10 @@ def candidates(trials: int, seed: int = 42) -> list[dict]:
     return out
 
 
+#: Share of a fold's training days, the latest ones, that say when boosting stops.
+STOP_SHARE = 0.2
+
+
 def search(
     df: DataFrame,
     cols: list[str],
@@ -109,31 +121,53 @@ def search(
     folds: int = DEFAULTS.search_folds,
     max_iter: int = 100,
     seed: int = 42,
+    threads: int = 8,
 ) -> tuple[dict, DataFrame]:
     """Best parameters by mean fold RMSE over expanding folds, and all scores.
 
-    The loop is over trials and folds only; each fit and score is a distributed
-    job over all symbols. Folds never train on rows later than their test block.
+    Fold after fold, the trials still in it run side by side in ``threads`` threads, each
+    fit a distributed job in a scheduler pool of its own, so that the tail of one fills
+    the gaps of others. In a fold the latest days of the training part say when
+    boosting stops. From the second fold on, trials whose mean error so far is above the
+    median are given up: their score is that mean, and ``folds`` says how many they saw.
+    Folds never train on rows later than their test block, and give the last day
+    of a training part away, whose target lies in the test block.
     """
     spark = df.sparkSession
     rows = df.drop("row_no", "n_rows") if "row_no" in df.columns else df
-    rows = assemble(rows.filter(F.col(TARGET).isNotNull()), cols).select(SYMBOL, DATE, TARGET, "features")
-    folded = time_series_folds(rows, folds).select("fold", "role", TARGET, "features").persist()
-    score = RegressionEvaluator(labelCol=TARGET, predictionCol="r", metricName="rmse")
-    results = []
-    try:
-        for number, params in enumerate(candidates(trials, seed)):
-            errors = []
-            for k in range(folds):
-                part = folded.filter(F.col("fold") == k)
-                model = _regressor(params, max_iter, seed, False).fit(part.filter(F.col("role") == "train"))
-                errors.append(score.evaluate(model.transform(part.filter(F.col("role") == "test"))))
-            results.append({"trial": number, **params, "rmse": sum(errors) / len(errors)})
-    finally:
-        folded.unpersist()
-    best = min(results, key=lambda r: r["rmse"])
+    rows = assemble(rows.filter(F.col(TARGET).isNotNull()), cols)
+    rows = rows.select(SYMBOL, DATE, (F.col(TARGET) * RETURN_SCALE).alias("_percent"), "features")
+    # A row is stored once, with the test block it lies in; folds are conditions on that.
+    size = F.floor(F.col("n_rows") / (folds + 1))
+    first = F.col("n_rows") - folds * size
+    numbered = number_rows(rows).withColumns({"_first": first, "_size": size})
+    stored = materialise(numbered.select("_percent", "features", "row_no", "_first", "_size"))
+    score = RegressionEvaluator(labelCol="_percent", predictionCol="_p", metricName="rmse")
+    drawn = candidates(trials, seed)
+
+    def error(number: int, k: int) -> float:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{number}")
+        start = F.col("_first") + k * F.col("_size")
+        stop_row = F.col("row_no") >= F.floor(start * (1 - STOP_SHARE))
+        train = stored.filter(F.col("row_no") < start - 1).select("_percent", "features", stop_row.alias("stop_row"))
+        test = stored.filter((F.col("row_no") >= start) & (F.col("row_no") < start + F.col("_size")))
+        model = _regressor(drawn[number], max_iter, seed, True).fit(train)
+        return score.evaluate(model.transform(test)) / RETURN_SCALE
+
+    errors: list[list[float]] = [[] for _ in range(trials)]
+    alive = list(range(trials))
+    with ThreadPoolExecutor(threads) as pool:
+        for k in range(folds):
+            for number, value in zip(alive, pool.map(error, alive, [k] * len(alive))):
+                errors[number].append(value)
+            if 0 < k < folds - 1:
+                means = {n: sum(errors[n]) / len(errors[n]) for n in alive}
+                alive = [n for n in alive if means[n] <= median(means.values())]
+    results = [{"trial": n, **drawn[n], "rmse": sum(e) / len(e), "folds": len(e)} for n, e in enumerate(errors)]
+    discard(stored)
+    best = min((r for r in results if r["folds"] == folds), key=lambda r: r["rmse"])
     table = spark.createDataFrame([tuple(r.values()) for r in results], list(results[0]))
-    return {k: v for k, v in best.items() if k not in ("trial", "rmse")}, table
+    return {k: v for k, v in best.items() if k not in ("trial", "rmse", "folds")}, table
 
 
 def importance(model: GBTRegressionModel, cols: list[str], spark, top_n: int = 20) -> DataFrame:
@@ -154,11 +188,11 @@ def contributions(model: GBTRegressionModel, df: DataFrame, cols: list[str], top
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     means = F.array(*[F.lit(v) for v in rows.agg(*[F.avg(c) for c in cols]).first()])
     base = rows.select(F.array(*cols).alias("_x"))
-    whole = model.transform(base.withColumn("features", array_to_vector("_x"))).select("_x", F.col("r").alias("_r0"))
+    whole = model.transform(base.withColumn("features", array_to_vector("_x"))).select("_x", F.col("_p").alias("_r0"))
     one = whole.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))))
     swapped = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), means[i]).otherwise(v))
     scored = model.transform(one.withColumn("features", array_to_vector(swapped)))
-    per = scored.groupBy("_j").agg(F.avg(F.abs(F.col("r") - F.col("_r0"))).alias("importance"))
+    per = scored.groupBy("_j").agg((F.avg(F.abs(F.col("_p") - F.col("_r0"))) / RETURN_SCALE).alias("importance"))
     names = F.array(*[F.lit(c) for c in cols])
     return (
         per.select(names[F.col("_j")].alias("feature"), "importance")

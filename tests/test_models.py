@@ -317,10 +317,14 @@ def test_boosted_learns_and_ranks_features(spark, tabular):
 
 
 def test_search_picks_the_lowest_fold_error(tabular):
-    best, table = boosted.search(tabular, ["x0", "x1"], trials=2, folds=2, max_iter=3)
-    rows = table.orderBy("rmse").collect()
-    assert rows[0].max_depth == best["max_depth"] and len(rows) == 2
+    best, table = boosted.search(tabular, ["x0", "x1"], trials=4, folds=3, max_iter=3)
+    rows = sorted(table.collect(), key=lambda r: r.rmse)
+    whole = [r for r in rows if r.folds == 3]
+    assert len(rows) == 4 and len(whole) == 2 and {r.folds for r in rows} == {2, 3}
+    assert whole[0].max_depth == best["max_depth"] and whole[0].eta == best["eta"]
     assert boosted.candidates(3) == boosted.candidates(3)
+    again = boosted.search(tabular, ["x0", "x1"], trials=4, folds=3, max_iter=3, threads=1)[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
 
 
 def test_lookback_model_is_null_before_a_full_window(tabular):
