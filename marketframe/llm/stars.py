@@ -1,11 +1,19 @@
 """Connected groups of nodes that share keys, without all pairs of a key.
 
 A node has an ``id``, ``keys`` (an array, rarest first) and features that say whether two
-nodes that share a key may link. A few rounds compare nodes with one pivot of each of
-their first keys; that joins most copies. Then all keys are posted once more, each with
-its node's group; keys inside one group fall in a grouped aggregate, and of the others
-the pairs of different groups are compared. So no link between groups is lost, and a
-group of thousands of near copies costs a few comparisons a member.
+nodes that share a key may link.
+
+1. A few rounds compare nodes with one pivot of each of some of their keys, another one
+   each time; that joins most copies. Pairs compared so far, linked or not, also say
+   which nodes lie near each other.
+2. A neighbourhood that is not one group yet is compared as a whole, block by block,
+   by products of matrices: thousands of texts that are alike but do not link make no
+   table of pairs.
+3. All keys are posted once more, each with its node's neighbourhood; keys inside one
+   fall in a grouped aggregate, and of the others the pairs are compared.
+
+So no link between groups is lost, and a group of thousands of near copies costs a few
+comparisons a member.
 """
 
 from __future__ import annotations
@@ -26,14 +34,17 @@ from .words import mix
 Fits = Callable[[Column, Column], Column]
 Verify = Callable[[DataFrame], DataFrame]
 
-#: Keys of a node that the rounds of pivots look at, and what turns the order of ids in each.
-LEAD = 3
-TURNS = (0, 0x2A5A5A5A5A5A5A5A, 0x1333333333333333)
+#: Rounds of pivots: how many of a node's keys they look at, and what turns the order of
+#: a key's nodes; the first one takes the smallest ids, so that keys agree on pivots.
+TURNS = ((8, 0), (16, 1), (16, 2))
 
 #: Rows of a key that one part of it takes where all its pairs are compared, and partners
 #: that one copy of a pivot's text serves.
 PART = 2048
 
+#: Values of sets that one part of a neighbourhood has on average, and columns of a product.
+VALUES, COLUMNS = 1 << 18, 1 << 14
+
 #: Counters of how often keys occur. They order keys, so they may be bounded and shared.
 COUNTERS = 1 << 18
 
@@ -58,34 +69,35 @@ def counter(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def _pivot_pairs(nodes: DataFrame, features: list[str], fits: Fits, turn: int) -> DataFrame:
-    """``a, b``: nodes ``b`` with the pivots ``a`` of their first keys, of other groups."""
+def _pivot_pairs(nodes: DataFrame, features: list[str], fits: Fits, lead: int, turn: int) -> DataFrame:
+    """``a, b``: nodes ``b`` with the pivots ``a`` of their last keys, of other groups. The rarest
+    keys, which come first, are those that an edited copy has for itself."""
     inside = ["id", "component", *features]
-    posts = nodes.select(F.explode(F.slice("keys", 1, LEAD)).alias("key"), F.struct(*inside).alias("node"))
+    posts = nodes.select(F.explode(F.slice(F.reverse("keys"), 1, lead)).alias("key"), F.struct(*inside).alias("node"))
+    order = F.xxhash64("node.id", "key", F.lit(turn)) if turn else F.col("node.id")
     pivots = posts.groupBy("key").agg(
-        F.min_by("node", F.col("node.id").bitwiseXOR(F.lit(turn))).alias("pivot"),
-        F.min("node.component").alias("low"), F.max("node.component").alias("high"),
-    )
+        F.min_by("node", order).alias("pivot"), F.min("node.component").alias("low"), F.max("node.component").alias("high")
+    )
     met = posts.join(pivots.where("low < high").select("key", "pivot").hint("merge"), "key")
     apart = F.col("node.component") != F.col("pivot.component")
     return met.where(apart & fits(F.col("pivot"), F.col("node"))).select(F.col("pivot.id").alias("a"), F.col("node.id").alias("b")).distinct()
 
 
 def across(nodes: DataFrame, features: list[str], fits: Fits, least: int = 1) -> DataFrame:
-    """``a, b``: all pairs of nodes of different components that share ``least`` keys and fit.
+    """``a, b``: all pairs of nodes of different groups that share ``least`` keys and fit.
 
-    A key of many nodes is dealt over parts: each of its nodes is one part's on one
-    side and every part's on the other.
+    ``group`` names a node's group. A key of many nodes is dealt over parts: each of its
+    nodes is one part's on one side and every part's on the other.
     """
-    posts = nodes.select("id", "component", *features, F.explode("keys").alias("key"))
-    keys = posts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times"))
+    inside = ["id", "group", *features]
+    posts = nodes.select(*inside, F.explode("keys").alias("key"))
+    keys = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("times"))
     mixed = materialise(keys.where("low < high").select("key", F.ceil(F.col("times") / PART).cast("int").alias("parts")))
     rows = marked(posts, mixed.select(F.col("key").alias("id")), "key").where("_maybe").drop("_maybe")
     rows = rows.join(mixed.hint("merge"), "key")
-    node = F.struct("id", "component", *features)
-    left = rows.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), node.alias("x"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), node.alias("y"))
-    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x"), F.col("y"))
+    left = rows.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.struct(*inside).alias("x"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct(*inside).alias("y"))
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & fits(F.col("x"), F.col("y"))
     met = left.join(right.hint("merge"), ["key", "part"]).where(apart)
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     out = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b"))
@@ -93,37 +105,153 @@ def across(nodes: DataFrame, features: list[str], fits: Fits, least: int = 1) ->
     return out
 
 
-def groups(nodes: DataFrame, fits: Fits, verify: Verify, least: int = 1) -> DataFrame:
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``x`` has in common with each of ``y``."""
+    values, back = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(back, kind="stable")
+    row, back = row[order], back[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(values), COLUMNS):
+        a, b = np.searchsorted(back, (low, low + COLUMNS))
+        some = np.zeros((len(x) + len(y), min(COLUMNS, len(values) - low)), np.float32)
+        some[row[a:b], back[a:b] - low] = 1
+        out += some[: len(x)] @ some[len(x) :].T
+    return out.astype(np.int64)
+
+
+def similar_sets(num: int, den: int) -> Callable[[list, list], np.ndarray]:
+    """Tells for two lists of sets which pairs have ``den * intersection >= num * union``."""
+
+    def test(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        both = _shared(x, y)
+        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])
+        return den * both >= num * (total - both)
+
+    return test
+
+
+def inside(near: DataFrame, rows: DataFrame, values_of: Callable[[pa.RecordBatch], list], test: Callable[[list, list], np.ndarray]) -> DataFrame:
+    """``a, b``: links that join the components of a neighbourhood.
+
+    ``near`` has ``id, group, component, size``. A neighbourhood of several components is
+    dealt over parts of about ``VALUES`` values, of which every two meet in one task;
+    there one link is reported for each two components.
+    """
+    groups_of = near.groupBy("group").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("size") / VALUES).cast("int").alias("parts")
+    )
+    mixed = near.join(groups_of.where("low < high").select("group", "parts").hint("merge"), "group")
+    mixed = materialise(mixed.select("id", "group", "component", "parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    texts = marked(rows, mixed.select("id"), "id").where("_maybe").select("id", "text")
+    met = mixed.join(texts.hint("merge"), "id").withColumn("own", own)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda h: F.least("own", h) * F.col("parts") + F.greatest("own", h))
+    dealt = met.select("group", F.explode(pairs).alias("part"), "own", "id", "component", "text")
+
+    def links(ids: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list) -> pa.RecordBatch:
+        sides = np.unique(side)
+        x = np.flatnonzero(side == sides[0])
+        y = x if len(sides) == 1 else np.flatnonzero(side == sides[1])
+        found = test([sets[i] for i in x], [sets[i] for i in y]) & (component[x][:, None] != component[y])
+        a, b = np.nonzero(found)
+        a, b = x[a], y[b]
+        _, first = np.unique(np.stack([component[a], component[b]]), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], ["a", "b"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        own, waiting = None, []
+
+        def compared():
+            columns = [np.array(c) for c in zip(*[(w[0], w[1], w[2]) for w in waiting])]
+            return links(*columns, [w[3] for w in waiting])
+
+        for batch in chunks(batches, "text"):
+            columns = [batch.column(c).to_pylist() for c in ("group", "part", "id", "component", "own")]
+            for group, part, *row, values in zip(*columns, values_of(batch)):
+                if own != (group, part):
+                    if waiting:
+                        yield compared()
+                    own, waiting = (group, part), []
+                waiting.append((*row, values))
+        if waiting:
+            yield compared()
+
+    ordered = dealt.repartition("group", "part").sortWithinPartitions("group", "part")
+    out = materialise(ordered.mapInArrow(run, "a bigint, b bigint").distinct())
+    discard(mixed)
+    return out
+
+
+def groups(nodes: DataFrame, fits: Fits, verify: Verify, least: int = 1, members: DataFrame | None = None,
+           within: Verify | None = None, between: Callable[[DataFrame], DataFrame] | None = None,
+           turns: tuple[tuple[int, int], ...] = TURNS) -> DataFrame:
     """``id, component`` of the nodes that link with others; the smallest id names a group.
 
-    ``nodes`` has ``id, keys`` and features; ``verify`` turns a table of pairs ``a, b``
+    ``nodes`` has ``id, keys, size`` and features; ``verify`` turns a table of pairs ``a, b``
     into one of those that link (of many pairs with one ``a``). Two nodes can link if
-    they have ``least`` keys in common and fit.
+    they have ``least`` keys in common and fit. With ``members`` (``node, id``, the node's
+    own id among them) some nodes stand for several: these are held against their
+    node, and pairs of nodes are expanded to pairs of members. ``within`` finds the
+    links inside neighbourhoods, as ``inside`` does; without it, pairs of different
+    components are all that is left out. ``between`` may take the place of ``across``.
     """
     features = [c for c in nodes.columns if c not in ("id", "keys")]
     found = None
 
-    def current() -> DataFrame:
-        if found is None:
-            return nodes.withColumn("component", F.col("id"))
-        return nodes.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def named(rows: DataFrame, column: str, name: str, names: DataFrame | None) -> DataFrame:
+        """With the component of the id in ``column``."""
+        if names is None:
+            return rows.withColumn(name, F.col(column))
+        more = names.select(F.col("id").alias(column), F.col("component").alias(name)).hint("merge")
+        return rows.join(more, column, "left").withColumn(name, F.coalesce(name, column))
 
-    def grown(pairs: DataFrame) -> tuple[DataFrame | None, bool]:
-        if pairs.isEmpty():
-            discard(pairs)
-            return found, False
-        links = verify(pairs)
+    def joined(links: DataFrame) -> DataFrame:
         after = components(links) if found is None else materialise(merged(found, links))
-        discard(pairs, links)
+        discard(links)
         if found is not None:
             discard(found)
-        return after, True
-
-    for turn in TURNS:
-        found, more = grown(materialise(_pivot_pairs(current(), features, fits, turn)))
-        if not more:
+        return after
+
+    # Later rounds take the nodes that were near some pivot of the first one.
+    near, compared = None, []
+    for lead, turn in turns:
+        rows = named(nodes, "id", "component", found)
+        rows = rows if near is None else rows.join(near.hint("merge"), "id", "left_semi")
+        pairs = _pivot_pairs(rows, features, fits, lead, turn)
+        if members is not None and near is None:
+            pairs = pairs.union(members.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b")))
+        pairs = materialise(pairs)
+        compared.append(pairs)
+        if pairs.isEmpty():
             break
-    found, _ = grown(across(current(), features, fits, least))
+        if near is None:
+            near = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        found = joined(verify(pairs))
+    group = found
+    if within is not None and near is not None:
+        every = compared[0]
+        for more in compared[1:]:
+            every = every.union(more)
+        group = components(every)
+        sized = nodes.select("id", "size")
+        if members is not None:
+            others = members.where("id != node").join(nodes.select(F.col("id").alias("node"), "size").hint("merge"), "node")
+            sized = sized.union(others.select("id", "size"))
+        lie = named(sized.join(near.hint("merge"), "id", "left_semi"), "id", "component", found)
+        found = joined(within(named(lie, "id", "group", group)))
+    discard(*compared, *([near] if near is not None else []))
+
+    rows = named(nodes, "id", "group", group)
+    pairs = across(rows, features, fits, least) if between is None else between(rows.withColumnRenamed("group", "component"))
+    if members is not None:
+        side = lambda c: members.select(F.col("node").alias(c), F.col("id").alias(f"_{c}")).hint("merge")
+        each = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        wide, pairs = pairs, materialise(each.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct())
+        discard(wide)
+    if not pairs.isEmpty():
+        found = joined(verify(pairs))
+    discard(pairs, *([group] if group is not None and within is not None else []))
     return nodes.select("id", F.col("id").alias("component")).limit(0) if found is None else found
 
 
