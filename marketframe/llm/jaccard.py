@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,25 +10,20 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import among, components, merged, neighbours, remaining_pairs, star_pairs
+from .linking import among
+from .stars import counter, groups, inside, rarity, similar_sets, verified
 from .words import mix, shingle_sets
 
 WORDS = 5
 #: Two documents link when ``DEN * intersection >= NUM * union``.
 NUM, DEN = 75, 100
 
-#: The most frequent shingles, which come last in the order of prefixes. The order
-#: decides how much is compared, never what is found; so its list may be bounded.
-FREQUENT = 1 << 16
-#: Shingles that are counted together in a task, and the least count that is reported.
-BLOCK, REPEATED = 4 << 20, 4
-
-TOP = np.uint64(1 << 63)
+#: Shingles that prefixes must share. Different sets that link have as many in common.
+SHARED = 3
 
 
-def _set_batches(batches) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in chunks(batches, "text"):
-        yield part, shingle_sets(*data(part.column("text")), WORDS)
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [x for part in chunks([batch], "text") for x in shingle_sets(*data(part.column("text")), WORDS)]
 
 
 def _signature(values: np.ndarray) -> tuple[int, int]:
@@ -39,123 +32,46 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([one.sum(dtype=np.uint64), two.sum(dtype=np.uint64)]).view(np.int64).tolist())
 
 
-def frequent_shingles(rows: DataFrame) -> np.ndarray:
-    """At most ``FREQUENT`` shingles of the most documents, sorted.
-
-    Tasks count whole blocks of their rows and report shingles that repeat inside one.
-    """
-
-    def run(batches):
-        def report():
-            values, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            often = counts >= REPEATED
-            columns = [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["shingle", "count"])
-
-        waiting, n = [], 0
-        for _, sets in _set_batches(batches):
-            waiting += sets
-            n += sum(map(len, sets))
-            if n >= BLOCK:
-                yield report()
-                waiting, n = [], 0
-        if waiting:
-            yield report()
-
-    counts = rows.mapInArrow(run, "shingle bigint, count bigint").groupBy("shingle").agg(F.sum("count").alias("count"))
-    top = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle")
-    return np.sort(np.array([r.shingle for r in top.collect()], np.int64).view(np.uint64))
-
-
 def prefix_length(n: int) -> int:
-    """Two linked sets of n and more values share one of the first so many of the smaller's order."""
-    return n - -(-n * NUM // DEN) + 1
+    """Of two linked sets, each has ``SHARED`` of the common values among the first so many of
+    its own, in any one order: more than a quarter of n values can't be missing in the other."""
+    return min(n - -(-n * NUM // DEN) + SHARED, n)
 
 
-def _prefix(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first values of a set in the common order: frequent ones, with the sign bit set, last."""
-    if len(frequent):
-        at = np.searchsorted(frequent, values)
-        often = frequent[np.minimum(at, len(frequent) - 1)] == values
-        values = np.concatenate([values[~often], values[often] | TOP])
-    return values[: prefix_length(len(values))]
+def _prefix(values: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest values of a set, in one order for all sets."""
+    count = often[counter(values)]
+    return values[np.lexsort((values, count))[: prefix_length(len(values))]]
 
 
-def signed_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, s1, s2, p1, p2``: size and signature of each document's set, and
-    signature of its prefix; zeros for empty sets."""
+def signed_sets(rows: DataFrame, often: np.ndarray) -> DataFrame:
+    """``doc_id, n, s1, s2, p1, p2, keys``: size and signature of each document's set,
+    signature of its prefix and the prefix; zeros and nothing for empty sets."""
 
     def run(batches):
-        for part, sets in _set_batches(batches):
-            out = [(len(x), *_signature(x), *_signature(_prefix(x, frequent))) if len(x) else (0,) * 5 for x in sets]
+        for part in chunks(batches, "text"):
+            sets = _sets(part)
+            prefixes = [_prefix(x, often) for x in sets]
+            out = [(len(x), *_signature(x), *_signature(p)) if len(x) else (0,) * 5 for x, p in zip(sets, prefixes)]
             columns = [part.column(0), pa.array([x[0] for x in out], pa.int32())]
             columns += [pa.array([x[k] for x in out], pa.int64()) for k in range(1, 5)]
+            ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n", "s1", "s2", "p1", "p2"]
-    return rows.mapInArrow(run, "doc_id bigint, n int, s1 bigint, s2 bigint, p1 bigint, p2 bigint")
-
+    names = ["doc_id", "n", "s1", "s2", "p1", "p2", "keys"]
+    return rows.mapInArrow(run, "doc_id bigint, n int, s1 bigint, s2 bigint, p1 bigint, p2 bigint, keys array<bigint>")
 
-def prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, rare, prefix`` of documents with a set; ``rare`` is how many of its
-    values are not frequent, the fewer the nearer it is to what others copy."""
-
-    def run(batches):
-        for part, sets in _set_batches(batches):
-            full = [i for i, x in enumerate(sets) if len(x)]
-            rare = [len(sets[i]) - int(np.isin(sets[i], frequent, assume_unique=True).sum()) for i in full]
-            values = [_prefix(sets[i], frequent).view(np.int64) for i in full]
-            ends = pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32))
-            flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int64))
-            columns = [part.column(0).take(pa.array(full, pa.int64())), pa.array([len(sets[i]) for i in full], pa.int32())]
-            columns += [pa.array(rare, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "rare", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n int, rare int, prefix array<bigint>")
-
-
-def _sets_of(rows: DataFrame) -> DataFrame:
-    """``id, values``: the whole sets of documents."""
-
-    def run(batches):
-        for part, sets in _set_batches(batches):
-            values = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), values], ["id", "values"])
-
-    return rows.mapInArrow(run, "id bigint, values binary")
-
-
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough, as a table. Texts of other
-    documents than theirs are not shuffled."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(_sets_of(among(rows, ids, "doc_id")))
-    left = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    good = materialise(both.mapInArrow(run, "a bigint, b bigint"))
-    discard(sets)
-    return good
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if min(len(x), len(y)) * DEN < max(len(x), len(y)) * NUM:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
 def fits(x: Column, y: Column) -> Column:
-    """Whether two nodes that share a prefix value can link if it is the first they share:
-    what stands before it in either set is not common, and the rest must be enough."""
-    least = F.ceil((x["size"] + y["size"]) * NUM / (NUM + DEN))
-    return (x["size"] - x["place"] >= least) & (y["size"] - y["place"] >= least)
-
-
-def sizes_fit(x: Column, y: Column) -> Column:
     return F.least(x["size"], y["size"]) * DEN >= F.greatest(x["size"], y["size"]) * NUM
 
 
@@ -163,65 +79,44 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     """``key, n_shingles, component_id`` of every row.
 
     1. Documents with one set are a class, classes with one prefix and size a group.
-    2. Each prefix value sorts its groups, those of the fewest rare shingles first; a group
-       is compared with the first and with the one before it. Verified links give
-       connected groups.
-    3. Of the pairs that share a prefix value, those not yet connected are expanded to
-       members and verified as well. So no link between two components is missed,
-       while a group of thousands of near copies costs a few comparisons a member.
-
-    A null or empty text, or one without words, has an empty set and is its own
-    component. Equal texts are linked through their class, repeated rows included.
-    Keys are taken for unique: rows with one key are one node. Rows with a null key
-    get their class's component, null if the class has no other key. Other columns
-    are not read. Nothing is cut: whole texts, all pairs of different components.
+    2. Groups whose prefixes share a rare value are compared with a pivot of it, members
+       with their group's first (``stars``); verified links give connected groups.
+    3. Prefixes are joined once more: pairs of groups that share enough of them and are
+       not connected yet are expanded to members and verified as well. So no link
+       is missed, while thousands of near copies cost a few comparisons a member.
+
+    A prefix holds the shingles that fewest documents have; that order is a matter of
+    cost, so bounded counters do. A null or empty text, or one without words, has an
+    empty set and is its own component. Equal texts are linked through their class,
+    repeated rows included. Keys are taken for unique: rows with one key are one node.
+    Rows with a null key get their class's component, null if the class has no other
+    key. Other columns are not read. Nothing is cut: whole texts, however long, and all
+    pairs of different components. An empty table gives an empty result.
     """
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
-    frequent = frequent_shingles(rows)
-    sets = materialise(signed_sets(rows, frequent))
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("doc_id").alias("id"), F.first("p1").alias("p1"), F.first("p2").alias("p2")
+    rows = documents.select(F.col(key).cast("bigint").alias("id"), text_bytes(text).alias("text"))
+    often = rarity(rows.select("text"), lambda batch: np.concatenate([np.empty(0, np.uint64), *_sets(batch)]))
+    sets = materialise(signed_sets(rows, often))
+    by = ["n", "s1", "s2"]
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(
+        F.min("doc_id").alias("id"), F.min("p1").alias("p1"), F.min("p2").alias("p2")
     )
     classes = materialise(classes)
-    named = classes.where(F.col("id").isNotNull())
-    groups = named.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.count("*").alias("members"))
-    groups = materialise(groups)
-
-    # 2. Groups that share a prefix value.
-    first = groups.select(F.col("group").alias("doc_id"))
-    leading = prefixes(rows, frequent).join(first, "doc_id", "left_semi")
-    postings = leading.select(
-        F.col("doc_id").alias("id"), F.col("n").alias("size"), F.col("rare").alias("rank"), F.posexplode("prefix").alias("place", "key")
-    )
-    common = F.col("key") < 0
-    shared = materialise(neighbours(postings, common))
-    likely = star_pairs(shared, fits, common)
-    # Members of a group, each with the group's first.
-    several = groups.where("members > 1").select("n", "p1", "p2", "group")
-    members = materialise(named.join(several, ["n", "p1", "p2"]).select("id", "group"))
-    inside = members.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b"))
-    candidates = materialise(likely.union(inside).distinct())
-
-    links = verified(candidates, rows)
-    found = components(links)
-
-    # 3. What is left between different components, member by member.
-    everyone = shared.select("key", "node")
-    others = members.where("id != group").withColumnRenamed("id", "member")
-    expanded = everyone.join(others, everyone["node.id"] == others["group"]).select(
-        "key", F.struct(F.col("member").alias("id"), F.col("node.size").alias("size"), F.col("node.place").alias("place")).alias("node")
-    )
-    inner = members.select(F.col("group").alias("key"), F.struct("id", F.lit(1).alias("size"), F.lit(0).alias("place")).alias("node"))
-    left = remaining_pairs(everyone.union(expanded), found, fits).union(remaining_pairs(inner, found, sizes_fit)).distinct()
-    left = materialise(left.join(candidates, ["a", "b"], "left_anti"))
-    more = left if left.isEmpty() else verified(left, rows)
-    found = materialise(merged(found, more))
-    discard(shared, candidates, left, links, members, groups)
-
-    linked = classes.join(found, "id", "left").select(
-        "n", "s1", "s2", F.coalesce("component", "id").alias("component")
-    )
-    out = sets.select("doc_id", "n", "s1", "s2").join(linked, ["n", "s1", "s2"], "left")
+    grouped = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("node"), F.count("*").alias("members"))
+    grouped = materialise(grouped)
+    keys = among(sets.select("doc_id", "n", "keys"), grouped.select(F.col("node").alias("id")), "doc_id")
+    # Rows with one key are one node: the first of their sets.
+    nodes = materialise(keys.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "keys").where("size > 0").dropDuplicates(["id"]))
+    several = grouped.where("members > 1").select("n", "p1", "p2", "node")
+    members = materialise(classes.join(several.hint("merge"), ["n", "p1", "p2"]).select("node", "id"))
+    whole = similar_sets(NUM, DEN)
+    found = groups(
+        nodes, fits, lambda pairs: verified(pairs, rows, _sets, similar), SHARED, members,
+        within=lambda near: inside(near, rows, _sets, whole),
+    )
+    discard(nodes, members, grouped)
+
+    linked = classes.select("id", *by).join(found.hint("merge"), "id", "left").select(*by, F.coalesce("component", "id").alias("component"))
+    out = sets.select("doc_id", *by).join(linked.hint("merge"), by, "left")
     return out.select(
         F.col("doc_id").alias(key), F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
