@@ -1,11 +1,15 @@
 """Removal of repeated and nearly repeated lines across documents.
 
 A line's normalised form is its words, runs of letters and digits (and of all bytes
-beyond ASCII), with A-Z lowered. Where the SimHash finds links, every digit is a 0.
+beyond ASCII), with A-Z lowered; in scripts without spaces each character is a word.
+Equal forms are one node. Nodes meet by the blocks of a SimHash of their words
+(Manku and others 2007), and link if few word edits turn one into the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,28 +18,27 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import components, marked, merged, neighbours, remaining_pairs, star_pairs
+from .linking import marked
+from .stars import groups
 from .words import _LOWER, hash_spans, mix, spans
 
-#: Blocks of 32 bits in a SimHash. Lines that differ in fewer bits have one in common.
-BLOCKS = 4
+#: Edits in percent of the longer line's words up to which lines link. Shorter lines than
+#: make one edit link only if they are equal.
+EDITS = 5
+LEAST_WORDS = 100 // EDITS
 
-#: Lines link when they share a block, differ in at most so many bits, and their words'
-#: edit distance is at most this percentage of the longer line's words.
-BITS, EDITS = 12, 20
+#: Blocks of a SimHash and their bits. Two lines that differ in fewer bits than there are
+#: blocks have one in common, and of others the more the fewer they differ in.
+BLOCKS, BLOCK_BITS = 7, 18
 
-#: Lines with fewer words are left alone.
-LEAST_WORDS = 4
+#: Lines are compared if at most so many bits of their blocks differ: unlike ones differ in half.
+BITS = 30
 
-#: The most frequent pairs of words, which come last in the order of prefixes: an order,
-#: not a filter. Pairs counted together in a task, and the least count that it reports.
-FREQUENT, BLOCK, REPEATED = 1 << 16, 4 << 20, 4
+#: Nodes of a block that are compared in one go; more are dealt, each two parts once.
+PART = 2048
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 0x20
-_FOLD[0x30:0x3A] = 0x30
 
 
 def unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,19 +66,18 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end
 
 
-def split_lines(buf: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def split_lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each line of each row: the row, its number there and where its words start
-    (one more than lines); and the hashes of all words. With ``whole``, characters of
-    scripts without spaces are words and digits are as they stand."""
+    (one more than lines); and the hashes of all words."""
     breaks = np.flatnonzero(buf == 0x0A)
     row = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, breaks, "right") - 1])
     start = np.concatenate([off[:-1], breaks + 1])
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    at, end = word_spans(buf, off) if whole else spans(_WORD[buf], off)
+    at, end = word_spans(buf, off)
     first = np.append(np.searchsorted(at, start), len(at))
-    return row, number, first, hash_spans((_LOWER if whole else _FOLD)[buf], at, end)
+    return row, number, first, hash_spans(_LOWER[buf], at, end)
 
 
 def line_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -90,36 +92,36 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.
 
 
 def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Four blocks for each line: bit by bit what most of its words' hashes have."""
+    """Two numbers of 64 bits for each line: bit by bit what most of its words' hashes have."""
     size = np.diff(first)
-    packed = np.zeros((len(size), 4 * BLOCKS), np.uint8)
+    packed = np.zeros((len(size), 16), np.uint8)
     full = np.flatnonzero(size)
     if not len(full):
-        return packed.view(np.uint32)
+        return packed.view(np.int64)
     parts = -(-size[full] // 255)
     lead = np.cumsum(parts) - parts
     start = np.repeat(first[:-1][full], parts) + 255 * (np.arange(parts.sum()) - np.repeat(lead, parts))
-    for half in range(BLOCKS // 2):
+    for half in (0, 1):
         h = mix(words + np.uint64(half)).view(np.uint8).reshape(-1, 8)
         for k in range(8):
             lanes = np.add.reduceat(_LANES[h[:, k]], start).view(np.uint8).reshape(-1, 8)
             votes = np.add.reduceat(lanes, lead, axis=0, dtype=np.int64) if len(start) > len(full) else lanes.astype(np.int64)
             packed[full, 8 * half + k] = np.packbits(2 * votes > size[full, None], axis=1)[:, 0]
-    return packed.view(np.uint32)
+    return packed.view(np.int64)
 
 
 def hashed_lines(rows: DataFrame) -> DataFrame:
-    """``doc_id, line, id, size, sim0, sim1`` of every line with enough words."""
+    """``doc_id, line, id, size, sim0, sim1`` of every line with a word; short ones have zeros."""
 
     def run(batches):
         for part in chunks(batches, "text", 2 << 20):
             row, number, first, words = split_lines(*data(part.column("text")))
             size = np.diff(first)
-            keep = size >= LEAST_WORDS
-            ids, blocks = line_hashes(words, first)[keep], simhashes(words, first)[keep]
+            keep = np.flatnonzero(size)
+            sims = simhashes(words, first)[keep]
+            sims[size[keep] < LEAST_WORDS] = 0
             columns = [part.column(0).take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32))]
-            columns += [pa.array(ids.view(np.int64)), pa.array(size[keep].astype(np.int32))]
-            sims = np.ascontiguousarray(blocks).view(np.int64).reshape(-1, 2)
+            columns += [pa.array(line_hashes(words, first)[keep].view(np.int64)), pa.array(size[keep].astype(np.int32))]
             columns += [pa.array(np.ascontiguousarray(sims[:, k])) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -127,121 +129,90 @@ def hashed_lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, sim0 bigint, sim1 bigint")
 
 
-def word_pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The line and a hash of each two words in a row. The second and later occurrence
-    in a line are hashes of their own, so a line's multiset of pairs is a set."""
-    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.flatnonzero(line[1:] == line[:-1])
-    h, line = mix(words[at] + mix(words[at + 1] + np.uint64(1))), line[at]
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    place = np.arange(len(h))
-    again = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    return line, np.where(new, h, mix(h + again))
-
-
-def frequent_pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``FREQUENT`` pairs of words, sorted, and the place of each by its count."""
+def blocks_of(sim0: Column, sim1: Column) -> Column:
+    """The blocks, each with its number: three of either half, one of what both have left."""
+    mask = (1 << BLOCK_BITS) - 1
+    cut = lambda s, k: F.shiftrightunsigned(s, BLOCK_BITS * k).bitwiseAND(F.lit(mask))
+    own = [cut(s, k) for s in (sim0, sim1) for k in range(3)]
+    half = BLOCK_BITS // 2
+    ends = [F.shiftrightunsigned(s, 3 * BLOCK_BITS).bitwiseAND(F.lit((1 << half) - 1)) for s in (sim0, sim1)]
+    return F.array(*[(b * BLOCKS + k).cast("int") for k, b in enumerate([*own, F.shiftleft(ends[0], half) + ends[1]])])
 
-    def run(batches):
-        def report():
-            values, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            often = counts >= REPEATED
-            columns = [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["pair", "count"])
 
-        waiting, n = [], 0
-        for part in chunks(batches, "text", 2 << 20):
-            _, _, first, words = split_lines(*data(part.column("text")), whole=True)
-            waiting.append(word_pairs(words, first)[1])
-            n += len(waiting[-1])
-            if n >= BLOCK:
-                yield report()
-                waiting, n = [], 0
-        if waiting:
-            yield report()
-
-    counts = rows.mapInArrow(run, "pair bigint, count bigint").groupBy("pair").agg(F.sum("count").alias("count"))
-    top = counts.orderBy(F.desc("count"), "pair").limit(FREQUENT).select("pair").collect()
-    values = np.array([r.pair for r in top], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], (len(values) - 1 - order).astype(np.uint64)
-
-
-def prefix_lengths(size: np.ndarray) -> np.ndarray:
-    """Of two lines within the edit limit, both have a common pair of words among the first
-    so many of their own, in any one order of pairs.
-
-    k edits of the longer line's n words leave n - 1 - 2k of its pairs. So the m - 1
-    pairs of the shorter one hold one of them in the first m - n + 2k + 1; over all n
-    that m words can be within reach of, that is most for n = m or the next n with
-    one edit more.
+def fits(x: Column, y: Column) -> Column:
+    """Whether two nodes can be within the edit limit by their sizes, and are alike in bits."""
+    longer = F.greatest(x["size"], y["size"])
+    sizes = longer - F.least(x["size"], y["size"]) <= F.floor(longer * EDITS / 100)
+    differ = sum(F.bit_count(F.shiftleft(x[c].bitwiseXOR(y[c]), 1)) for c in ("sim0", "sim1"))
+    return sizes & (differ <= BITS)
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of rows ``key, part, side, id, component, size, sim0, sim1`` sorted by key and part:
+    pairs of one key and part that fit and are of different components. A part of two
+    sides compares each row of one with each of the other."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key, part, side, ids, component, size, *sims = (rows.column(c).to_numpy() for c in rows.column_names)
+        left, found = np.arange(len(key)), []
+        gap = 0
+        while len(left):
+            gap += 1
+            left = left[left + gap < len(key)]
+            right = left + gap
+            run = (key[left] == key[right]) & (part[left] == part[right])
+            left, right = left[run], right[run]
+            longer = np.maximum(size[left], size[right])
+            good = (component[left] != component[right]) & (longer - np.minimum(size[left], size[right]) <= longer * EDITS // 100)
+            good &= (side[left] < 0) | (side[left] != side[right])
+            differ = [np.bitwise_count((s[left] ^ s[right]).view(np.uint64) << np.uint64(1)) for s in sims]
+            good &= differ[0] + differ[1] <= BITS
+            found.append(np.stack([ids[left[good]], ids[right[good]]]))
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], ["a", "b"])
+
+    waiting: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+        # The last run may go on in the next batch.
+        last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
+        if last or (waiting and (waiting[-1].column("key")[-1].as_py(), waiting[-1].column("part")[-1].as_py()) != (key[0], part[0])):
+            yield pairs(pa.concat_tables([*waiting, rows.slice(0, last)]))
+            waiting = []
+        waiting.append(rows.slice(last))
+    if waiting:
+        yield pairs(pa.concat_tables(waiting))
+
+
+def block_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes of different components that share a block and fit.
+
+    There are at most ``BLOCKS * 2 ** BLOCK_BITS`` different keys, so the list of those with
+    many nodes may be broadcast; their nodes are dealt over parts, and every two parts meet once.
     """
-    n = np.arange(int(size.max(initial=0)) + 100 // EDITS + 1)
-    most = 2 * (n * EDITS // 100) + 1 - n
-    best = np.max([most[k : len(n) - 100 // EDITS + k] for k in range(100 // EDITS + 1)], axis=0)
-    return np.clip(size + best[size], 0, np.maximum(size - 1, 0))
-
-
-def prefixes(words: np.ndarray, first: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each line's first pairs of words, and where each line's keys start. Frequent
-    pairs have the sign bit and their place above the hash, so they come last."""
-    line, h = word_pairs(words, first)
-    keys = h >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        often = frequent[at] == h
-        keys[often] = np.uint64(1 << 63) | (places[at[often]] << np.uint64(46)) | (h[often] >> np.uint64(18))
-    order = np.lexsort((keys, line))
-    line, keys = line[order], keys[order]
-    size = np.diff(first)
-    take = np.where(size >= LEAST_WORDS, prefix_lengths(size), 0)
-    keep = np.arange(len(line)) - np.searchsorted(line, line) < take[line]
-    return keys[keep], np.append(0, np.cumsum(np.bincount(line[keep], minlength=len(size))))
-
-
-def word_bits(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """128 bits for each line, one of which each of its words sets."""
-    out = np.zeros((len(first) - 1, 2), np.uint64)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        bit, half = np.uint64(1) << (words & np.uint64(63)), (words >> np.uint64(6)) & np.uint64(1)
-        for k in (0, 1):
-            out[full, k] = np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), first[:-1][full])
-    return out
-
-
-def keyed_lines(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, line, id, size, bits0, bits1, keys`` of every line with a word;
-    lines with fewer than ``LEAST_WORDS`` have no keys."""
-
-    def run(batches):
-        for part in chunks(batches, "text", 2 << 20):
-            row, number, first, words = split_lines(*data(part.column("text")), whole=True)
-            size = np.diff(first)
-            keep = np.flatnonzero(size)
-            bits = word_bits(words, first)[keep].view(np.int64)
-            keys, start = prefixes(words, first, *frequent)
-            # Lines without a word have no keys.
-            ends = pa.array(np.append(start[keep], len(keys)).astype(np.int32))
-            columns = [part.column(0).take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32))]
-            columns += [pa.array(line_hashes(words, first)[keep].view(np.int64)), pa.array(size[keep].astype(np.int32))]
-            columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in (0, 1)]
-            columns += [pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    names = ["doc_id", "line", "id", "size", "bits0", "bits1", "keys"]
-    return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, bits0 bigint, bits1 bigint, keys array<bigint>")
-
-
-def words_of_lines(rows: DataFrame, whole: bool = False) -> DataFrame:
+    posts = nodes.select(F.explode(F.col("keys").cast("array<int>")).alias("key"), "id", "component", "size", "sim0", "sim1")
+    many = posts.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > PART)
+    rows = posts.join(F.broadcast(many.select("key", F.ceil(F.col("_n") / PART).cast("int").alias("parts"))), "key", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda h: F.least(own, h) * F.col("parts") + F.greatest(own, h))
+    # Inside a part of its own all rows meet; that is said by a side below 0.
+    dealt = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(met)).alias("part")
+    rows = rows.select("key", dealt, own.alias("own"), "parts", "id", "component", "size", "sim0", "sim1")
+    inner = F.col("parts").isNull() | (F.col("part") % (F.col("parts") + 1) == 0)
+    rows = rows.select("key", "part", F.when(inner, -1).otherwise(F.col("own")).alias("side"), "id", "component", "size", "sim0", "sim1")
+    sorted_rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    return materialise(sorted_rows.mapInArrow(compared, "a bigint, b bigint").distinct())
+
+
+def words_of_lines(rows: DataFrame) -> DataFrame:
     """``id, words``: the word hashes of the lines that column ``wanted`` numbers."""
 
     def run(batches):
         for part in chunks(batches, "text", 2 << 20):
-            row, number, first, words = split_lines(*data(part.column("text")), whole)
+            row, number, first, words = split_lines(*data(part.column("text")))
             ids = line_hashes(words, first).view(np.int64)
             start = np.searchsorted(row, np.arange(part.num_rows))
             lines = [start[i] + x for i, want in enumerate(part.column("wanted").to_pylist()) for x in want]
@@ -251,32 +222,60 @@ def words_of_lines(rows: DataFrame, whole: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, words binary")
 
 
-def within_edits(x: list, y: list, most: int) -> bool:
+def _sums(x: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Sums, up to each place, of the values times a power for their place."""
+    return np.append(np.uint64(0), np.cumsum(mix(x) * power[: len(x)], dtype=np.uint64))
+
+
+def within_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     """Whether ``most`` insertions, deletions or replacements turn x into y.
 
-    For each number of edits and each diagonal, how far along x they reach (Ukkonen).
+    For each number of edits and all diagonals at once, how far along x they reach
+    (Ukkonen); how far two stretches are equal is found by halving, with sums that say
+    whether they are.
     """
     m, n = len(x), len(y)
     if abs(m - n) > most:
         return False
     # Each word that only one side has takes an edit.
-    mine, yours = set(x), set(y)
-    if max(len(mine - yours), len(yours - mine)) > most:
+    both, back = np.unique(np.append(x, y), return_inverse=True)
+    more = np.bincount(back[:m], minlength=len(both)) - np.bincount(back[m:], minlength=len(both))
+    if max(more[more > 0].sum(), -more[more < 0].sum()) > most:
         return False
-    reach: dict[int, int] = {}
+    power = np.cumprod(np.append(np.uint64(1), np.full(max(m, n), 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
+    sx, sy = _sums(x, power), _sums(y, power)
+    d = np.arange(-most, most + 1)
+    ahead, behind = power[np.minimum(np.maximum(d, 0), max(m, n))], power[np.minimum(np.maximum(-d, 0), max(m, n))]
+
+    def slide(i: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """How far along x the diagonals ``on`` get from places i without an edit."""
+        at = i[on]
+        other, room = at + d[on], np.minimum(m - at, n - at - d[on])
+        low = np.zeros(len(at), np.int64)
+        step = 1 << int(max(room.max(initial=0), 1)).bit_length() - 1
+        while step:
+            want = low + step
+            ok = want <= room
+            end, far = np.where(ok, at + want, at), np.where(ok, other + want, other)
+            ok &= (sx[end] - sx[at]) * ahead[on] == (sy[far] - sy[other]) * behind[on]
+            low = np.where(ok, want, low)
+            step >>= 1
+        out = i.copy()
+        out[on] = at + low
+        return out
+
+    none = -(1 << 40)
+    reach = np.full(2 * most + 1, none)
+    reach[most] = 0
+    inside = (d >= -m) & (d <= n)
     for edits in range(most + 1):
-        after = {}
-        for d in range(-edits, edits + 1):
-            if not -m <= d <= n:
-                continue
-            i = max(reach.get(d - 1, -1), reach.get(d, -1) + 1, reach.get(d + 1, -1) + 1) if edits else 0
-            i = min(i, m, n - d)
-            while i < m and i + d < n and x[i] == y[i + d]:
-                i += 1
-            if i == m and i + d == n:
-                return True
-            after[d] = i
-        reach = after
+        if edits:
+            left, right = np.append(none, reach[:-1]), np.append(reach[1:] + 1, none)
+            reach = np.minimum(np.maximum(np.maximum(left, right), reach + 1), np.minimum(m, n - d))
+        on = np.flatnonzero((reach >= 0) & (reach + d >= 0) & inside)
+        reach = slide(reach, on)
+        if reach[most + n - m] == m:
+            return True
     return False
 
 
@@ -287,114 +286,86 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.int64).tolist(), np.frombuffer(y.as_buffer(), np.int64).tolist()
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 keep.append(within_edits(x, y, max(len(x), len(y)) * EDITS // 100))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = words.select(F.col("id").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def fits(x: Column, y: Column) -> Column:
-    bits = sum(F.bit_count(x[c].bitwiseXOR(y[c])) for c in ("sim0", "sim1"))
-    return (F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * (100 - EDITS)) & (bits <= BITS)
-
-
-def may_link(x: Column, y: Column) -> Column:
-    """Whether two lines can be within the edit limit by their sizes and the bits of their
-    words: each word that only one side has takes an edit, and so does each bit."""
-    longer = F.greatest(x["size"], y["size"])
-    most = F.floor(longer * EDITS / 100)
-    alone = lambda p, q: sum(F.bit_count(p[c].bitwiseAND(F.bitwise_not(q[c]))) for c in ("bits0", "bits1"))
-    return (longer - F.least(x["size"], y["size"]) <= most) & (alone(x, y) <= most) & (alone(y, x) <= most)
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+    return materialise(met.mapInArrow(run, "a bigint, b bigint"))
 
 
-def blocks_of(sim0: Column, sim1: Column) -> Column:
-    """The four blocks, each with its number, as keys."""
-    halves = [(F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit(0xFFFFFFFF))) for s in (sim0, sim1)]
-    return F.array(*[half * BLOCKS + k for k, half in enumerate(h for pair in halves for h in pair)])
-
-
-def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, removed``: the numbers of the lines to remove, of documents that have any.
 
-    Equal normalised lines are one node. Nodes that share a key are compared with the
-    first and the previous of the key, and after that with all they fit and are not
-    connected with. Of each connected group the first occurrence, by key and line
-    number, stays.
-
-    With ``whole`` the edit limit alone decides what links: keys are the rarest pairs of
-    words, as many as it takes for any two lines within the limit to share one; equal lines
-    of any number of words are one node. Without,
-    keys are the blocks of the SimHash, and lines that share none are not compared.
+    Equal normalised lines of any number of words are one node. Nodes of at least
+    ``LEAST_WORDS`` words that share a block of their SimHash are compared with a pivot of
+    it; after that all pairs of a block that are not connected yet, are alike in size
+    and in most bits, meet. Pairs within the edit limit link. Of each connected
+    group the first occurrence, by key and line number, stays.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull())
-    lines = materialise(keyed_lines(rows, frequent_pairs(rows)) if whole else hashed_lines(rows))
-    features = ["size", "bits0", "bits1"] if whole else ["size", "sim0", "sim1"]
+    lines = materialise(hashed_lines(rows))
     occurrence = F.struct("doc_id", "line")
     nodes = lines.groupBy("id").agg(
-        F.min(occurrence).alias("first"), F.count("*").alias("times"),
-        *[F.first(c).alias(c) for c in (*features, *(["keys"] if whole else []))],
-    )
+        F.min(occurrence).alias("first"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("size", "sim0", "sim1")]
+    )
     nodes = materialise(nodes)
-    keys = F.explode("keys" if whole else blocks_of(F.col("sim0"), F.col("sim1")))
-    postings = nodes.select("id", *features, F.col("size").alias("rank"), keys.alias("key"))
-    fit, common = (may_link, F.col("key") < 0) if whole else (fits, None)
-    shared = materialise(neighbours(postings, common))
-    candidates = materialise(star_pairs(shared, fit, common))
-
-    def worded(pairs: DataFrame) -> DataFrame:
-        """Words of the pairs' lines, read from where they first occur."""
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link; words are read from where lines first occur."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = nodes.select("id", "first").join(ids, "id", "left_semi").select("first.*")
+        wanted = nodes.select("id", "first").join(ids.hint("merge"), "id", "left_semi").select("first.*")
         wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
         near = marked(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id").where("_maybe")
         # Merge joins at every size: both lists grow with the corpus, so neither is broadcast.
-        words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"), whole)
-        return materialise(words.dropDuplicates(["id"]))
-
-    words = worded(candidates)
-    links = materialise(verified(candidates, words))
-    found = components(links)
-    left = materialise(remaining_pairs(shared, found, fit).join(candidates, ["a", "b"], "left_anti"))
-    more = links.limit(0) if left.isEmpty() else materialise(verified(left, worded(left)))
-    found = materialise(merged(found, more))
-    discard(links, shared, candidates, words, left)
-
-    grouped = nodes.select("id", "first", "times").join(found, "id", "left")
+        words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"))
+        words = materialise(words.dropDuplicates(["id"]))
+        out = verified(pairs, words)
+        discard(wanted, words)
+        return out
+
+    blocks = blocks_of(F.col("sim0"), F.col("sim1")).alias("keys")
+    found = groups(nodes.where(F.col("size") >= LEAST_WORDS).select("id", "size", "sim0", "sim1", blocks), fits, links, between=block_pairs, turns=((3, 0), (BLOCKS, 1)))
+    grouped = nodes.select("id", "first", "times").join(found.hint("merge"), "id", "left")
     grouped = grouped.where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
+    grouped = materialise(grouped.select("id", "first", "component"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"))
-    of_line = grouped.select("id", "component").join(kept, "component").select("id", "kept")
+    of_line = grouped.select("id", "component").join(kept.hint("merge"), "component").select("id", "kept")
+    discard(nodes)
     gone = lines.select("id", "doc_id", "line").join(of_line.hint("merge"), "id").where(occurrence != F.col("kept"))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed")).withColumnRenamed("doc_id", key)
 
 
-def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def remove_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their repeated lines removed, and the columns ``_lines`` (how
-    many there were) and ``_removed``. For ``whole`` see ``repeated_lines``.
+    many there were) and ``_removed``; input columns of these two names are replaced.
 
-    Lines end at a line feed. All other columns and all rows stay, also those that are
-    left with no line (an empty text). A null text stays null, and a row with a null
-    key is left alone. Rows with one key are one document: their lines of one number
-    stay or go together. A long text is one line like another. ``documents`` may be
-    empty.
+    Lines end at a line feed. All other columns, whatever their names, and all rows
+    stay, also those that are left with no line (an empty text). A null text stays null,
+    and a row with a null key is left alone. Rows with one key are one document: their
+    lines of one number stay or go together. A long text is one line like another.
+    ``documents`` may be empty.
     """
-    gone = materialise(repeated_lines(documents, key, text, whole).select(F.col(key).alias("_key"), F.col("removed").alias("_gone")))
-    rows = marked(documents.withColumn("_key", F.col(key).cast("bigint")), gone.select(F.col("_key").alias("id")), "_key")
-    parts = F.split(F.col(text), "\n", -1)
-    count = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("_lines")
-    clean = rows.where("NOT _maybe").select(*documents.columns, count, F.lit(0).alias("_removed"))
-    touched = rows.where("_maybe").join(gone.hint("merge"), "_key", "left").withColumn("_parts", parts)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
-    text_left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
-    touched = touched.select(*[text_left.alias(c) if c == text else F.col(c) for c in documents.columns], count, removed.alias("_removed"))
-    return clean.union(touched)
+    gone = materialise(repeated_lines(documents, key, text).select(F.col(key).alias("id"), F.col("removed").alias("gone")))
+    kept = [c for c in documents.columns if c not in ("_lines", "_removed")]
+    # Input columns lie in a struct, so that no name of theirs meets one of these.
+    rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    rows = marked(rows, gone.select("id"), "id").withColumn("parts", F.split("text", "\n", -1))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts"))
+    clean = rows.where("NOT _maybe").select("row", count.alias("lines"), F.lit(0).alias("removed"), "text")
+    touched = rows.where("_maybe").join(gone.hint("merge"), "id", "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    both = clean.union(touched.select("row", count.alias("lines"), removed.alias("removed"), left.alias("text")))
+    columns = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept]
+    return both.select(*columns, F.col("lines").alias("_lines"), F.col("removed").alias("_removed"))
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_lines(table(spark, sf_dir, "documents"), whole=True)
+    out = remove_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")

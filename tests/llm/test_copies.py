@@ -60,9 +60,8 @@ def test_components_equal_brute_force(spark):
     assert result(jaccard.near_copies(documents(spark, rows))) == brute_copies(rows)
 
 
-def test_a_chain_of_copies_with_a_common_passage(spark, monkeypatch):
+def test_a_chain_of_copies_with_a_common_passage(spark):
     """Neighbours of a chain link, its ends do not; a passage stands in all other rows."""
-    monkeypatch.setattr(jaccard, "REPEATED", 2)
     r, text, rows = random.Random(4), prose(9, 80).split(), []
     for i in range(60):
         rows.append((i, " ".join(text)))
@@ -107,7 +106,7 @@ def test_bitmap_drops_rows_but_none_that_is_asked_for(spark):
 
 
 def normal(line):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[0-9]", "0", lowered(line)))
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", lowered(line))
 
 
 def distance(x, y):
@@ -119,22 +118,34 @@ def distance(x, y):
     return row[-1]
 
 
-def blocks(line):
+def simhash(line):
     raw = line.encode()
     _, _, first, h = fuzzy_lines.split_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    return fuzzy_lines.simhashes(h, first)[0]
+    return [int(x) & (2**64 - 1) for x in fuzzy_lines.simhashes(h, first)[0]]
+
+
+def blocks(sims):
+    three = [s >> 18 * k & 0x3FFFF for s in sims for k in range(3)]
+    return [*three, (sims[0] >> 54 & 511) << 9 | sims[1] >> 54 & 511]
+
+
+def near(x, y):
+    """Whether two lines (their words and SimHash) meet and are within the edit limit."""
+    (w, s), (v, t) = x, y
+    most = max(len(w), len(v)) * fuzzy_lines.EDITS // 100
+    alike = abs(len(w) - len(v)) <= most and sum(bin((a ^ b) << 1 & 2**64 - 1).count("1") for a, b in zip(s, t)) <= fuzzy_lines.BITS
+    return alike and any(a == b for a, b in zip(blocks(s), blocks(t))) and distance(w, v) <= most
 
 
 def brute_lines(rows):
     """Kept texts: links by a common block and few edits, the first of each group stays."""
     lines = [(k, i, x) for k, t in rows if k is not None and t is not None for i, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(normal(x[2])) >= fuzzy_lines.LEAST_WORDS]
-    w, b = [normal(x[2]) for x in lines], [blocks(x[2]) for x in lines]
-    links = []
-    for i, j in itertools.combinations(range(len(lines)), 2):
-        bits = sum(int(x ^ y).bit_count() for x, y in zip(b[i].tolist(), b[j].tolist()))
-        if w[i] == w[j] or ((b[i] == b[j]).any() and bits <= fuzzy_lines.BITS and 100 * distance(w[i], w[j]) <= fuzzy_lines.EDITS * max(len(w[i]), len(w[j]))):
-            links.append((i, j))
+    lines = [x for x in lines if normal(x[2])]
+    w = [(normal(x[2]), simhash(x[2])) for x in lines]
+    links = [
+        (i, j) for i, j in itertools.combinations(range(len(lines)), 2)
+        if w[i][0] == w[j][0] or (min(len(w[i][0]), len(w[j][0])) >= fuzzy_lines.LEAST_WORDS and near(w[i], w[j]))
+    ]
     member = defaultdict(list)
     for g, (k, i, _) in zip(groups(len(lines), links), lines):
         member[g].append((k, i))
@@ -160,30 +171,48 @@ def test_lines_equal_brute_force(spark):
     assert result(out.select("doc_id", "text")) == brute_lines(rows)
     assert out.columns[:-2] == documents(spark, rows).columns
     got = {r.doc_id: (r._lines, r._removed) for r in out.collect()}
-    assert got[8] == (7, 4) and got[7] == (3, 0) and got[4] == (0, 0) and got[11] == (2, 1) and got[13][1] == 1
+    assert got[8] == (7, 5) and got[7] == (3, 2) and got[4] == (0, 0) and got[11] == (2, 0) and got[13][1] == 1
     assert fuzzy_lines.remove_lines(documents(spark).limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(30))
 def test_edit_limit_equals_the_full_table(seed):
     r = random.Random(seed)
-    x = [r.randrange(4) for _ in range(r.randrange(12))]
-    y = [r.randrange(4) for _ in range(r.randrange(12))]
+    x = [r.randrange(4) for _ in range(r.randrange(12 + 5 * seed))]
+    y = [r.randrange(4) for _ in range(r.randrange(12))] if seed % 2 else [v if r.random() < 0.9 else 9 for v in x if r.random() < 0.95]
     for most in range(8):
-        assert fuzzy_lines.within_edits(x, y, most) == (distance(x, y) <= most)
+        assert fuzzy_lines.within_edits(np.array(x, np.uint64), np.array(y, np.uint64), most) == (distance(x, y) <= most)
 
 
 def test_simhash_counts_bits_of_long_lines():
     raw = ("aa bb cc " * 300 + "dd").encode()
     _, _, first, h = fuzzy_lines.split_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     bits = np.concatenate([np.unpackbits(words.mix(h + np.uint64(k)).view(np.uint8).reshape(-1, 8), axis=1) for k in (0, 1)], axis=1)
-    want = np.packbits(2 * bits.sum(0, dtype=int) > len(h)).view(np.uint32)
+    want = np.packbits(2 * bits.sum(0, dtype=int) > len(h)).view(np.int64)
     assert (fuzzy_lines.simhashes(h, first)[0] == want).all()
 
 
-def test_lines_that_differ_in_three_bits_share_a_block(spark):
-    assert fuzzy_lines.BLOCKS == 4  # pigeonhole: three differing bits leave one block alone
-    postings = spark.createDataFrame([(1, 10, 5), (1, 11, 5), (1, 12, 9), (2, 10, 5)], "key bigint, id bigint, size int")
-    postings = postings.withColumns({"place": F.lit(0), "rank": F.col("size")})
-    pairs = linking.star_pairs(linking.neighbours(postings), lambda a, b: F.greatest(a["size"], b["size"]) < 6)
-    assert result(pairs) == [(10, 11)]
+def test_lines_that_differ_in_fewer_bits_than_blocks_share_one(spark):
+    r, rows = random.Random(5), []
+    for i in range(50):
+        sims = [r.getrandbits(64) for _ in range(2)]
+        other = list(sims)
+        for _ in range(fuzzy_lines.BLOCKS - 1):
+            other[r.randrange(2)] ^= 1 << r.randrange(63)
+        rows += [(i, *[x - 2**64 if x >= 2**63 else x for x in s]) for s in (sims, other)]
+    keys = defaultdict(list)
+    df = spark.createDataFrame(rows, "id int, sim0 bigint, sim1 bigint")
+    for x in df.select("id", "sim0", "sim1", fuzzy_lines.blocks_of(F.col("sim0"), F.col("sim1")).alias("keys")).collect():
+        sims = [v % 2**64 for v in (x.sim0, x.sim1)]
+        assert x["keys"] == [b * fuzzy_lines.BLOCKS + k for k, b in enumerate(blocks(sims))]
+        keys[x.id].append(set(x["keys"]))
+    assert all(a & b for a, b in keys.values())
+
+
+def test_every_pair_of_a_common_block_meets_once(spark, monkeypatch):
+    """A block of 300 nodes, dealt over parts of 40; some are of one component."""
+    monkeypatch.setattr(fuzzy_lines, "PART", 40)
+    rows = [(i, i - i % 3 if i < 90 else i, 30 + i % 3, 5 ^ (1 << i % 20), i % 7, [7 if i < 300 else 7 * i]) for i in range(400)]
+    nodes = spark.createDataFrame(rows, "id bigint, component bigint, size int, sim0 bigint, sim1 bigint, keys array<bigint>")
+    got = sorted((r.a, r.b) for r in fuzzy_lines.block_pairs(nodes).collect())
+    assert got == [(a[0], b[0]) for a, b in itertools.combinations(rows[:300], 2) if a[1] != b[1] and abs(a[2] - b[2]) <= 1]
