@@ -1,292 +1,212 @@
 """Cross-entropy difference of documents under a target and a background model.
 
-Both models are interpolated bigram models over one vocabulary (Moore and Lewis 2010):
-the words that make up at least 1 in 2**18 of the corpus, and one sign for all others.
-Bigrams that make up at least 1 in 2**20 of either corpus have entries of their own; the
-rest of a word's mass goes to the unigrams. Hence a vocabulary has at most 2**18 words
-and a model 2**21 entries, however large the corpus; the counts behind them are of all
-documents.
-
-With ``whole`` every word and every bigram has its entry: the counts stay Spark tables,
-which grow with the corpus, and documents are scored by a join with them.
+Both are interpolated bigram models over one vocabulary, all words of the corpus (Moore
+and Lewis 2010). They match: same order, same smoothing, and the background's counts are
+scaled to the target's size. A document's own words are taken out of both before it is
+scored, so its score says what it is like and not whether it was counted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
 from .jaccard import SQL_WORDS
-from .words import words
+from .words import mix, words
 
-WORD_SHARE, PAIR_SHARE = 1 << 18, 1 << 20
 WEIGHT = 0.7
 
-#: Words that a task counts together before it reports.
-BLOCK = 4 << 20
-
-
-def _counted(values: list[np.ndarray], marks: list[np.ndarray] | None = None) -> list[pa.Array]:
-    """Different values with their counts, and their counts where a mark is set."""
-    flat = np.concatenate(values)
-    if marks is None:
-        different, n = np.unique(flat, return_counts=True)
-        return [pa.array(different), pa.array(n.astype(np.int64))]
-    different, place, n = np.unique(flat, return_inverse=True, return_counts=True)
-    t = np.bincount(place, np.concatenate(marks), len(different)).astype(np.int64)
-    return [pa.array(different), pa.array(n.astype(np.int64)), pa.array(t)]
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``word, n``: how often each word's hash is in column ``text``."""
-
-    def run(batches):
-        waiting, n = [], 0
-        for part in chunks(batches, "text"):
-            h, _ = words(*data(part.column("text")))
-            waiting.append(h.view(np.int64))
-            n += len(h)
-            if n >= BLOCK:
-                yield pa.RecordBatch.from_arrays(_counted(waiting), ["word", "n"])
-                waiting, n = [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays(_counted(waiting), ["word", "n"])
-
-    return rows.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame) -> np.ndarray:
-    """The words with their share of the corpus, sorted; at most ``WORD_SHARE``."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = counts.where(F.col("n") * WORD_SHARE >= total).select("word").toArrow()
-    return np.sort(often.column("word").to_numpy().view(np.uint64))
-
-
-def numbered(buf: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers (the last for unknown words), pairs of each word with the one
-    before it (one past the last at a row's start), and where rows begin."""
-    h, first = words(buf, off)
-    at = np.searchsorted(known, h)
-    if len(known):
-        at[known[np.minimum(at, len(known) - 1)] != h] = len(known)
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    start = first[:-1][np.diff(first) > 0]
-    before[start] = len(known) + 1
-    return at, before * (len(known) + 1) + at, first
-
-
-def pair_counts(rows: DataFrame, known: np.ndarray) -> DataFrame:
-    """``pair, n, t``: how often each pair is in column ``text``, and in rows of ``target``."""
-
-    def run(batches):
-        names = ["pair", "n", "t"]
-        waiting, marks, n = [], [], 0
-        for part in chunks(batches, "text"):
-            _, pairs, first = numbered(*data(part.column("text")), known)
-            mine = np.asarray(part.column("target").to_pylist(), bool)
-            waiting.append(pairs)
-            marks.append(np.repeat(mine, np.diff(first)))
-            n += len(pairs)
-            if n >= BLOCK:
-                yield pa.RecordBatch.from_arrays(_counted(waiting, marks), names)
-                waiting, marks, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays(_counted(waiting, marks), names)
-
-    counts = rows.mapInArrow(run, "pair bigint, n bigint, t bigint")
-    return counts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-@dataclass
-class Model:
-    """Sorted pairs with their weighted probabilities, what each history leaves to the
-    unigrams, and the unigrams' probabilities."""
-
-    pair: np.ndarray
-    given: np.ndarray
-    left: np.ndarray
-    unigram: np.ndarray
-
-    def losses(self, at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        p = self.left[pairs // len(self.unigram)] * self.unigram[at]
-        if len(self.pair):
-            place = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
-            p += np.where(self.pair[place] == pairs, self.given[place], 0.0)
-        return -np.log(p)
-
-
-def models(pairs: DataFrame, size: int) -> tuple[Model, Model]:
-    """Target and background model from all pairs' counts; ``size`` of the vocabulary."""
-    signs = size + 1
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    by_word = pairs.groupBy((F.col("pair") % signs).alias("at")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    past = F.expr(f"pair div {signs}")
-    by_past = pairs.groupBy(past.alias("at")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    often = (F.col("n") * PAIR_SHARE >= total["n"]) | ((F.col("t") > 0) & (F.col("t") * PAIR_SHARE >= total["t"]))
-    kept = pairs.where(often).toArrow().sort_by("pair")
-    pair = kept.column("pair").to_numpy()
-    out = []
-    for column in ("t", "n"):
-        words_n, past_n = np.zeros(signs), np.zeros(signs + 1)
-        words_n[by_word.column("at").to_numpy()] = by_word.column(column).to_numpy()
-        past_n[by_past.column("at").to_numpy()] = by_past.column(column).to_numpy()
-        past_n = np.maximum(past_n, 1)
-        given = WEIGHT * kept.column(column).to_numpy() / past_n[pair // signs]
-        left = 1 - np.bincount(pair // signs, given, signs + 1)
-        out.append(Model(pair, given, left, (words_n + 1) / (words_n.sum() + signs)))
-    return out[0], out[1]
-
-
-def score(rows: DataFrame, known: np.ndarray, target: Model, background: Model) -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, score`` of rows ``doc_id, text``."""
-
-    def run(batches):
-        for part in chunks(batches, "text"):
-            at, pairs, first = numbered(*data(part.column("text")), known)
-            n = np.diff(first)
-            columns = [part.column(0), pa.array(n.astype(np.int64))]
-            means = []
-            for model in (target, background):
-                total = np.append(0.0, np.cumsum(model.losses(at, pairs)))
-                means.append((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1))
-            empty = n == 0
-            columns += [pa.array(x, mask=empty) for x in (*means, means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+#: Bytes of text of a block of documents, and of the part of it that is counted at once.
+BLOCK, PART = 24 << 20, 2 << 20
 
-    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+#: What stands before a row's first word.
+START = np.uint64(0x5354415254)
+#: Keys of words, of words with another behind them, and of pairs: by the two lowest bits.
+WORD, PAST, PAIR = 0, 1, 2
 
 
-#: What stands before a row's first word.
-START = 0x5354415254
-
-
-def grams(rows: DataFrame) -> DataFrame:
-    """``row, doc_id, target, h, w, c`` of rows ``row, doc_id, text, target``: how often each
-    word follows another in a row. One more line a row has its key, a null ``w`` and
-    the number of its words."""
-
-    def run(batches):
-        for part in chunks(batches, "text"):
-            w, first = words(*data(part.column("text")))
-            size = np.diff(first)
-            row = np.repeat(np.arange(len(size)), size)
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[first[:-1][size > 0]] = START
-            order = np.lexsort((w, h, row))
-            row, h, w = row[order], h[order], w[order]
-            new = np.ones(len(w), bool)
-            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            row, c = np.append(row[at], np.arange(len(size))), np.append(np.diff(np.append(at, len(w))), size)
-            none = np.arange(len(row)) >= len(at)
-            wide = lambda x: pa.array(np.append(x[at], np.zeros(len(size), np.uint64)).view(np.int64), mask=none)
-            fields = [part.column(k).take(pa.array(row)) for k in (0, 1, 3)] + [wide(h), wide(w), pa.array(c.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(fields, names)
-
-    names = ["row", "doc_id", "target", "h", "w", "c"]
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, target boolean, h bigint, w bigint, c bigint")
-
-
-def _whole(rows: DataFrame) -> DataFrame:
-    """What ``score`` returns, of rows ``doc_id, text, target``, with all words and bigrams."""
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "target")
-    found = materialise(grams(rows))
-    each = found.where("w IS NOT NULL")
-    mine = F.sum(F.when(F.col("target"), F.col("c")).otherwise(0))
-    pairs = materialise(each.groupBy("h", "w").agg(F.sum("c").alias("n"), mine.alias("t")))
-    by = lambda c, p: pairs.groupBy(c).agg(F.sum("n").alias(f"{p}_n"), F.sum("t").alias(f"{p}_t"))
-    unigrams = materialise(by("w", "u"))
-    size = unigrams.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(f"u_{c}"), F.lit(0)).alias(c) for c in "nt"]).first()
-    signs = size["words"] + 1
-
-    def loss(c: str):
-        past = F.col(f"p_{c}")
-        given = WEIGHT * F.col(c) / F.greatest(past, F.lit(1))
-        left = F.when(past > 0, 1 - WEIGHT).otherwise(1.0)
-        return -F.log(given + left * (F.col(f"u_{c}") + 1) / (size[c] + signs))
-
-    # Merge joins at every size: all sides grow with the corpus.
-    losses = pairs.join(by("h", "p").hint("merge"), "h").join(unigrams.hint("merge"), "w")
-    losses = losses.select("h", "w", loss("t").alias("t"), loss("n").alias("n"))
-    met = each.select("row", "h", "w", "c").join(losses.hint("merge"), ["h", "w"])
-    sums = met.groupBy("row").agg(F.sum(F.col("c") * F.col("t")).alias("t"), F.sum(F.col("c") * F.col("n")).alias("n"))
-    every = found.where("w IS NULL").select("row", "doc_id", F.col("c").alias("n_tokens"))
-    a, b = F.col("t") / F.col("n_tokens"), F.col("n") / F.col("n_tokens")
-    out = every.join(sums.hint("merge"), "row", "left").where("n_tokens > 0")
-    scored = out.select("doc_id", "n_tokens", a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("score"))
-    null = F.lit(None).cast("double")
-    return scored.union(every.where("n_tokens = 0").select("doc_id", "n_tokens", null, null, null))
-
-
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """Mean loss per word under both models and their difference, for every document.
+def _keyed(h: np.ndarray, kind: int) -> np.ndarray:
+    return (mix(h + np.uint64(kind)) & ~np.uint64(3)) | np.uint64(kind)
+
+
+def token_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of column ``text``: its row, and its three keys; and rows' sizes."""
+    w, first = words(*data(part.column("text")))
+    size = np.diff(first)
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[first[:-1][size > 0]] = START
+    keys = np.stack([_keyed(w, WORD), _keyed(before, PAST), _keyed(before + mix(w), PAIR)])
+    return np.repeat(np.arange(len(size)), size), keys, size
+
+
+def own_counts(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each different pair of row and key first stands, how often it does, and the
+    pair of each token."""
+    pairs = mix(keys + mix(row.astype(np.uint64) + np.uint64(1)))
+    _, at, back, n = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+    return at, n, back
+
+
+def _parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    return chunks(rows.select(["doc_id", "text"]).combine_chunks().to_batches(), "text", PART)
+
+
+def _targets(marks: pa.Table) -> np.ndarray:
+    keys = marks.filter(pc.is_valid(marks.column("doc_id"))).column("doc_id").to_numpy()
+    return np.unique(keys)
+
+
+def _is_target(part: pa.RecordBatch, targets: np.ndarray) -> np.ndarray:
+    keys = part.column("doc_id")
+    return np.isin(keys.fill_null(0).to_numpy(zero_copy_only=False), targets) & np.asarray(keys.is_valid())
+
+
+def counted(rows: pa.Table, marks: pa.Table) -> pa.Table:
+    """``block, key, n, t, d`` of one block: how often each key occurs, how often in documents of
+    the target, and in how many documents."""
+    targets, found = _targets(marks), [np.empty((4, 0), np.int64)]
+    for part in _parts(rows):
+        row, keys, _ = token_keys(part)
+        mine = _is_target(part, targets)
+        for kind in keys:
+            at, n, _ = own_counts(row, kind)
+            different, back = np.unique(kind[at], return_inverse=True)
+            sums = [np.bincount(back, x, len(different)).astype(np.int64) for x in (n, n * mine[row[at]], np.ones(len(at)))]
+            found.append(np.stack([different.view(np.int64), *sums]))
+    key, n, t, d = np.concatenate(found, axis=1)
+    different, back = np.unique(key, return_inverse=True)
+    sums = [np.bincount(back, x, len(different)).astype(np.int64) for x in (n, t, d)]
+    block = np.full(len(different), rows.column("block")[0].as_py() if len(rows) else 0, np.int32)
+    return pa.table([pa.array(x) for x in (block, different, *sums)], ["block", "key", "n", "t", "d"])
+
+
+def blocks_of(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows ``doc_id, text`` with their block, and what gives the block of a key. Keys are
+    dealt, rows without a key by their text; a block has ``BLOCK`` bytes on average."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    many = F.lit(size // BLOCK + 1)
+    of = lambda c: F.pmod(F.xxhash64(c), many).cast("int")
+    by_text = F.when(F.col("doc_id").isNull(), of("text")).otherwise(of("doc_id"))
+    return rows.withColumn("block", by_text), of("doc_id")
+
+
+def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_tokens, target_loss, background_loss, score`` of every document: mean loss per
+    word under both models and their difference.
 
     ``target`` has the keys of the target corpus in column ``key`` (repeats and nulls
     do no harm); the background is all documents. The lower the score, the more a
-    document is like the target. A null or empty text, or one without words, has no
-    words and null losses. Repeated rows count and are scored each; with an empty
-    target its model is uniform. Other columns are not read. With ``whole`` no word and
-    no bigram is left out for its share.
+    document is like the target's others. All words and bigrams of all documents count,
+    in tables that grow with the corpus. Documents are dealt into blocks; a block
+    asks once for each of its different words and bigrams, gets those that other documents
+    hold too (the others are its documents' own and would be taken out), and is
+    scored from its texts.
+
+    A null or empty text, or one without words, has no words and null losses. Repeated
+    rows count and are scored each, with their own row taken out; with an empty target
+    its model is uniform. Texts are whole, however long; an empty table gives an empty
+    result. Other columns are not read.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
-    mine = target.select(F.col(key).cast("bigint").alias("doc_id"), F.lit(True).alias("target")).distinct()
-    marked = rows.join(mine, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    if whole:
-        return _whole(marked).withColumnRenamed("doc_id", key)
-    counts = materialise(word_counts(rows))
-    known = vocabulary(counts)
-    discard(counts)
-    pairs = materialise(pair_counts(marked.select("text", "target"), known))
-    pair = models(pairs, len(known))
-    discard(pairs)
-    return score(rows, known, *pair).withColumnRenamed("doc_id", key)
+    rows, block = blocks_of(rows)
+    marks = target.select(F.col(key).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("block", block)
+    texts = rows.groupBy("block")
+    asked = texts.cogroup(marks.groupBy("block")).applyInArrow(counted, "block int, key bigint, n bigint, t bigint, d bigint")
+    asked = materialise(asked)
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    single = asked.where(kind == WORD)
+    total = single.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nt"]).first()
+    signs = single.select("key").distinct().count() + 1
+    dealt = asked.repartition("key")
+    known = dealt.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("d").alias("d")).where("d > 1")
+    slices = dealt.select("key", "block").join(known.select("key", "n", "t").hint("merge"), "key")
+    no = F.lit(None).cast("bigint")
+    given = slices.select("block", "key", "n", "t", no.alias("doc_id")).union(marks.select("block", no, no, no, "doc_id"))
+
+    def scored(rows: pa.Table, given: pa.Table) -> pa.Table:
+        targets = _targets(given)
+        model = given.filter(pc.is_valid(given.column("key")))
+        known = model.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        # One more, of zeros, for what no other document holds.
+        known, counts = known[order], [np.append(model.column(c).to_numpy()[order], 0).astype(float) for c in "tn"]
+        out = []
+        for part in _parts(rows):
+            row, keys, size = token_keys(part)
+            mine = _is_target(part, targets)
+            at = np.searchsorted(known, keys)
+            if len(known):
+                at[known[np.minimum(at, len(known) - 1)] != keys] = len(known)
+            # Own counts, in the model as far as the model has the key.
+            own = np.empty(keys.shape)
+            for k, kind in enumerate(keys):
+                _, n, back = own_counts(row, kind)
+                own[k] = n[back]
+            own[at == len(known)] = 0
+            left = [np.maximum(total[c] - size * (mine if c == "t" else 1), 0)[row] for c in "tn"]
+            scale = left[0] / np.maximum(left[1], 1)
+            means = []
+            for c, n, own_c, times in zip("tn", counts, (own * mine[row], own), (1.0, scale)):
+                word, past, pair = n[at] - own_c
+                unigram = (word * times + 1) / (left[0] + signs)
+                p = np.where(past > 0, WEIGHT * pair / np.maximum(past, 1) + (1 - WEIGHT) * unigram, unigram)
+                means.append(np.bincount(row, -np.log(p), len(size)) / np.maximum(size, 1))
+            none = size == 0
+            columns = [part.column(0), pa.array(size.astype(np.int64)), *[pa.array(x, mask=none) for x in (*means, means[0] - means[1])]]
+            out.append(pa.RecordBatch.from_arrays(columns, names))
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.float64()) for c in names[2:]]])
+        return pa.Table.from_batches(out, schema)
+
+    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+    kinds = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
+    out = materialise(texts.cogroup(given.groupBy("block")).applyInArrow(scored, kinds))
+    discard(asked)
+    return out.withColumnRenamed("doc_id", key)
 
 
 def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what ``labels`` marks as good; figures to six decimals. The SQL leaves
-    out rare words and bigrams by their share, which starts above 2**18 words."""
+    """The target is what ``labels`` marks as good; figures to six decimals."""
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    out = cross_entropy_difference(table(spark, sf_dir, "documents"), good, whole=True)
+    out = cross_entropy_difference(table(spark, sf_dir, "documents"), good)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
-def _sql_loss(n: str) -> str:
-    given = f"coalesce({WEIGHT} * k.{n} / greatest(p.{n}, 1), 0)"
-    return f"-ln({given} + coalesce(l.{n}, 1) * (u.{n} + 1) / ((SELECT {n} FROM total) + (SELECT signs FROM size)))"
+def _sql_loss(n: str, own: str, times: str) -> str:
+    unigram = f"(((u.{n} - o.w * {own}) * {times} + 1) / (rest_t + signs))"
+    past = f"(p.{n} - o.h * {own})"
+    return f"""-ln(CASE WHEN {past} > 0 THEN {WEIGHT}::DOUBLE * (b.{n} - o.p * {own}) / {past} + (1 - {WEIGHT}::DOUBLE) * {unigram}
+      ELSE {unigram} END)"""
 
 
 SQL = f"""WITH split AS (
-  SELECT d.doc_id, {SQL_WORDS} AS words, d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents d),
-tokens AS (SELECT doc_id, target, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
-vocabulary AS (SELECT word FROM tokens GROUP BY word HAVING count(*) * {WORD_SHARE} >= (SELECT count(*) FROM tokens)),
-size AS (SELECT count(*) + 1 AS signs FROM vocabulary),
-coded AS (SELECT doc_id, target, i, coalesce(v.word, '') AS w FROM tokens t LEFT JOIN vocabulary v ON v.word = t.word),
-pairs AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS h FROM coded),
-counts AS (SELECT h, w, count(*) AS n, count(*) FILTER (target) AS t FROM pairs GROUP BY h, w),
-total AS (SELECT sum(n) AS n, sum(t) AS t FROM counts),
-kept AS (SELECT c.* FROM counts c, total z WHERE c.n * {PAIR_SHARE} >= z.n OR (c.t > 0 AND c.t * {PAIR_SHARE} >= z.t)),
-past AS (SELECT h, sum(n) AS n, sum(t) AS t FROM counts GROUP BY h),
-unigrams AS (SELECT w, sum(n) AS n, sum(t) AS t FROM counts GROUP BY w),
-rest AS (
-  SELECT k.h, 1 - sum({WEIGHT}::DOUBLE * k.n / greatest(p.n, 1)) AS n, 1 - sum({WEIGHT}::DOUBLE * k.t / greatest(p.t, 1)) AS t
-  FROM kept k JOIN past p ON p.h = k.h GROUP BY k.h),
+  SELECT row_number() OVER () AS r, d.doc_id, {SQL_WORDS} AS words,
+    (d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL))::INT AS target FROM documents d),
+tokens AS (SELECT r, target, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+pairs AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), ' ') AS h FROM tokens),
+unigrams AS (SELECT w, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS t FROM pairs GROUP BY w),
+past AS (SELECT h, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS t FROM pairs GROUP BY h),
+bigrams AS (SELECT h, w, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS t FROM pairs GROUP BY h, w),
+size AS (SELECT count(*) + 1 AS signs, sum(n) AS n, sum(t) AS t FROM unigrams),
+own AS (
+  SELECT r, target, h, w, count(*) OVER (PARTITION BY r, w)::DOUBLE AS ow, count(*) OVER (PARTITION BY r, h)::DOUBLE AS oh,
+    count(*) OVER (PARTITION BY r, h, w)::DOUBLE AS op, count(*) OVER (PARTITION BY r)::DOUBLE AS len FROM pairs),
+o AS (
+  SELECT r, target, x.h, x.w AS word, ow AS w, oh AS h_own, op AS p, signs,
+    greatest(z.t - len * target, 0) AS rest_t, greatest(z.t - len * target, 0) / greatest(z.n - len, 1) AS scale
+  FROM own x CROSS JOIN size z),
 losses AS (
-  SELECT x.h, x.w, {_sql_loss('t').replace(f'{WEIGHT} *', f'{WEIGHT}::DOUBLE *')} AS t, {_sql_loss('n').replace(f'{WEIGHT} *', f'{WEIGHT}::DOUBLE *')} AS n
-  FROM counts x JOIN past p ON p.h = x.h JOIN unigrams u ON u.w = x.w
-  LEFT JOIN kept k ON k.h = x.h AND k.w = x.w LEFT JOIN rest l ON l.h = x.h),
-means AS (
-  SELECT doc_id, avg(l.t) AS target_loss, avg(l.n) AS background_loss
-  FROM pairs p JOIN losses l ON l.h = p.h AND l.w = p.w GROUP BY doc_id)
+  SELECT r, {_sql_loss('t', 'o.target', '1').replace('o.h *', 'o.h_own *')} AS t, {_sql_loss('n', '1', 'scale').replace('o.h *', 'o.h_own *')} AS n
+  FROM o JOIN unigrams u ON u.w = o.word JOIN past p ON p.h = o.h JOIN bigrams b ON b.h = o.h AND b.w = o.word),
+means AS (SELECT r, avg(t) AS target_loss, avg(n) AS background_loss FROM losses GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_tokens, round(target_loss, 6) AS target_loss, round(background_loss, 6) AS background_loss,
        round(target_loss - background_loss, 6) AS score
-FROM split LEFT JOIN means USING (doc_id)"""
+FROM split LEFT JOIN means USING (r)"""

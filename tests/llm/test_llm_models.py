@@ -79,59 +79,75 @@ def tokenised(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low)
 
 
-def brute_losses(rows, good, word_share, pair_share):
-    """Interpolated bigram models in plain Python."""
-    texts = [tokenised(t) for _, t in rows]
-    n = Counter(w for t in texts for w in t)
-    total = sum(n.values())
-    vocabulary = {w for w, c in n.items() if c * word_share >= total}
-    signs, losses = len(vocabulary) + 1, {}
-    coded = [[w if w in vocabulary else None for w in t] for t in texts]
-    corpora = [[c for c, (k, _) in zip(coded, rows) if k in good], coded]
-    pairs = [Counter(p for t in corpus for p in zip([0, *t], t)) for corpus in corpora]
-    kept = {p for c in pairs for p in c if c[p] * pair_share >= sum(c.values())}
-    for name, corpus, c in zip(("target", "background"), corpora, pairs):
-        past, unigram = Counter(), Counter(w for t in corpus for w in t)
-        for (a, _), k in c.items():
-            past[a] += k
-        size = sum(unigram.values())
-        left = Counter()
-        for p in kept:
-            left[p[0]] += cross_entropy.WEIGHT * c[p] / max(past[p[0]], 1)
-        for i, t in enumerate(coded):
-            loss = 0.0
-            for p in zip([0, *t], t):
-                given = cross_entropy.WEIGHT * c[p] / max(past[p[0]], 1) if p in kept else 0.0
-                loss -= log(given + (1 - left[p[0]]) * (unigram[p[1]] + 1) / (size + signs))
-            losses.setdefault(i, []).append(loss / len(t) if t else None)
+def brute_losses(rows, good):
+    """Interpolated bigram models in plain Python, without the scored row's own words."""
+    texts, target = [tokenised(t) for _, t in rows], [k in good for k, _ in rows]
+    signs, losses = len({w for t in texts for w in t}) + 1, []
+    for i, own in enumerate(texts):
+        corpora = [[t for j, t in enumerate(texts) if j != i and (every or target[j])] for every in (False, True)]
+        sizes = [sum(map(len, c)) for c in corpora]
+        means = []
+        for corpus, size in zip(corpora, sizes):
+            word = Counter(w for t in corpus for w in t)
+            past = Counter(h for t in corpus for h in [None, *t][: len(t)])
+            pair = Counter(p for t in corpus for p in zip([None, *t], t))
+            scale, loss = (sizes[0] / max(size, 1) if corpus is corpora[1] else 1.0), 0.0
+            for h, w in zip([None, *own], own):
+                unigram = (word[w] * scale + 1) / (sizes[0] + signs)
+                p = cross_entropy.WEIGHT * pair[h, w] / past[h] + (1 - cross_entropy.WEIGHT) * unigram if past[h] else unigram
+                loss -= log(p)
+            means.append(loss / len(own) if own else None)
+        losses.append(means)
     return losses
 
 
-@pytest.mark.parametrize("shares", [(1 << 18, 1 << 20), (300, 600)])
-def test_losses_equal_brute_force(spark, monkeypatch, shares):
-    monkeypatch.setattr(cross_entropy, "WORD_SHARE", shares[0])
-    monkeypatch.setattr(cross_entropy, "PAIR_SHARE", shares[1])
+def test_losses_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "BLOCK", 20_000)
+    monkeypatch.setattr(cross_entropy, "PART", 5_000)
     rows = [(i, t) for i, (_, t) in enumerate(awkward_texts())]
+    rows[7], rows[9] = (None, rows[7][1]), (None, "no key but words")
     good = {1, 3, 5, 30, 31, 32}
     target = spark.createDataFrame([(k,) for k in [*good, 1, None]], "doc_id bigint")
-    want = brute_losses(rows, good, *shares)
-    for r in cross_entropy.cross_entropy_difference(documents(spark, rows), target).collect():
-        a, b = want[r.doc_id]
-        assert r.n_tokens == len(tokenised(rows[r.doc_id][1]))
+    want = brute_losses(rows, good)
+    found = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(documents(spark, rows), target).collect()}
+    assert set(found) == {k for k, _ in rows}
+    for (k, text), (a, b) in zip(rows, want):
+        if k is None:
+            continue
+        r = found[k]
+        assert r.n_tokens == len(tokenised(text))
         if a is None:
             assert r.target_loss is None and r.background_loss is None and r.score is None
         else:
             assert (r.target_loss, r.background_loss, r.score) == pytest.approx((a, b, a - b), rel=1e-9)
 
 
+def test_a_score_says_likeness_not_membership(spark):
+    """Good prose scores alike, whether or not it is in the target."""
+    rows = [(i, prose(i, 200) if i % 3 else " ".join(prose(i, 200).upper().replace("E", "x").split()[::-1])) for i in range(120)]
+    target = spark.createDataFrame([(k,) for k, _ in rows if k % 3 and k % 2], "doc_id bigint")
+    scores = {r.doc_id: r.score for r in cross_entropy.cross_entropy_difference(documents(spark, rows), target).collect()}
+    inside, outside, other = ([scores[k] for k, _ in rows if c(k)] for c in (lambda k: k % 3 and k % 2, lambda k: k % 3 and not k % 2, lambda k: not k % 3))
+    assert abs(np.mean(inside) - np.mean(outside)) < np.std(outside) and min(other) > max(outside)
+
+
 def test_empty_corpora(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id bigint")
     assert cross_entropy.cross_entropy_difference(docs.limit(0), none).count() == 0
-    out = cross_entropy.cross_entropy_difference(docs, none).where("n_tokens > 0")
+    out = cross_entropy.cross_entropy_difference(docs, none)
+    assert out.count() == docs.count()
+    out = out.where("n_tokens > 0")
     assert out.count() > 0 and out.where("score IS NULL OR isnan(score)").count() == 0
 
 
+def test_quality_takes_any_column_names(spark):
+    docs, labels = rated(spark, 60)
+    named = docs.withColumns({"_text": F.lit("x"), "text_": F.lit(1), "TEXT__": F.lit(2)})
+    out = quality.score(named, quality.fit(named, labels))
+    assert set(out.columns) == set(named.columns) and out.where("_text != 'x'").count() == 0 and out.count() == docs.count()
+
+
 def vectors(spark, n=900, dim=12, seed=2):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)) * rng.uniform(0.2, 3, (n, 1))
