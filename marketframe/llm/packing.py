@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -34,11 +35,17 @@ GENERATION = 300_000
 
 
 class Ids:
-    """Ids of texts as little-endian 32-bit bytes; each different word is encoded once."""
+    """Ids of texts as little-endian 32-bit bytes; each different word is encoded once.
+
+    Texts that hold an added token's content, or rare white space, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([OTHER_SPACE.pattern, *added]))
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -47,7 +54,7 @@ class Ids:
         return [array("I", x.ids).tobytes() for x in coded]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        plain = [not OTHER_SPACE.search(t) for t in texts]
+        plain = [not self.whole.search(t) for t in texts]
         split = [WORDS.findall(t) if p else () for t, p in zip(texts, plain)]
         if len(self.words) > GENERATION:
             self.words, self.older = {}, self.words
@@ -87,8 +94,9 @@ def pack(
     the same again when a lost task is repeated.
 
     A null or empty text is one piece with the end id; repeated rows and null keys
-    are packed like any other; other columns of the input are not read.
-    ``with_ids`` adds the ids themselves.
+    are packed like any other; other columns of the input are not read. Texts are
+    whole, however long; an empty table gives an empty result. ``with_ids`` adds the ids
+    themselves.
     """
 
     def run(batches):

@@ -34,6 +34,20 @@ def test_cutting_long_texts_changes_no_ids():
     assert list(bpe.encode_text(text)) == codec.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000"])
+def test_long_runs_of_white_space(space):
+    codec = bpe.encoding(bpe.RANKS)
+    n = bpe.CALL + 7
+    for text in (space * n, "a" + space * n + "b", space * n + " b", "a" + space * n, f"x{space * n}\t'{space * n}7 {space * 5}!"):
+        assert list(bpe.encode_text(text)) == codec.encode_ordinary(text)
+
+
+def test_white_space_beyond_what_the_library_takes():
+    codec = bpe.encoding(bpe.RANKS)
+    for text in (" " * 2_000_000 + "end", "a" + "\n" * 2_000_000):
+        assert codec.decode(bpe.encode_text(text).tolist()) == text
+
+
 def test_raw_bytes_need_not_be_characters(spark):
     codec = bpe.encoding(bpe.RANKS)
     ids = codec.encode_ordinary("é😀")
@@ -45,7 +59,6 @@ def test_raw_bytes_need_not_be_characters(spark):
 def test_word_ids_equal_the_tokenizer():
     own, r = packing.Ids(packing.TOKENIZER), random.Random(1)
     plain = Tokenizer.from_file(packing.TOKENIZER)
-    plain.encode_special_tokens = True
     signs = "ab Z9'.,!  \n\t\r\x0b\x0c\x1c　 ​́éßñ×÷中ا١²😀%&|"
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(4000)]
     texts += ["it's we'll I'd'S", "", "<|endoftext|> a<|endoftext|>"]
@@ -65,7 +78,6 @@ def test_binary_lengths(n, want):
 
 def test_packing_holds_each_id_once(spark, tmp_path):
     plain = Tokenizer.from_file(packing.TOKENIZER)
-    plain.encode_special_tokens = True
     out = packing.pack(documents(spark), with_ids=True)
     rows = out.collect()
     assert len({r.sequence_id for r in rows}) == len(rows)
