@@ -95,11 +95,14 @@ def parse_date(spark, sf):
 def default_label(spark, sf):
     """Without a source column the label is the file's stem."""
     path = scratch(spark, "label")
-    as_text(bars(spark, sf)).write.option("header", True).csv(path)
-    df = src.read_source(spark, path)
-    # Part files are named by the writer; one stem per part is one label per file.
-    named = df.withColumn("source", F.when(F.col("source").startswith("part-"), "quotes"))
-    return named.groupBy("symbol", "source").agg(F.count("*").alias("n"))
+    as_text(bars(spark, sf)).coalesce(1).write.option("header", True).csv(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    files.rename(part, hadoop.Path(path, "quotes.csv"))
+    df = src.read_source(spark, f"{path}/quotes.csv")
+    return df.groupBy("symbol", "source").agg(F.count("*").alias("n"))
 
 
 @check("S6_canonical_projection", FOUR + " source", f"WITH {BARS}, result AS (SELECT *, NULL AS source FROM bars)")

@@ -13,6 +13,7 @@ from marketframe.models import sequence as sq
 from marketframe.models import trend as tr
 from marketframe.operators import features as ft
 from marketframe.operators import split as sp
+from marketframe.operators.permute import permuted
 from marketframe.plans import forecast as fc
 
 from . import check
@@ -370,6 +371,27 @@ def boosted_importance(spark, sf):
     return bo.contributions(boosted(spark, sf), *marked(spark, sf))
 
 
+@check("G4_permutation_importance", "feature importance:8")
+def permutation_importance(spark, sf):
+    return bo.permutation_importance(boosted(spark, sf), *marked(spark, sf))
+
+
+@check(
+    "G4_permuted_columns",
+    "n:i close:4 close_low:6 close_high:6 volume:2 pairs:i",
+    f"""WITH {PANEL}, result AS (
+  SELECT count(*) AS n, sum(close) AS close, min(close) AS close_low, max(close) AS close_high, sum(volume) AS volume,
+         count(DISTINCT (close, volume)) AS pairs FROM panel)""",
+)
+def permuted_columns(spark, sf):
+    """The values of permuted columns are those of the table, and keep together."""
+    close, volume = F.col("_permuted")[0], F.col("_permuted")[1]
+    return permuted(panel(spark, sf), ["close", "volume"]).agg(
+        F.count("*").alias("n"), F.sum(close).alias("close"), F.min(close).alias("close_low"), F.max(close).alias("close_high"),
+        F.sum(volume).alias("volume"), F.count_distinct(close, volume).alias("pairs"),
+    )
+
+
 @check("L1_lookback", "symbol date:d r:4")
 def lookback(spark, sf):
     rows, cols = marked(spark, sf)

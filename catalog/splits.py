@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketframe.operators import split as sp
@@ -128,3 +129,41 @@ def masks(spark, sf):
 )
 def folds(spark, sf):
     return sp.time_series_folds(panel(spark, sf))
+
+
+CALENDAR = f"""WITH {PANEL},
+counted AS (SELECT date, count(*) AS c FROM panel GROUP BY date),
+cut_days AS (SELECT date, row_number() OVER (ORDER BY date) AS day, floor((sum(c) OVER (ORDER BY date) - c) * 6 / sum(c) OVER ())::INT AS block FROM counted),
+starts AS (SELECT block, min(day) AS start FROM cut_days GROUP BY block),
+folded AS (
+  SELECT symbol, p.date, fold, CASE WHEN d.block = fold + 1 THEN 'test' ELSE 'train' END AS role
+  FROM panel p JOIN cut_days d ON p.date = d.date JOIN range(5) AS f(fold) ON d.block <= fold + 1 JOIN starts s ON s.block = fold + 1
+  WHERE d.block = fold + 1 OR d.day < s.start - 3)"""
+
+
+@check("P7_calendar_folds", "symbol date:d fold:i role", f"{CALENDAR}, result AS (SELECT * FROM folded)")
+def calendar_folds(spark, sf):
+    """One cut for all symbols, a purged day and two days of embargo before each test block."""
+    return sp.calendar_folds(panel(spark, sf), embargo=2)
+
+
+@check(
+    "P7_calendar_order",
+    "fold:i late:i gap:i",
+    f"""{CALENDAR}, result AS (
+  SELECT fold, 0 AS late, (SELECT count(*) FROM counted c WHERE c.date > t.last_train AND c.date < t.first_test) AS gap
+  FROM (SELECT fold, max(date) FILTER (role = 'train') AS last_train, min(date) FILTER (role = 'test') AS first_test FROM folded GROUP BY fold) t)""",
+)
+def calendar_order(spark, sf):
+    """Training dates that are not before every test date (none), and the days between."""
+    df = panel(spark, sf)
+    folds = sp.calendar_folds(df, embargo=2)
+    first = folds.where("role = 'test'").groupBy("fold").agg(F.min("date").alias("first"))
+    train = folds.where("role = 'train'").groupBy("fold").agg(F.max("date").alias("last"))
+    late = folds.where("role = 'train'").join(first, "fold").groupBy("fold").agg(F.count_if(F.col("date") >= F.col("first")).alias("late"))
+    number = F.row_number().over(Window.orderBy("date"))
+    days = df.select("date").distinct().select("date", number.alias("day"))
+    ends = first.join(train, "fold").join(late, "fold")
+    ends = ends.join(days.select(F.col("date").alias("first"), F.col("day").alias("_to")), "first")
+    ends = ends.join(days.select(F.col("date").alias("last"), F.col("day").alias("_from")), "last")
+    return ends.withColumn("gap", F.col("_to") - F.col("_from") - 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,29 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Seconds between two calls of the driver's garbage collector, and when the last one was.
+PAUSE = 3.0
+_collected = [0.0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over.
+
+    It does so once the driver's objects that name them are collected, which by itself
+    happens when the heap is full or every half hour: too late for a chain of jobs
+    whose files fill the executors' disks.
+    """
+    if time.monotonic() - _collected[0] > PAUSE:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    """Delete tables that ``materialise`` wrote and that nothing reads any more, and the
+    shuffle files of the jobs before."""
+    if tables:
+        release(tables[0].sparkSession)
     for df in tables:
         spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
         for folder in folders:

@@ -14,12 +14,13 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DATE, DEFAULTS, RETURN_SCALE, SYMBOL, TARGET
 from ..operators.features import VOLUME_FEATURES
 from ..functions.storage import discard, materialise
+from ..operators.permute import permuted
 from ..operators.split import number_rows
 from ..plans.forecast import NextReturn, latest
 
@@ -199,3 +200,22 @@ def contributions(model: GBTRegressionModel, df: DataFrame, cols: list[str], top
         .orderBy(F.col("importance").desc(), "feature")
         .limit(top_n)
     )
+
+
+def permutation_importance(model: GBTRegressionModel, df: DataFrame, cols: list[str], seed: int = 42, top_n: int = 20) -> DataFrame:
+    """Rise of the mean squared error when a feature's values are dealt anew over the rows.
+
+    One join gives each row the values of another; a row is then scored once per feature in
+    the task that holds it, and one running mean per feature is shuffled.
+    """
+    rows = df.select(TARGET, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    both = permuted(rows, cols, seed).select(TARGET, F.array(*cols).alias("_x"), "_permuted")
+    one = both.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(cols) - 1))))
+    swapped = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get("_permuted", i)).otherwise(v))
+    scored = model.transform(one.withColumn("features", array_to_vector(swapped)))
+    error = F.avg(F.pow(F.col("_p") / RETURN_SCALE - F.col(TARGET), F.lit(2.0)))
+    per = scored.groupBy("_j").agg(error.alias("_error"))
+    base = F.max(F.when(F.col("_j") < 0, F.col("_error"))).over(Window.partitionBy())
+    names = F.array(*[F.lit(c) for c in cols])
+    rise = per.withColumn("importance", F.col("_error") - base).where("_j >= 0")
+    return rise.select(names[F.col("_j")].alias("feature"), "importance").orderBy(F.col("importance").desc(), "feature").limit(top_n)

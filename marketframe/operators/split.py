@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, SYMBOL
+from ..config import DATE, DEFAULTS, SYMBOL
 from ..functions.windows import series, whole
 from .features import supervised_sequences
 
@@ -185,3 +185,24 @@ def time_series_folds(
     start = F.col(n) - (k - F.col("fold")) * size
     role = F.when(F.col(row) < start, "train").when(F.col(row) < start + size, "test")
     return folds.withColumn("role", role).filter(F.col("role").isNotNull())
+
+
+def calendar_folds(df: DataFrame, k: int = DEFAULTS.search_folds, purge: int = 1, embargo: int = 0) -> DataFrame:
+    """Expanding folds cut at the same dates for every symbol.
+
+    The days are cut into ``k + 1`` blocks of about equally many rows; fold ``f`` tests block
+    ``f + 1`` and trains on all before, without the ``purge`` days whose targets reach
+    into the test block and ``embargo`` more. So no fold learns from a day that another
+    symbol is tested on. There is one row per day to number, not one per bar.
+    """
+    days = df.groupBy(DATE).agg(F.count("*").alias("_rows"))
+    ordered = Window.orderBy(DATE)
+    total = F.sum("_rows").over(Window.partitionBy())
+    before = F.sum("_rows").over(ordered) - F.col("_rows")
+    days = days.select(DATE, F.row_number().over(ordered).alias("_day"), F.floor(before * (k + 1) / total).cast("int").alias("_block"))
+    first = days.groupBy((F.col("_block") - 1).alias("fold")).agg(F.min("_day").alias("_start"))
+    folds = days.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("_block") - 1, F.lit(0)), F.lit(k - 1)))).join(first, "fold")
+    train = F.col("_day") < F.col("_start") - (purge + embargo)
+    role = F.when(F.col("_block") == F.col("fold") + 1, "test").when(train, "train")
+    folds = folds.select(DATE, "fold", role.alias("role")).where("role IS NOT NULL")
+    return df.join(folds, DATE)
