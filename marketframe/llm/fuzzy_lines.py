@@ -32,7 +32,7 @@ LEAST_WORDS = 100 // EDITS
 BLOCKS, BLOCK_BITS = 7, 18
 
 #: Lines are compared if at most so many bits of their blocks differ: unlike ones differ in half.
-BITS = 30
+BITS = 22
 
 #: Nodes of a block that are compared in one go; more are dealt, each two parts once.
 PART = 2048
