@@ -19,7 +19,7 @@ from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
 from .linking import marked
-from .stars import groups
+from .stars import groups, verified
 from .words import _LOWER, hash_spans, mix, spans
 
 #: Edits in percent of the longer line's words up to which lines link. Shorter lines than
@@ -279,21 +279,12 @@ def within_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return False
 
 
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of lines whose words are similar enough."""
+def _words_in(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("text")]
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(within_edits(x, y, max(len(x), len(y)) * EDITS // 100))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = words.select(F.col("id").alias("a"), F.col("words").alias("x"))
-    right = words.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-    return materialise(met.mapInArrow(run, "a bigint, b bigint"))
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    return within_edits(x, y, max(len(x), len(y)) * EDITS // 100)
 
 
 def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +314,8 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
         # Merge joins at every size: both lists grow with the corpus, so neither is broadcast.
         words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"))
         words = materialise(words.dropDuplicates(["id"]))
-        out = verified(pairs, words)
+        # A line that many are compared with is sent once for all of them.
+        out = verified(pairs, words.withColumnRenamed("words", "text"), _words_in, _near)
         discard(wanted, words)
         return out
 
