@@ -249,7 +249,10 @@ def adf_one_lag(spark, sf):
 @check(
     "X5_student_t_likelihood",
     "symbol n:i loc_score:4 scale_score:4 better:i",
-    f"WITH {KNOWN}, result AS (SELECT symbol, count(*) AS n, 0.0 AS loc_score, 0.0 AS scale_score, 0 AS better FROM known GROUP BY symbol)",
+    f"""WITH {KNOWN},
+times AS (SELECT symbol, count(*) AS c FROM known GROUP BY symbol, Log_Return),
+s AS (SELECT symbol, sum(c) AS n, CASE WHEN max(c) * 6 <= sum(c) THEN 0 END AS score FROM times GROUP BY symbol),
+result AS (SELECT symbol, n, score AS loc_score, score AS scale_score, score AS better FROM s)""",
 )
 def student_t_likelihood(spark, sf):
     """Slopes of the log likelihood at the fit, which are 0 at its top, and whether a fit with
@@ -266,7 +269,7 @@ def student_t_likelihood(spark, sf):
     )
 
     # The constant of the likelihood for other degrees of freedom: only numbers per symbol.
-    gamma = lambda k: F.udf(lambda d: math.lgamma((d * k + 1) / 2) - math.lgamma(d * k / 2) - 0.5 * math.log(d * k * math.pi), "double")(v)
+    gamma = lambda k: F.udf(lambda d: None if d is None else math.lgamma((d * k + 1) / 2) - math.lgamma(d * k / 2) - 0.5 * math.log(d * k * math.pi), "double")(v)
     likelier = [F.col("n") * (gamma(k) - F.log("scale")) - F.col(f"_{i}") > F.col("loglik") + 1e-6 for i, k in enumerate((0.9, 1.1))]
     return met.withColumn("better", sum(c.cast("int") for c in likelier))
 

@@ -155,6 +155,9 @@ def _per_series(df: DataFrame, col: str, test, schema: str) -> DataFrame:
 
 #: Steps of the latent weights for each degree of freedom, and of the search for it.
 WEIGHT_STEPS, SEARCH_STEPS = 200, 60
+#: Least degrees of freedom that are looked at. Where one value holds a larger share of the
+#: rows than this over one more, the likelihood has no top.
+LEAST_DF = 0.2
 
 
 def _student_t(x: np.ndarray) -> tuple | None:
@@ -162,6 +165,8 @@ def _student_t(x: np.ndarray) -> tuple | None:
     n = len(x)
     if n < 3 or not np.var(x):
         return None
+    if np.unique(x, return_counts=True)[1].max() > n * LEAST_DF / (1 + LEAST_DF):
+        return n, None, None, None, None
 
     def profile(df: float, loc: float, scale: float) -> tuple[float, float, float]:
         """Location and square scale for given degrees of freedom, by reweighted means."""
@@ -177,7 +182,7 @@ def _student_t(x: np.ndarray) -> tuple | None:
         return n * constant - (df + 1) / 2 * float(np.log1p((x - loc) ** 2 / (df * scale)).sum()), loc, scale
 
     start = float(np.median(x)), float(np.var(x))
-    golden, low, high = (math.sqrt(5) - 1) / 2, math.log(0.2), math.log(1e4)
+    golden, low, high = (math.sqrt(5) - 1) / 2, math.log(LEAST_DF), math.log(1e4)
     left, right = high - golden * (high - low), low + golden * (high - low)
     f_left, f_right = profile(math.exp(left), *start), profile(math.exp(right), *start)
     for _ in range(SEARCH_STEPS):
@@ -198,7 +203,9 @@ def student_t_likelihood(df: DataFrame, col: str = "Return") -> DataFrame:
 
     For each number of degrees of freedom, location and scale follow from weights that
     fall with a value's distance; the number itself is searched for. It may be below
-    4, where no moment fit can go; 10,000 stands for the normal limit.
+    4, where no moment fit can go; 10,000 stands for the normal limit. A symbol one of
+    whose values holds more than a sixth of its rows (days without trade, say) has no most likely
+    fit: its row is null.
     """
     return _per_series(df, col, _student_t, "n long, df double, loc double, scale double, loglik double")
 
