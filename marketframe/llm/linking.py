@@ -1,82 +1,12 @@
-"""Linking rows that share keys: candidates without all pairs, and connected groups.
-
-A posting says that a node has a key: ``key, id, rank`` and what ``fits`` needs to say
-whether two nodes that share a key can match (it gets structs of these columns);
-``rank`` orders a key's nodes, those first that are most like others.
-"""
+"""Connected groups of linked rows, and bitmaps that pick rows by their ids."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.storage import discard, materialise
 
-Fits = Callable[[Column, Column], Column]
-
-#: Parts into which the rows of a key are dealt that is known to be common.
-SALT = 64
-
-
-def neighbours(postings: DataFrame, common: Column | None = None) -> DataFrame:
-    """``key, node, rank, first, before``: rows whose key occurs more than once, with the
-    key's first node and the one before in (rank, id) order.
-
-    One sort by key; a key makes rows, not pairs. Where ``common`` holds, a key's rows
-    are dealt over 64 parts that are sorted one by one, and rows stay also if alone in
-    their part.
-    """
-    inside = [c for c in postings.columns if c not in ("key", "rank")]
-    rows = postings if "node" in inside else postings.select("key", F.struct(*inside).alias("node"), "rank")
-    part = F.lit(0) if common is None else F.when(common, F.pmod(F.xxhash64("node.id"), F.lit(SALT))).otherwise(0)
-    rows = rows.withColumn("_part", part.cast("int"))
-    w = Window.partitionBy("key", "_part").orderBy("rank", "node.id")
-    found = rows.withColumns({"before": F.lag("node").over(w), "first": F.first("node").over(w), "_after": F.lead("rank").over(w)})
-    some = F.col("before").isNotNull() | F.col("_after").isNotNull()
-    return found.where(some if common is None else some | common).drop("_after", "_part")
-
-
-def star_pairs(shared: DataFrame, fits: Fits, common: Column | None = None) -> DataFrame:
-    """``a, b``: each node with the first of its key and, where the key is not ``common``,
-    with the one before it; in a common key with the first of its part and the first of
-    all parts. Two pairs a row at most, as far as they fit."""
-    other = F.explode(F.array_distinct(F.filter(F.array("first", "before"), lambda e: e.isNotNull()))).alias("other")
-    if common is None:
-        met = shared.select("node", other)
-    else:
-        lowest = F.struct("rank", "node.id")
-        top = shared.where(common & F.col("before").isNull()).groupBy("key").agg(F.min_by("node", lowest).alias("top"))
-        hot = shared.where(common).join(top, "key").select("node", F.explode(F.array("first", "top")).alias("other"))
-        met = shared.where(~common).select("node", other).union(hot)
-    return _pairs(met.where((F.col("other.id") != F.col("node.id")) & fits(F.col("other"), F.col("node"))))
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("node.id", "other.id").alias("a"), F.greatest("node.id", "other.id").alias("b")).distinct()
-
-
-def remaining_pairs(shared: DataFrame, groups: DataFrame, fits: Fits) -> DataFrame:
-    """``a, b``: every pair of nodes that share a key, fit, and are not yet in one group.
-
-    ``groups`` has ``id, component`` of the nodes that are in a group with others. In
-    each key the largest group is set apart, and only the others' rows meet all rows:
-    where most rows of a common key are in one group already, little is left.
-    """
-    rows = shared.select("key", "node", F.col("node.id").alias("id")).join(groups.select("id", "component"), "id", "left")
-    rows = rows.select("key", "node", F.coalesce("component", "id").alias("component"))
-    sized = rows.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    top = sized.groupBy("key").agg(F.max_by("component", F.col("_n")).alias("_top"), F.count("*").alias("_groups"))
-    rows = rows.join(top.where("_groups > 1").drop("_groups"), "key")
-    left = rows.where(F.col("component") != F.col("_top")).drop("_top")
-    right = rows.select("key", F.col("node").alias("other"), F.col("component").alias("_other"), "_top")
-    # Of two rows outside the largest group, the pair is taken once.
-    once = (F.col("_other") == F.col("_top")) | (F.col("node.id") < F.col("other.id"))
-    apart = (F.col("component") != F.col("_other")) & once & fits(F.col("node"), F.col("other"))
-    return _pairs(left.join(right, "key").where(apart))
-
-
 #: Words of a bitmap of keys. It has at most so many rows, so it may be broadcast.
 BITMAP = 1 << 18
 
