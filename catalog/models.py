@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketframe.config import ENSEMBLE_WEIGHTS
+from marketframe.config import DEFAULTS, ENSEMBLE_WEIGHTS
 from marketframe.functions.storage import materialise
 from marketframe.models import ar
 from marketframe.models import boosted as bo
@@ -312,11 +312,128 @@ def two_stage(spark, sf):
     return tr.two_stage_predictions(panel(spark, sf))
 
 
+@check(
+    "T1_normal_equations",
+    "symbol n:i fitted:5 gap:5",
+    f"WITH {PANEL}, result AS (SELECT symbol, count(*) AS n, sum(ln(close)) AS fitted, 0 AS gap FROM panel GROUP BY symbol)",
+)
+def trend_normal_equations(spark, sf):
+    """The fit of T1 is the minimum: no gap in X'(y - X beta) = penalty * beta."""
+    df = panel(spark, sf)
+    return tr.fit_gap(df, tr.fit(df))
+
+
+#: Fixed parameters of a trend model; SQL follows the same design day by day.
+LEVEL, SLOPE, BEND, SINE, COSINE, HOLIDAY, SIGMA = 4.0123, 0.51371, 0.04177, 0.00313, 0.00217, -0.01019, 0.02
+
+
+def given_trend(df):
+    waves = [c / k for order in (tr.YEARLY_ORDER, tr.WEEKLY_ORDER) for k in range(1, order + 1) for c in (SINE, COSINE)]
+    beta = [LEVEL, SLOPE, *[BEND * (-1) ** j for j in range(1, tr.CHANGEPOINTS + 1)], *waves, HOLIDAY]
+    return df.filter("close IS NOT NULL").groupBy("symbol").agg(
+        F.min("date").alias("first_fit"), F.max("date").alias("last_fit"),
+        F.lit(beta).alias("beta"), F.lit(SIGMA).alias("sigma"),
+    )
+
+
+def _waves(period, order):
+    angle = f"date_diff('day', DATE '1970-01-01', date) * (2 * pi() * k / {period}::DOUBLE)"
+    return f"list_sum([{SINE}::DOUBLE / k * sin({angle}) + {COSINE}::DOUBLE / k * cos({angle}) for k in range(1, {order + 1})])"
+
+
+def given_sql(days):
+    """CTE ``trended`` with the model's parts on the rows of CTE ``days``."""
+    return f"""yrs AS (SELECT unnest(range(1999, 2032)) AS y),
+hol AS (SELECT DISTINCT h FROM ({_HOLIDAYS}) WHERE year(h) BETWEEN 1999 AND 2030),
+span AS (SELECT symbol, min(date) AS a, max(date) AS b FROM panel WHERE close IS NOT NULL GROUP BY symbol),
+timed AS (SELECT d.*, (d.date - a)::DOUBLE / greatest(b - a, 1) AS t FROM {days} d JOIN span s ON d.symbol = s.symbol),
+trended AS (
+  SELECT timed.*, {LEVEL}::DOUBLE + {SLOPE}::DOUBLE * t
+         + list_sum([{BEND}::DOUBLE * CASE k % 2 WHEN 0 THEN 1 ELSE -1 END * greatest(t - 0.8::DOUBLE * k / 25, 0) for k in range(1, 26)]) AS trend,
+         {_waves(365.25, 10)} + {_waves(7.0, 3)} + CASE WHEN h IS NULL THEN 0 ELSE {HOLIDAY}::DOUBLE END AS rest,
+         1.2815515655446004::DOUBLE * sqrt({SIGMA}::DOUBLE * {SIGMA}::DOUBLE
+           + {BEND}::DOUBLE * {BEND}::DOUBLE * power(greatest(t - 1, 0), 3) * (50::DOUBLE / 3)) AS half
+  FROM timed LEFT JOIN hol ON date = h)"""
+
+
+@check(
+    "T4_given_trend",
+    "symbol step:i date:d yhat:5 yhat_lower:5 yhat_upper:5",
+    f"""WITH {FUTURE}, {given_sql("future")}, result AS (
+  SELECT symbol, step, date, exp(trend + rest) AS yhat, exp(trend + rest - half) AS yhat_lower, exp(trend + rest + half) AS yhat_upper
+  FROM trended)""",
+)
+def given_predict(spark, sf):
+    """Thirty days ahead by a given model, with the band that widens."""
+    return tr.predict(given_trend(panel(spark, sf)), 30)
+
+
+@check(
+    "T7_given_trend",
+    "symbol date:d yhat:6 trend:6 residual:6",
+    f"""WITH {PANEL}, {given_sql("panel")},
+result AS (SELECT symbol, date, trend + rest AS yhat, trend, ln(close) - trend - rest AS residual FROM trended)""",
+)
+def given_in_sample(spark, sf):
+    df = panel(spark, sf)
+    return tr.predict_on_history(df, given_trend(df))
+
+
+HORIZON, INITIAL, PERIOD = DEFAULTS.cv_horizon_days, DEFAULTS.cv_initial_days, DEFAULTS.cv_period_days
+CUTOFFS = f"""{PANEL},
+span AS (SELECT symbol, min(date) AS a, max(date) AS b FROM panel GROUP BY symbol),
+cuts AS (SELECT symbol, unnest(generate_series(0, (b - a - {HORIZON} - {INITIAL}) // {PERIOD})) AS i, b - {HORIZON} AS newest FROM span
+         WHERE b - a - {HORIZON} - {INITIAL} >= 0),
+cutoffs AS (SELECT symbol, newest - (i * {PERIOD})::INT AS cutoff FROM cuts)"""
+
+
+@check(
+    "T8_normal_equations",
+    "symbol cutoff:d n:i fitted:5 gap:5",
+    f"""WITH {CUTOFFS}, result AS (
+  SELECT c.symbol, cutoff, count(*) AS n, sum(ln(close)) AS fitted, 0 AS gap
+  FROM cutoffs c JOIN panel p ON p.symbol = c.symbol AND p.date <= cutoff GROUP BY c.symbol, cutoff)""",
+)
+def cv_normal_equations(spark, sf):
+    """Every cutoff's fit is the minimum over the days up to it, and over no later one."""
+    rows = tr.cutoff_rows(panel(spark, sf)).filter("date <= cutoff")
+    keys = ("symbol", "cutoff")
+    return tr.fit_gap(rows, tr.fit(rows, keys=keys), keys=keys)
+
+
+@check(
+    "T8_scored_rows",
+    "symbol cutoffs:i n:i",
+    f"""WITH {CUTOFFS}, result AS (
+  SELECT c.symbol, count(DISTINCT cutoff) AS cutoffs, count(*) AS n
+  FROM cutoffs c JOIN panel p ON p.symbol = c.symbol AND p.date > cutoff AND p.date <= cutoff + {HORIZON} GROUP BY c.symbol)""",
+)
+def cv_scored_rows(spark, sf):
+    return tr.cross_validate(panel(spark, sf))
+
+
+@check(
+    "T9_normal_equations",
+    "symbol stage n:i fitted:5 gap:5",
+    f"""WITH {PANEL},
+l AS (SELECT symbol, close, row_number() OVER {SERIES} - 1 AS r, count(*) OVER (PARTITION BY symbol) AS n FROM panel),
+stages AS (SELECT 'val' AS stage, floor(n * 0.7::DOUBLE) AS stop, l.* FROM l
+           UNION ALL SELECT 'test', floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE), l.* FROM l),
+result AS (SELECT symbol, stage, count(*) AS n, sum(ln(close)) AS fitted, 0 AS gap FROM stages WHERE r < stop GROUP BY symbol, stage)""",
+)
+def stage_normal_equations(spark, sf):
+    """Validation is predicted from training rows alone, test from both."""
+    rows = tr.stage_rows(sp.temporal_split(panel(spark, sf)))
+    keys = ("symbol", "stage")
+    return tr.fit_gap(rows, tr.fit(rows, keys=keys), keys=keys)
+
+
 @check("N1_fit_weights", "symbol model weight:4 rmse:4")
 def fit_weights(spark, sf):
     parts = sp.temporal_split(panel(spark, sf)).filter(F.col("split") == "val")
     return en.fit_weights(predictions(spark, sf, BASE), parts)
 
+
 _written: dict[tuple[str, str, str], object] = {}
 
 

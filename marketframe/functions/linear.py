@@ -3,7 +3,7 @@
 :func:`gram` sums cross products with plain aggregates, so rows are combined on
 the map side and only one k x k row per key is shuffled, whatever the number of
 rows behind a key. :func:`fit_design` is for wider designs kept as one array
-column; it runs on series that a window has already partitioned by key.
+column: tasks sum their rows' cross products, which are then added up.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Matrices of different keys that a task holds at once.
+HELD = 256
+
 
 def gram_aggregates(
     xs: Sequence[str], y: str, where: str = "true", prefix: str = ""
@@ -62,6 +65,14 @@ def solve_batch(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
     return np.einsum("...ij,...j->...i", inv, xy / d) / d
 
 
+def refined(xx: np.ndarray, xy: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """:func:`solve_batch`, then solved again for what its rounding left over."""
+    beta = solve_batch(xx, xy)
+    for _ in range(rounds):
+        beta = beta + solve_batch(xx, xy - np.einsum("...ij,...j->...i", xx, beta))
+    return beta
+
+
 def residual_sum(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, beta: np.ndarray) -> np.ndarray:
     fit = np.einsum("...i,...ij,...j->...", beta, xx, beta)
     return np.clip(yy - 2 * np.einsum("...i,...i->...", beta, xy) + fit, 0.0, None)
@@ -93,6 +104,40 @@ def solve_grams(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grams.mapInPandas(solve, schema)
 
 
+def design_grams(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Cross products of (x, y, 1) per key, as the packed upper triangle.
+
+    Every task adds its rows up by key and sends one triangle per key, so the rows of a key
+    need not meet; the triangles are added entry by entry. Rows without ``y`` count as absent.
+    """
+    names = list(keys)
+    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+
+    def triangles(held: dict) -> pd.DataFrame:
+        upper = np.triu_indices(len(next(iter(held.values()))))
+        out = {name: [key[i] for key in held] for i, name in enumerate(names)}
+        return pd.DataFrame({**out, "packed": [g[upper] for g in held.values()]})
+
+    def partial(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(names, sort=False, dropna=False):
+                z = np.column_stack([np.stack(rows[x].to_numpy()), rows[y].to_numpy(float), np.ones(len(rows))])
+                held[key] = held.get(key, 0.0) + z.T @ z
+            if len(held) > HELD:
+                yield triangles(held)
+                held = {}
+        if held:
+            yield triangles(held)
+
+    known = df.filter(F.col(y).isNotNull()).select(*names, x, y)
+    parts = known.mapInPandas(partial, f"{key_fields}, packed array<double>").repartition(*names)
+    entries = parts.select(*names, F.posexplode("packed").alias("_i", "_v"))
+    sums = entries.groupBy(*names, "_i").agg(F.sum("_v").alias("_v"))
+    ordered = F.sort_array(F.collect_list(F.struct("_i", "_v")))
+    return sums.groupBy(*names).agg(ordered.alias("_p")).select(*names, F.col("_p._v").alias("packed"))
+
+
 def fit_design(
     df: DataFrame,
     keys: Sequence[str],
@@ -100,43 +145,45 @@ def fit_design(
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
-    """Ridge or plain least squares on an array column, one small fit per key.
+    """Ridge or plain least squares on an array column, from its cross products.
 
     ``penalties`` are prior scales per coefficient (``inf`` for none): the ridge
     term is the residual variance over the squared scale, with the variance
-    estimated from the data in three rounds. Each key's rows are one series, so
-    a group is bounded by the calendar.
+    estimated from the data in three rounds.
 
-    Returns n, beta, se (standard errors, plain fit only), rss and sigma.
+    Returns n, beta, rss, sigma and noise, the variance behind the ridge term.
     """
-    key_fields = [f for f in df.schema if f.name in keys]
-    schema = ", ".join(
-        [f"{f.name} {f.dataType.simpleString()}" for f in key_fields]
-        + ["n double", "beta array<double>", "se array<double>", "rss double", "sigma double"]
-    )
-    names = [f.name for f in key_fields]
-    scales = None if penalties is None else np.asarray(penalties, dtype=float)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        design = np.stack(pdf[x].to_numpy()).astype(float)
-        target = pdf[y].to_numpy(dtype=float)
-        xx, xy, yy = design.T @ design, design.T @ target, float(target @ target)
-        n, k = design.shape
-        if scales is None:
-            beta = solve_batch(xx, xy)
+    names = list(keys)
+    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+    schema = f"{key_fields}, n double, beta array<double>, rss double, sigma double, noise double"
+    weight = None if penalties is None else np.array([0.0 if np.isinf(s) else 1.0 / s**2 for s in penalties])
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        packed = np.stack(pdf["packed"].to_numpy())
+        m = int((np.sqrt(8 * packed.shape[1] + 1) - 1) / 2)
+        i, j = np.triu_indices(m)
+        full = np.zeros((len(pdf), m, m))
+        full[:, i, j] = full[:, j, i] = packed
+        k = m - 2
+        xx, xy, yy, total, n = full[:, :k, :k], full[:, :k, k], full[:, k, k], full[:, k, k + 1], full[:, k + 1, k + 1]
+        noise = np.zeros(len(pdf))
+        if weight is None:
+            beta = refined(xx, xy)
         else:
-            variance = float(np.var(target)) * 0.01 + 1e-12
+            variance = np.clip(yy / n - (total / n) ** 2, 0, None) * 0.01 + 1e-12
             for _ in range(3):
-                ridge = np.where(np.isinf(scales), 0.0, variance / scales**2)
-                beta = solve_batch(xx + np.diag(ridge), xy)
-                variance = max(float(np.mean((target - design @ beta) ** 2)), 1e-12)
-        rss = float(np.sum((target - design @ beta) ** 2))
-        dof = max(n - k, 1) if scales is None else n
-        inv = np.linalg.pinv(xx, rcond=1e-15, hermitian=True)
-        se = np.sqrt(np.clip(np.diag(inv), 0, None) * rss / dof)
-        row = {c: [pdf[c].iloc[0]] for c in names}
-        row.update(n=[float(n)], beta=[beta], se=[se], rss=[rss], sigma=[float(np.sqrt(rss / dof))])
-        return pd.DataFrame(row)
+                noise = variance
+                beta = refined(xx + noise[:, None, None] * np.diag(weight), xy)
+                variance = np.maximum(residual_sum(xx, xy, yy, beta) / n, 1e-12)
+        rss = residual_sum(xx, xy, yy, beta)
+        dof = np.maximum(n - k, 1) if weight is None else n
+        out = pdf[names].copy()
+        out["n"], out["beta"], out["rss"], out["sigma"], out["noise"] = n, list(beta), rss, np.sqrt(rss / dof), noise
+        return out
 
-    known = df.filter(F.col(y).isNotNull()).select(*names, x, y)
-    return known.groupBy(*names).applyInPandas(fit, schema)
+    def solve(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), HELD):
+                yield solved(pdf.iloc[at : at + HELD].reset_index(drop=True))
+
+    return design_grams(df, names, x, y).mapInPandas(solve, schema)

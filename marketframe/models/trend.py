@@ -3,7 +3,9 @@
 The level is a piecewise linear trend (a hinge per changepoint), yearly and
 weekly Fourier terms, a holiday effect and optional regressors. The design is an
 array column built from the date alone; each symbol is one small ridge fit whose
-penalties follow the prior scales. Predictions are dot products in Spark.
+penalties follow the prior scales, solved from summed cross products. Predictions
+are dot products in Spark; ahead of the fitted days their band widens with the
+changes of slope that the fit found.
 """
 
 from __future__ import annotations
@@ -143,7 +145,8 @@ def fit(
     keys: tuple[str, ...] = (SYMBOL,),
 ) -> DataFrame:
     """Parameters per symbol (or per ``keys``): first and last fitted day,
-    coefficients and residual deviation. The frame needs ``close`` and ``date``.
+    coefficients, residual deviation and the variance behind the penalties. The
+    frame needs ``close`` and ``date``.
     """
     y = F.ln("close") if log else F.col("close")
     w = whole(Window.partitionBy(*keys).orderBy(DATE))
@@ -166,9 +169,36 @@ def fit(
         "n",
         F.transform("beta", lambda b: b * F.col("_top")).alias("beta"),
         (F.col("sigma") * F.col("_top")).alias("sigma"),
+        "noise",
     )
 
 
+def fit_gap(
+    df: DataFrame,
+    params: DataFrame,
+    log: bool = True,
+    regressors: tuple[str, ...] = (),
+    cfg: Settings = DEFAULTS,
+    keys: tuple[str, ...] = (SYMBOL,),
+) -> DataFrame:
+    """How well ``params`` solve the penalised normal equations of the rows they were fitted on.
+
+    One row per key: ``n``, ``fitted`` (sum of the fitted values, which a free level makes
+    equal to the sum of the observed ones) and ``gap``, the largest entry of
+    ``X'(y - X beta) - penalty * beta`` (zero at the minimum).
+    """
+    y = F.ln("close") if log else F.col("close")
+    weight = [0.0 if math.isinf(s) else 1.0 / s**2 for s in penalties(cfg, len(regressors))]
+    t = _scaled(F.col(DATE), F.col("first_fit"), F.col("last_fit"))
+    rows = df.filter(y.isNotNull()).withColumn("_y", y).join(params, list(keys))
+    rows = rows.withColumn("_x", design(t, F.col(DATE), regressors)).withColumn("_f", dot(F.col("_x"), F.col("beta")))
+    ridge = F.transform(F.arrays_zip("beta", F.array(*map(F.lit, weight)).alias("w")), lambda b: b["beta"] * b["w"] * F.col("noise"))
+    rows = rows.select(*keys, "_f", (F.col("_y") - F.col("_f")).alias("_e"), F.posexplode(F.arrays_zip("_x", ridge.alias("r"))).alias("_j", "_t"))
+    entry = F.abs(F.sum(F.col("_t")["_x"] * F.col("_e")) - F.max(F.col("_t")["r"]))
+    per = rows.groupBy(*keys, "_j").agg(F.count("*").alias("_n"), F.sum("_f").alias("_f"), entry.alias("_g"))
+    return per.groupBy(*keys).agg(F.max("_n").alias("n"), F.max(F.when(F.col("_j") == 0, F.col("_f"))).alias("fitted"), F.max("_g").alias("gap"))
+
+
 def raw_predictions(
     dates: DataFrame,
     params: DataFrame,
@@ -184,7 +214,13 @@ def raw_predictions(
 def _evaluate(
     rows: DataFrame, keep: list[str], regressors: tuple[str, ...] = (), interval: float = INTERVAL
 ) -> DataFrame:
-    """Fit and interval of rows that carry their parameters."""
+    """Fit and interval of rows that carry their parameters.
+
+    Beyond the last fitted day slopes go on changing as often as changepoints were
+    allowed, by independent amounts of mean size ``m``, that of the fitted ones; with a
+    two-sided exponential law the level then has the variance
+    ``2 m^2 * CHANGEPOINTS * h^3 / 3`` at ``h`` spans of the history ahead.
+    """
     z = NormalDist().inv_cdf(0.5 + interval / 2)
     t = _scaled(F.col(DATE), F.col("first_fit"), F.col("last_fit"))
     rows = rows.withColumn("_x", design(t, F.col(DATE), regressors))
@@ -194,18 +230,35 @@ def _evaluate(
     rest = dot(F.slice("_x", F.lit(head + 1), size - head), F.slice("beta", F.lit(head + 1), size - head))
     rows = rows.withColumns({"trend": trend, "additive_terms": rest})
     yhat = F.col("trend") + F.col("additive_terms")
-    rows = rows.withColumns(
-        {"yhat": yhat, "yhat_lower": yhat - z * F.col("sigma"), "yhat_upper": yhat + z * F.col("sigma")}
-    )
+    bend = F.aggregate(F.slice("beta", 3, CHANGEPOINTS), F.lit(0.0), lambda s, b: s + F.abs(b)) / CHANGEPOINTS
+    ahead = F.greatest(t - 1, F.lit(0.0))
+    spread = F.sqrt(F.col("sigma") * F.col("sigma") + bend * bend * F.pow(ahead, 3) * (2 * CHANGEPOINTS / 3))
+    rows = rows.withColumns({"yhat": yhat, "yhat_lower": yhat - z * spread, "yhat_upper": yhat + z * spread})
     names = ("yhat", "yhat_lower", "yhat_upper", "trend", "additive_terms")
     return rows.select(*keep, *names)
 
 
-def predict(params: DataFrame, periods: int = DEFAULTS.forecast_days, log: bool = True) -> DataFrame:
-    """Forecast after the last fitted day, back in price units."""
-    days = F.posexplode(business_calendar(F.col("last_fit"), periods)).alias("_i", DATE)
-    rows = params.select("*", days).withColumn("step", F.col("_i") + 1)
-    out = _evaluate(rows, [SYMBOL, "step", DATE])
+def predict(
+    params: DataFrame,
+    periods: int = DEFAULTS.forecast_days,
+    log: bool = True,
+    future: DataFrame | None = None,
+    regressors: tuple[str, ...] = (),
+) -> DataFrame:
+    """Forecast after the last fitted day, back in price units.
+
+    A model with regressors needs their values to come: ``future`` holds symbol, date and
+    ``regressors``; its first ``periods`` days after the last fitted one are forecast.
+    """
+    if future is None and regressors:
+        raise ValueError("a model with regressors needs their future values")
+    if future is None:
+        days = F.posexplode(business_calendar(F.col("last_fit"), periods)).alias("_i", DATE)
+        rows = params.select("*", days).withColumn("step", F.col("_i") + 1)
+    else:
+        later = future.select(SYMBOL, DATE, *regressors).join(params, SYMBOL).filter(F.col(DATE) > F.col("last_fit"))
+        rows = later.withColumn("step", F.row_number().over(series())).filter(F.col("step") <= periods)
+    out = _evaluate(rows, [SYMBOL, "step", DATE], regressors)
     if log:
         out = out.withColumns({c: F.exp(c) for c in ("yhat", "yhat_lower", "yhat_upper")})
     return out
@@ -258,6 +311,16 @@ def forecast_path(df: DataFrame, params: DataFrame, steps: int = DEFAULTS.foreca
     return anchored_path(last, raw_predictions(future_days(df, steps), params), log)
 
 
+def stage_rows(parts: DataFrame) -> DataFrame:
+    """The rows each of the two stages is fitted on, marked with its ``stage``."""
+    stage = F.explode(
+        F.when(F.col("split") == "train", F.array(F.lit("val"), F.lit("test")))
+        .when(F.col("split") == "val", F.array(F.lit("test")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return parts.withColumn("stage", stage)
+
+
 def two_stage_predictions(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Validation days from a train fit, test days from a train + validation fit.
 
@@ -265,12 +328,7 @@ def two_stage_predictions(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     see it.
     """
     parts = df if "split" in df.columns else temporal_split(df)
-    stage = F.explode(
-        F.when(F.col("split") == "train", F.array(F.lit("val"), F.lit("test")))
-        .when(F.col("split") == "val", F.array(F.lit("test")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    params = fit(parts.withColumn("stage", stage), cfg=cfg, keys=(SYMBOL, "stage"))
+    params = fit(stage_rows(parts), cfg=cfg, keys=(SYMBOL, "stage"))
     # The row before a split is its first anchor.
     r, nt, nv = F.col("row_no"), F.col("n_train"), F.col("n_val")
     which = F.explode(
@@ -289,14 +347,13 @@ def two_stage_predictions(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     return out.filter(F.col("predicted").isNotNull()).select(SYMBOL, DATE, "predicted")
 
 
-def cross_validate(
+def cutoff_rows(
     df: DataFrame,
     initial_days: int = DEFAULTS.cv_initial_days,
     period_days: int = DEFAULTS.cv_period_days,
     horizon_days: int = DEFAULTS.cv_horizon_days,
-    cfg: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Rolling-origin validation: errors in model space over all cutoffs.
+    """Rows of every cutoff, up to its horizon, marked with ``cutoff``.
 
     Cutoffs run back from the last day less the horizon in steps of the period,
     as long as the initial span is left. Every row lists its own cutoffs by date
@@ -314,13 +371,26 @@ def cross_validate(
         .withColumn("cutoff", F.expr(f"date_sub(date_sub(_l, {horizon_days}), _i * {period_days})"))
         .filter(F.col(DATE) <= F.date_add("cutoff", horizon_days))
     )
+    return rows.select(SYMBOL, "cutoff", DATE, "close")
+
+
+def cross_validate(
+    df: DataFrame,
+    initial_days: int = DEFAULTS.cv_initial_days,
+    period_days: int = DEFAULTS.cv_period_days,
+    horizon_days: int = DEFAULTS.cv_horizon_days,
+    cfg: Settings = DEFAULTS,
+) -> DataFrame:
+    """Rolling-origin validation: errors in model space over the scored rows (``n``) of all cutoffs."""
+    rows = cutoff_rows(df, initial_days, period_days, horizon_days)
     keys = (SYMBOL, "cutoff")
     params = fit(rows.filter(F.col(DATE) <= F.col("cutoff")), cfg=cfg, keys=keys)
-    ahead = rows.filter(F.col(DATE) > F.col("cutoff")).select(*keys, DATE, "close")
+    ahead = rows.filter(F.col(DATE) > F.col("cutoff"))
     scored = raw_predictions(ahead, params, keys=keys)
     y, e = F.ln("close"), F.ln("close") - F.col("yhat")
     return scored.groupBy(SYMBOL).agg(
         F.countDistinct("cutoff").alias("cutoffs"),
+        F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("MAE"),
         F.sqrt(F.avg(e * e)).alias("RMSE"),
         (F.avg(F.abs(e / F.nullif(y, F.lit(0.0)))) * 100).alias("MAPE"),

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import panel_of, series_of
+from marketframe.functions.linear import fit_design
 from marketframe.functions.recursion import inverse_filter
 from marketframe.models import ar, boosted, ensemble, sequence, trend
 from marketframe.operators.split import training_masks
@@ -233,6 +234,67 @@ def test_trend_stages_do_not_look_ahead(seasonal):
     assert cut.cutoffs > 3 and cut.MAE < 0.2
 
 
+def test_design_fit_equals_plain_least_squares_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 6)) @ np.diag([1.0, 10.0, 0.1, 1.0, 1.0, 1e-3])
+    beta = np.array([1.0, -0.2, 3.0, 0.0, 0.5, 40.0])
+    y = x @ beta + rng.normal(0, 0.1, 4000)
+    key = np.where(np.arange(4000) < 3900, "hot", "small")
+    rows = pd.DataFrame({"k": key, "x": x.tolist(), "y": y})
+    df = spark.createDataFrame(rows).repartition(16)
+    got = {r.k: r for r in fit_design(df, ["k"]).collect()}
+    for name in ("hot", "small"):
+        want = np.linalg.lstsq(x[key == name], y[key == name], rcond=None)[0]
+        assert got[name].n == (key == name).sum()
+        assert np.allclose(got[name].beta, want, rtol=1e-8, atol=1e-10)
+    tight = fit_design(df.filter("k = 'hot'"), ["k"], [1e-6] * 6).first()
+    assert np.abs(np.array(tight.beta)[:5]).max() < 0.2 * np.abs(beta).max()
+    assert fit_design(df.filter("y IS NULL"), ["k"]).count() == 0
+
+
+def test_trend_fits_need_no_group_in_python_and_are_minima(seasonal):
+    params = trend.fit(seasonal)
+    plan = params._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    gap = trend.fit_gap(seasonal, params).first()
+    observed = seasonal.agg(F.sum(F.ln("close"))).first()[0]
+    assert gap.n == 2200 and gap.gap < 1e-6 and gap.fitted == pytest.approx(observed, abs=1e-6)
+    moved = params.withColumn("beta", F.transform("beta", lambda b: b * 1.001))
+    assert trend.fit_gap(seasonal, moved).first().gap > 1e-3
+
+
+def test_trend_band_widens_with_the_bends_of_the_fit(seasonal):
+    params = trend.fit(seasonal)
+    path = trend.predict(params, 250).orderBy("step").toPandas()
+    width = np.log(path["yhat_upper"]) - np.log(path["yhat_lower"])
+    assert (np.diff(width) > 0).all()
+    one = params.first()
+    span = (one.last_fit - one.first_fit).days
+    h = (path["date"].iloc[-1] - one.last_fit).days / span
+    bend = np.mean(np.abs(one.beta[2:27]))
+    # Jumps of slope at the rate of the changepoints, two-sided exponential.
+    rng = np.random.default_rng(4)
+    ends = [np.sum(rng.laplace(0, bend, n) * (h - rng.uniform(0, h, n))) for n in rng.poisson(25 * h, 60000)]
+    want = np.hypot(np.std(ends), one.sigma)
+    assert width.iloc[-1] / (2 * 1.2815515655446004) == pytest.approx(want, rel=0.03)
+
+
+def test_trend_takes_future_regressors(seasonal):
+    push = F.when(F.pmod(F.unix_date("date"), F.lit(3)) == 0, 1.0).otherwise(0.0)
+    pushed = seasonal.withColumn("push", push).withColumn("close", F.col("close") * F.exp(0.05 * F.col("push")))
+    params = trend.fit(pushed, regressors=("push",))
+    assert params.first().beta[-1] == pytest.approx(0.05, abs=0.002)
+    future = fc.future_days(pushed, 8).withColumn("push", push).unionByName(pushed.select("symbol", "date", "push"), True)
+    with_push = trend.predict(params, 6, future=future, regressors=("push",)).toPandas()
+    none = trend.predict(params, 6, future=future.withColumn("push", F.lit(0.0)), regressors=("push",)).toPandas()
+    both = with_push.merge(none, on=["step", "date"])
+    assert sorted(both["step"]) == [1, 2, 3, 4, 5, 6]
+    days = (pd.to_datetime(both["date"]) - pd.Timestamp("1970-01-01")).dt.days
+    assert np.allclose(np.log(both["yhat_x"] / both["yhat_y"]), np.where(days % 3 == 0, params.first().beta[-1], 0.0))
+    with pytest.raises(ValueError):
+        trend.predict(params, 6, regressors=("push",))
+
+
 def test_holidays_equal_the_federal_calendar(spark):
     from pandas.tseries.holiday import USFederalHolidayCalendar
 
