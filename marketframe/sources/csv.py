@@ -50,20 +50,27 @@ def parse_date(c: Column) -> Column:
     """Date of a text in any accepted layout, in UTC when it carries an offset.
 
     The shape of the text picks the one layout it is parsed with: trying layouts
-    in turn would pay for a failed parse per row and layout.
+    in turn would pay for a failed parse per row and layout. The text is bound by
+    ``transform``, as an expression would be repeated for each layout.
     """
-    text = F.trim(c.cast("string"))
-    # A "T" before the time, fractions of a second and offsets without a colon change no day.
-    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
-    text = F.regexp_replace(text, r"(:\d{2})[.,]\d{1,9}", "$1")
-    text = F.regexp_replace(text, r"(:\d{2}) ?([+-]\d{2}):?(\d{2})$", "$1$2:$3")
-    out = F.lit(None).cast("date")
-    for shape, layout, zoned in reversed(DATE_LAYOUTS):
-        stamp = F.try_to_timestamp(text, F.lit(layout))
-        if zoned:
-            stamp = F.to_utc_timestamp(stamp, F.current_timezone())
-        out = F.when(text.rlike(shape), F.to_date(stamp)).otherwise(out)
-    return out
+
+    def tidied(t: Column) -> Column:
+        # A "T" before the time, fractions of a second and offsets without a colon change no day.
+        timed = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
+        timed = F.regexp_replace(timed, r"(:\d{2})[.,]\d{1,9}", "$1")
+        timed = F.regexp_replace(timed, r"(:\d{2}) ?([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+        return F.when(F.length(t) > 10, timed).otherwise(t)
+
+    def parsed(t: Column) -> Column:
+        out = F.lit(None).cast("date")
+        for shape, layout, zoned in reversed(DATE_LAYOUTS):
+            stamp = F.try_to_timestamp(t, F.lit(layout))
+            if zoned:
+                stamp = F.to_utc_timestamp(stamp, F.current_timezone())
+            out = F.when(t.rlike(shape), F.to_date(stamp)).otherwise(out)
+        return out
+
+    return F.transform(F.transform(F.array(F.trim(c.cast("string"))), tidied), parsed)[0]
 
 
 def canonical(df: DataFrame, default_source: Column | None = None) -> DataFrame:
@@ -77,8 +84,9 @@ def canonical(df: DataFrame, default_source: Column | None = None) -> DataFrame:
     if default_source is not None:
         label = F.coalesce(label, default_source)
     passed = [c for c in df.columns if c.startswith("_") or c == SYMBOL]
-    out = df.select(*passed, parse_date(F.col(DATE)).alias(DATE), *prices, label.alias("source"))
-    return out.filter(F.col(DATE).isNotNull())
+    # A filter on the date would move below an aggregate by date and parse all its raw rows.
+    readable = F.explode(F.filter(F.array(parse_date(F.col(DATE))), lambda d: d.isNotNull()))
+    return df.select(*passed, readable.alias(DATE), *prices, label.alias("source"))
 
 
 def unreadable_dates(raw: DataFrame) -> DataFrame:

@@ -148,3 +148,19 @@ def test_stream_updates_state_and_predicts(spark, sample, tmp_path):
     assert len(got) == 2
     whole = ar.one_step_predictions(sample, params, terms=1).filter(F.col("date") == days[299]).first()
     assert got[0].predicted == pytest.approx(whole.predicted) and got[0].date == days[299]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_date_text_is_tidied_once(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    assert optimized(df.select(src.parse_date(F.col("t")).alias("d"))).count("regexp_replace(") == 3
+
+
+def test_dates_are_parsed_above_the_aggregate_they_come_from(spark):
+    raw = spark.range(9).select(F.concat(F.lit("2020-03-0"), F.col("id") % 3 + 1).alias("date"), "id")
+    got = src.canonical(raw.groupBy("date").agg(F.max("id").cast("string").alias("close")))
+    assert "RLIKE" not in optimized(got).upper().split("AGGREGATE", 1)[1]
+    assert sorted(r.close for r in got.collect()) == [6.0, 7.0, 8.0]
