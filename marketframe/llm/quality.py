@@ -27,6 +27,9 @@ THRESHOLD = 0.7
 #: of a row that may be among them, and tokens that get a context vector.
 SAMPLE, SAMPLE_BYTES, VOCABULARY, LEAST_COUNT = 4000, 1 << 16, 1 << 15, 3
 
+#: Tokens whose index vectors are made at once, and bytes of the sample that are split at once.
+STEP, SPLIT = 1 << 18, 1 << 20
+
 #: Classes of bytes: 0 for white space and controls, 1 for letters and digits, 2 for the rest.
 _CLASS = np.full(256, 1, np.uint8)
 _CLASS[:0x21] = 0
@@ -63,8 +66,10 @@ def index_parts(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 def add_index(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Sums of index vectors by row number."""
     total = np.zeros(n * WIDTH)
-    for place, sign in index_parts(h):
-        total += np.bincount(rows * WIDTH + place, sign, n * WIDTH)
+    for a in range(0, len(h), STEP):
+        some = rows[a : a + STEP] * WIDTH
+        for place, sign in index_parts(h[a : a + STEP]):
+            total += np.bincount(some + place, sign, n * WIDTH)
     return total.reshape(n, WIDTH)
 
 
@@ -79,15 +84,19 @@ class WordVectors:
         order = np.lexsort((values, -counts))[:VOCABULARY]
         known = np.sort(values[order[counts[order] >= LEAST_COUNT]])
         context = np.zeros((len(known), WIDTH))
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        at = np.searchsorted(known, h)
-        at[at == len(known)] = 0
-        mine = known[at] == h if len(known) else np.zeros(len(h), bool)
-        for step in range(1, AROUND + 1):
-            near = row[step:] == row[:-step]
-            for here, there in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-                use = near & mine[here]
-                context += add_index(at[here][use], h[there][use], len(known))
+        # Runs of whole rows, or a longer row by itself.
+        cuts = np.unique(np.searchsorted(first, np.arange(0, len(h) + STEP, STEP)).clip(max=len(first) - 1))
+        for lead, end in zip(cuts[:-1], cuts[1:]):
+            some = h[first[lead] : first[end]]
+            row = np.repeat(np.arange(end - lead), np.diff(first[lead : end + 1]))
+            at = np.searchsorted(known, some)
+            at[at == len(known)] = 0
+            mine = known[at] == some if len(known) else np.zeros(len(some), bool)
+            for step in range(1, AROUND + 1):
+                near = row[step:] == row[:-step]
+                for here, there in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
+                    use = near & mine[here]
+                    context += add_index(at[here][use], some[there][use], len(known))
         context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
         return cls(known, context.astype(np.float32))
 
@@ -196,14 +205,16 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rated = usable.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
     chosen = rated.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE)
     short = documents.select(F.col(key).alias("_key"), text_bytes(text).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
-    rows = short.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"]).orderBy("_key").limit(SAMPLE).collect()
-    y = np.array([r["_label"] for r in rows], float)
-    off = np.cumsum([0, *[len(r["_text"]) for r in rows]])
-    buf = np.frombuffer(b"".join(bytes(r["_text"]) for r in rows), np.uint8)
+    found = short.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"]).orderBy("_key").limit(SAMPLE).select("_label", "_text")
+    sample = found.toArrow()
+    y = sample.column("_label").to_numpy().astype(float)
     prior = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return QualityModel(WordVectors(np.empty(0, np.uint64), np.empty((0, WIDTH), np.float32)), None, prior)
-    h, first = tokens(buf, off)
+    # In parts: what stands beside the sample in the driver's memory stays small.
+    parts = [tokens(*data(part.column("_text"))) for part in chunks(sample.to_batches(), "_text", SPLIT)]
+    h = np.concatenate([part for part, _ in parts])
+    first = np.cumsum([0, *np.concatenate([np.diff(at) for _, at in parts])])
     words = WordVectors.fit(h, first)
     return QualityModel(words, Network.fit(words.pooled(h, first), y), prior)
 

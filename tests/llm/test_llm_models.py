@@ -216,3 +216,19 @@ def test_a_query_ascends_until_its_prefixes_hold_enough(spark):
     level = lambda wanted: [r.level for r in ann_forest.levels_of(queries, counts, wanted, 3).orderBy("tree").collect()]
     assert level(8) == [3, 3] and level(9) == [2, 3] and level(19) == [2, 3] and level(20) == [2, 2]
     assert level(32) == [1, 2] and level(200) == [0, 0] and level(500) == [0, 0]
+
+
+def test_what_word_vectors_need_beside_the_sample_is_bounded():
+    import tracemalloc
+
+    import numpy as np
+
+    from marketframe.llm import quality
+
+    h = np.random.default_rng(1).integers(0, 3000, 2_000_000).astype(np.uint64)
+    first = np.arange(0, len(h) + 1, 500)
+    tracemalloc.start()
+    quality.WordVectors.fit(h, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * h.nbytes
