@@ -44,8 +44,7 @@ class Ids:
         # A task has one core.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([OTHER_SPACE.pattern, *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -54,11 +53,11 @@ class Ids:
         return [array("I", x.ids).tobytes() for x in coded]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        plain = [not self.whole.search(t) for t in texts]
+        plain = [not (OTHER_SPACE.search(t) or any(a in t for a in self.added)) for t in texts]
         split = [WORDS.findall(t) if p else () for t, p in zip(texts, plain)]
         if len(self.words) > GENERATION:
             self.words, self.older = {}, self.words
-        new = list(set().union(*split) - self.words.keys())
+        new = [w for w in set().union(*split) if w not in self.words]
         before = self.older.get
         self.words.update((w, ids) for w in new if (ids := before(w)) is not None)
         new = [w for w in new if w not in self.words]
