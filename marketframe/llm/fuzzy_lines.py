@@ -34,6 +34,9 @@ BLOCKS, BLOCK_BITS = 7, 18
 #: Lines are compared if at most so many bits of their blocks differ: unlike ones differ in half.
 BITS = 22
 
+#: What is compared of two lines before their words are: parities of words, and the SimHash.
+BITMAPS = ("odd", "sim0", "sim1")
+
 #: Nodes of a block that are compared in one go; more are dealt, each two parts once.
 PART = 2048
 
@@ -110,23 +113,35 @@ def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def parities(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits of each line: which of 64 classes of words it has an odd number of.
+
+    An insertion or deletion changes one bit at most and a replacement two, so lines
+    within ``e`` edits whose sizes differ by ``d`` differ in at most ``2 * e - d`` bits.
+    """
+    out, full = np.zeros(len(first) - 1, np.uint64), np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(words + np.uint64(2)) & np.uint64(63)), first[:-1][full])
+    return out.view(np.int64)
+
+
 def hashed_lines(rows: DataFrame) -> DataFrame:
-    """``doc_id, line, id, size, sim0, sim1`` of every line with a word; short ones have zeros."""
+    """``doc_id, line, id, size, odd, sim0, sim1`` of every line with a word; short ones have zeros."""
 
     def run(batches):
         for part in chunks(batches, "text", 2 << 20):
             row, number, first, words = split_lines(*data(part.column("text")))
             size = np.diff(first)
             keep = np.flatnonzero(size)
-            sims = simhashes(words, first)[keep]
+            sims = np.column_stack([parities(words, first), simhashes(words, first)])[keep]
             sims[size[keep] < LEAST_WORDS] = 0
             columns = [part.column(0).take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32))]
             columns += [pa.array(line_hashes(words, first)[keep].view(np.int64)), pa.array(size[keep].astype(np.int32))]
-            columns += [pa.array(np.ascontiguousarray(sims[:, k])) for k in (0, 1)]
+            columns += [pa.array(np.ascontiguousarray(sims[:, k])) for k in range(3)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "line", "id", "size", "sim0", "sim1"]
-    return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, sim0 bigint, sim1 bigint")
+    names = ["doc_id", "line", "id", "size", *BITMAPS]
+    return rows.mapInArrow(run, "doc_id bigint, line int, id bigint, size int, odd bigint, sim0 bigint, sim1 bigint")
 
 
 def blocks_of(sim0: Column, sim1: Column) -> Column:
@@ -140,34 +155,37 @@ def blocks_of(sim0: Column, sim1: Column) -> Column:
 
 
 def fits(x: Column, y: Column) -> Column:
-    """Whether two nodes can be within the edit limit by their sizes, and are alike in bits."""
+    """Whether two nodes can be within the edit limit by their sizes and parities, and are alike in bits."""
     longer = F.greatest(x["size"], y["size"])
-    sizes = longer - F.least(x["size"], y["size"]) <= F.floor(longer * EDITS / 100)
+    most, apart = F.floor(longer * EDITS / 100), longer - F.least(x["size"], y["size"])
+    odd = F.bit_count(x["odd"].bitwiseXOR(y["odd"]))
     differ = sum(F.bit_count(F.shiftleft(x[c].bitwiseXOR(y[c]), 1)) for c in ("sim0", "sim1"))
-    return sizes & (differ <= BITS)
+    return (apart <= most) & (odd <= 2 * most - apart) & (differ <= BITS)
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b`` of rows ``key, part, side, id, component, size, sim0, sim1`` sorted by key and part:
+    """``a, b`` of rows ``key, part, side, id, component, size, odd, sim0, sim1`` sorted by key and part:
     pairs of one key and part that fit and are of different components. A part of two
     sides compares each row of one with each of the other."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        key, part, side, ids, component, size, *sims = (rows.column(c).to_numpy() for c in rows.column_names)
+        key, part, side, ids, component, size, odd, *sims = (rows.column(c).to_numpy() for c in rows.column_names)
         left, found = np.arange(len(key)), []
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[: len(key)])
+        end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
         gap = 0
         while len(left):
             gap += 1
-            left = left[left + gap < len(key)]
+            left = left[left + gap < end[left]]
             right = left + gap
-            run = (key[left] == key[right]) & (part[left] == part[right])
-            left, right = left[run], right[run]
-            longer = np.maximum(size[left], size[right])
-            good = (component[left] != component[right]) & (longer - np.minimum(size[left], size[right]) <= longer * EDITS // 100)
-            good &= (side[left] < 0) | (side[left] != side[right])
-            differ = [np.bitwise_count((s[left] ^ s[right]).view(np.uint64) << np.uint64(1)) for s in sims]
+            most, apart = np.maximum(size[left], size[right]) * EDITS // 100, np.abs(size[left] - size[right])
+            good = np.bitwise_count((odd[left] ^ odd[right]).view(np.uint64)) <= 2 * most - apart
+            good &= apart <= most
+            x, y = left[good], right[good]
+            good = (component[x] != component[y]) & ((side[x] < 0) | (side[x] != side[y]))
+            differ = [np.bitwise_count((s[x] ^ s[y]).view(np.uint64) << np.uint64(1)) for s in sims]
             good &= differ[0] + differ[1] <= BITS
-            found.append(np.stack([ids[left[good]], ids[right[good]]]))
+            found.append(np.stack([ids[x[good]], ids[y[good]]]))
         both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], ["a", "b"])
 
@@ -188,21 +206,23 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_pairs(nodes: DataFrame) -> DataFrame:
-    """``a, b``: nodes of different components that share a block and fit.
+    """``a, b``: nodes of different components that share a block and fit; parities may be absent.
 
     There are at most ``BLOCKS * 2 ** BLOCK_BITS`` different keys, so the list of those with
     many nodes may be broadcast; their nodes are dealt over parts, and every two parts meet once.
     """
-    posts = nodes.select(F.explode(F.col("keys").cast("array<int>")).alias("key"), "id", "component", "size", "sim0", "sim1")
+    if "odd" not in nodes.columns:
+        nodes = nodes.withColumn("odd", F.lit(0).cast("bigint"))
+    posts = nodes.select(F.explode(F.col("keys").cast("array<int>")).alias("key"), "id", "component", "size", *BITMAPS)
     many = posts.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > PART)
     rows = posts.join(F.broadcast(many.select("key", F.ceil(F.col("_n") / PART).cast("int").alias("parts"))), "key", "left")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda h: F.least(own, h) * F.col("parts") + F.greatest(own, h))
     # Inside a part of its own all rows meet; that is said by a side below 0.
     dealt = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(met)).alias("part")
-    rows = rows.select("key", dealt, own.alias("own"), "parts", "id", "component", "size", "sim0", "sim1")
+    rows = rows.select("key", dealt, own.alias("own"), "parts", "id", "component", "size", *BITMAPS)
     inner = F.col("parts").isNull() | (F.col("part") % (F.col("parts") + 1) == 0)
-    rows = rows.select("key", "part", F.when(inner, -1).otherwise(F.col("own")).alias("side"), "id", "component", "size", "sim0", "sim1")
+    rows = rows.select("key", "part", F.when(inner, -1).otherwise(F.col("own")).alias("side"), "id", "component", "size", *BITMAPS)
     sorted_rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
     return materialise(sorted_rows.mapInArrow(compared, "a bigint, b bigint").distinct())
 
@@ -301,7 +321,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     lines = materialise(hashed_lines(rows))
     occurrence = F.struct("doc_id", "line")
     nodes = lines.groupBy("id").agg(
-        F.min(occurrence).alias("first"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("size", "sim0", "sim1")]
+        F.min(occurrence).alias("first"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("size", *BITMAPS)]
     )
     nodes = materialise(nodes)
 
@@ -320,7 +340,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
         return out
 
     blocks = blocks_of(F.col("sim0"), F.col("sim1")).alias("keys")
-    found = groups(nodes.where(F.col("size") >= LEAST_WORDS).select("id", "size", "sim0", "sim1", blocks), fits, links, between=block_pairs, turns=((3, 0), (BLOCKS, 1)))
+    found = groups(nodes.where(F.col("size") >= LEAST_WORDS).select("id", "size", *BITMAPS, blocks), fits, links, between=block_pairs, turns=((3, 0), (BLOCKS, 1)))
     grouped = nodes.select("id", "first", "times").join(found.hint("merge"), "id", "left")
     grouped = grouped.where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     grouped = materialise(grouped.select("id", "first", "component"))

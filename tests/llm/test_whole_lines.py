@@ -69,3 +69,33 @@ def test_lines_that_differ_in_their_figures_stay(spark):
     rows = [(1, "12 34 56 78\n98 76 54 32\nPage 1 of 20 pages\nPage 7 of 93 pages\nItem 1\nItem 2"), (2, "12 34 56 78\nPage 1 of 21 pages")]
     out = {r.doc_id: r.text for r in fuzzy_lines.remove_lines(documents(spark, rows)).collect()}
     assert out == {1: rows[0][1], 2: ""}
+
+
+def test_parities_of_words_keep_all_that_is_within_the_edit_limit():
+    """Pairs that many edits apart are told by a number, before their words are sent anywhere."""
+    r, told = random.Random(4), 0
+    for i in range(300):
+        x = [r.randrange(1, 1 << 62) for _ in range(r.randint(20, 120))]
+        y, most = list(x), len(x) * fuzzy_lines.EDITS // 100
+        for _ in range(r.choice([most, 3 * most])):
+            at, kind = r.randrange(len(y)), r.randrange(3)
+            y[at : at + (kind > 0)] = [r.randrange(1, 1 << 62)] * (kind < 2)
+        first = np.cumsum([0, len(x), 0, len(y)])
+        odd = fuzzy_lines.parities(np.array(x + y, np.uint64), first)
+        most = max(len(x), len(y)) * fuzzy_lines.EDITS // 100
+        apart = int(odd[0] ^ odd[2]).bit_count() if odd[0] ^ odd[2] >= 0 else int((odd[0] ^ odd[2]).view(np.uint64)).bit_count()
+        fits = apart <= 2 * most - abs(len(x) - len(y))
+        near = fuzzy_lines.within_edits(np.array(x, np.uint64), np.array(y, np.uint64), most)
+        assert odd[1] == 0 and (fits or not near)
+        told += not fits
+    assert told >= 100
+
+
+def test_pairs_that_are_alike_in_bits_only_are_not_compared_by_words(spark, monkeypatch):
+    """Sixty versions of one line, each with its own five words, share blocks; few of them link."""
+    line, asked = prose(31, 100), []
+    rows = [(i, edited(line, 100 + i, 5)) for i in range(60)]
+    plain = fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda pairs, *rest: (asked.append(pairs.count()), plain(pairs, *rest))[1])
+    assert result(fuzzy_lines.remove_lines(documents(spark, rows)).select("doc_id", "text")) == brute_lines(rows)
+    assert sum(asked) <= 400, asked
