@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.storage import discard, materialise
+from marketframe.functions.storage import discard, materialise, release
 
 from .batches import chunks, data, table, text_bytes
 from .jaccard import SQL_WORDS
@@ -121,14 +121,16 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str =
     marks = target.select(F.col(key).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("block", block)
     texts = rows.groupBy("block")
     asked = texts.cogroup(marks.groupBy("block")).applyInArrow(counted, "block int, key bigint, n bigint, t bigint, d bigint")
-    asked = materialise(asked)
-    kind = F.col("key").bitwiseAND(F.lit(3))
-    single = asked.where(kind == WORD)
-    total = single.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nt"]).first()
-    signs = single.select("key").distinct().count() + 1
-    dealt = asked.repartition("key")
-    known = dealt.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("d").alias("d")).where("d > 1")
-    slices = dealt.select("key", "block").join(known.select("key", "n", "t").hint("merge"), "key")
+    # A key's rows, one of each block that has it, meet once; keys of one document go at once,
+    # but words, which count for the models' sizes.
+    everywhere = Window.partitionBy("key")
+    asked = asked.select("block", "key", "n", "t", *[F.sum(c).over(everywhere).alias(f"all_{c}") for c in "ntd"])
+    single = F.col("key").bitwiseAND(F.lit(3)) == WORD
+    asked = materialise(asked.where((F.col("all_d") > 1) | single))
+    total = asked.where(single).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nt"]).first()
+    signs = asked.where(single).select("key").distinct().count() + 1
+    release(documents.sparkSession)
+    slices = asked.where("all_d > 1").select("block", "key", F.col("all_n").alias("n"), F.col("all_t").alias("t"))
     no = F.lit(None).cast("bigint")
     given = slices.select("block", "key", "n", "t", no.alias("doc_id")).union(marks.select("block", no, no, no, "doc_id"))
 

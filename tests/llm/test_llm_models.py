@@ -232,3 +232,20 @@ def test_what_word_vectors_need_beside_the_sample_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5 * h.nbytes
+
+
+def test_bigrams_of_one_document_are_not_stored(spark, monkeypatch):
+    """Of bigrams that no other document holds nothing goes to shared storage; words do, for the models' sizes."""
+    monkeypatch.setattr(cross_entropy, "BLOCK", 4_000)
+    rows = [(i, " ".join(f"w{i}x{k} shared" for k in range(40))) for i in range(20)]
+    kinds, plain = Counter(), cross_entropy.materialise
+
+    def kept(df):
+        out = plain(df)
+        if "key" in out.columns:
+            kinds.update(r.key & 3 for r in out.select("key").collect())
+        return out
+
+    monkeypatch.setattr(cross_entropy, "materialise", kept)
+    out = cross_entropy.cross_entropy_difference(documents(spark, rows), documents(spark, rows[:5]).select("doc_id"))
+    assert out.count() == 20 and kinds[cross_entropy.PAIR] == 0 and kinds[cross_entropy.WORD] >= 801
