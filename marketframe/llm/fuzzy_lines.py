@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
-from .linking import marked
-from .stars import groups, verified
+from .linking import components, marked
 from .words import _LOWER, hash_spans, mix, spans
 
 #: Edits in percent of the longer line's words up to which lines link. Shorter lines than
@@ -40,6 +39,9 @@ BITMAPS = ("odd", "sim0", "sim1")
 #: Nodes of a block that are compared in one go; more are dealt, each two parts once.
 PART = 2048
 
+#: Words of the lines that one part of a neighbourhood has on average.
+WORDS = 1 << 18
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -154,41 +156,8 @@ def blocks_of(sim0: Column, sim1: Column) -> Column:
     return F.array(*[(b * BLOCKS + k).cast("int") for k, b in enumerate([*own, F.shiftleft(ends[0], half) + ends[1]])])
 
 
-def fits(x: Column, y: Column) -> Column:
-    """Whether two nodes can be within the edit limit by their sizes and parities, and are alike in bits."""
-    longer = F.greatest(x["size"], y["size"])
-    most, apart = F.floor(longer * EDITS / 100), longer - F.least(x["size"], y["size"])
-    odd = F.bit_count(x["odd"].bitwiseXOR(y["odd"]))
-    differ = sum(F.bit_count(F.shiftleft(x[c].bitwiseXOR(y[c]), 1)) for c in ("sim0", "sim1"))
-    return (apart <= most) & (odd <= 2 * most - apart) & (differ <= BITS)
-
-
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b`` of rows ``key, part, side, id, component, size, odd, sim0, sim1`` sorted by key and part:
-    pairs of one key and part that fit and are of different components. A part of two
-    sides compares each row of one with each of the other."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        key, part, side, ids, component, size, odd, *sims = (rows.column(c).to_numpy() for c in rows.column_names)
-        left, found = np.arange(len(key)), []
-        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[: len(key)])
-        end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
-        gap = 0
-        while len(left):
-            gap += 1
-            left = left[left + gap < end[left]]
-            right = left + gap
-            most, apart = np.maximum(size[left], size[right]) * EDITS // 100, np.abs(size[left] - size[right])
-            good = np.bitwise_count((odd[left] ^ odd[right]).view(np.uint64)) <= 2 * most - apart
-            good &= apart <= most
-            x, y = left[good], right[good]
-            good = (component[x] != component[y]) & ((side[x] < 0) | (side[x] != side[y]))
-            differ = [np.bitwise_count((s[x] ^ s[y]).view(np.uint64) << np.uint64(1)) for s in sims]
-            good &= differ[0] + differ[1] <= BITS
-            found.append(np.stack([ids[x[good]], ids[y[good]]]))
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], ["a", "b"])
-
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole runs of one key and part, of batches sorted by these."""
     waiting: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
@@ -198,33 +167,95 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last run may go on in the next batch.
         last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
         if last or (waiting and (waiting[-1].column("key")[-1].as_py(), waiting[-1].column("part")[-1].as_py()) != (key[0], part[0])):
-            yield pairs(pa.concat_tables([*waiting, rows.slice(0, last)]))
+            yield pa.concat_tables([*waiting, rows.slice(0, last)])
             waiting = []
         waiting.append(rows.slice(last))
     if waiting:
-        yield pairs(pa.concat_tables(waiting))
+        yield pa.concat_tables(waiting)
+
+
+def _ends(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of one key and part start and end."""
+    key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[: len(key)])
+    return starts, np.append(starts[1:], len(key)) if len(key) else starts
+
+
+def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the ``n`` rows as the given ones do: from each to its group's first."""
+    name = np.arange(n)
+    while True:
+        low, after = np.minimum(name[x], name[y]), name.copy()
+        np.minimum.at(after, x, low)
+        np.minimum.at(after, y, low)
+        after = after[after]
+        if np.array_equal(after, name):
+            break
+        name = after
+    away = np.flatnonzero(name != np.arange(n))
+    return name[away], away
+
+
+def compared(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of rows ``key, part, side, size, id, odd, sim0, sim1`` sorted by key, part and size:
+    pairs of one key and part that fit and are of different components, if there is such a
+    column. A part of two sides compares each row of one with each of the other. With
+    ``forest``, no more pairs than connect the same rows."""
+    for rows in runs(batches):
+        side, size, ids, odd, *sims = (rows.column(c).to_numpy() for c in ("side", "size", "id", *BITMAPS))
+        component = rows.column("component").to_numpy() if "component" in rows.column_names else ids
+        starts, ends = _ends(rows)
+        left, found = np.arange(len(ids)), []
+        end = np.repeat(ends, ends - starts)
+        gap = 0
+        while len(left):
+            gap += 1
+            left = left[left + gap < end[left]]
+            right = left + gap
+            most, apart = size[right] * EDITS // 100, size[right] - size[left]
+            # Sizes ascend: what lies further on is too long as well.
+            near = apart <= most
+            left, right, most, apart = left[near], right[near], most[near], apart[near]
+            good = np.bitwise_count((odd[left] ^ odd[right]).view(np.uint64)) <= 2 * most - apart
+            x, y = left[good], right[good]
+            good = (component[x] != component[y]) & ((side[x] < 0) | (side[x] != side[y]))
+            differ = [np.bitwise_count((s[x] ^ s[y]).view(np.uint64) << np.uint64(1)) for s in sims]
+            good &= differ[0] + differ[1] <= BITS
+            found.append((x[good], y[good]))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        if forest:
+            x, y = _forest(len(ids), x, y)
+        both = np.stack([ids[x], ids[y]])
+        yield pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], ["a", "b"])
+
+
+def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``key, part, side`` and columns of ``rows``, each key's dealt over its ``parts`` (null: one), of
+    which every two meet once; inside a part of its own all rows meet, by a side below 0."""
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda h: F.least(own, h) * F.col("parts") + F.greatest(own, h))
+    part = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(met)).alias("part")
+    rows = rows.select("key", part, own.alias("own"), "parts", *columns)
+    inner = F.col("parts").isNull() | (F.col("part") % (F.col("parts") + 1) == 0)
+    return rows.select("key", "part", F.when(inner, -1).otherwise(F.col("own")).alias("side"), *columns)
 
 
-def block_pairs(nodes: DataFrame) -> DataFrame:
-    """``a, b``: nodes of different components that share a block and fit; parities may be absent.
+def block_pairs(nodes: DataFrame, forest: bool = False) -> DataFrame:
+    """``a, b``: nodes of different components that share a block and fit; parities and components
+    may be absent. With ``forest``, of each block only pairs that connect the same nodes.
 
     There are at most ``BLOCKS * 2 ** BLOCK_BITS`` different keys, so the list of those with
     many nodes may be broadcast; their nodes are dealt over parts, and every two parts meet once.
     """
     if "odd" not in nodes.columns:
         nodes = nodes.withColumn("odd", F.lit(0).cast("bigint"))
-    posts = nodes.select(F.explode(F.col("keys").cast("array<int>")).alias("key"), "id", "component", "size", *BITMAPS)
+    columns = [c for c in ("id", "component", "size", *BITMAPS) if c in nodes.columns]
+    posts = nodes.select(F.explode(F.col("keys").cast("array<int>")).alias("key"), *columns)
     many = posts.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > PART)
     rows = posts.join(F.broadcast(many.select("key", F.ceil(F.col("_n") / PART).cast("int").alias("parts"))), "key", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda h: F.least(own, h) * F.col("parts") + F.greatest(own, h))
-    # Inside a part of its own all rows meet; that is said by a side below 0.
-    dealt = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(met)).alias("part")
-    rows = rows.select("key", dealt, own.alias("own"), "parts", "id", "component", "size", *BITMAPS)
-    inner = F.col("parts").isNull() | (F.col("part") % (F.col("parts") + 1) == 0)
-    rows = rows.select("key", "part", F.when(inner, -1).otherwise(F.col("own")).alias("side"), "id", "component", "size", *BITMAPS)
-    sorted_rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-    return materialise(sorted_rows.mapInArrow(compared, "a bigint, b bigint").distinct())
+    sorted_rows = dealt(rows, columns).repartition("key", "part").sortWithinPartitions("key", "part", "size")
+    pairs = sorted_rows.mapInArrow(lambda batches: compared(batches, forest), "a bigint, b bigint")
+    return materialise(pairs if forest else pairs.distinct())
 
 
 def words_of_lines(rows: DataFrame) -> DataFrame:
@@ -257,6 +288,20 @@ def within_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     m, n = len(x), len(y)
     if abs(m - n) > most:
         return False
+    # What both begin and end with takes no edit.
+    k = min(m, n)
+    other = np.flatnonzero(x[:k] != y[:k])
+    if m == n and len(other) <= most:
+        return True
+    lead = int(other[0]) if len(other) else k
+    other = np.flatnonzero(x[m - k + lead :][::-1] != y[n - k + lead :][::-1]) if lead < k else other
+    tail = int(other[0]) if len(other) else k - lead
+    x, y = x[lead : m - tail], y[lead : n - tail]
+    m, n = len(x), len(y)
+    if max(m, n) <= most:
+        return True
+    if most <= 1:
+        return False
     # Each word that only one side has takes an edit.
     both, back = np.unique(np.append(x, y), return_inverse=True)
     more = np.bincount(back[:m], minlength=len(both)) - np.bincount(back[m:], minlength=len(both))
@@ -299,22 +344,72 @@ def within_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return False
 
 
-def _words_in(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("text")]
-
-
-def _near(x: np.ndarray, y: np.ndarray) -> bool:
-    return within_edits(x, y, max(len(x), len(y)) * EDITS // 100)
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b``: links that connect rows ``key, part, side, id, size, odd, sim0, sim1, words`` of one key
+    and part as all their links do. Rows that are connected already are not compared."""
+    for rows in runs(batches):
+        side, size, ids, odd, *sims = (rows.column(c).to_numpy() for c in ("side", "size", "id", *BITMAPS))
+        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("words")]
+        found = []
+        for start, end in zip(*(x.tolist() for x in _ends(rows))):
+            name = np.arange(start, end)
+            for i in range(start, end - 1):
+                j = np.flatnonzero(name[i + 1 - start :] != name[i - start]) + i + 1
+                j = j[(side[i] < 0) | (side[j] != side[i])]
+                differ = alike(size[i], odd[i], [s[i] for s in sims], size[j], odd[j], [s[j] for s in sims])
+                met = np.flatnonzero(differ <= BITS)
+                for y in j[met[np.argsort(differ[met], kind="stable")]].tolist():
+                    if name[y - start] != name[i - start] and within_edits(words[i], words[y], max(len(words[i]), len(words[y])) * EDITS // 100):
+                        name[name == name[y - start]] = name[i - start]
+                        found.append((ids[i], ids[y]))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def alike(size, odd, sims, sizes, odds, others) -> np.ndarray:
+    """The bits in which a node's SimHash differs from each of others'; more than there are,
+    where they share no block or can't be within the edit limit by sizes and parities."""
+    most, apart = np.maximum(sizes, size) * EDITS // 100, np.abs(sizes - size)
+    one, two = ((s ^ x).view(np.uint64) for s, x in zip(others, sims))
+    shared, low = np.zeros(len(sizes), bool), np.uint64((1 << BLOCK_BITS) - 1)
+    for k in range(3):
+        by = np.uint64(BLOCK_BITS * k)
+        shared |= ((one >> by) & low == 0) | ((two >> by) & low == 0)
+    shared |= ((one | two) >> np.uint64(3 * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS // 2) - 1) == 0
+    shared &= (apart <= most) & (np.bitwise_count((odds ^ odd).view(np.uint64)) <= 2 * most - apart)
+    differ = np.bitwise_count(one << np.uint64(1)).astype(np.int64) + np.bitwise_count(two << np.uint64(1))
+    return np.where(shared, differ, 1 << 20)
+
+
+def verified(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b``: links that connect the nodes ``near`` (``key, id, doc_id, line, size, odd, sim0, sim1``) of one key
+    as all links of nodes that share a block do. Words are read from where lines first occur.
+
+    A key of many nodes or words is dealt over parts, of which every two meet in one task.
+    """
+    wanted = materialise(near.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
+    texts = marked(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id").where("_maybe")
+    # Merge joins at every size: these lists grow with the corpus, so none is broadcast.
+    words = words_of_lines(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted")).dropDuplicates(["id"])
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / WORDS)).cast("int")
+    many = near.groupBy("key").agg(parts.alias("parts")).where("parts > 1")
+    columns = ["id", "size", *BITMAPS, "words"]
+    met = near.join(many.hint("merge"), "key", "left").join(words.hint("merge"), "id")
+    out = materialise(dealt(met, columns).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(linked, "a bigint, b bigint"))
+    discard(wanted)
+    return out
 
 
 def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, removed``: the numbers of the lines to remove, of documents that have any.
 
     Equal normalised lines of any number of words are one node. Nodes of at least
-    ``LEAST_WORDS`` words that share a block of their SimHash are compared with a pivot of
-    it; after that all pairs of a block that are not connected yet, are alike in size
-    and in most bits, meet. Pairs within the edit limit link. Of each connected
-    group the first occurrence, by key and line number, stays.
+    ``LEAST_WORDS`` words meet in the blocks of their SimHash. Those that are alike in size
+    and in most bits are neighbours; of a connected neighbourhood the words are sent
+    once, and pairs of neighbours that nothing connects yet are held against the
+    edit limit. So links and pairs handed on grow with the nodes, not with the pairs
+    of a group. Of each connected group the first occurrence, by key and line number,
+    stays.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull())
@@ -325,22 +420,16 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text"
     )
     nodes = materialise(nodes)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link; words are read from where lines first occur."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = nodes.select("id", "first").join(ids.hint("merge"), "id", "left_semi").select("first.*")
-        wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
-        near = marked(rows, wanted.select(F.col("doc_id").alias("id")), "doc_id").where("_maybe")
-        # Merge joins at every size: both lists grow with the corpus, so neither is broadcast.
-        words = words_of_lines(near.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted"))
-        words = materialise(words.dropDuplicates(["id"]))
-        # A line that many are compared with is sent once for all of them.
-        out = verified(pairs, words.withColumnRenamed("words", "text"), _words_in, _near)
-        discard(wanted, words)
-        return out
-
     blocks = blocks_of(F.col("sim0"), F.col("sim1")).alias("keys")
-    found = groups(nodes.where(F.col("size") >= LEAST_WORDS).select("id", "size", *BITMAPS, blocks), fits, links, between=block_pairs, turns=((3, 0), (BLOCKS, 1)))
+    long = nodes.where(F.col("size") >= LEAST_WORDS)
+    pairs = block_pairs(long.select("id", "size", *BITMAPS, blocks), forest=True)
+    lie = components(pairs)
+    near = long.join(lie.withColumnRenamed("component", "key").hint("merge"), "id")
+    near = materialise(near.select("key", "id", "first.*", "size", *BITMAPS))
+    discard(pairs, lie)
+    links = verified(near, rows)
+    found = components(links)
+    discard(near, links)
     grouped = nodes.select("id", "first", "times").join(found.hint("merge"), "id", "left")
     grouped = grouped.where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     grouped = materialise(grouped.select("id", "first", "component"))

@@ -184,8 +184,7 @@ def inside(near: DataFrame, rows: DataFrame, values_of: Callable[[pa.RecordBatch
 
 
 def groups(nodes: DataFrame, fits: Fits, verify: Verify, least: int = 1, members: DataFrame | None = None,
-           within: Verify | None = None, between: Callable[[DataFrame], DataFrame] | None = None,
-           turns: tuple[tuple[int, int], ...] = TURNS) -> DataFrame:
+           within: Verify | None = None) -> DataFrame:
     """``id, component`` of the nodes that link with others; the smallest id names a group.
 
     ``nodes`` has ``id, keys, size`` and features; ``verify`` turns a table of pairs ``a, b``
@@ -194,7 +193,7 @@ def groups(nodes: DataFrame, fits: Fits, verify: Verify, least: int = 1, members
     own id among them) some nodes stand for several: these are held against their
     node, and pairs of nodes are expanded to pairs of members. ``within`` finds the
     links inside neighbourhoods, as ``inside`` does; without it, pairs of different
-    components are all that is left out. ``between`` may take the place of ``across``.
+    components are all that is left out.
     """
     features = [c for c in nodes.columns if c not in ("id", "keys")]
     found = None
@@ -215,7 +214,7 @@ def groups(nodes: DataFrame, fits: Fits, verify: Verify, least: int = 1, members
 
     # Later rounds take the nodes that were near some pivot of the first one.
     near, compared = None, []
-    for lead, turn in turns:
+    for lead, turn in TURNS:
         rows = named(nodes, "id", "component", found)
         rows = rows if near is None else rows.join(near.hint("merge"), "id", "left_semi")
         pairs = _pivot_pairs(rows, features, fits, lead, turn)
@@ -243,7 +242,7 @@ def groups(nodes: DataFrame, fits: Fits, verify: Verify, least: int = 1, members
     discard(*compared, *([near] if near is not None else []))
 
     rows = named(nodes, "id", "group", group)
-    pairs = across(rows, features, fits, least) if between is None else between(rows.withColumnRenamed("group", "component"))
+    pairs = across(rows, features, fits, least)
     if members is not None:
         side = lambda c: members.select(F.col("node").alias(c), F.col("id").alias(f"_{c}")).hint("merge")
         each = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")

@@ -6,8 +6,9 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import documents, edited, prose
-from test_copies import brute_lines, distance, line_rows, normal, result
+from test_copies import brute_lines, distance, groups, line_rows, normal, result
 
 import corpus_pipeline
 from marketframe.llm import fuzzy_lines
@@ -99,3 +100,22 @@ def test_pairs_that_are_alike_in_bits_only_are_not_compared_by_words(spark, monk
     monkeypatch.setattr(fuzzy_lines, "verified", lambda pairs, *rest: (asked.append(pairs.count()), plain(pairs, *rest))[1])
     assert result(fuzzy_lines.remove_lines(documents(spark, rows)).select("doc_id", "text")) == brute_lines(rows)
     assert sum(asked) <= 400, asked
+
+
+def test_lines_of_one_group_are_compared_until_they_are_connected(monkeypatch):
+    """Ninety lines, each an edit from one of them: connected by about a comparison each, not by all pairs."""
+    r, asked, plain = random.Random(3), [], fuzzy_lines.within_edits
+    base = [r.randrange(1, 1 << 62) for _ in range(60)]
+    lines = [base] + [base[:i] + [r.randrange(1, 1 << 62)] + base[i + 1 :] for i in range(60)] + [base[:i] + base[i + 1 :] for i in range(29)]
+    words, first = np.concatenate([np.array(x, np.uint64) for x in lines]), np.cumsum([0, *map(len, lines)])
+    sims = fuzzy_lines.simhashes(words, first)
+    columns = {"key": [1] * 90, "part": [0] * 90, "side": [-1] * 90, "id": [*range(90)], "size": np.diff(first)}
+    columns |= {"odd": fuzzy_lines.parities(words, first), "sim0": sims[:, 0], "sim1": sims[:, 1], "words": [np.array(x, np.uint64).tobytes() for x in lines]}
+    rows = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+    monkeypatch.setattr(fuzzy_lines, "within_edits", lambda *x: (asked.append(1), plain(*x))[1])
+    links = pa.Table.from_batches([*fuzzy_lines.linked(iter([rows.slice(0, 40), rows.slice(40)]))]).to_pylist()
+    size, odd = columns["size"], columns["odd"]
+    far = lambda a, b: fuzzy_lines.alike(size[a], odd[a], sims[a], size[[b]], odd[[b]], [sims[[b], 0], sims[[b], 1]])[0] > fuzzy_lines.BITS
+    pairs = [(a, b) for a, b in itertools.combinations(range(90), 2) if distance(lines[a], lines[b]) <= 3 and not far(a, b)]
+    assert len(pairs) >= 1000 and len(links) <= 89 and len(asked) <= 180
+    assert groups(90, [(x["a"], x["b"]) for x in links]) == groups(90, pairs)
