@@ -42,8 +42,9 @@ TURNS = ((8, 0), (16, 1), (16, 2))
 #: that one copy of a pivot's text serves.
 PART = 2048
 
-#: Values of sets that one part of a neighbourhood has on average, and columns of a product.
-VALUES, COLUMNS = 1 << 18, 1 << 14
+#: Values of sets that one part of a neighbourhood has on average, and numbers of a matrix at most
+#: (but for one row or column).
+VALUES, CELLS = 1 << 18, 1 << 21
 
 #: Counters of how often keys occur. They order keys, so they may be bounded and shared.
 COUNTERS = 1 << 18
@@ -111,22 +112,26 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
     order = np.argsort(back, kind="stable")
     row, back = row[order], back[order]
-    out = np.zeros((len(x), len(y)), np.float32)
-    for low in range(0, len(values), COLUMNS):
-        a, b = np.searchsorted(back, (low, low + COLUMNS))
-        some = np.zeros((len(x) + len(y), min(COLUMNS, len(values) - low)), np.float32)
+    out, columns = np.zeros((len(x), len(y)), np.float32), max(CELLS // max(len(x) + len(y), 1), 1)
+    for low in range(0, len(values), columns):
+        a, b = np.searchsorted(back, (low, low + columns))
+        some = np.zeros((len(x) + len(y), min(columns, len(values) - low)), np.float32)
         some[row[a:b], back[a:b] - low] = 1
         out += some[: len(x)] @ some[len(x) :].T
-    return out.astype(np.int64)
+    return out
 
 
 def similar_sets(num: int, den: int) -> Callable[[list, list], np.ndarray]:
     """Tells for two lists of sets which pairs have ``den * intersection >= num * union``."""
 
     def test(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-        both = _shared(x, y)
-        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])
-        return den * both >= num * (total - both)
+        out, rows = np.empty((len(x), len(y)), bool), max(CELLS // max(len(y), 1), 1)
+        sizes = np.array([len(s) for s in y], np.int64)
+        for low in range(0, len(x), rows):
+            both = _shared(x[low : low + rows], y).astype(np.int64)
+            total = np.array([len(s) for s in x[low : low + rows]])[:, None] + sizes
+            out[low : low + rows] = den * both >= num * (total - both)
+        return out
 
     return test
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from helpers import awkward_texts, documents, edited, prose
 from pyspark.sql import functions as F
 
-from marketframe.llm import fuzzy_lines, jaccard, linking, words
+from marketframe.llm import fuzzy_lines, jaccard, linking, stars, words
 
 
 def lowered(text):
@@ -216,3 +217,18 @@ def test_every_pair_of_a_common_block_meets_once(spark, monkeypatch):
     nodes = spark.createDataFrame(rows, "id bigint, component bigint, size int, sim0 bigint, sim1 bigint, keys array<bigint>")
     got = sorted((r.a, r.b) for r in fuzzy_lines.block_pairs(nodes).collect())
     assert got == [(a[0], b[0]) for a, b in itertools.combinations(rows[:300], 2) if a[1] != b[1] and abs(a[2] - b[2]) <= 1]
+
+
+def test_products_of_many_sets_need_bounded_memory():
+    """The tables between 700 and 600 sets are many times larger than what is held of them at once."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.append(base[rng.random(60) < 0.93], rng.integers(1, 1 << 62, 40 * (i % 2)).astype(np.uint64))) for i in range(1300)]
+    tracemalloc.start()
+    got = stars.similar_sets(75, 100)(sets[:700], sets[700:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, peak
+    some = [(i, j) for i in range(0, 700, 23) for j in range(0, 600, 19)]
+    assert [got[i, j] for i, j in some] == [jaccard.similar(sets[i], sets[700 + j]) for i, j in some] and 0 < got.sum() < got.size
+    assert stars.similar_sets(75, 100)(sets[:1], []).shape == (1, 0)
