@@ -119,3 +119,9 @@ def test_lines_of_one_group_are_compared_until_they_are_connected(monkeypatch):
     pairs = [(a, b) for a, b in itertools.combinations(range(90), 2) if distance(lines[a], lines[b]) <= 3 and not far(a, b)]
     assert len(pairs) >= 1000 and len(links) <= 89 and len(asked) <= 180
     assert groups(90, [(x["a"], x["b"]) for x in links]) == groups(90, pairs)
+
+
+def test_a_neighbourhood_dealt_over_parts_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "PART", 6)
+    rows = [(i, edited(prose(31, 60), 100 + i, 1 + i % 3)) for i in range(40)]
+    assert result(fuzzy_lines.remove_lines(documents(spark, rows)).select("doc_id", "text")) == brute_lines(rows)
