@@ -36,26 +36,37 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of all nodes of ``links`` (``a, b``); the smallest id names a group.
 
-    Each round gives a node the smallest label among its neighbours and then its
-    label's label, so long paths halve. Hubs are met by grouped minima with map-side
+    Each round every node goes to that of its neighbours and itself with the smallest
+    hash, another one each round, and on to where that one goes; links whose ends are
+    one node then are dropped. So a round leaves a fraction of the nodes whatever
+    their order, groups that are done take no further part, and all rounds together
+    read a few times the links. Hubs are met by grouped minima with map-side
     combine. Rounds are written to shared storage; only a count reaches the driver.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialise(both.distinct())
-    labels = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        seen = edges.join(labels.select(F.col("id").alias("b"), "component"), "b")
-        lowest = seen.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_low"))
-        near = labels.join(lowest, "id").withColumn("_near", F.least("component", "_low"))
-        up = labels.select(F.col("id").alias("_near"), F.col("component").alias("_up"))
-        moved = near.join(up, "_near").select("id", F.col("_up").alias("component"), (F.col("_up") != F.col("component")).alias("_moved"))
-        after = materialise(moved)
-        discard(labels)
-        labels = after
-        if labels.where("_moved").isEmpty():
-            break
-    discard(edges)
-    return labels.drop("_moved")
+    edges, rounds = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
+    while not rounds or not edges.isEmpty():
+        turn = F.lit(len(rounds))
+        ranked = lambda c: F.struct(F.xxhash64(turn, c), F.col(c).alias("id"))  # noqa: B023, E731
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy(F.col("a").alias("id")).agg(F.min(ranked("b")).alias("_low"))
+        goes = materialise(lowest.select("id", F.least("_low", ranked("id")).getField("id").alias("root")))
+        end = goes.select(F.col("id").alias("root"), F.col("root").alias("_end"))
+        rounds.append(materialise(goes.join(end, "root").select("id", F.col("_end").alias("root"))))
+        to = lambda side: rounds[-1].select(F.col("id").alias(side), F.col("root").alias(f"_{side}"))
+        ends = edges.join(to("a"), "a").join(to("b"), "b").where("_a != _b")
+        after = materialise(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        discard(edges, goes)
+        edges = after
+    # Back from the last round, which has the fewest nodes.
+    found = rounds[-1]
+    for before in reversed(rounds[:-1]):
+        later = found.select(F.col("id").alias("root"), F.col("root").alias("_end"))
+        found = before.join(later, "root", "left").select("id", F.coalesce("_end", "root").alias("root"))
+    found = materialise(found)
+    names = found.groupBy("root").agg(F.min("id").alias("component"))
+    labels = materialise(found.join(names, "root").select("id", "component"))
+    discard(edges, found, *rounds)
+    return labels
 
 
 def merged(found: DataFrame, more: DataFrame) -> DataFrame:

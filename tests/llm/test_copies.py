@@ -98,6 +98,16 @@ def test_connected_groups_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(80)}, 200: 200, 201: 200, 300: 300}
 
 
+def test_long_paths_of_links_take_no_more_rows_than_a_few_times_the_links(spark, monkeypatch):
+    """All rounds together; rows that are settled are not written once more each round."""
+    path, star = [(i, i + 1) for i in range(400)], [(1000, 1000 - i) for i in range(1, 200)]
+    links, rows, plain = [*path, *star, (5000, 5000), (-7, 5001)], [], linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df: (out := plain(df), rows.append(out.count()))[0])
+    got = {r.id: r.component for r in linking.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(401)}, **{i: 801 for i in range(801, 1001)}, 5000: 5000, -7: -7, 5001: -7}
+    assert sum(rows) <= 10 * len(links), rows
+
+
 def test_bitmap_drops_rows_but_none_that_is_asked_for(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     ids = spark.range(0, 5000, 50)
