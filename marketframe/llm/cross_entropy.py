@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.functions.storage import discard, materialise, release
+from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
 from .jaccard import SQL_WORDS
@@ -24,8 +24,9 @@ from .words import mix, words
 
 WEIGHT = 0.7
 
-#: Bytes of text of a block of documents, and of the part of it that is counted at once.
-BLOCK, PART = 24 << 20, 2 << 20
+#: Bytes of text of a block of documents, of the part of it that is counted at once, and of what
+#: has the keys of one range.
+BLOCK, PART, RANGE = 24 << 20, 2 << 20, 4 << 20
 
 #: What stands before a row's first word.
 START = np.uint64(0x5354415254)
@@ -48,12 +49,18 @@ def token_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.repeat(np.arange(len(size)), size), keys, size
 
 
-def own_counts(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each different pair of row and key first stands, how often it does, and the
-    pair of each token."""
+def own_counts(row: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each token's row has its key."""
     pairs = mix(keys + mix(row.astype(np.uint64) + np.uint64(1)))
-    _, at, back, n = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-    return at, n, back
+    _, back, n = np.unique(pairs, return_inverse=True, return_counts=True)
+    return n[back]
+
+
+def places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the keys, looked up in order, stand in ``known``."""
+    order, at = np.argsort(keys), np.empty(len(keys), np.int64)
+    at[order] = np.searchsorted(known, keys[order])
+    return at
 
 
 def _parts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -70,33 +77,79 @@ def _is_target(part: pa.RecordBatch, targets: np.ndarray) -> np.ndarray:
     return np.isin(keys.fill_null(0).to_numpy(zero_copy_only=False), targets) & np.asarray(keys.is_valid())
 
 
-def counted(rows: pa.Table, marks: pa.Table) -> pa.Table:
-    """``block, key, n, t, d`` of one block: how often each key occurs, how often in documents of
-    the target, and in how many documents."""
-    targets, found = _targets(marks), [np.empty((4, 0), np.int64)]
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, the lowest of all first, up to the highest that is not 0."""
+    rows = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return rows[: int(rows.any(axis=1).nonzero()[0].max(initial=-1)) + 1].tobytes()
+
+
+def unplaned(raw: bytes, n: int) -> np.ndarray:
+    rows = np.zeros((8, n), np.uint8)
+    if n:
+        rows[: len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(rows.T).view(np.uint64)[:, 0]
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], *[np.add.reduceat(c[order], first) if len(first) else c for c in counts]
+
+
+def counted(rows: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
+    """``range, block, size, keys, n, t`` of one block: its different keys in order, cut by their
+    highest ``bits``; how often they occur, and how often in documents of the target."""
+    targets, found = _targets(marks), [[np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
     for part in _parts(rows):
         row, keys, _ = token_keys(part)
-        mine = _is_target(part, targets)
+        mine = _is_target(part, targets)[row]
         for kind in keys:
-            at, n, _ = own_counts(row, kind)
-            different, back = np.unique(kind[at], return_inverse=True)
-            sums = [np.bincount(back, x, len(different)).astype(np.int64) for x in (n, n * mine[row[at]], np.ones(len(at)))]
-            found.append(np.stack([different.view(np.int64), *sums]))
-    key, n, t, d = np.concatenate(found, axis=1)
-    different, back = np.unique(key, return_inverse=True)
-    sums = [np.bincount(back, x, len(different)).astype(np.int64) for x in (n, t, d)]
-    block = np.full(len(different), rows.column("block")[0].as_py() if len(rows) else 0, np.int32)
-    return pa.table([pa.array(x) for x in (block, different, *sums)], ["block", "key", "n", "t", "d"])
-
-
-def blocks_of(rows: DataFrame) -> tuple[DataFrame, Column]:
-    """The rows ``doc_id, text`` with their block, and what gives the block of a key. Keys are
-    dealt, rows without a key by their text; a block has ``BLOCK`` bytes on average."""
+            for x, y in zip(found, _summed(kind, np.ones(len(kind), np.int64), mine.astype(np.int64))):
+                x.append(y)
+    key, n, t = _summed(*map(np.concatenate, found))
+    block, out = rows.column("block")[0].as_py() if len(rows) else 0, []
+    for k, a, e in ranges(key, bits):
+        out.append((k, block, e - a, planes(np.diff(key[a:e], prepend=np.uint64(0))), planes(n[a:e]), planes(t[a:e])))
+    return pa.Table.from_pylist([dict(zip(COUNTED.names, x)) for x in out], COUNTED)
+
+
+def ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """The ranges that keys in order have, by their highest bits, with their starts and ends."""
+    of = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    yield from zip(of[starts].tolist(), starts.tolist(), np.append(starts[1:], len(of)).tolist())
+
+
+def gathered(rows: pa.Table) -> pa.Table:
+    """``block, range, size, n, t`` of one range: for the keys of each block, in their order, the counts
+    of all blocks; and, without a block, ``word, all_n, all_t`` of each of its words."""
+    parts = rows.to_pylist()
+    keys = [np.cumsum(unplaned(x["keys"], x["size"]), dtype=np.uint64) for x in parts]
+    counts = [np.concatenate([unplaned(x[c], x["size"]).astype(np.int64) for x in parts]) for c in "nt"]
+    different, *sums = _summed(np.concatenate(keys), *counts)
+    word, out = different & np.uint64(3) == WORD, []
+    for x, mine in zip(parts, keys):
+        at = np.searchsorted(different, mine)
+        out.append({"block": x["block"], "range": x["range"], "size": len(mine), **{c: planes(s[at]) for c, s in zip("nt", sums)}})
+    columns = {"word": different[word].view(np.int64), **{f"all_{c}": s[word] for c, s in zip("nt", sums)}}
+    words = pa.table([pa.array(columns[c]) if c in columns else pa.nulls(int(word.sum()), GATHERED.field(c).type) for c in GATHERED.names], GATHERED)
+    return pa.concat_tables([pa.Table.from_pylist(out, GATHERED), words])
+
+
+COUNTED = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("size", pa.int32()), *[(c, pa.binary()) for c in ("keys", "n", "t")]])
+GATHERED = pa.schema([("block", pa.int32()), ("range", pa.int32()), ("size", pa.int32()), ("n", pa.binary()), ("t", pa.binary()), *[(c, pa.int64()) for c in ("word", "all_n", "all_t")]])
+
+
+def blocks_of(rows: DataFrame) -> tuple[DataFrame, Column, int]:
+    """The rows ``doc_id, text`` with their block, what gives the block of a key, and the bits of
+    ranges of keys. Keys are dealt, rows without a key by their text; a block has ``BLOCK`` bytes on average."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     many = F.lit(size // BLOCK + 1)
     of = lambda c: F.pmod(F.xxhash64(c), many).cast("int")
     by_text = F.when(F.col("doc_id").isNull(), of("text")).otherwise(of("doc_id"))
-    return rows.withColumn("block", by_text), of("doc_id")
+    return rows.withColumn("block", by_text), of("doc_id"), int(size // RANGE).bit_length()
 
 
 def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,9 +160,9 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str =
     do no harm); the background is all documents. The lower the score, the more a
     document is like the target's others. All words and bigrams of all documents count,
     in tables that grow with the corpus. Documents are dealt into blocks; a block
-    asks once for each of its different words and bigrams, gets those that other documents
-    hold too (the others are its documents' own and would be taken out), and is
-    scored from its texts.
+    sends each of its different words and bigrams once, as ranges of sorted hashes with
+    their counts, and gets back the counts of all blocks in the same order, without the
+    hashes, which it makes again from its texts when it is scored.
 
     A null or empty text, or one without words, has no words and null losses. Repeated
     rows count and are scored each, with their own row taken out; with an empty target
@@ -117,43 +170,37 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, key: str =
     result. Other columns are not read.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), text_bytes(text).alias("text"))
-    rows, block = blocks_of(rows)
+    rows, block, bits = blocks_of(rows)
     marks = target.select(F.col(key).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("block", block)
     texts = rows.groupBy("block")
-    asked = texts.cogroup(marks.groupBy("block")).applyInArrow(counted, "block int, key bigint, n bigint, t bigint, d bigint")
-    # A key's rows, one of each block that has it, meet once; keys of one document go at once,
-    # but words, which count for the models' sizes.
-    everywhere = Window.partitionBy("key")
-    asked = asked.select("block", "key", "n", "t", *[F.sum(c).over(everywhere).alias(f"all_{c}") for c in "ntd"])
-    single = F.col("key").bitwiseAND(F.lit(3)) == WORD
-    asked = materialise(asked.where((F.col("all_d") > 1) | single))
-    total = asked.where(single).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nt"]).first()
-    signs = asked.where(single).select("key").distinct().count() + 1
-    release(documents.sparkSession)
-    slices = asked.where("all_d > 1").select("block", "key", F.col("all_n").alias("n"), F.col("all_t").alias("t"))
-    no = F.lit(None).cast("bigint")
-    given = slices.select("block", "key", "n", "t", no.alias("doc_id")).union(marks.select("block", no, no, no, "doc_id"))
+    sent = texts.cogroup(marks.groupBy("block")).applyInArrow(
+        lambda rows, marks: counted(rows, marks, bits), "range int, block int, size int, keys binary, n binary, t binary"
+    )
+    kinds = "block int, range int, size int, n binary, t binary, word bigint, all_n bigint, all_t bigint"
+    asked = materialise(sent.groupBy("range").applyInArrow(gathered, kinds))
+    known = materialise(asked.where("word IS NOT NULL").select(F.col("word").alias("key"), "all_n", "all_t"))
+    total = known.agg(*[F.coalesce(F.sum(f"all_{c}"), F.lit(0)).alias(c) for c in "nt"], F.count("*").alias("words")).first()
+    signs = total["words"] + 1
+    discard(known)
+    no = F.lit(None)
+    given = asked.where("block IS NOT NULL").select("block", "range", "size", "n", "t", no.cast("bigint").alias("doc_id"))
+    given = given.union(marks.select("block", no.cast("int"), no.cast("int"), no.cast("binary"), no.cast("binary"), "doc_id"))
 
     def scored(rows: pa.Table, given: pa.Table) -> pa.Table:
         targets = _targets(given)
-        model = given.filter(pc.is_valid(given.column("key")))
-        known = model.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        # One more, of zeros, for what no other document holds.
-        known, counts = known[order], [np.append(model.column(c).to_numpy()[order], 0).astype(float) for c in "tn"]
+        model = given.filter(pc.is_valid(given.column("range"))).sort_by("range").to_pylist()
+        (known,) = _summed(np.concatenate([np.empty(0, np.uint64), *[_summed(token_keys(part)[1].ravel())[0] for part in _parts(rows)]]))
+        if [(x["range"], x["size"]) for x in model] != [(k, e - a) for k, a, e in ranges(known, bits)]:
+            raise ValueError("the documents changed while they were read")
+        counts = [np.concatenate([np.empty(0), *[unplaned(x[c], x["size"]).astype(float) for x in model]]) for c in "tn"]
         out = []
         for part in _parts(rows):
             row, keys, size = token_keys(part)
             mine = _is_target(part, targets)
-            at = np.searchsorted(known, keys)
-            if len(known):
-                at[known[np.minimum(at, len(known) - 1)] != keys] = len(known)
-            # Own counts, in the model as far as the model has the key.
+            at = np.stack([places(known, kind) for kind in keys])
             own = np.empty(keys.shape)
             for k, kind in enumerate(keys):
-                _, n, back = own_counts(row, kind)
-                own[k] = n[back]
-            own[at == len(known)] = 0
+                own[k] = own_counts(row, kind)
             left = [np.maximum(total[c] - size * (mine if c == "t" else 1), 0)[row] for c in "tn"]
             scale = left[0] / np.maximum(left[1], 1)
             means = []

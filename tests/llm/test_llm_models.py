@@ -249,3 +249,17 @@ def test_bigrams_of_one_document_are_not_stored(spark, monkeypatch):
     monkeypatch.setattr(cross_entropy, "materialise", kept)
     out = cross_entropy.cross_entropy_difference(documents(spark, rows), documents(spark, rows[:5]).select("doc_id"))
     assert out.count() == 20 and kinds[cross_entropy.PAIR] == 0 and kinds[cross_entropy.WORD] >= 801
+
+
+def test_counts_of_bigrams_meet_in_few_rows_and_come_back_without_their_keys(spark, monkeypatch):
+    """Blocks send ranges of keys with their counts, not a row for each of their bigrams."""
+    monkeypatch.setattr(cross_entropy, "BLOCK", 4_000)
+    rows = [(i, " ".join(f"w{i % 7}x{k} shared" for k in range(200))) for i in range(20)]
+    stored, plain = [], cross_entropy.materialise
+    monkeypatch.setattr(cross_entropy, "materialise", lambda df: (out := plain(df), stored.append((out.columns, out.count())))[0])
+    out = cross_entropy.cross_entropy_difference(documents(spark, rows), documents(spark, rows[:5]).select("doc_id"))
+    assert out.count() == 20 and max(n for _, n in stored) <= 2000, stored
+    for x in (np.array([0, 0]), np.array([1, 300, 0, 2**40 + 7]), np.array([], np.int64), np.array([2**64 - 1, 0], np.uint64)):
+        raw = cross_entropy.planes(x)
+        assert cross_entropy.unplaned(raw, len(x)).tolist() == x.tolist()
+    assert len(cross_entropy.planes(np.array([7, 255, 0]))) == 3
