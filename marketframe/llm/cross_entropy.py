@@ -101,14 +101,18 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 def counted(rows: pa.Table, marks: pa.Table, bits: int) -> pa.Table:
     """``range, block, size, keys, n, t`` of one block: its different keys in order, cut by their
     highest ``bits``; how often they occur, and how often in documents of the target."""
-    targets, found = _targets(marks), [[np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    targets, found, many = _targets(marks), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for part in _parts(rows):
         row, keys, _ = token_keys(part)
-        mine = _is_target(part, targets)[row]
+        # Both counts in one number, so that fewer arrays stand side by side.
+        both = 1 + (_is_target(part, targets)[row].astype(np.int64) << 32)
         for kind in keys:
-            for x, y in zip(found, _summed(kind, np.ones(len(kind), np.int64), mine.astype(np.int64))):
+            for x, y in zip((found, many), _summed(kind, both)):
                 x.append(y)
-    key, n, t = _summed(*map(np.concatenate, found))
+    found, many = np.concatenate(found), np.concatenate(many)
+    key, both = _summed(found, many)
+    del found, many
+    n, t = both & 0xFFFFFFFF, both >> 32
     block, out = rows.column("block")[0].as_py() if len(rows) else 0, []
     for k, a, e in ranges(key, bits):
         out.append((k, block, e - a, planes(np.diff(key[a:e], prepend=np.uint64(0))), planes(n[a:e]), planes(t[a:e])))
