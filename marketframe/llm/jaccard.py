@@ -11,7 +11,7 @@ from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
 from .linking import among
-from .stars import counter, groups, inside, rarity, similar_sets, verified
+from .stars import counter, groups, inside, rarity, verified
 from .words import mix, shingle_sets
 
 WORDS = 5
@@ -108,10 +108,9 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     nodes = materialise(keys.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "keys").where("size > 0").dropDuplicates(["id"]))
     several = grouped.where("members > 1").select("n", "p1", "p2", "node")
     members = materialise(classes.join(several.hint("merge"), ["n", "p1", "p2"]).select("node", "id"))
-    whole = similar_sets(NUM, DEN)
     found = groups(
         nodes, fits, lambda pairs: verified(pairs, rows, _sets, similar), SHARED, members,
-        within=lambda near: inside(near, rows, _sets, whole),
+        within=lambda near: inside(near, rows, _sets, NUM, DEN),
     )
     discard(nodes, members, grouped)
 

@@ -11,7 +11,7 @@ from marketframe.functions.storage import discard, materialise
 
 from .batches import chunks, data, table, text_bytes
 from .jaccard import SQL_WORDS, _signature
-from .stars import counter, groups, inside, rarity, similar_sets, verified
+from .stars import counter, groups, inside, rarity, verified
 from .words import mix, shingle_sets
 
 WORDS = 2
@@ -136,10 +136,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
     classes = materialise(classes)
     nodes = materialise(posted(classes.select("id", "n", "signature")))
-    whole = similar_sets(NUM, DEN)
     found = groups(
         nodes, fits, lambda pairs: verified(pairs, rows, _set_of_text, similar), COUNTED,
-        within=lambda near: inside(near, rows, _set_of_text, whole),
+        within=lambda near: inside(near, rows, _set_of_text, NUM, DEN),
     )
     discard(nodes)
     named = classes.select("id", *by).join(found.hint("merge"), "id", "left").select(*by, F.coalesce("component", "id").alias("component"))

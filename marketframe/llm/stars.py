@@ -6,9 +6,9 @@ nodes that share a key may link.
 1. A few rounds compare nodes with one pivot of each of some of their keys, another one
    each time; that joins most copies. Pairs compared so far, linked or not, also say
    which nodes lie near each other.
-2. A neighbourhood that is not one group yet is compared as a whole, block by block,
-   by products of matrices: thousands of texts that are alike but do not link make no
-   table of pairs.
+2. A neighbourhood that is not one group yet is compared as a whole: sets that share too
+   few values with other groups leave, the rest is compared block by block, so
+   thousands of texts that are alike but do not link make no table of pairs.
 3. All keys are posted once more, each with its node's neighbourhood; keys inside one
    fall in a grouped aggregate, and of the others the pairs are compared.
 
@@ -46,6 +46,9 @@ PART = 2048
 #: (but for one row or column).
 VALUES, CELLS = 1 << 18, 1 << 21
 
+#: A pair of sets that is met by itself costs about as much as so many cells of a product.
+THIN = 64
+
 #: Counters of how often keys occur. They order keys, so they may be bounded and shared.
 COUNTERS = 1 << 18
 
@@ -107,17 +110,42 @@ def across(nodes: DataFrame, features: list[str], fits: Fits, least: int = 1) ->
 
 
 def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of ``x`` has in common with each of ``y``."""
+    """How many values each set of ``x`` has in common with each of ``y``: a value that most
+    sets hold as a column of matrices, any other by the pairs of sets that hold it."""
+    out = np.zeros((len(x), len(y)), np.float32)
     values, back = np.unique(np.concatenate([*x, *y]), return_inverse=True)
     row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
     order = np.argsort(back, kind="stable")
     row, back = row[order], back[order]
-    out, columns = np.zeros((len(x), len(y)), np.float32), max(CELLS // max(len(x) + len(y), 1), 1)
-    for low in range(0, len(values), columns):
+    left = row < len(x)
+    times = np.stack([np.bincount(back[side], minlength=len(values)) for side in (left, ~left)])
+    met = times[0] * times[1]
+    wide = met * THIN >= max(out.size, 1)
+
+    # A value's rows of ``y`` stand behind its rows of ``x``.
+    first = np.searchsorted(back, np.arange(len(values))) + times[0]
+    thin = np.flatnonzero(left & ~wide[back] & (met[back] > 0))
+    ends = np.cumsum(times[1][back[thin]])
+    low = 0
+    while low < len(thin):
+        done = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, done + CELLS // 4, "right")), low + 1)
+        held = back[thin[low:high]]
+        n = times[1][held]
+        start = np.repeat(first[held] - (ends[low:high] - n - done), n)
+        at = row[start + np.arange(len(start))] - len(x)
+        at += np.repeat(row[thin[low:high]] * len(y), n)
+        out += np.bincount(at, minlength=out.size).reshape(out.shape)
+        low = high
+
+    some = wide[back]
+    row, back = row[some], (np.cumsum(wide) - 1)[back[some]]
+    columns = max(CELLS // max(len(x) + len(y), 1), 1)
+    for low in range(0, int(wide.sum()), columns):
         a, b = np.searchsorted(back, (low, low + columns))
-        some = np.zeros((len(x) + len(y), min(columns, len(values) - low)), np.float32)
-        some[row[a:b], back[a:b] - low] = 1
-        out += some[: len(x)] @ some[len(x) :].T
+        table = np.zeros((len(x) + len(y), min(columns, int(wide.sum()) - low)), np.float32)
+        table[row[a:b], back[a:b] - low] = 1
+        out += table[: len(x)] @ table[len(x) :].T
     return out
 
 
@@ -136,8 +164,57 @@ def similar_sets(num: int, den: int) -> Callable[[list, list], np.ndarray]:
     return test
 
 
-def inside(near: DataFrame, rows: DataFrame, values_of: Callable[[pa.RecordBatch], list], test: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """``a, b``: links that join the components of a neighbourhood.
+def partners(x: list[np.ndarray], of_x: np.ndarray, y: list[np.ndarray], of_y: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets of ``x`` and ``y`` that may link with one of the other side and of another
+    component (``of_x``, ``of_y``).
+
+    A set that links with one of size m has ``num / (num + den)`` of n + m values in common
+    with it. Sets that share fewer with all of other components leave, as thousands
+    do that are alike in passing; that takes values of others, so it is done again.
+    """
+    values, back = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    names, code = np.unique(np.concatenate([of_x, of_y]), return_inverse=True)
+    size = np.array([len(s) for s in (*x, *y)], np.int64)
+    row, left = np.repeat(np.arange(len(size)), size), np.arange(len(size)) < len(x)
+    live = size > 0
+    while True:
+        stays = live.copy()
+        for mine, other in ((left, ~left), (~left, left)):
+            entry = live[row] & other[row]
+            low, high = np.full(len(values), len(names)), np.full(len(values), -1)
+            np.minimum.at(low, back[entry], code[row[entry]])
+            np.maximum.at(high, back[entry], code[row[entry]])
+            entry = live[row] & mine[row]
+            apart = (low[back[entry]] < code[row[entry]]) | (high[back[entry]] > code[row[entry]])
+            common = np.bincount(row[entry][apart], minlength=len(size))
+            # The smallest set of the other side that is large enough asks for least.
+            sizes = np.append(np.sort(size[live & other]), np.iinfo(np.int32).max)
+            least = sizes[np.searchsorted(sizes, -(-size * num // den))]
+            stays &= ~mine | ((least * num <= size * den) & (common * (num + den) >= num * (size + least)))
+        few = 64 * (live.sum() - stays.sum()) <= live.sum()
+        live = stays
+        if few:
+            return np.flatnonzero(live[: len(x)]), np.flatnonzero(live[len(x) :])
+
+
+def linked(x: list[np.ndarray], of_x: np.ndarray, y: list[np.ndarray], of_y: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``x`` and ``y`` of sets of different components that link, one pair for each two
+    components of a block."""
+    some, others = partners(x, of_x, y, of_y, num, den)
+    some = some[np.argsort([len(x[i]) for i in some], kind="stable")]
+    sizes, rows = np.array([len(y[j]) for j in others]), max(CELLS // max(len(others), 1), 1)
+    for low in range(0, len(some), rows):
+        a = some[low : low + rows]
+        b = others[(sizes * den >= len(x[a[0]]) * num) & (sizes * num <= len(x[a[-1]]) * den)]
+        found = similar_sets(num, den)([x[i] for i in a], [y[j] for j in b]) & (of_x[a][:, None] != of_y[b])
+        i, j = np.nonzero(found)
+        a, b = a[i], b[j]
+        _, first = np.unique(np.stack([of_x[a], of_y[b]]), axis=1, return_index=True)
+        yield a[first], b[first]
+
+
+def inside(near: DataFrame, rows: DataFrame, values_of: Callable[[pa.RecordBatch], list], num: int, den: int) -> DataFrame:
+    """``a, b``: links (``den * intersection >= num * union``) that join the components of a neighbourhood.
 
     ``near`` has ``id, group, component, size``. A neighbourhood of several components is
     dealt over parts of about ``VALUES`` values, of which every two meet in one task;
@@ -154,33 +231,33 @@ def inside(near: DataFrame, rows: DataFrame, values_of: Callable[[pa.RecordBatch
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda h: F.least("own", h) * F.col("parts") + F.greatest("own", h))
     dealt = met.select("group", F.explode(pairs).alias("part"), "own", "id", "component", "text")
 
-    def links(ids: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list) -> pa.RecordBatch:
-        sides = np.unique(side)
-        x = np.flatnonzero(side == sides[0])
-        y = x if len(sides) == 1 else np.flatnonzero(side == sides[1])
-        found = test([sets[i] for i in x], [sets[i] for i in y]) & (component[x][:, None] != component[y])
-        a, b = np.nonzero(found)
-        a, b = x[a], y[b]
-        _, first = np.unique(np.stack([component[a], component[b]]), axis=1, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], ["a", "b"])
+    def links(ids: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list) -> Iterator[pa.RecordBatch]:
+        names, back, times = np.unique(component, return_inverse=True, return_counts=True)
+        # The sets of the largest component are held against others alone.
+        one, large = side == side.min(), back == times.argmax()
+        two = ~one if not one.all() else one
+        for x, y in [(one & ~large, two), *([(one & large, two & ~large)] if not one.all() else [])]:
+            x, y = np.flatnonzero(x), np.flatnonzero(y)
+            for a, b in linked([sets[i] for i in x], component[x], [sets[i] for i in y], component[y], num, den) if len(x) and len(y) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[a]]), pa.array(ids[y[b]])], ["a", "b"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         own, waiting = None, []
 
         def compared():
             columns = [np.array(c) for c in zip(*[(w[0], w[1], w[2]) for w in waiting])]
-            return links(*columns, [w[3] for w in waiting])
+            yield from links(*columns, [w[3] for w in waiting])
 
         for batch in chunks(batches, "text"):
             columns = [batch.column(c).to_pylist() for c in ("group", "part", "id", "component", "own")]
             for group, part, *row, values in zip(*columns, values_of(batch)):
                 if own != (group, part):
                     if waiting:
-                        yield compared()
+                        yield from compared()
                     own, waiting = (group, part), []
                 waiting.append((*row, values))
         if waiting:
-            yield compared()
+            yield from compared()
 
     ordered = dealt.repartition("group", "part").sortWithinPartitions("group", "part")
     out = materialise(ordered.mapInArrow(run, "a bigint, b bigint").distinct())

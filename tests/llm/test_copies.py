@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 import tracemalloc
 from collections import defaultdict
 
@@ -242,3 +243,59 @@ def test_products_of_many_sets_need_bounded_memory():
     some = [(i, j) for i in range(0, 700, 23) for j in range(0, 600, 19)]
     assert [got[i, j] for i, j in some] == [jaccard.similar(sets[i], sets[700 + j]) for i, j in some] and 0 < got.sum() < got.size
     assert stars.similar_sets(75, 100)(sets[:1], []).shape == (1, 0)
+
+
+def alike_in_passing(seed: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sets of three families: edited copies of one, sets with a few values of a common
+    stock and many of their own, and sets of one or two values; and their components."""
+    rng = np.random.default_rng(seed)
+    stock = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    own = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(stock)[: 60 - k % 20], own(k % 14))) for k in range(150)]
+    sets += [np.unique(np.append(rng.permutation(stock)[:12], own(24))) for k in range(150)]
+    sets += [np.unique(stock[[k % 7, k % 5]]) for k in range(30)]
+    return sets, rng.choice([0, 0, *range(1, 40)], len(sets))
+
+
+@pytest.mark.parametrize("num", [75, 80])
+def test_links_between_components_are_those_of_all_pairs(num):
+    sets, of = alike_in_passing()
+    order = np.random.default_rng(1).permutation(len(sets))
+    sets, of = [sets[i] for i in order], of[order]
+    common = lambda a, b: len(np.intersect1d(a, b))
+    for x, y in ((range(len(sets)), range(len(sets))), (range(130), range(130, len(sets)))):
+        got = {(of[x[i]], of[y[j]]) for a, b in stars.linked([sets[i] for i in x], of[x], [sets[j] for j in y], of[y], num, 100) for i, j in zip(a, b)}
+        link = lambda a, b: 100 * common(a, b) >= num * (len(a) + len(b) - common(a, b))
+        want = {(of[i], of[j]) for i in x for j in y if of[i] != of[j] and link(sets[i], sets[j])}
+        assert got == want and want
+    empty = np.empty(0, np.int64)
+    assert not [1 for a, _ in stars.linked(sets[:1], of[:1], [], empty, num, 100) if len(a)]
+
+
+def test_links_inside_a_neighbourhood_dealt_over_parts(spark, monkeypatch):
+    """One neighbourhood of some 40 parts, of which every two meet, gives the groups of all pairs."""
+    monkeypatch.setattr(stars, "VALUES", 200)
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(1 << 40))
+    base = [word() for _ in range(40)]
+    texts = [[word() if rng.random() < (0.03 if i % 2 else 0.5) else w for w in base] for i in range(160)]
+    sets = [{tuple(t[k : k + 5]) for k in range(36)} for t in texts]
+    of = [i % 20 * 3 if i % 3 else i for i in range(160)]
+    near = spark.createDataFrame([(i, 0, of[i], len(sets[i])) for i in range(160)], "id bigint, group bigint, component bigint, size int")
+    rows = spark.createDataFrame([(i, " ".join(t).encode()) for i, t in enumerate(texts)], "id bigint, text binary")
+    got = {frozenset((of[r.a], of[r.b])) for r in stars.inside(near, rows, jaccard._sets, 75, 100).collect()}
+    link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {frozenset((of[i], of[j])) for i, j in itertools.combinations(range(160), 2) if of[i] != of[j] and link(sets[i], sets[j])}
+    assert got == want and want
+
+
+def test_sets_with_values_of_their_own_make_no_product_of_all_values():
+    """2,000 sets with 40 values each that no other set has, and a few in common: all pairs cost far
+    less than a product over 80,000 values (some 10 s of a core)."""
+    rng = np.random.default_rng(2)
+    stock = rng.integers(1, 1 << 62, 30).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(stock)[:4], rng.integers(1, 1 << 62, 40).astype(np.uint64))) for _ in range(2000)]
+    began = time.process_time()
+    got = stars.similar_sets(75, 100)(sets, sets)
+    took = time.process_time() - began
+    assert (got == np.eye(2000, dtype=bool)).all() and took < 5, took
